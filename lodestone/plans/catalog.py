@@ -1,6 +1,585 @@
-def queries():
-    return {}
+"""Every query of the library on the driver's tables, with the SQL that must give the same rows.
 
+The tables stand in for a corpus of runs: documents for log texts, events for tracker updates and
+ordered streams, orders and lineitem for runs and their packages.
+"""
 
-def oracle_sql():
-    return {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import conflicts, corpus, ordered, similarity, state, worklist
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def long(c):
+    return (F.col(c) if isinstance(c, str) else c).cast("long")
+
+
+# -- text ------------------------------------------------------------------------------
+
+DIGITS = r"[0-9]+"
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+t AS (SELECT DISTINCT doc_id, trim(regexp_replace(line, '[0-9]+', '<N>', 'g')) AS template FROM l WHERE trim(line) <> '')
+SELECT template, count(*) AS df FROM t GROUP BY template
+""")
+def template_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequency of lines with their numbers masked."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
+    masked = lines.select("doc_id", F.trim(F.regexp_replace("line", DIGITS, "<N>")).alias("template"))
+    return similarity.document_frequency(masked, "doc_id", "template")
+
+
+@query()
+def mask_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full single-scan mask over distinct lines, most frequent templates first by count."""
+    lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
+    distinct = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    return distinct.select(T.mask(F.col("line"))["template"].alias("template"), "n").groupBy("template").agg(F.sum("n").alias("n"))
+
+
+WORDS = r"[^\x20\x09-\x0D]+"
+
+
+@query(r"""
+WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS token FROM documents),
+n AS (SELECT count(*) AS n FROM documents)
+SELECT token, count(*) AS df, round(ln(1 + any_value(n.n) / count(*)), 6) AS weight FROM w, n GROUP BY token
+""")
+def idf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tokens = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))).alias("token"))
+    n = docs.count()
+    return similarity.idf(similarity.document_frequency(tokens, "doc_id", "token"), n).withColumn("weight", F.round("weight", 6))
+
+
+def _order_parts(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("item")).distinct()
+
+
+@query("""
+WITH i AS (SELECT DISTINCT l_orderkey AS doc, l_partkey AS item FROM lineitem),
+n AS (SELECT count(DISTINCT doc) AS n FROM i),
+w AS (SELECT item, ln(1 + any_value(n.n) / count(*)) AS w FROM i, n GROUP BY item),
+p AS (SELECT DISTINCT a.doc AS l, b.doc AS r FROM i a JOIN i b ON a.item = b.item AND a.doc < b.doc WHERE a.item % 25 = 0),
+t AS (SELECT doc, sum(w) AS total FROM i JOIN w USING (item) GROUP BY doc),
+s AS (SELECT p.l, p.r, sum(w.w) AS both_ FROM p JOIN i a ON a.doc = p.l JOIN i b ON b.doc = p.r AND a.item = b.item JOIN w ON w.item = a.item GROUP BY p.l, p.r)
+SELECT s.l AS "left", s.r AS "right", round(both_ / (x.total + y.total - both_), 6) AS score,
+  CASE WHEN both_ / (x.total + y.total - both_) >= 0.8 THEN 'duplicate' WHEN both_ / (x.total + y.total - both_) < 0.55 THEN 'different' ELSE 'ambiguous' END AS verdict
+FROM s JOIN t x ON x.doc = s.l JOIN t y ON y.doc = s.r
+""")
+def weighted_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that share one of every 25th part (the block), scored over all of their parts."""
+    items = _order_parts(spark, sf_dir)
+    n = items.select("doc").distinct().count()
+    weights = similarity.idf(similarity.document_frequency(items, "doc", "item"), n)
+    scored = similarity.weighted_pairs(items.join(weights.select("item", "weight"), "item"), "doc", "item", "weight", items.where("item % 25 = 0"), "item")
+    v = similarity.verdict(F.lit(False), F.lit(False), F.lit(1), F.lit(True), F.col("score"))
+    return scored.select("left", "right", F.round("score", 6).alias("score"), F.when(v["duplicate"], "duplicate").when(v["ambiguous"], "ambiguous").otherwise("different").alias("verdict"))
+
+
+@query("""
+WITH a AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+'))) AS s FROM documents),
+d AS (SELECT doc_id, md5(array_to_string(s, ' ')) AS p, md5(array_to_string(s[1:3], ' ')) AS c FROM a),
+p AS (SELECT p FROM d GROUP BY p HAVING count(*) >= 2),
+o AS (SELECT d.doc_id, '0:' || d.p AS cluster FROM d JOIN p USING (p)),
+t AS (SELECT d.*, o.cluster FROM d LEFT JOIN o USING (doc_id)),
+b AS (SELECT c, coalesce(max(cluster), '1:' || c) AS target FROM t GROUP BY c HAVING count(*) >= 2 AND count(DISTINCT cluster) <= 1),
+m AS (SELECT doc_id, cluster, 0 AS joined_tier FROM t WHERE cluster IS NOT NULL UNION ALL SELECT doc_id, b.target, 1 FROM t JOIN b USING (c) WHERE cluster IS NULL),
+z AS (SELECT cluster, count(*) AS n, min(doc_id) AS canonical FROM m GROUP BY cluster HAVING count(*) BETWEEN 2 AND 500)
+SELECT doc_id, m.cluster, CAST(left(m.cluster, 1) AS INTEGER) AS tier, joined_tier, n AS member_count, canonical FROM m JOIN z USING (cluster)
+""".replace("\\\\", "\\"))
+def signature_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiered classes: equal sets of words, extended by equal first words of the sorted set."""
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0))))
+    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("s"))
+    sigs = docs.select("doc_id", F.md5(F.array_join("s", " ")).alias("root_graph"), F.md5(F.array_join(F.slice("s", 1, 3), " ")).alias("cause_tuple"))
+    return similarity.clusters(sigs, "doc_id")
+
+
+@query(r"""
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', 'redacted@example.invalid', 'g'),
+  '(//)(?:\d{1,3}\.){3}\d{1,3}', '\g1'), '/home/[A-Za-z0-9_.-]+', '/home/redacted-user', 'g') AS clean FROM documents
+""".replace(r"'(//)(?:\d{1,3}\.){3}\d{1,3}', '\g1')", r"'(//)(?:\d{1,3}\.){3}\d{1,3}', '\10.0.0.0', 'g')"))
+def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The redactions that an RE2 oracle can repeat: e-mail, addresses in URLs, homes."""
+    c = F.col("text")
+    for k in (7, 9, 6):
+        c = F.regexp_replace(c, *T.REDACTIONS[k])
+    return table(spark, sf_dir, "documents").select("doc_id", c.alias("clean"))
+
+
+@query()
+def redact_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.redact(F.col("text")).alias("clean"))
+
+
+@query(r"""
+SELECT doc_id, CASE WHEN regexp_matches(text[1:64000], '(?m)^Licensed ') THEN 'license' WHEN regexp_matches(text[1:64000], '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 'dated'
+  WHEN regexp_matches(text[1:64000], '\|') THEN 'table' ELSE 'prose' END AS kind FROM documents
+""")
+def sniff_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.substring("text", 1, 64000)
+    kind = F.when(head.rlike("(?m)^Licensed "), "license").when(head.rlike("[0-9]{4}-[0-9]{2}-[0-9]{2}"), "dated").when(head.rlike(r"\|"), "table").otherwise("prose")
+    return table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"))
+
+
+@query("""
+WITH v AS (SELECT p_partkey, '>= ' || (p_size % 3) || ':' || p_size || '.' || (p_partkey % 7) || '~rc-' || (p_partkey % 5) AS c FROM part),
+x AS (SELECT p_partkey, c, split_part(c, ' ', 1) AS op, split_part(c, ' ', 2) AS ver FROM v),
+u AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(ver, '^[^:]*:', ''), '-[^-]*$', ''), '~.*$', '') AS up FROM x)
+SELECT p_partkey, c AS exact, op || ' ' || up AS upstream, op || ' ' || split_part(up, '.', 1) AS major, op AS operator FROM u
+""")
+def constraint_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.concat(F.lit(">= "), (F.col("p_size") % 3).cast("string"), F.lit(":"), F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 7).cast("string"), F.lit("~rc-"), (F.col("p_partkey") % 5).cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", *[T.normal_constraint(c, g).alias(g) for g in ("exact", "upstream", "major", "operator")])
+
+
+# -- corpus queries ----------------------------------------------------------------------
+
+
+@query("SELECT coalesce(nullif(o_orderstatus, 'P'), 'not_diagnosed') AS cause, count(*) AS n FROM orders GROUP BY 1")
+def cause_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.histogram(table(spark, sf_dir, "orders"), F.coalesce(F.nullif("o_orderstatus", F.lit("P")), F.lit("not_diagnosed")), "cause")
+
+
+PHASE_SQL = "CASE event_type WHEN 'signup' THEN 10 WHEN 'view' THEN 20 WHEN 'click' THEN 60 WHEN 'error' THEN 70 WHEN 'purchase' THEN 100 ELSE 0 END"
+PHASE_OF = {"signup": 10, "view": 20, "click": 60, "error": 70, "purchase": 100}
+
+
+def phase_code():
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in PHASE_OF.items() for x in kv])[F.col("event_type")], F.lit(0))
+
+
+@query(f"SELECT CAST(p AS BIGINT) AS phase, count(*) AS n FROM (SELECT user_id, max({PHASE_SQL}) AS p FROM events GROUP BY user_id) GROUP BY 1")
+def phase_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max(phase_code()).alias("p"))
+    return corpus.histogram(top, long("p"), "phase")
+
+
+@query("""
+SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'documents', count(*) FROM documents
+UNION ALL SELECT 'users', count(DISTINCT user_id) FROM events
+""")
+def stats_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = lambda name, df, n: df.agg(n.alias("n")).select(F.lit(name).alias("name"), "n")
+    parts = [one(t, table(spark, sf_dir, t), F.count(F.lit(1))) for t in ("orders", "lineitem", "documents")]
+    parts.append(one("users", table(spark, sf_dir, "events"), F.countDistinct("user_id")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("""
+WITH r AS (SELECT user_id, count(*) AS lex_lines, count_if(event_type = 'error') AS lex_unmatched FROM events GROUP BY user_id)
+SELECT count(*) AS runs, CAST(coalesce(sum(CASE WHEN lex_unmatched = 0 THEN 1 ELSE 0 END), 0) AS BIGINT) AS perfect, CAST(coalesce(sum(lex_lines), 0) AS BIGINT) AS lines,
+  CAST(coalesce(sum(lex_unmatched), 0) AS BIGINT) AS unmatched FROM r WHERE lex_lines > 0
+""")
+def coverage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("lex_lines"), F.count_if(F.col("event_type") == "error").alias("lex_unmatched"))
+    return corpus.coverage_totals(runs)
+
+
+@query("""
+SELECT user_id, count(*) AS lex_lines, count_if(event_type = 'error') AS lex_unmatched FROM events GROUP BY user_id HAVING count_if(event_type = 'error') > 0
+""")
+def imperfect_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("lex_lines"), F.count_if(F.col("event_type") == "error").alias("lex_unmatched"))
+    return corpus.imperfect(runs, "user_id")
+
+
+@query("""
+SELECT p_brand, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+WHERE o_orderstatus = 'P' GROUP BY p_brand ORDER BY n DESC, p_brand LIMIT 10
+""")
+def unclassified_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    open_ = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(open_, "l_orderkey", "left_semi")
+    named = rows.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    return corpus.top_counts(named, ["p_brand"], 10)
+
+
+@query("SELECT l_partkey, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey ORDER BY n DESC, l_partkey LIMIT 20")
+def top_blamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_partkey", "l_orderkey")
+    return corpus.top_counts(rows, ["l_partkey"], 20, distinct="l_orderkey")
+
+
+@query("""
+WITH s AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS i FROM lineitem WHERE l_returnflag = 'R')
+SELECT a.k AS supplier, b.k AS other, count(*) AS shared FROM s a JOIN s b ON a.i = b.i AND a.k <> b.k GROUP BY 1, 2 HAVING count(*) >= 3
+""")
+def related_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("supplier"), F.col("l_partkey").alias("part"))
+    return corpus.sharing(rows, "supplier", "part", 3)
+
+
+@query("""
+SELECT o_orderkey, o_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), o_orderpriority) AS title FROM orders LEFT JOIN customer ON o_custkey = c_custkey
+""")
+def triage_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey"), F.col("o_custkey").alias("bug_id"), F.col("o_orderpriority").alias("current_title"))
+    none = lambda kind: F.lit(None).cast(kind)
+    state_ = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("bug_id"), none("string").alias("status"), none("long").alias("duplicate_of"), none("boolean").alias("is_duplicate"), none("string").alias("assignee"), none("string").alias("importance"), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).otherwise("").alias("title"), none("timestamp").alias("checked_at"))
+    return worklist.triage_rows(runs, state_).select("o_orderkey", F.col("bug_id").alias("o_custkey"), "title")
+
+
+@query("""
+SELECT c_custkey, max(o_orderdate) AS checked FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey ORDER BY checked ASC NULLS FIRST, c_custkey LIMIT 50
+""")
+def stale_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("checked"))
+    return corpus.stale_first(table(spark, sf_dir, "customer"), checks, "c_custkey", "checked", 50)
+
+
+@query("""
+SELECT DISTINCT l_orderkey, l_returnflag AS role FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#11' OR starts_with(p_brand, 'Brand#2'))
+""")
+def role_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = table(spark, sf_dir, "part").where((F.col("p_brand") == "Brand#11") | F.col("p_brand").startswith("Brand#2")).select(F.col("p_partkey").alias("pkg"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey"), F.col("l_partkey").alias("pkg"), F.col("l_returnflag").alias("role"))
+    return corpus.runs_with_package(rows, packages, "l_orderkey")
+
+
+@query("""
+WITH s AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS g, o_custkey % 50 * 10 + CAST(left(o_orderpriority, 1) AS INTEGER) AS c FROM orders WHERE o_orderstatus = 'P'),
+e AS (SELECT a.k, b.k AS other FROM s a JOIN s b ON a.g = b.g AND a.k <> b.k)
+SELECT k AS run_key, other, 'root-graph' AS how FROM e UNION ALL
+SELECT a.k, b.k, 'cause' FROM s a JOIN s b ON a.c = b.c AND a.k <> b.k LEFT JOIN e ON e.k = a.k AND e.other = b.k WHERE e.k IS NULL
+""")
+def anti_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs with the same graph, then those with the same cause that aren't among them."""
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
+    sig = o.select(F.col("o_orderkey").alias("run_key"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey")).alias("root_graph"), (F.col("o_custkey") % 50 * 10 + F.substring("o_orderpriority", 1, 1).cast("int")).alias("cause_tuple"))
+    none = sig.select("run_key", F.col("run_key").alias("other")).where("false")
+    return corpus.related(sig, none)
+
+
+@query("SELECT doc_id, NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AS is_duplicate FROM documents d")
+def listing_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.listing_flags(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("""
+SELECT l_suppkey AS supplier, list_sort(list(DISTINCT l_linestatus)) AS keys FROM lineitem GROUP BY 1
+""")
+def signature_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supplier"), "l_linestatus").distinct()
+    return corpus.signature_buckets(rows, "supplier", "l_linestatus")
+
+
+@query("""
+WITH b AS (SELECT DISTINCT p_brand AS name FROM part UNION SELECT 'nobody'), k AS (SELECT DISTINCT p_brand || ':' || p_size AS pkg, p_brand AS name FROM part WHERE p_size <= 5)
+SELECT DISTINCT b.name, coalesce(k.pkg, b.name) AS pkg FROM b LEFT JOIN k USING (name)
+""")
+def name_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    bare = part.select(F.col("p_brand").alias("name")).distinct().union(spark.createDataFrame([("nobody",)], "name string"))
+    seen = part.where("p_size <= 5").select(F.concat("p_brand", F.lit(":"), F.col("p_size").cast("string")).alias("pkg"))
+    return corpus.expand_names(bare, seen)
+
+
+# -- ordered streams -----------------------------------------------------------------------
+
+
+@query(f"""
+SELECT event_id, CAST(max({PHASE_SQL}) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS phase FROM events
+""")
+def running_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    return ordered.running_phase(ev, phase_code(), ["user_id"], ["ts", "event_id"]).select("event_id", long("phase").alias("phase"))
+
+
+@query(f"""
+WITH p AS (SELECT user_id, epoch_us(ts) // 1000 AS t, max({PHASE_SQL}) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS phase FROM events),
+l AS (SELECT user_id, max(t) AS end_ms, max(phase) AS top FROM p GROUP BY user_id)
+SELECT p.user_id, CAST(phase AS BIGINT) AS phase, min(t) AS start_ms, any_value(end_ms) AS end_ms, CASE WHEN phase = any_value(top) THEN 'unknown' ELSE 'ok' END AS outcome
+FROM p JOIN l USING (user_id) WHERE phase > 0 GROUP BY p.user_id, phase
+""")
+def phase_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    rows = ordered.running_phase(ev, phase_code(), ["user_id"], ["ts", "event_id"]).withColumn("t_ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    return ordered.phase_spans(rows, ["user_id"]).withColumn("phase", long("phase"))
+
+
+@query("""
+WITH g AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS rec FROM conversations)
+SELECT conv_id, CAST(rec AS BIGINT) AS rec, min(turn) AS first_turn, count(*) AS turns, md5(string_agg(role || ':' || text, chr(10) ORDER BY turn)) AS folded FROM g WHERE rec > 0 GROUP BY conv_id, rec
+""")
+def record_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record begins at a user's turn; what follows continues it."""
+    rows = ordered.group_number(table(spark, sf_dir, "conversations"), F.col("role") == "user", ["conv_id"], ["turn"], "rec").where("rec > 0")
+    lines = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(":"), "text").alias("x"))))
+    return rows.groupBy("conv_id", long("rec").alias("rec")).agg(F.min("turn").alias("first_turn"), F.count(F.lit(1)).alias("turns"), F.md5(F.array_join(F.transform(lines, lambda r: r["x"]), "\n")).alias("folded"))
+
+
+@query("""
+WITH g AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sec FROM events),
+s AS (SELECT user_id, sec, CAST(coalesce(max(CASE WHEN event_type = 'view' THEN CAST(floor(value) AS BIGINT) END), 0) AS BIGINT) AS broken, count_if(event_type = 'error') AS conflicts, count_if(event_type = 'click') AS decisions,
+  bool_or(event_type = 'purchase') AS completed, count_if(event_type <> 'signup') AS n, md5(string_agg(CASE WHEN event_type <> 'signup' THEN event_type || ':' || CAST(floor(value) AS BIGINT) END, chr(10) ORDER BY ts, event_id)) AS h FROM g GROUP BY user_id, sec),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id, h ORDER BY sec) AS f FROM s WHERE n > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sec) - 1 AS section_idx FROM k WHERE f = 1),
+b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY broken DESC, conflicts DESC, decisions DESC, completed ASC, section_idx DESC) AS z FROM r)
+SELECT user_id, section_idx, broken AS broken_count, conflicts, decisions, completed, z = 1 AS is_primary FROM b
+""")
+def sections_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    kind, whole = F.col("event_type"), F.floor("value").cast("long")
+    s = ordered.sections(ev, kind == "signup", ["user_id"], ["ts", "event_id"], kind == "error", kind == "click", F.when(kind == "view", whole), kind == "purchase", F.concat(kind, F.lit(":"), whole.cast("string")))
+    return s.select("user_id", long("section_idx").alias("section_idx"), long("broken_count").alias("broken_count"), "conflicts", "decisions", "completed", "is_primary")
+
+
+@query("""
+WITH e AS (SELECT user_id, event_type, epoch_us(ts) AS u FROM events), l AS (SELECT user_id, max(u) AS e FROM e GROUP BY user_id),
+p AS (SELECT user_id, count_if(event_type = 'click') AS keeps, count_if(event_type = 'view') AS upgrades, max(CASE WHEN event_type IN ('click', 'view') THEN u END) AS last_at FROM e GROUP BY user_id)
+SELECT p.user_id, keeps, upgrades, least(keeps, upgrades) AS reversals, last_at, last_at >= e AS is_terminal FROM p JOIN l USING (user_id) WHERE keeps >= 5 AND upgrades >= 5
+""")
+def livelock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events").select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.lit("all").alias("subject"), F.lit("").alias("other"))
+    kind = F.col("event_type")
+    return ordered.oscillations(ev, ["user_id"], "subject", "at", kind == "click", kind == "view", "other", 5, 1.0).select("user_id", "keeps", "upgrades", "reversals", "last_at", "is_terminal")
+
+
+@query("""
+WITH s AS (SELECT *, lag(event_type) OVER w AS pt, lag(value) OVER w AS pv FROM events WHERE event_type IN ('view', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, coalesce(pt = 'view', false) AS has_scores, CASE WHEN pt = 'view' THEN pv END AS score_first FROM s WHERE event_type = 'purchase'
+""")
+def lag_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view's value goes to the next purchase, in the sub-stream of the two."""
+    ev = table(spark, sf_dir, "events").withColumns({"a": F.lit("x"), "b": F.lit("y")})
+    kind = F.col("event_type")
+    return ordered.attach_scores(ev, ["user_id"], ["ts", "event_id"], kind == "view", kind == "purchase", "a", "b", "value", "value").select("event_id", "has_scores", "score_first")
+
+
+@query("""
+WITH w AS (SELECT user_id, min(ts) AS a, max(ts) AS b FROM events WHERE event_type = 'signup' AND value > 60 GROUP BY user_id)
+SELECT event_id FROM events JOIN w USING (user_id) WHERE ts >= a - INTERVAL 300 SECOND AND ts <= b + INTERVAL 300 SECOND
+""")
+def interval_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    spans = ev.where("event_type = 'signup' and value > 60").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return ordered.within(ev, spans, ["user_id"], F.col("ts"), "a", "b", 300).select("event_id")
+
+
+@query("""
+WITH f AS (SELECT user_id, min(ts) AS a, max(ts) AS b FROM events WHERE event_type = 'view' GROUP BY user_id), s AS (SELECT user_id, event_type AS source, min(ts) AS first_at FROM events WHERE event_type <> 'view' GROUP BY 1, 2)
+SELECT user_id, source, first_at >= a - INTERVAL 900 SECOND AND first_at <= b + INTERVAL 900 SECOND AS coherent FROM s JOIN f USING (user_id)
+""")
+def interval_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    main = ev.where("event_type = 'view'").groupBy("user_id").agg(F.min("ts").alias("started_at"), F.max("ts").alias("ended_at")).withColumn("truncated", F.lit(False))
+    first = ev.where("event_type <> 'view'").groupBy("user_id", F.col("event_type").alias("source")).agg(F.min("ts").alias("first_at"))
+    return ordered.coherent(first, main, ["user_id"])
+
+
+@query("""
+SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE), event_type ORDER BY value DESC, event_id) AS r FROM events) WHERE r = 1
+""")
+def tx_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    return ordered.collapse_repeats(ev, ["user_id", "day", "event_type"], F.col("value"), F.col("event_id")).select("event_id")
+
+
+# -- graphs ------------------------------------------------------------------------------------
+
+BLAME_SQL = """
+e AS (SELECT l_orderkey % 400 AS run_key, 's' || l_suppkey % 40 AS src, 'p' || l_partkey % 60 AS dst, CAST(4 + l_linenumber % 3 AS INTEGER) AS dep FROM lineitem WHERE l_returnflag = 'R'),
+f AS (SELECT DISTINCT l_orderkey % 400 AS run_key, 'p' || l_partkey % 60 AS pkg FROM lineitem WHERE l_returnflag = 'R' AND l_partkey % 10 = 0),
+o AS (SELECT e.run_key, CASE WHEN t THEN dst ELSE src END AS src, CASE WHEN t THEN src ELSE dst END AS dst, dep, t AS reoriented FROM (
+  SELECT e.*, dep IN (4, 5) AND x.pkg IS NOT NULL AND y.pkg IS NULL AS t FROM e LEFT JOIN f x ON x.run_key = e.run_key AND x.pkg = e.dst LEFT JOIN f y ON y.run_key = e.run_key AND y.pkg = e.src) e)
+"""
+
+
+def _blame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    run = F.col("l_orderkey") % 400
+    name = lambda letter, c, n: F.concat(F.lit(letter), (F.col(c) % n).cast("string"))
+    rows = li.select(run.alias("run_key"), name("s", "l_suppkey", 40).alias("src"), name("p", "l_partkey", 60).alias("dst"), F.lit(conflicts.BREAKS).alias("kind"), (4 + F.col("l_linenumber") % 3).cast("int").alias("dep"))
+    foreign = li.where("l_partkey % 10 = 0").select(run.alias("run_key"), name("p", "l_partkey", 60).alias("pkg")).distinct()
+    return conflicts.blame_edges(rows, foreign)
+
+
+@query(f"WITH {BLAME_SQL} SELECT run_key, src, dst, dep, reoriented, count(*) AS n FROM o GROUP BY ALL")
+def blame_reorient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _blame(spark, sf_dir).groupBy("run_key", "src", "dst", "dep", "reoriented").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {BLAME_SQL} SELECT DISTINCT run_key, src AS pkg FROM o WHERE NOT EXISTS (SELECT 1 FROM o b WHERE b.run_key = o.run_key AND b.dst = o.src)")
+def roots_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conflicts.entry_roots(_blame(spark, sf_dir))
+
+
+@query(f"""
+WITH RECURSIVE {BLAME_SQL}, d AS (SELECT DISTINCT run_key, src, dst FROM o),
+r AS (SELECT DISTINCT run_key, src AS pkg FROM d WHERE NOT EXISTS (SELECT 1 FROM d b WHERE b.run_key = d.run_key AND b.dst = d.src)),
+w(run_key, pkg, node) AS (SELECT run_key, pkg, pkg FROM r UNION SELECT w.run_key, w.pkg, d.dst FROM w JOIN d ON d.run_key = w.run_key AND d.src = w.node)
+SELECT run_key, pkg, count(*) - 1 AS cascade_size FROM w GROUP BY run_key, pkg
+""")
+def cascades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cascades of the roots that no cycle had to be broken for."""
+    rows = conflicts.roots(_blame(spark, sf_dir).select("run_key", "src", "dst").distinct()).where("not cycle_broken")
+    return rows.select(long("run_key").alias("run_key"), "pkg", long(F.size("cascade")).alias("cascade_size"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 500 AS a, (l_suppkey * 7 + l_partkey) % 500 AS b FROM lineitem WHERE l_orderkey % 7 = 0 AND l_linenumber = 1),
+w(root, node, depth) AS (SELECT a, a, 0 FROM e WHERE a % 25 = 0 UNION SELECT root, e.b, depth + 1 FROM w JOIN e ON e.a = w.node WHERE depth < 6)
+SELECT root, node, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY root, node
+""")
+def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "lineitem").where("l_orderkey % 7 = 0 and l_linenumber = 1").select((F.col("l_partkey") % 500).alias("src"), ((F.col("l_suppkey") * 7 + F.col("l_partkey")) % 500).alias("dst")).distinct()
+    return corpus.reachable(e, e.where("src % 25 = 0").select("src"), most_depth=6).withColumn("depth", long("depth"))
+
+
+@query("""
+WITH RECURSIVE l AS (SELECT c_custkey AS k, c_custkey // 3 AS t FROM customer WHERE c_custkey % 3 = 0 AND c_custkey // 3 > 0),
+w(k, n) AS (SELECT k, t FROM l UNION SELECT w.k, l.t FROM w JOIN l ON l.k = w.n)
+SELECT w.k AS bug_id, min(n) AS root FROM w WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.k = w.n) GROUP BY w.k
+""")
+def duplicate_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0 and c_custkey div 3 > 0").select(F.col("c_custkey").alias("bug_id"), F.expr("c_custkey div 3").alias("duplicate_of"))
+    return corpus.duplicate_roots(links)
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' AND l_discount > 0.05 THEN 'third_party_pin' WHEN l_returnflag = 'R' THEN 'held_package_blocks_upgrade'
+  WHEN l_linestatus = 'O' AND l_quantity > 40 THEN 'exact_pin_broken_by_upgrade' WHEN l_tax > 0.06 THEN 'removal_cascade' ELSE 'unknown' END AS cause,
+  CASE WHEN l_returnflag = 'R' AND l_discount > 0.05 THEN 3 WHEN l_quantity >= 25 THEN 3 WHEN l_quantity <= 1 THEN 2 ELSE 2 END AS severity FROM lineitem
+""")
+def classify_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pinned = (F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.05)
+    cause = F.when(pinned, "third_party_pin").when(F.col("l_returnflag") == "R", "held_package_blocks_upgrade").when((F.col("l_linestatus") == "O") & (F.col("l_quantity") > 40), "exact_pin_broken_by_upgrade").when(F.col("l_tax") > 0.06, "removal_cascade").otherwise("unknown")
+    severity = F.when(pinned, 3).when(F.col("l_quantity") >= 25, 3).otherwise(2)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", cause.alias("cause"), severity.alias("severity"))
+
+
+@query("""
+WITH r AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_returnflag, l_quantity DESC, l_discount, l_orderkey, l_linenumber) AS rank FROM lineitem)
+SELECT l_suppkey, l_orderkey, l_linenumber, rank FROM r WHERE rank <= 12 OR l_quantity = 50
+""")
+def rank_findings_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = [F.asc("l_returnflag"), F.desc("l_quantity"), F.asc("l_discount"), F.asc("l_orderkey"), F.asc("l_linenumber")]
+    ranked = corpus.rank_capped(table(spark, sf_dir, "lineitem"), ["l_suppkey"], order, 12, F.col("l_quantity") == 50)
+    return ranked.select("l_suppkey", "l_orderkey", "l_linenumber", long("rank").alias("rank"))
+
+
+# -- state, worklist, increments ------------------------------------------------------------------
+
+
+@query("""
+SELECT user_id, arg_max(nullif(event_type, 'view'), struct_pack(ts := ts, event_id := event_id)) FILTER (WHERE event_type <> 'view') AS status,
+  arg_max(props, struct_pack(ts := ts, event_id := event_id)) FILTER (WHERE value > 50) AS assignee, max(ts) AS checked_at FROM events GROUP BY user_id
+""")
+def upsert_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of updates to one state per user: what is left unsaid never overwrites."""
+    ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.when(F.col("event_type") != "view", F.col("event_type")).otherwise("").alias("status"), F.when(F.col("value") > 50, F.col("props")).alias("assignee"), F.col("ts").alias("checked_at"))
+    return state.fold_updates(ev, "user_id", ["ts", "event_id"], ("status",), ("assignee",))
+
+
+@query("""
+WITH a AS (SELECT user_id, count(*) AS n, max(event_type) AS last FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT user_id, count(*) AS n, max(event_type) AS last FROM events WHERE event_id % 3 = 0 GROUP BY 1)
+SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.user_id IS NULL THEN 'added' WHEN b.user_id IS NULL THEN 'removed' WHEN a.n IS DISTINCT FROM b.n OR a.last IS DISTINCT FROM b.last THEN 'changed' ELSE 'same' END AS change
+FROM a FULL JOIN b ON a.user_id = b.user_id
+""")
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    snap = lambda k: ev.where(F.col("event_id") % k == 0).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_type").alias("last"))
+    return state.snapshot_diff(snap(2), snap(3), "user_id", ["n", "last"]).select("user_id", "change")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+WORK_SQL = """
+WITH r AS (SELECT o_orderkey AS run_key, o_custkey AS bug_id, CASE WHEN o_orderstatus = 'F' THEN 'third_party_pin' WHEN o_orderstatus = 'O' THEN 'resolver_livelock' ELSE 'unknown' END AS cause, o_orderkey % 7 <> 0 AS complete, o_orderkey % 2 = 0 AS third FROM orders),
+s AS (SELECT c_custkey AS bug_id, CASE c_custkey % 6 WHEN 0 THEN 'New' WHEN 1 THEN 'Incomplete' WHEN 2 THEN 'Triaged' WHEN 3 THEN 'In Progress' WHEN 4 THEN 'Invalid' ELSE '' END AS status,
+  CASE WHEN c_custkey % 11 = 0 THEN c_custkey // 11 END AS dup, c_custkey % 13 = 0 AS is_dup, CASE c_custkey % 4 WHEN 0 THEN 'Critical' WHEN 1 THEN 'High' WHEN 2 THEN 'Low' ELSE 'Undecided' END AS importance FROM customer),
+m AS (SELECT run_key, min(run_key) OVER (PARTITION BY bug_id % 300) AS master, CAST((bug_id % 300) % 2 AS INTEGER) AS tier FROM r WHERE bug_id % 300 < 150),
+j AS (SELECT r.*, s.status, s.dup, s.is_dup, s.importance, m.master, m.tier, h.bug_id AS mbug, h.cause <> 'unknown' AS mdiag FROM r LEFT JOIN s USING (bug_id) LEFT JOIN m USING (run_key) LEFT JOIN r h ON h.run_key = m.master),
+b AS (SELECT *, CASE WHEN coalesce(status, '') = '' THEN 'status-unknown' WHEN dup IS NOT NULL AND master IS NOT NULL AND master <> run_key AND dup IS DISTINCT FROM mbug THEN 'duplicate-conflict'
+  WHEN status = 'Invalid' OR coalesce(is_dup, false) THEN 'done' WHEN tier = 0 AND master <> run_key AND cause <> 'unknown' AND mdiag THEN 'mark-duplicate' WHEN cause = 'third_party_pin' AND third THEN 'candidate-invalid'
+  WHEN cause <> 'unknown' AND complete AND status IN ('New', 'Incomplete') THEN 'diagnosed-unrecorded' WHEN NOT (cause <> 'unknown' AND complete) AND status IN ('New', 'Incomplete') THEN 'needs-read' ELSE 'done' END AS bucket FROM j)
+"""
+
+
+def _work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda c, values, other: F.coalesce(F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[c], F.lit(other))
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_key"), F.col("o_custkey").alias("bug_id"), F.when(F.col("o_orderstatus") == "F", "third_party_pin").when(F.col("o_orderstatus") == "O", "resolver_livelock").otherwise("unknown").alias("top_cause"), (F.col("o_orderkey") % 7 != 0).alias("evidence_complete"), (F.col("o_orderkey") % 2 == 0).alias("third_party"), F.lit("").alias("current_title"))
+    k = F.col("c_custkey")
+    bugs = table(spark, sf_dir, "customer").select(k.alias("bug_id"), pick((k % 6).cast("int"), {0: "New", 1: "Incomplete", 2: "Triaged", 3: "In Progress", 4: "Invalid"}, "").alias("status"), F.when(k % 11 == 0, F.expr("c_custkey div 11")).alias("duplicate_of"), (k % 13 == 0).alias("is_duplicate"), F.lit("me").alias("assignee"), pick((k % 4).cast("int"), {0: "Critical", 1: "High", 2: "Low"}, "Undecided").alias("importance"), F.lit("").alias("title"), F.lit(None).cast("timestamp").alias("checked_at"))
+    group = F.col("bug_id") % 300
+    members = runs.where(group < 150).select("run_key", F.min("run_key").over(Window.partitionBy(group)).alias("canonical"), (group % 2).cast("int").alias("tier"))
+    none = spark.createDataFrame([], "bug_id long, root long")
+    return worklist.classify(worklist.triage_rows(runs, bugs), members, none)
+
+
+@query(WORK_SQL + "SELECT run_key, bucket FROM b")
+def worklist_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _work(spark, sf_dir).select("run_key", "bucket")
+
+
+@query(WORK_SQL + "SELECT bucket, count(*) AS n FROM b GROUP BY bucket")
+def worklist_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return worklist.tallies(_work(spark, sf_dir)).select("bucket", "n")
+
+
+@query(WORK_SQL + """
+SELECT run_key, CASE status WHEN 'In Progress' THEN 0 ELSE 1 END AS part, CASE importance WHEN 'Critical' THEN 0 WHEN 'High' THEN 1 WHEN 'Low' THEN 3 ELSE 5 END AS importance_rank FROM b WHERE status IN ('In Progress', 'Triaged')
+""")
+def todo_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return worklist.todo(_work(spark, sf_dir), "me").select("run_key", "part", "importance_rank")
+
+
+@query("""
+SELECT coalesce(r.n, f.n) AS name, CASE WHEN r.n IS NULL THEN 'orphan' WHEN f.n IS NULL THEN 'stale' WHEN f.s = 0 OR f.s <> r.s THEN 'unusable' ELSE 'kept' END AS verdict, CAST(coalesce(f.s, 0) AS BIGINT) AS size
+FROM (SELECT 'a' || p_partkey AS n, p_size AS s FROM part WHERE p_partkey % 2 = 0) r FULL JOIN (SELECT 'a' || p_partkey AS n, p_size - p_partkey % 5 // 4 AS s FROM part WHERE p_partkey % 3 = 0) f ON r.n = f.n
+""")
+def cache_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    name = F.concat(F.lit("a"), F.col("p_partkey").cast("string")).alias("name")
+    rows = p.where("p_partkey % 2 = 0").select(name, F.col("p_size").alias("size"))
+    files = p.where("p_partkey % 3 = 0").select(name, (F.col("p_size") - F.expr("p_partkey % 5 div 4")).alias("size"))
+    return state.cache_plan(rows, files)
+
+
+@query()
+def watermark_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files taken up once each by an available-now stream, folded into a state table."""
+    from ..streaming import incremental
+
+    return incremental.fold_files(spark, f"{sf_dir}/events.parquet", "user_id", ["ts", "event_id"], "event_type")
