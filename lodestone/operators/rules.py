@@ -132,7 +132,7 @@ def dpkg_interrupted(c: Corpus) -> DataFrame:
 
 
 def upgrader_crash(c: Corpus) -> DataFrame:
-    last = F.element_at(F.filter(F.transform(F.split(F.coalesce("traceback", F.lit("")), "\n"), F.trim), lambda x: x != ""), -1)
+    last = F.element_at(F.filter(F.transform(F.split(F.coalesce("traceback", F.lit("")), "\n"), lambda p: F.trim(p)), lambda x: x != ""), -1)
     rows = c.facts.where("problem_type = 'Crash'").withColumn("x", F.coalesce(last, F.lit("")))
     return finding(rows, "upgrader.crash", "upgrader_crash", F.when(F.col("x") == "", "the upgrader crashed").otherwise(F.concat(F.lit("the upgrader crashed: "), F.col("x"))), detail=F.create_map(F.lit("exception"), F.col("x"), F.lit("has_apport_signature"), (F.coalesce("duplicate_signature", F.lit("")) != "").cast("string")))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import conflicts, ordered, resolver_lines, rules, similarity, terminal
+from ..sources.scratch import materialize as keep
 
 FOREIGN = r"^Foreign \(before rewriting sources\):\s*(.*)$"
 STACKS = (r"^Dist-upgrade failed:\s*(.*)$", r"^Can't mark '[^']*' for upgrade \((.*)\)$", r"^failed to mark '[^']*' for install \((.*)\)$", r"^openCache\(\) failed:\s*(.*)$", r"^(?:IOError|SystemError)[^:]*:\s*(.*)$")
@@ -53,26 +54,28 @@ class Diagnosis:
 def diagnose(lines: DataFrame, reports: DataFrame | None = None, **options) -> Diagnosis:
     """``lines``: run_key, source, line_no, line.  ``reports``: run_key, problem_type, traceback, duplicate_signature.
 
-    The graph is built of each run's primary section alone.
+    The graph is built of each run's primary section alone.  Tables that several later steps read
+    (records, tokens, edges, ...) are written to the shared scratch folder once, so that no step parses
+    the logs again and every plan stays small.
     """
     of = lambda s: lines.where(F.col("source") == s).drop("source")
-    records = ordered.running_phase(ordered.fold_records(of("main")), ordered.phase_of(F.col("message")), ["run_key"], ["seq"])
-    lexed = resolver_lines.lex(of("apt"))
-    secs = resolver_lines.trace_sections(lexed)
+    records = keep(ordered.running_phase(ordered.fold_records(of("main")), ordered.phase_of(F.col("message")), ["run_key"], ["seq"]))
+    lexed = keep(resolver_lines.lex(of("apt")))
+    secs = keep(resolver_lines.trace_sections(lexed))
     numbered = ordered.group_number(lexed, F.col("verb") == "log_time", ["run_key"], ["line_no"], "_sec")
-    tokens = numbered.join(secs.where("is_primary").select("run_key", "_sec"), ["run_key", "_sec"], "left_semi")
-    edge_rows, node_rows = conflicts.edges(tokens), conflicts.nodes(tokens)
+    tokens = keep(numbered.join(secs.where("is_primary").select("run_key", "_sec"), ["run_key", "_sec"], "left_semi"))
+    edge_rows, node_rows = keep(conflicts.edges(tokens)), keep(conflicts.nodes(tokens))
     lists = package_lists(records)
     seen = node_rows.select("run_key", "pkg")
     bare = lists.where("list = 'foreign'").select("run_key", F.col("pkg").alias("name"))
     known = seen.select("run_key", "pkg", T.package_name(F.col("pkg")).alias("name"))
-    foreign = bare.join(known, ["run_key", "name"], "left").select("run_key", F.coalesce("pkg", "name").alias("pkg")).distinct()
-    blame = conflicts.blame_edges(edge_rows, foreign)
-    found = conflicts.roots(blame)
+    foreign = keep(bare.join(known, ["run_key", "name"], "left").select("run_key", F.coalesce("pkg", "name").alias("pkg")).distinct())
+    blame = keep(conflicts.blame_edges(edge_rows, foreign))
+    found = keep(conflicts.roots(blame))
 
     term_lines = of("apt_term")
-    fails, summary, blocks = terminal.failures(term_lines), terminal.summary(term_lines), terminal.counters(term_lines)
-    stacks = error_stacks(records)
+    fails, summary, blocks = (keep(f(term_lines)) for f in (terminal.failures, terminal.summary, terminal.counters))
+    stacks = keep(error_stacks(records))
     apt_errors = stacks.where("level = 'error'").select("run_key", "text")
     keys = lines.select("run_key").distinct()
     by = lambda df, *aggs: df.groupBy("run_key").agg(*aggs)
@@ -89,11 +92,11 @@ def diagnose(lines: DataFrame, reports: DataFrame | None = None, **options) -> D
     more = ("problem_type", "traceback", "duplicate_signature")
     facts = facts.join(reports.select("run_key", *more), "run_key", "left") if reports is not None else facts.withColumns({c: F.lit(None).cast("string") for c in more})
 
-    done = facts.select("run_key", F.col("evidence_complete").alias("_all"))
-    classified = conflicts.classify(found.join(done, "run_key", "left"), blame, node_rows, edge_rows, foreign, evidence_complete=None)
+    facts = keep(facts)
+    classified = keep(conflicts.classify(found.join(facts.select("run_key", F.col("evidence_complete").alias("_all")), "run_key", "left"), blame, node_rows, edge_rows, foreign, evidence_complete=F.coalesce("_all", F.lit(False))))
     # livelocks are looked for in the primary section, as the graph is
     osc = ordered.oscillations(tokens.withColumns({"subject": T.package_key(F.col("subject")), "object": T.package_key(F.col("object"))}), ["run_key"], "subject", "line_no", F.col("verb").isin(*resolver_lines.KEEPS), F.col("verb").isin(*resolver_lines.UPGRADES), "object")
-    findings = rules.diagnose(rules.Corpus(facts, records, apt_errors, fails, summary, classified, osc, foreign), **options)
+    findings = keep(rules.diagnose(rules.Corpus(facts, records, apt_errors, fails, summary, classified, keep(osc), foreign), **options))
     top = rules.primary(findings)
     members = top.select("run_key", F.explode(F.array_union("root_pkgs", F.when(F.col("from_graph"), F.col("victim_pkgs")).otherwise(F.array().cast("array<string>")))).alias("pkg"))
     graph = conflicts.canonical_digest(members.join(top.where("from_graph").select("run_key"), "run_key", "left_semi"), blame)
