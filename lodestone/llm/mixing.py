@@ -15,7 +15,7 @@ Rounding.  Within a source, cells go from the largest size to the smallest; a
 cell's copies are the difference of the rounded running sums of rates, so every
 prefix is within half a document of its rate.  What a source still lacks or has in
 excess is then settled by passes that add or take copies of sizes no larger than
-the remainder, largest first.  A cell's copies are dealt evenly to its documents in
+the remainder, largest first; where none is left, by the one copy that comes nearest.  A cell's copies are dealt evenly to its documents in
 the order of a hash of the id; no document gets more than ``most`` copies.
 Running sums are two-level (blocks, then rows in a block), so no source is a
 single task; ranks inside a cell are counted by hash bucket for the same reason.
@@ -39,7 +39,7 @@ from .common import materialize, word_count
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Hash buckets in which a cell's documents are ranked.
 BUCKETS = 64
-NEWTON_ROUNDS, SETTLE_ROUNDS = 40, 6
+NEWTON_ROUNDS, SETTLE_ROUNDS = 40, 8
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
@@ -133,10 +133,15 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
     for _ in range(SETTLE_ROUNDS):
         left = cells.groupBy("skey").agg(F.sum(F.col("k") * F.col("size")).alias("got")).join(goals.select("skey", "target"), "skey").select("skey", F.round(F.col("target") - F.col("got")).cast("double").alias("rest"))
-        room = F.when((F.col("size") == 0) | (F.col("size") > F.abs("rest")), 0).when(F.col("rest") > 0, F.col("n") * most - F.col("k")).otherwise(F.col("k"))
-        open_ = materialize(_running(cells.join(left, "skey").withColumn("room", room), F.col("room") * F.col("size") * 1.0, "before"), "mix-open")
+        free = F.when(F.col("size") == 0, 0).when(F.col("rest") > 0, F.col("n") * most - F.col("k")).otherwise(F.col("k"))
+        fits = F.when(F.col("size") > F.abs("rest"), 0).otherwise(F.col("free"))
+        open_ = materialize(_running(cells.join(left, "skey").withColumn("free", free).withColumn("room", fits), F.col("room") * F.col("size") * 1.0, "before"), "mix-open")
         move = F.when(F.col("size") > 0, F.floor(F.greatest(F.lit(0.0), F.least(F.col("room") * 1.0, (F.abs("rest") - F.col("before")) / F.col("size"))))).otherwise(0)
         moved = open_.withColumn("move", move.cast("long"))
+        # where nothing fits, one copy too large by less than what is missing still comes nearer
+        gap = F.abs(F.col("size") - F.abs("rest"))
+        near = moved.groupBy("skey").agg(F.max("move").alias("any"), F.min_by("size", F.when((F.col("free") > 0) & (gap < F.abs("rest")), F.struct(gap.alias("g"), "size"))).alias("nearest"), F.min(F.when((F.col("free") > 0) & (gap < F.abs("rest")), gap)).alias("has"))
+        moved = moved.join(near, "skey").withColumn("move", F.when((F.col("any") == 0) & F.col("has").isNotNull() & (F.col("size") == F.col("nearest")), 1).otherwise(F.col("move")))
         if not moved.where("move > 0").head(1):
             break
         cells = materialize(moved.select("skey", "size", "n", (F.col("k") + F.when(F.col("rest") > 0, F.col("move")).otherwise(-F.col("move"))).alias("k")), "mix-copies")

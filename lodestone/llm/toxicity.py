@@ -94,6 +94,8 @@ class PUModel:
     prior: float
 
     def score(self, features: np.ndarray) -> float:
+        if self.bias == -np.inf:  # nothing was confirmed, so nothing is toxic
+            return 0.0
         z = self.bias + float(self.weights[features].sum(dtype=np.float64))
         return float(1.0 / (1.0 + np.exp(-min(max(z, -500.0), 500.0))))
 
@@ -126,7 +128,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     size, rng = 1 << bits, np.random.default_rng(seed)
     weights = np.zeros(size, np.float32)
     if not positive:
-        return PUModel(weights, -1e3, bits, prior)
+        return PUModel(weights, -np.inf, bits, prior)
     kept = select_features(positive, unlabelled, size)
     place = np.full(size, -1, np.int64)
     place[kept] = np.arange(len(kept))
