@@ -360,3 +360,12 @@ def title(limit: int = 120) -> Column:
     for cause, text in special.items():
         out = F.when(F.col("cause") == cause, text).otherwise(out)
     return T.trim_title(out, limit)
+
+
+def class_titles(findings: DataFrame, members: DataFrame) -> DataFrame:
+    """(cluster, title): of a class's titles the surest, then the one with most roots, then the shortest."""
+    top = primary(findings).withColumn("title", title())
+    known = members.join(top.where("title <> ''"), "run_key")
+    sure = (F.col("confidence") >= STRONG).cast("int")
+    best = F.struct((-sure).alias("a"), (-F.size("root_pkgs")).alias("b"), F.length("title").alias("c"), "title")
+    return known.groupBy("cluster").agg(F.min_by("title", best).alias("title"))

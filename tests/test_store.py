@@ -139,7 +139,46 @@ def test_pacing_and_paging():
     clock, slept, answers = [0.0], [], [(429, {"Retry-After": "7"}, b""), (503, {}, b""), (200, {}, b"ok")]
     sleep = lambda s: (slept.append(s), clock.__setitem__(0, clock[0] + s))
     assert bugs.Pacer(3.0, 5, lambda: clock[0], sleep)(lambda: answers.pop(0)) == b"ok"
-    assert slept[0] == 7 and 5.0 in slept
+    assert slept == [7, 10]  # as long as told, then the doubled back-off (longer than the pace)
     docs = {"a": {"entries": [{"bug_link": "x/bugs/5"}], "next_collection_link": "b"}, "b": {"entries": []}}
     seen = list(bugs.pages("a", lambda u: json.dumps(docs[u]).encode()))
     assert [end for _, end in seen] == [False, True] and bugs.task_row(seen[0][0][0])[0] == 5
+
+
+def test_config(tmp_path):
+    from lodestone.sources import config
+
+    (tmp_path / "lodestone.toml").write_text("[dedup]\nambiguous_low = 0.5\n[rules]\ndisabled = ['net.update-failed']\n")
+    (tmp_path / "a").mkdir()
+    got = config.load(config.find(tmp_path / "a"))
+    assert got.dedup.ambiguous_low == 0.5 and got.rules.disabled == ("net.update-failed",) and config.load() == config.Config()
+    for bad in ("[dedup]\nambiguous_low = 0.9", "[dedup]\nnope = 1", "[nope]\na = 1", "[title]\nmax_length = 'secret-value'"):
+        (tmp_path / "bad.toml").write_text(bad)
+        with pytest.raises(ValueError) as e:
+            config.load(tmp_path / "bad.toml")
+        assert "secret-value" not in str(e.value)
+
+
+def test_catalogues(spark):
+    from lodestone.functions import catalogues
+
+    df = spark.createDataFrame([("E: Unable to correct problems, you have held broken packages.",), ("bla pkgProblem::Resolve bla",), ("other",)], "x string")
+    got = [tuple(r) for r in df.select(catalogues.said(F.col("x"), "held_broken", "de_DE.UTF-8"), catalogues.said(F.col("x"), "resolver_breaks")).collect()]
+    assert got == [(True, False), (False, True), (False, False)]
+    assert [catalogues.language(x) for x in ("pt_BR.UTF-8", "en_US", "C.UTF-8", None, "de")] == ["pt_BR", None, None, None, "de"]
+
+
+def test_commands(spark, tmp_path, capsys):
+    from lodestone import cli
+
+    d = tmp_path / "logs" / "2150245"
+    d.mkdir(parents=True)
+    (d / "main.log").write_text("2026-04-25 10:00:00,000 INFO Using config files\n2026-04-25 10:00:02,000 ERROR Not enough free space: 5 GB\n2026-04-25 10:00:03,000 DEBUG abort called\n")
+    store = ["--store", str(tmp_path / "store"), "--json"]
+    assert cli.main(["--json", "title", str(tmp_path / "logs")]) == 0
+    assert "not enough disk space: 5 GB" in capsys.readouterr().out
+    assert cli.main([*store, "ingest", str(tmp_path / "logs")]) == 0 and cli.main([*store, "stats"]) == 0
+    assert '"cause":"not_enough_disk_space","n":1' in capsys.readouterr().out
+    assert cli.main([*store, "queue"]) == 0
+    assert "status-unknown" in capsys.readouterr().out
+    assert cli.main(["rules"]) == 0 and "env.disk-space" in capsys.readouterr().out
