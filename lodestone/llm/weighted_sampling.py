@@ -162,7 +162,8 @@ def with_next(docs: DataFrame, out, schema: str, *, id_col: str = "doc_id", text
         goes = F.coalesce(*[F.when((F.col("part") == p) & F.col("id").eqNullSafe(F.lit(top[p]).cast("long")), F.lit(above[p])) for p in order]) if len(order) <= 64 else F.create_map(*[F.lit(x) for p in order for x in (p, above[p])])[F.when(F.col("id").eqNullSafe(F.create_map(*[F.lit(x).cast("long") for p in order for x in (p, top[p])])[F.col("part").cast("long")]), F.col("part"))]
         ghosts = goes
     rows = base.select("id", "text", "part", F.lit(0).alias("ghost")) if ghosts is None else base.withColumn("to", ghosts).select("id", "text", F.explode(F.when(F.col("to").isNull(), F.array(F.struct(F.col("part"), F.lit(0).alias("ghost")))).otherwise(F.array(F.struct(F.col("part"), F.lit(0).alias("ghost")), F.struct(F.col("to").alias("part"), F.lit(1).alias("ghost"))))).alias("x")).select("id", "text", "x.part", "x.ghost")
-    dealt = rows.repartition(parts, "part").sortWithinPartitions(F.col("part"), F.col("ghost"), F.col("id").desc_nulls_last(), F.col("text"))
+    # a task for each range (ids without a value: the first), so that tasks are as even as the ranges
+    dealt = rows.repartitionById(parts + 1, F.col("part") + 1).sortWithinPartitions(F.col("part"), F.col("ghost"), F.col("id").desc_nulls_last(), F.col("text"))
     work = out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
