@@ -5,7 +5,8 @@ returns a DataFrame; it is written as Parquet and read again as the next one's d
 
 * ``toxicity`` drops the documents scored 0.5 or more.  Labels come from ``labels``; the
   unlabelled text is the stage's own input.
-* ``near_duplicates`` keeps the document with the smallest id of each SimHash class.
+* ``near_duplicates`` keeps one row of each SimHash class, by op10's contract: the smallest id, null last, then
+  the smallest row key.  Ids need not be distinct.
 * ``secrets`` replaces every secret in the texts (and sets n_chars anew).
 * ``mixing`` repeats or drops documents to meet the sources' token targets.
 * ``encode`` gives the token ids and their digests.
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import mixing, piece_bpe, secrets_ledger, simhash, toxicity
-from lodestone.llm.common import materialize, read
+from lodestone.llm.common import materialize, read, row_key
 from lodestone.llm.queries import tokenizer_path
 
 
@@ -29,11 +30,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("score < 0.5").select("row.*")
 
 
+def once(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``docs`` with the columns of ``chosen`` (key, ...; a row a key), joined by row key: equal rows count as one."""
+    keyed = docs.withColumn("_key", row_key(docs))
+    repeated = keyed.groupBy("_key").count().where("count > 1")
+    marked = materialize(chosen.join(repeated, chosen["key"] == repeated["_key"], "left").select(chosen["*"], F.col("count").isNotNull().alias("_many")), "pipeline-chosen")
+    rows = keyed.join(marked, keyed["_key"] == marked["key"])
+    return rows.where("not _many").unionByName(rows.where("_many").dropDuplicates(["_key"])).drop("_key", "key", "_many")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs)
-    kept = materialize(found.where("doc_id <=> component_id").select("doc_id"), "pipeline-kept").distinct()
-    unique = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return unique.dropDuplicates(["doc_id"])
+    least = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), row_key(docs).alias("key"))
+    prints = materialize(docs.select(least.alias("id"), simhash.fingerprint_column(F.col("text"), spark).alias("fp")), "pipeline-prints")
+    return once(docs, simhash.components(prints).select(F.col("component_id.key").alias("key")).distinct())
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +55,8 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    plan = mixing.mix(docs).select(F.col("doc_id").alias("_id"), "copies").where("copies > 0")
-    repeated = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"]))
-    return repeated.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[docs[c] for c in docs.columns])
+    plan = mixing.mix(docs.withColumn("_key", row_key(docs)), id_col="_key").groupBy(F.col("_key").alias("key")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    return once(docs, plan).withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,3 +48,15 @@ def test_odd_rows_pass_through(spark, odd, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.materialize(stage(spark, docs, sf_dir), "odd")
         assert docs.count() > 0, name
+
+
+def test_null_and_repeated_ids_lose_no_text(spark, sf_dir):
+    texts = [" ".join(f"{chr(97 + k)}{n}" for n in range(40)) for k in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (8, texts[4]), (9, texts[4]), (None, texts[5]), (None, texts[5])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for stage in (corpus_pipeline.drop_near_duplicates,):
+        kept = sorted((r["text"], r["doc_id"]) for r in stage(spark, docs, sf_dir).collect())
+        assert kept == sorted(zip(texts, [None, None, 7, 7, 8, None], strict=True)), stage
+    # one source: every word is wanted once
+    mixed = sorted(r["text"] for r in corpus_pipeline.mix_sources(spark, docs, sf_dir).collect())
+    assert mixed == sorted(t for _, t in rows)
