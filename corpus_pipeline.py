@@ -8,6 +8,8 @@ returns a DataFrame; it is written as Parquet and read again as the next one's d
 * ``near_duplicates`` keeps one row of each SimHash class, by op10's contract: the smallest id, null last, then
   the smallest row key.  Ids need not be distinct.
 * ``secrets`` replaces every secret in the texts (and sets n_chars anew).
+* ``edited_copies`` keeps one row, chosen likewise, of each class of texts whose five-word shingles have Jaccard
+  similarity >= 0.8.
 * ``mixing`` repeats or drops documents to meet the sources' token targets.
 * ``encode`` gives the token ids and their digests.
 """
@@ -19,7 +21,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, piece_bpe, secrets_ledger, simhash, toxicity
+from lodestone.llm import edited_copies, mixing, piece_bpe, secrets_ledger, simhash, toxicity
 from lodestone.llm.common import materialize, read, row_key
 from lodestone.llm.queries import tokenizer_path
 
@@ -45,6 +47,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return once(docs, simhash.components(prints).select(F.col("component_id.key").alias("key")).distinct())
 
 
+def drop_edited_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return once(docs, edited_copies.classes(docs).groupBy("class").agg(F.min("least").alias("least")).select("least.key"))
+
+
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ledger = secrets_ledger.scan(docs)[1].where(F.size("found") > 0).select("blob", "found")
     rows = docs.withColumn("_blob", secrets_ledger.blob_id(F.col("text"))).join(ledger, F.col("_blob") == F.col("blob"), "left")
@@ -67,6 +73,7 @@ STAGES = [
     ("toxicity", drop_toxic),
     ("near_duplicates", drop_near_duplicates),
     ("secrets", hide_secrets),
+    ("edited_copies", drop_edited_copies),
     ("mixing", mix_sources),
     ("encoding", encode),
 ]

@@ -50,11 +50,46 @@ def test_odd_rows_pass_through(spark, odd, sf_dir):
         assert docs.count() > 0, name
 
 
+def brute_classes(rows):
+    """{row: least row of its class}, by comparing all pairs of five-word shingle sets."""
+    sets = []
+    for _, text in rows:
+        words = (text or "").lower().split()
+        sets.append({" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a == b or 5 * len(a & b) >= 4 * len(a | b) > 0:
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    return root
+
+
+def test_edited_copies_by_brute_force(spark, documents, sf_dir):
+    words = [f"w{k}" for k in range(100)]
+    edited = [" ".join(words[:at] + ["new"] + words[at + 1 :]) for at in range(0, 100, 7)]
+    extra = [(10_000 + k, t) for k, t in enumerate([" ".join(words), *edited, " ".join(words[:70]), "one", "one", "", None])]
+    rows = sorted((r["doc_id"], r["text"]) for r in documents.collect()) + extra
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.drop_edited_copies(spark, docs, sf_dir).collect())
+    assert got == [rows[k][0] for k in sorted(set(brute_classes(rows)))]
+    assert len(got) < corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).count()
+
+
+def test_the_pipeline_keeps_no_edited_copies(spark, documents, sf_dir):
+    docs = documents
+    for _, stage in corpus_pipeline.STAGES[:-2]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, sf_dir), "test")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert brute_classes(rows) == list(range(len(rows)))
+
+
 def test_null_and_repeated_ids_lose_no_text(spark, sf_dir):
     texts = [" ".join(f"{chr(97 + k)}{n}" for n in range(40)) for k in range(6)]
     rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (8, texts[4]), (9, texts[4]), (None, texts[5]), (None, texts[5])]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    for stage in (corpus_pipeline.drop_near_duplicates,):
+    for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.drop_edited_copies):
         kept = sorted((r["text"], r["doc_id"]) for r in stage(spark, docs, sf_dir).collect())
         assert kept == sorted(zip(texts, [None, None, 7, 7, 8, None], strict=True)), stage
     # one source: every word is wanted once
