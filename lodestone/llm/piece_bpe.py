@@ -174,8 +174,7 @@ class PieceBPE:
         got = self.older.get(word)
         if got is None:
             ids = self.segment(word)
-            plain = self.unknown not in ids and self.bytes.keys().isdisjoint(ids)
-            got = (",".join(map(str, ids)), len(ids), word.replace(SPACE, " ") if plain else self.decode_raw(ids))
+            got = (",".join(map(str, ids)), len(ids), self.decode_raw(ids))
         if len(word) <= CACHE_WORD_CHARS:
             if len(self.words) >= CACHE_WORDS:
                 self.older, self.words = self.words, {}

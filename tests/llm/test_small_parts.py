@@ -203,3 +203,14 @@ def test_grams_by_brute_force(text):
     letters = sum(c.isalpha() for c in bare)
     want = 0 if not letters else letters + max(0, len(bare) - 1) + max(0, len(bare) - 2)
     assert len(langid.grams(text)) == want
+
+
+def test_the_decoded_text_comes_from_the_ids(pieces, monkeypatch):
+    own, _ = pieces
+    clear = lambda: [c.clear() for c in (own.words, own.older, own.whole, own.whole_older)]
+    right, segment = own.digest("one two"), own.segment
+    clear()
+    monkeypatch.setattr(own, "segment", lambda word: [own.ids["▁wrong"]] if word == "▁two" else segment(word))
+    wrong = own.digest("one two")
+    clear()
+    assert wrong[1] != right[1] and wrong[2] == hashlib.sha256(b"one wrong").hexdigest()
