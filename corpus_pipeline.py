@@ -66,7 +66,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return piece_bpe.encode_digests(docs, piece_bpe.model_bytes(tokenizer_path()))
+    return piece_bpe.encode_documents(docs, piece_bpe.model_bytes(tokenizer_path()))
 
 
 STAGES = [

@@ -223,10 +223,10 @@ class PieceBPE:
             self.whole[word] = got
         return got
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        """(number of ids, sha256 of the joined ids, sha256 of the decoded text) of a whole text."""
+    def whole_text(self, text: str | None) -> tuple[str, int, bytes]:
+        """(ids joined by commas, how many, what they decode to) of a whole text."""
         if not text:
-            return 0, EMPTY, EMPTY
+            return "", 0, b""
         if text[0] != " " and text[-1] != " " and "  " not in text and SPACE not in text:
             words = text.split(" ")
             ids = list(map(self.whole.get, words))
@@ -234,14 +234,21 @@ class PieceBPE:
                 ids = [x if x is not None else self.whole_word(w) for x, w in zip(ids, words, strict=True)]
             if None not in ids:  # every word decodes to itself, so the text does
                 joined = ",".join(ids)
-                return joined.count(",") + 1, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+                return joined, joined.count(",") + 1, text.encode()
         entries = self.entries(text)
         joined, whole = ",".join([e[0] for e in entries]), "".join([e[2] for e in entries])
         whole = whole[1:] if whole.startswith(" ") else whole
-        return sum([e[1] for e in entries]), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(whole.encode("utf-8", "replace")).hexdigest()
+        return joined, sum([e[1] for e in entries]), whole.encode("utf-8", "replace")
 
+    def digest(self, text: str | None) -> tuple[int, str, str]:
+        """(number of ids, sha256 of the joined ids, sha256 of the decoded text) of a whole text."""
+        joined, n, decoded = self.whole_text(text)
+        return n, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
-EMPTY = hashlib.sha256(b"").hexdigest()
+    def ids_and_digest(self, text: str | None) -> tuple[np.ndarray, int, str, str]:
+        joined, n, decoded = self.whole_text(text)
+        ids = np.array(joined.split(","), np.int32) if joined else np.zeros(0, np.int32)
+        return ids, n, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 def _lenient(raw: bytes) -> str:
@@ -291,6 +298,19 @@ def digest_column(text: Column, model: bytes, spark) -> Column:
     return F.pandas_udf(digests, "n_tokens long, ids_sha256 string, decoded_sha256 string").asNondeterministic()(text)
 
 
+def ids_column(text: Column, model: bytes, spark) -> Column:
+    """struct of the ids and their digests."""
+    bound_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        bpe = _held(shared.value)
+        for texts in batches:
+            yield pd.DataFrame([bpe.ids_and_digest(t) for t in texts], columns=["ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return F.pandas_udf(encoded, "ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string").asNondeterministic()(text)
+
+
 def encode_column(text: Column, model: bytes, spark) -> Column:
     """array<int> of the ids."""
     bound_batches(spark)
@@ -321,4 +341,10 @@ def encode_digests(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", tex
     return d.select(id_col, "_d.n_tokens", "_d.ids_sha256", "_d.decoded_sha256")
 
 
+def encode_documents(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encode_digests`` with the ids themselves."""
+    d = docs.select(F.col(id_col), ids_column(F.col(text_col), model, docs.sparkSession).alias("_d"))
+    return d.select(id_col, "_d.ids", "_d.n_tokens", "_d.ids_sha256", "_d.decoded_sha256")
+
+
 by_value(__name__)

@@ -95,3 +95,18 @@ def test_null_and_repeated_ids_lose_no_text(spark, sf_dir):
     # one source: every word is wanted once
     mixed = sorted(r["text"] for r in corpus_pipeline.mix_sources(spark, docs, sf_dir).collect())
     assert mixed == sorted(t for _, t in rows)
+
+
+def test_the_last_stage_gives_the_ids(spark, documents, sf_dir):
+    import hashlib
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=corpus_pipeline.tokenizer_path())
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    out = corpus_pipeline.encode(spark, documents, sf_dir)
+    assert dict(out.dtypes)["ids"] == "array<int>"
+    for r in out.collect():
+        assert r["ids"] == sp.encode(texts[r["doc_id"]] or "") and r["n_tokens"] == len(r["ids"])
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, r["ids"])).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(sp.decode(r["ids"]).encode()).hexdigest()
