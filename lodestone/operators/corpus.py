@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,8 +96,10 @@ def rank_capped(rows: DataFrame, group: list[str], order: list[Column], limit: i
     return rows.withColumn("rank", rank).where((F.col("rank") <= limit) | always)
 
 
-def reachable(edges: DataFrame, starts: DataFrame, src: str = "src", dst: str = "dst", most_depth: int = 50) -> DataFrame:
-    """(root, node, depth): what each start reaches, by joins over the unvisited frontier.
+def reachable(edges: DataFrame, starts: DataFrame, src: str = "src", dst: str = "dst", most_depth: int | None = None) -> DataFrame:
+    """(root, node, depth): what each start reaches, by joins over the unvisited frontier until it is empty.
+
+    ``most_depth`` asks for what is that near only.
 
     The frontier is written out each round (see ``sources.scratch``), so the plan stays small and a
     lost executor costs one round at most.
@@ -105,21 +109,23 @@ def reachable(edges: DataFrame, starts: DataFrame, src: str = "src", dst: str =
     step = edges.select(F.col(src).alias("node"), F.col(dst).alias("_next")).distinct()
     seen = materialize(starts.select(F.col(starts.columns[0]).alias("root")).distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
     frontier = seen
-    for depth in range(1, most_depth + 1):
+    for depth in count(1) if most_depth is None else range(1, most_depth + 1):
         found = frontier.join(step, "node").select("root", F.col("_next").alias("node")).distinct().join(seen.select("root", "node"), ["root", "node"], "left_anti")
         frontier = materialize(found.withColumn("depth", F.lit(depth)))
         if not frontier.head(1):
             break
         seen = seen.unionByName(frontier)
+        if depth % 8 == 0:
+            seen = materialize(seen)  # the plan stays small on long chains too
     return seen
 
 
-def duplicate_roots(links: DataFrame, key: str = "bug_id", to: str = "duplicate_of", most_depth: int = 50) -> DataFrame:
+def duplicate_roots(links: DataFrame, key: str = "bug_id", to: str = "duplicate_of") -> DataFrame:
     """(key, root): the end of each chain of duplicates; a cycle ends at its least member reached."""
     from ..sources.scratch import materialize
 
     edges = links.where(F.col(to).isNotNull()).select(F.col(key).alias("k"), F.col(to).alias("t")).distinct()
-    ends = materialize(reachable(edges, edges.select("k"), "k", "t", most_depth))
+    ends = materialize(reachable(edges, edges.select("k"), "k", "t"))
     stops = ends.join(edges.select(F.col("k").alias("node")), "node", "left_anti")
     at_end = stops.groupBy("root").agg(F.min("node").alias("end"))
     loops = ends.join(at_end.select("root"), "root", "left_anti").groupBy("root").agg(F.min("node").alias("end"))

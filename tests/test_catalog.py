@@ -58,3 +58,11 @@ def test_partitioning_does_not_change_results(spark, sf_dir):
         assert len(seen) == 1
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_long_chain_of_duplicates_has_its_end_as_root(spark):
+    from lodestone.operators import corpus
+
+    links = spark.createDataFrame([(k, k + 1) for k in range(100, 153)] + [(1, 2), (2, 1)], "bug_id long, duplicate_of long")
+    got = {r["bug_id"]: r["root"] for r in corpus.duplicate_roots(links).collect()}
+    assert got == {k: 153 for k in range(100, 153)} | {1: 1, 2: 1}
