@@ -15,7 +15,10 @@ query, without scheme and fragment.  Targets may be pages or not.
 
 Defined results.  A null url, or one without ``://``, has empty host and path, fits no
 rule, has no node and is allowed.  Repeated rows keep their rows.  Null html has no
-edges.  Relative targets are taken on the page's own host.
+edges.  Relative targets are resolved against the page's url as RFC 3986 has it (relative paths, queries alone, dot
+segments; a base element is not looked at) once character references for ``&`` are decoded; one of
+another scheme than http and https without ``//`` (mailto:, javascript:) is no edge.  The oracle SQL knows
+neither relative paths nor ``&amp;``: on pages that have them, it finds fewer edges.
 """
 
 from __future__ import annotations
@@ -65,6 +68,33 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return fits[0] if len(fits) == 1 else F.greatest(*fits)
 
 
+def without_dots(path: Column) -> Column:
+    """A path that begins with / without its . and .. segments."""
+    last = F.when(path.rlike(r"/\.{1,2}$"), "/").otherwise("")
+    step = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    kept = F.aggregate(F.split(F.substring(path, 2, 1 << 30), "/"), F.array().cast("array<string>"), step)
+    slash = F.when((last == "/") & (F.size(kept) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), slash)
+
+
+def resolve(target: Column, url: Column) -> Column:
+    """A link's absolute url on the page ``url``; null where it names no page."""
+    base_path, tail = path(url), F.regexp_extract(target, r"^[^?#]*(.*)$", 1)
+    own = F.regexp_extract(target, r"^([^?#]*)", 1)
+    root = F.concat(F.lit("http://"), host(url))  # a node has no scheme
+    query = F.regexp_extract(_after(url), r"^[^?#]*(\?[^#]*)", 1)
+    folder = F.when(base_path == "", "/").otherwise(F.regexp_extract(base_path, r"^(.*/)", 1))
+    absolute = F.regexp_extract(target, r"^[A-Za-z][A-Za-z0-9+.-]*:(//.*)$", 1)
+    at_host = F.when(target.startswith("//"), target).otherwise(absolute)
+    return (
+        F.when(at_host != "", F.concat(F.lit("http:"), at_host))  # as it stands, like the pages' own urls
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(host(url) == "", F.lit(None).cast("string"))
+        .when(own == "", F.concat(root, base_path, F.when(tail.startswith("?"), tail).otherwise(F.concat(query, tail))))
+        .otherwise(F.concat(root, without_dots(F.when(own.startswith("/"), own).otherwise(F.concat(folder, own))), tail))
+    )
+
+
 def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Edges (src, dst) between nodes from canonical links and refresh redirects."""
     html, url = F.col(html_col), F.col(url_col)
@@ -74,9 +104,8 @@ def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
     )
     may = html.rlike(r"(?i)<(link|meta)\b[^>]*\b(canonical|refresh)\b")
     found = pages.where(may).select(url.alias("u"), F.explode(F.filter(tags, lambda t: t != "")).alias("t"))
-    scheme = F.concat(F.split_part("u", F.lit("://"), F.lit(1)), F.lit("://"))
-    target = F.when(F.col("t").startswith("//"), F.concat(F.lit("http:"), F.col("t"))).when(F.col("t").startswith("/"), F.concat(scheme, host(F.col("u")), F.col("t"))).otherwise(F.col("t"))
-    return found.select(node(F.col("u")).alias("src"), node(target).alias("dst")).where("src is not null and dst is not null and src <> dst")
+    found = found.withColumn("t", F.regexp_replace("t", r"(?i)&(amp|#0*38|#x0*26);", "&"))
+    return found.select(node(F.col("u")).alias("src"), node(resolve(F.col("t"), F.col("u"))).alias("dst")).where("src is not null and dst is not null and src <> dst")
 
 
 def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, redirects: DataFrame | None = None) -> DataFrame:

@@ -166,6 +166,26 @@ def test_urls(spark):
         urlfilter.rule_of(F.lit("a"), F.lit("b"), [("a", "/", "allow")] * 501)
 
 
+TARGETS = ["page2.html", "../de/x", "?id=1", "?a=1&b=2", "./", "../../../up", "a/./b/../c", "/x/../y?q=/../z", "//h.net/p", "HTTP://H.net/a/../b", "http://h.net", "#top", "..", ".", "/", "x?u=http://o.net/", "g;x=1/../y"]
+
+
+@pytest.mark.parametrize("base", ["http://a.com/b/c/d?q", "http://a.com", "https://a.com/b/"])
+def test_link_targets_are_resolved_as_the_standard_library_does(spark, base):
+    import re
+    from urllib.parse import urljoin
+
+    html = "".join(f'<link rel="canonical" href="{t.replace("&", "&amp;")}">' for t in TARGETS)
+    want = {re.sub(r"#.*", "", urljoin(base, t)).split("://", 1)[1].replace("H.net", "h.net") for t in TARGETS}
+    got = {r["dst"] for r in urlfilter.links(spark.createDataFrame([(base, html)], "url string, html string")).collect()}
+    assert got == want - {base.split("://", 1)[1]}
+
+
+def test_relative_aliases_share_a_verdict(spark):
+    pages = [(1, "http://a.net/b/x", '<link rel="canonical" href="../c?u=1&amp;v=2">'), (2, "http://a.net/c?u=1&v=2", '<meta http-equiv="refresh" content="0;url=http://b.com/de/1">'), (3, "http://a.net/b/y", '<link rel="canonical" href="x">'), (4, "http://a.net/z", '<link rel="canonical" href="mailto:x">')]
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow"}
+
+
 # -- 7 WARC -----------------------------------------------------------------------------------------------------
 
 
