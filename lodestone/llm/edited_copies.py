@@ -1,21 +1,32 @@
-"""Classes of edited copies: texts whose sets of five-word shingles have Jaccard similarity >= 0.8, exactly.
+"""Classes of near-duplicate texts: five-word shingles, similarity 0.8 or more.
 
-How pairs are found without comparing all of them, and without losing one:
+Two texts are linked where
+
+* the SimHash fingerprints of their sets of five-word shingles differ in at most ``simhash.RADIUS`` bits
+  (found by ``simhash.links``: pivot distance tables within equal bit ranges), or
+* those sets have Jaccard similarity >= 0.8, exactly.
+
+SimHash alone can't find the second kind: at similarity 0.8 about 10 of 64 bits differ, and at a
+radius that holds them a pivot table, whose coordinates of unrelated texts differ by some 6 bits,
+discards nothing.  So its links come first (most copies, at the price of one number a text), and
+what they leave is found by prefixes:
 
 * Equal sets are one item from the start.
-* Prefixes.  In any order of the shingles that all sets share, two sets of similarity ``t`` have one
-  of their first ``n - ceil(t * n) + 1`` shingles in common (``n``: the own size).  Only these are
-  dealt out.  The order puts shingles that are frequent in a sample last; the sample decides what
-  is cheap, not what is found.
-* Of a shingle's sets, neighbours by size are compared first.  Their links make classes; after that only pairs
-  of sets in different classes are still candidates, so a group of copies does not become all its pairs.
-  Sizes, and the shingle's places in the two prefixes, exclude pairs that can't reach ``t``.
+* In any order of the shingles that all sets share, two sets of similarity ``t`` have one of their
+  first ``n - ceil(t * n) + 1`` shingles in common (``n``: the own size).  Only these are dealt out.
+  The order puts shingles that are frequent in a sample last; the sample decides what is cheap, not
+  what is found.
+* Of a shingle's sets, neighbours by size are compared first.  Their links and SimHash's make classes;
+  after that only pairs of sets in different classes are still candidates, so a group of copies does
+  not become all its pairs.  Sizes, and the shingle's places in the two prefixes, exclude pairs that
+  can't reach ``t``.
 * Every candidate is compared on its whole sets.
 
 Links are transitive: documents of linked sets form classes.
 
 Defined results.  Words are those of ``simhash.fingerprint``; a text of fewer than five is one shingle.
-Null and blank texts have the empty set and are one class.
+Null and blank texts have the empty set and are one class.  Equal rows share a key, so they are one
+item.  A null id counts as the largest.  Other columns are only read for the row's key.
 """
 
 from __future__ import annotations
@@ -26,7 +37,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, by_value, materialize, row_key
+from . import simhash
+from .common import bound_batches, by_value, discard, materialize, row_key
 from .components import connected_components
 
 #: Similarity PART / WHOLE; shingles are hashed to 64 bits.
@@ -45,6 +57,16 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.array([digest(x, SEED) for x in map(join, runs)], np.uint64))
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """Majority bits over a set of shingle hashes, as a signed number; no shingle: zero."""
+    if not len(found):
+        return 0
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(found), simhash.PIECE):
+        ones += np.unpackbits(found[at : at + simhash.PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view(np.int64)[0])
+
+
 def shingle_column(text: Column, spark) -> Column:
     bound_batches(spark)
 
@@ -57,7 +79,7 @@ def shingle_column(text: Column, spark) -> Column:
 def frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, sorted; their documents) of the most frequent shingles of a sample."""
     every = max(1, -(-docs.count() // SAMPLE))
-    sample = docs.where(F.pmod(F.xxhash64(*docs.columns), F.lit(every)) == 0)
+    sample = docs.where(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(every)) == 0)
     counts = sample.select(F.explode(shingle_column(F.col(text_col), docs.sparkSession)).alias("h")).groupBy("h").count().where("count > 3")
     rows = counts.orderBy(F.desc("count"), "h").limit(FREQUENT).toPandas()
     rows = rows.assign(h=rows["h"].to_numpy(np.int64).view(np.uint64)).sort_values("h")
@@ -76,15 +98,21 @@ def prefix(found: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarr
     return found[np.argsort(rank, kind="stable")[: n + (-PART * n // WHOLE) + 1]]
 
 
-def _signed(text_col: Column, often: np.ndarray, counts: np.ndarray, spark) -> Column:
-    """struct<set: 32 hex digits, n, prefix>"""
+def _signed(text: Column, often: np.ndarray, counts: np.ndarray, spark) -> Column:
+    """struct<set: 16 bytes, n, fp, prefix>"""
     bound_batches(spark)
+    shared = spark.sparkContext.broadcast((often, counts))  # at most FREQUENT entries
 
     def signed(texts: pd.Series) -> pd.DataFrame:
         found = [shingles(t) for t in texts]
-        return pd.DataFrame({"set": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in found], "n": np.array([len(s) for s in found], np.int64), "prefix": [prefix(s, often, counts).view(np.int64) for s in found]})
+        return pd.DataFrame({
+            "set": [xxhash.xxh3_128_digest(s.tobytes()) for s in found],
+            "n": np.array([len(s) for s in found], np.int32),
+            "fp": np.array([fingerprint(s) for s in found], np.int64),
+            "prefix": [prefix(s, *shared.value).view(np.int64) for s in found],
+        })
 
-    return F.pandas_udf(signed, "set string, n long, prefix array<long>").asNondeterministic()(text_col)
+    return F.pandas_udf(signed, "set binary, n int, fp long, prefix array<long>").asNondeterministic()(text)
 
 
 def _shared(batches):
@@ -96,59 +124,91 @@ def _shared(batches):
         if not len(pdf):
             continue
         tok = pdf["tok"].to_numpy()
-        last = np.searchsorted(tok, tok[-1], "left")
         same = tok[1:] == tok[:-1]
         keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        keep[last:] = False
+        keep[-1] = False  # whether the last has a fellow shows in the next batch
         yield pdf[keep]
-        held = pdf.iloc[last:]
-    if held is not None and len(held) > 1:
-        yield held
+        # the row before it is held too where it is of the same block, marked so that it isn't given twice
+        held = pdf.iloc[-1:]
+        if len(tok) > 1 and same[-1]:
+            yield held
+            held = held.assign(id=-1)
+    # a last row without a fellow is nobody's
+
+
+def _blocks(batches):
+    """``_shared`` without the place-holders that carry a block from batch to batch."""
+    for pdf in _shared(batches):
+        yield pdf[pdf["id"] >= 0]
 
 
 def _possible(a: str, b: str) -> Column:
     n = lambda x: F.col(f"{x}.n")
     rest = F.least(*[n(x) - F.col(f"{x}.pos") for x in (a, b)])
-    sizes = (F.least(n(a), n(b)) * WHOLE >= F.greatest(n(a), n(b)) * PART)
+    sizes = F.least(n(a), n(b)) * WHOLE >= F.greatest(n(a), n(b)) * PART
     return sizes & (rest * (PART + WHOLE) >= (n(a) + n(b)) * PART)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """The pairs (src, dst) that are similar, on whole sets."""
-    needed = pairs.select(F.col("src").alias("set")).unionAll(pairs.select(F.col("dst").alias("set"))).distinct()
-    rows = sets.join(needed, "set", "left_semi").select("set", F.col("least.key").alias("key"))
+    needed = pairs.select(F.col("src").alias("id")).unionAll(pairs.select(F.col("dst").alias("id"))).distinct()
+    rows = sets.select("id", F.col("least.key").alias("key")).join(needed, "id", "left_semi")
     texts = docs.select(row_key(docs).alias("key"), F.col(text_col).alias("text")).join(rows, "key").dropDuplicates(["key"])
-    whole = materialize(texts.select("set", shingle_column(F.col("text"), docs.sparkSession).alias("s")), "copies-whole")
-    both = pairs.join(whole.select(F.col("set").alias("src"), F.col("s").alias("a")), "src").join(whole.select(F.col("set").alias("dst"), F.col("s").alias("b")), "dst")
-    return both.where(F.size(F.array_intersect("a", "b")) * (PART + WHOLE) >= (F.size("a") + F.size("b")) * PART).select("src", "dst")
+    whole = materialize(texts.select("id", shingle_column(F.col("text"), docs.sparkSession).alias("s")), "copies-whole")
+    both = pairs.join(whole.select(F.col("id").alias("src"), F.col("s").alias("a")), "src").join(whole.select(F.col("id").alias("dst"), F.col("s").alias("b")), "dst")
+    similar = both.where(F.size(F.array_intersect("a", "b")) * (PART + WHOLE) >= (F.size("a") + F.size("b")) * PART)
+    found = materialize(similar.select("src", "dst"), "copies-similar")
+    discard(whole)
+    return found
+
+
+def _simhash_links(sets: DataFrame) -> DataFrame:
+    """Links (src, dst) of set ids: each set to the least set of its SimHash class."""
+    prints = materialize(sets.groupBy("fp").agg(F.min("id").alias("least")), "copies-prints")
+    found = connected_components(simhash.links(prints))
+    rooted = prints.join(found, prints["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("src"))
+    return sets.select("id", "fp").join(rooted.join(least, "root").select("fp", "src"), "fp").where("id <> src").select("src", F.col("id").alias("dst"))
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per distinct set: set, its class, and ``least``, the least (id is null, id, row key) of its rows."""
+    """One row per distinct set: ``id`` (of the set), ``class``, and ``least``, the least (id is null, id, row key) of its rows."""
     spark = docs.sparkSession
     often, counts = frequent(docs, text_col)
-    rows = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), row_key(docs).alias("key")).alias("least"), _signed(F.col(text_col), often, counts, spark).alias("s")).select("least", "s.*")
-    sets = materialize(rows.groupBy("set").agg(F.min("least").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "copies-sets")
+    least = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), row_key(docs).alias("key"))
+    rows = docs.select(least.alias("least"), _signed(F.col(text_col), often, counts, spark).alias("s")).select("least", "s.*")
+    distinct = rows.groupBy("set").agg(F.min("least").alias("least"), *[F.first(c).alias(c) for c in ("n", "fp", "prefix")])
+    sets = materialize(distinct.drop("set").withColumn("id", F.monotonically_increasing_id()), "copies-sets")
+    prints = materialize(_simhash_links(sets), "copies-simhash")
+
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = sets.select("set", "n", F.posexplode("prefix").alias("pos", "tok")).repartition(n, "tok").sortWithinPartitions("tok")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20_000)  # rows of few numbers
-    blocks = materialize(dealt.select("tok", "pos", "set", "n").mapInPandas(_shared, "tok long, pos int, set string, n long"), "copies-blocks")
-
-    order = Window.partitionBy("tok").orderBy("n", "set")
-    me, other = F.struct("set", "n", "pos"), F.lead(F.struct("set", "n", "pos")).over(order)
-    pair = lambda d: d.select(F.least("a.set", "b.set").alias("src"), F.greatest("a.set", "b.set").alias("dst")).distinct()
-    first = materialize(pair(blocks.select(me.alias("a"), other.alias("b")).where(F.col("b").isNotNull() & _possible("a", "b"))), "copies-first")
-    near = materialize(_verified(first, sets, docs, text_col), "copies-near")
+    dealt = sets.select("id", "n", F.posexplode("prefix").alias("pos", "tok")).repartition(n, "tok").sortWithinPartitions("tok")
+    blocks = materialize(dealt.select("tok", "pos", "id", "n").mapInPandas(_blocks, "tok long, pos int, id long, n int"), "copies-blocks")
+
+    def tagged(known: DataFrame) -> DataFrame:
+        return blocks.join(known, blocks["id"] == known["node"], "left").select("tok", "pos", "id", "n", F.coalesce("component", "id").alias("class"))
+
+    def pairs(found: DataFrame) -> DataFrame:
+        return found.select(F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst")).distinct()
+
+    known = materialize(connected_components(prints), "copies-known")
+    me = F.struct("id", "n", "pos", "class")
+    order = Window.partitionBy("tok").orderBy("n", "id")
+    neighbours = tagged(known).select(me.alias("a"), F.lead(me).over(order).alias("b"))
+    first = materialize(pairs(neighbours.where(F.expr("b is not null and a.class <> b.class") & _possible("a", "b"))), "copies-first")
+    near = materialize(prints.unionAll(_verified(first, sets, docs, text_col)), "copies-near")
     known = materialize(connected_components(near), "copies-known")
 
-    tagged = blocks.join(known, blocks["set"] == known["node"], "left").select("tok", "pos", "set", "n", F.coalesce("component", "set").alias("class"))
-    mixed = tagged.groupBy("tok").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("tok")
-    open_ = materialize(tagged.join(mixed, "tok", "left_semi"), "copies-open")
-    joined = open_.alias("a").join(open_.alias("b"), F.expr("a.tok = b.tok and a.set < b.set and a.class <> b.class")).where(_possible("a", "b"))
-    second = materialize(pair(joined).join(first, ["src", "dst"], "left_anti"), "copies-second")
-    more = materialize(_verified(second, sets, docs, text_col), "copies-more")
+    rows = tagged(known)
+    mixed = rows.groupBy("tok").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("tok")
+    open_ = materialize(rows.join(mixed, "tok", "left_semi"), "copies-open")
+    joined = open_.alias("a").join(open_.alias("b"), F.expr("a.tok = b.tok and a.id < b.id and a.class <> b.class")).where(_possible("a", "b"))
+    second = materialize(pairs(joined).join(first, ["src", "dst"], "left_anti"), "copies-second")
+    more = _verified(second, sets, docs, text_col)
+    for done in (prints, blocks, first, open_, second):
+        discard(done)
     found = materialize(connected_components(near.unionAll(more)), "copies-found") if more.head(1) else known
-    return sets.join(found, sets["set"] == found["node"], "left").select("set", F.coalesce("component", "set").alias("class"), "least")
+    return sets.join(found, sets["id"] == found["node"], "left").select(sets["id"], F.coalesce("component", sets["id"]).alias("class"), "least")
 
 
 by_value(__name__)
