@@ -5,64 +5,72 @@ returns a DataFrame; it is written as Parquet and read again as the next one's d
 
 * ``toxicity`` drops the documents scored 0.5 or more.  Labels come from ``labels``; the
   unlabelled text is the stage's own input.
-* ``near_duplicates`` keeps one row of each SimHash class, by op10's contract: the smallest id, null last, then
-  the smallest row key.  Ids need not be distinct.
+* ``near_duplicates`` keeps one row of each class of near-duplicates: five-word shingles whose SimHash
+  fingerprints differ in at most 3 bits, or whose sets have Jaccard similarity >= 0.8.  The kept row has the
+  smallest id, null last, then the smallest row key.
 * ``secrets`` replaces every secret in the texts (and sets n_chars anew).
-* ``edited_copies`` keeps one row, chosen likewise, of each class of texts whose five-word shingles have Jaccard
-  similarity >= 0.8.
 * ``mixing`` repeats or drops documents to meet the sources' token targets.
 * ``encode`` gives the token ids and their digests.
+
+Defined results, in every stage.  Columns beyond those of ``documents`` go through under any name (the last stage
+returns its own).  Ids may be null or repeat: rows go by a key over all of their values, so two rows that
+share an id are two documents, and rows equal in every column are copies of one.  Null and empty texts: scored by the
+intercept; one class (the empty set of shingles), so one row stays; without secrets; of size 0, which stays once;
+no tokens.  Texts are read whole, however long.  Ties go to the smallest id, then the smallest key.  An
+empty table gives an empty table; without a confirmed toxic label nothing is toxic.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import edited_copies, mixing, piece_bpe, secrets_ledger, simhash, toxicity
-from lodestone.llm.common import materialize, read, row_key
+from lodestone.llm import edited_copies, mixing, piece_bpe, secrets_ledger, toxicity
+from lodestone.llm.common import discard, materialize, read, row_key
 from lodestone.llm.queries import tokenizer_path
 
 
+def whole(docs: DataFrame) -> Column:
+    """The row as one struct, so that no column of it can clash with a stage's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, read(spark, sf_dir, "labels").join(docs.select("doc_id").distinct(), "doc_id", "left_semi"))
-    scored = docs.select(F.struct(*docs.columns).alias("row"), toxicity.score_column(model, F.col("text"), spark).alias("score"))
+    scored = docs.select(whole(docs), toxicity.score_column(model, F.col("text"), spark).alias("score"))
     return scored.where("score < 0.5").select("row.*")
 
 
 def once(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``docs`` with the columns of ``chosen`` (key, ...; a row a key), joined by row key: equal rows count as one."""
-    keyed = docs.withColumn("_key", row_key(docs))
-    repeated = keyed.groupBy("_key").count().where("count > 1")
-    marked = materialize(chosen.join(repeated, chosen["key"] == repeated["_key"], "left").select(chosen["*"], F.col("count").isNotNull().alias("_many")), "pipeline-chosen")
-    rows = keyed.join(marked, keyed["_key"] == marked["key"])
-    return rows.where("not _many").unionByName(rows.where("_many").dropDuplicates(["_key"])).drop("_key", "key", "_many")
+    """(row, and the columns of ``chosen``): the rows whose key is among ``chosen`` (key, ...; a row a key); equal rows count as one."""
+    keyed = docs.select(whole(docs), row_key(docs).alias("key"))
+    repeated = keyed.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("many"))
+    marked = materialize(chosen.join(repeated, "key", "left"), "pipeline-chosen")
+    rows = keyed.join(marked, "key")
+    return rows.where("many is null").unionByName(rows.where("many").dropDuplicates(["key"])).drop("key", "many")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    least = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), row_key(docs).alias("key"))
-    prints = materialize(docs.select(least.alias("id"), simhash.fingerprint_column(F.col("text"), spark).alias("fp")), "pipeline-prints")
-    return once(docs, simhash.components(prints).select(F.col("component_id.key").alias("key")).distinct())
-
-
-def drop_edited_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return once(docs, edited_copies.classes(docs).groupBy("class").agg(F.min("least").alias("least")).select("least.key"))
+    kept = edited_copies.classes(docs).groupBy("class").agg(F.min("least").alias("least")).select("least.key")
+    return once(docs, kept).select("row.*")
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ledger = secrets_ledger.scan(docs)[1].where(F.size("found") > 0).select("blob", "found")
-    rows = docs.withColumn("_blob", secrets_ledger.blob_id(F.col("text"))).join(ledger, F.col("_blob") == F.col("blob"), "left")
-    text = secrets_ledger.redact(F.col("text"), F.col("found"))
-    clean = F.when(F.col("found").isNull(), F.col("text")).otherwise(text)
-    changed = {"text": clean, "n_chars": F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(F.length(clean).cast("long"))}
-    return rows.select(*[changed[c].alias(c) if c in changed else docs[c] for c in docs.columns])
+    rows = docs.select(whole(docs), secrets_ledger.blob_id(F.col("text")).alias("blob")).join(ledger, "blob", "left")
+    clean = F.when(F.col("found").isNull(), F.col("row.text")).otherwise(secrets_ledger.redact(F.col("row.text"), F.col("found")))
+    length = F.when(F.col("found").isNull(), F.col("row.n_chars")).otherwise(F.length("text").cast("long"))
+    told = rows.select("row", "found", clean.alias("text"))
+    changed = {"text": F.col("text"), "n_chars": length}
+    return told.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    plan = mixing.mix(docs.withColumn("_key", row_key(docs)), id_col="_key").groupBy(F.col("_key").alias("key")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    return once(docs, plan).withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    sized = docs.select(row_key(docs).alias("key"), "text", "source")
+    plan = mixing.mix(sized, id_col="key").groupBy("key").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    return once(docs, plan).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +81,6 @@ STAGES = [
     ("toxicity", drop_toxic),
     ("near_duplicates", drop_near_duplicates),
     ("secrets", hide_secrets),
-    ("edited_copies", drop_edited_copies),
     ("mixing", mix_sources),
     ("encoding", encode),
 ]
@@ -83,5 +90,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    step = lambda docs, stage: materialize(stage[1](spark, docs, sf_dir), f"pipeline-{stage[0]}")
+    def step(docs: DataFrame, stage) -> DataFrame:
+        following = materialize(stage[1](spark, docs, sf_dir), f"pipeline-{stage[0]}")
+        discard(docs)  # the table of the stage before; documents themselves are none
+        return following
+
     return reduce(step, STAGES, read(spark, sf_dir, "documents"))
