@@ -10,16 +10,18 @@ and the sample is the term with the smallest a, together with its t.  Two texts
 on a sample with probability equal to their generalised Jaccard similarity,
 sum of minima over sum of maxima.  Each sample is kept as 32 hashed bits.
 
-The gammas come from one 64-bit hash of (term hash, k): three 20-bit parts of it look up
-quantiles, so a term has the same draws on every machine.  Draws are made once for the
-distinct terms of a batch, so memory is bounded by the batch, not the vocabulary.
+The draws come from one 64-bit hash of (term hash, k): 16 bits of it pick r among the quantiles of its
+distribution, 16 bits c, 24 bits are b, so a term has the same draws on every machine.  The smallest c
+decide who wins in a text of many terms, so within the lowest quantile c is worked out from 53 further
+bits.  Draws are made once for each term of a text, so memory is bounded by the piece, not the vocabulary.
 
 Neighbours.  Each document also meets the next one in descending id order.  Ids are cut
 into ranges by quantiles; a text is shuffled once, with its range; a range's last row
-needs the first row of the next range, which is sent to both (one extra row a range).
+needs the first row of the range below, which is sent to both (one extra row a range).
 
 Defined results.  Null text is empty; an empty text has a fingerprint of its own (all
-samples of "no term").  Repeated ids follow one another by text.  Null ids come last.
+samples of "no term").  Repeated ids follow one another by text.  Null ids come last, by a hash of the
+text, then the text; however many they are, they are cut into ranges too.
 One document alone is its own next.
 """
 
@@ -56,6 +58,15 @@ def _mix64(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def low_tail(h: np.ndarray) -> np.ndarray:
+    """Logs of Gamma(2, 1) values below the first quantile, from 64 random bits: 1 - (1 + x) e^-x = x^2 (1/2 - x/3 + x^2/8 - ...)."""
+    p = ((h >> np.uint64(11)).astype(np.float64) + 0.5) * (2.0**-53 / (1 << QUANTILE_BITS))
+    x = np.sqrt(2 * p)
+    for _ in range(3):
+        x = np.sqrt(2 * p / (1 - 2 * x / 3 + x * x / 4))
+    return np.log(x)
+
+
 class Sampler:
     def __init__(self, samples: int = SAMPLES):
         q = gamma_quantiles()
@@ -73,7 +84,11 @@ class Sampler:
         h ^= h >> np.uint64(29)
         bits = np.uint64(QUANTILE_BITS)
         r = self.r[h & self.mask]
-        log_c = self.log_c[(h >> bits) & self.mask]
+        at_c = (h >> bits) & self.mask
+        log_c = self.log_c[at_c]
+        lowest = np.nonzero(at_c == 0)
+        if len(lowest[0]):
+            log_c[lowest] = low_tail(_mix64(h[lowest] ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
         b = ((h >> (bits + bits)) & np.uint64(0xFFFFFF)).astype(np.float32) * np.float32(1 / (1 << 24))
         return r, log_c, b
 
@@ -117,28 +132,21 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _bounds(docs: DataFrame, id_col: str, parts: int) -> list[int]:
-    """Inner cut points of ``parts`` ranges of ids, ascending: quantiles of the ids alone."""
-    at = [k / parts for k in range(1, parts)]
-    cut = docs.select(F.percentile_approx(id_col, at, 20_000).alias("q")).first()["q"] if at else []
-    return sorted(set(cut or []))
-
-
-def _range_of(ident, bounds: list[int]):
-    """How many cut points lie below the id, by binary search in the plan (null: -1)."""
+def _range_of(value, bounds: list[int]):
+    """How many cut points lie below the value, by binary search in the plan."""
     if not bounds:
-        return F.when(ident.isNull(), -1).otherwise(0)
-    cuts = F.array(*[F.lit(b) for b in bounds])
+        return F.lit(0)
+    cuts = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")  # folded to one constant
     state = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
 
     def halve(s, _):
         mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        below = F.coalesce(F.get(cuts, mid) < ident, F.lit(False))
+        below = F.coalesce(F.get(cuts, mid) < value, F.lit(False))
         open_ = s["lo"] < s["hi"]
         return F.struct(F.when(open_ & below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~below, mid).otherwise(s["hi"]).alias("hi"))
 
     steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1))
-    return F.when(ident.isNull(), -1).otherwise(F.aggregate(steps, state, halve, lambda s: s["lo"]))
+    return F.aggregate(steps, state, halve, lambda s: s["lo"])
 
 
 def with_next(docs: DataFrame, out, schema: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,20 +158,21 @@ def with_next(docs: DataFrame, out, schema: str, *, id_col: str = "doc_id", text
     bound_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
-    bounds = _bounds(base, "id", parts)
-    base = base.withColumn("part", _range_of(F.col("id"), bounds))
-    # the largest id of each range: one small row a range; its text goes to the range above as well
-    tops = base.select("part", "id").groupBy("part").agg(F.max("id").alias("top")).collect()
-    order = sorted((r["part"] for r in tops), reverse=True)
-    top = {r["part"]: r["top"] for r in tops}
-    above = {order[k]: order[k - 1] for k in range(len(order))}  # the first range's top closes the last range
-    ghosts = None
-    if order:
-        goes = F.coalesce(*[F.when((F.col("part") == p) & F.col("id").eqNullSafe(F.lit(top[p]).cast("long")), F.lit(above[p])) for p in order]) if len(order) <= 64 else F.create_map(*[F.lit(x) for p in order for x in (p, above[p])])[F.when(F.col("id").eqNullSafe(F.create_map(*[F.lit(x).cast("long") for p in order for x in (p, top[p])])[F.col("part").cast("long")]), F.col("part"))]
-        ghosts = goes
-    rows = base.select("id", "text", "part", F.lit(0).alias("ghost")) if ghosts is None else base.withColumn("to", ghosts).select("id", "text", F.explode(F.when(F.col("to").isNull(), F.array(F.struct(F.col("part"), F.lit(0).alias("ghost")))).otherwise(F.array(F.struct(F.col("part"), F.lit(0).alias("ghost")), F.struct(F.col("to").alias("part"), F.lit(1).alias("ghost"))))).alias("x")).select("id", "text", "x.part", "x.ghost")
-    # a task for each range (ids without a value: the first), so that tasks are as even as the ranges
-    dealt = rows.repartitionById(parts + 1, F.col("part") + 1).sortWithinPartitions(F.col("part"), F.col("ghost"), F.col("id").desc_nulls_last(), F.col("text"))
+    # ids are cut at their quantiles; rows without one, if many, by the hash that orders them
+    seen = base.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)] or [0.5], 20_000).alias("q"), F.count(F.lit(1)).alias("n"), F.count("id").alias("ids")).first()
+    bounds = sorted(set(seen["q"] or []))
+    loose = -(-(seen["n"] - seen["ids"]) * parts // max(1, seen["n"]))
+    h = F.xxhash64("text", F.lit(5))
+    spread = F.least(F.floor((h.cast("double") / 2.0**64 + 0.5) * loose), F.lit(max(0, loose - 1))).cast("int")
+    base = base.withColumns({"ord": F.coalesce("id", h), "part": F.when(F.col("id").isNull(), spread - loose).otherwise(_range_of(F.col("id"), bounds))})
+    # the top of each range: one small row a range, at most twice ``parts``; its text goes to the range above as well
+    tops = sorted((r["part"], r["top"]) for r in base.select("part", "ord").groupBy("part").agg(F.max("ord").alias("top")).collect())
+    rows = [(p, t, tops[(k + 1) % len(tops)][0]) for k, (p, t) in enumerate(tops)]  # the first range's top closes the last range
+    goes = F.broadcast(spark.createDataFrame(rows, "part int, top long, above int"))
+    own, ghost = (F.struct(F.col(c).alias("part"), F.lit(n).alias("ghost")) for c, n in (("part", 0), ("above", 1)))
+    both = base.join(goes, "part").select("id", "text", "ord", F.explode(F.when(F.col("ord") == F.col("top"), F.array(own, ghost)).otherwise(F.array(own))).alias("x"))
+    # a task for each range, so that tasks are as even as the ranges
+    dealt = both.select("id", "text", "ord", "x.*").repartitionById(loose + len(bounds) + 1, F.col("part") + loose).sortWithinPartitions("part", "ghost", F.col("ord").desc(), "text")
     work = out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
