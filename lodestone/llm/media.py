@@ -8,6 +8,8 @@ Reading: chunks are walked, every checksum tested, IDAT inflated, and rows unfil
 numpy (None, Sub and Up as running sums; Average and Paeth byte by byte).  Anything that
 doesn't hold raises ``ValueError``.
 
+Media live in a binary column of a Parquet table; features are taken from the table read back.
+
 Feature: the image, as given back, averaged to 32 x 32, its two-dimensional cosine
 transform, and one bit for each of 64 low frequencies, set where above their median.
 
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, by_value
+from .common import bound_batches, by_value, materialize
 
 WIDTH, PAD, TAIL = 576, 255, 32
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -182,10 +184,10 @@ def feature_column(png: Column, n_bytes: Column, spark) -> Column:
 
 
 def media_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every whole text as an image column, read the column back, and describe it."""
+    """Store every whole text as an image in a binary column of a Parquet table, read the table, and describe what it holds."""
     spark = docs.sparkSession
     n = F.octet_length(F.coalesce(F.col(text_col), F.lit("")))
-    stored = docs.select(F.col(id_col), n.alias("_n"), media_column(F.col(text_col), spark).alias("_png"))
+    stored = materialize(docs.select(F.col(id_col), n.alias("_n"), media_column(F.col(text_col), spark).alias("_png")), "media")
     return stored.select(id_col, feature_column(F.col("_png"), F.col("_n"), spark).alias("_d")).select(id_col, "_d.*")
 
 
