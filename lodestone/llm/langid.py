@@ -7,8 +7,10 @@ Training counts every n-gram of every whole training text: each task emits its s
 (language, feature, count) sums, at most features x languages rows however much text it
 read, and Spark adds them up.  The log-probability matrix (features x languages, add-one
 smoothed, uniform over languages) is broadcast; its size is fixed by the parameters and
-checked against ``MOST_BYTES``.  Scoring gathers the matrix rows of a batch's n-grams and
-sums them by document: sparse products, in numpy.
+checked against ``MOST_BYTES`` before anything is collected.  Scoring is one sparse product a
+batch, documents x features by features x languages, in numpy: the matrix rows of the batch's
+n-grams, summed by document.  Log probabilities are held as whole multiples of 2 ** -20, so a
+sum is the same in any order and however the batch is cut.
 
 Defined results.  ``und`` with score 0 where the text is null or has no letter, or nothing
 was learned.  Equal posteriors go to the language first by code point.
@@ -27,6 +29,10 @@ from pyspark.sql import functions as F
 from .common import bound_batches, by_value
 
 BITS, ORDERS = 15, 3
+#: Log probabilities are whole multiples of 1 / SCALE.
+SCALE = 1 << 20
+#: Languages whose counts a task holds before it hands them on.
+HELD = 64
 MOST_BYTES = 64 << 20
 UNDETERMINED = "und"
 #: Code points worked on at once.
@@ -68,22 +74,39 @@ def grams(text: str, bits: int = BITS, orders: int = ORDERS) -> np.ndarray:
 @dataclass
 class LanguageModel:
     languages: list[str]
-    matrix: np.ndarray  # features x languages, log probabilities
+    matrix: np.ndarray  # features x languages, log probabilities times SCALE
     bits: int
     orders: int
 
+    def totals(self, found: list[np.ndarray]) -> np.ndarray:
+        """Log probabilities (documents x languages, times SCALE) of documents given by their n-grams: a sparse product."""
+        out = np.zeros((len(found), len(self.languages)), np.int64)
+        sizes = np.array([len(g) for g in found], np.int64)
+        features = np.concatenate(found) if len(found) else np.zeros(0, np.int32)
+        owner = np.repeat(np.arange(len(found)), sizes)
+        for at in range(0, len(features), PIECE):
+            who = owner[at : at + PIECE]
+            starts = np.flatnonzero(np.diff(who, prepend=-1))
+            out[who[starts]] += np.add.reduceat(self.matrix[features[at : at + PIECE]], starts, axis=0, dtype=np.int64)
+        return out
+
+    def predict_batch(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """(languages, their posteriors) of a batch of texts."""
+        found = [grams(t, self.bits, self.orders) if t else np.zeros(0, np.int32) for t in texts]
+        known = np.array([len(g) > 0 for g in found], bool) & bool(self.languages)
+        names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        if known.any():
+            total = self.totals(found)[known]
+            best = total.argmax(axis=1)
+            apart = (total - total[np.arange(len(best)), best][:, None]) / SCALE
+            scores[known] = 1.0 / np.exp(np.maximum(apart, -700)).sum(axis=1)
+            for k, b in zip(np.flatnonzero(known).tolist(), best.tolist(), strict=True):
+                names[k] = self.languages[b]
+        return names, scores
+
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages:
-            return UNDETERMINED, 0.0
-        g = grams(text, self.bits, self.orders)
-        if not len(g):
-            return UNDETERMINED, 0.0
-        total = np.zeros(len(self.languages))
-        for at in range(0, len(g), PIECE):
-            counts = np.bincount(g[at : at + PIECE], minlength=len(self.matrix)) if len(g) > 20_000 else None
-            total += counts @ self.matrix if counts is not None else self.matrix[g[at : at + PIECE]].sum(axis=0, dtype=np.float64)
-        best = int(total.argmax())
-        return self.languages[best], float(1.0 / np.exp(np.maximum(total - total[best], -700)).sum())
+        names, scores = self.predict_batch([text])
+        return names[0], float(scores[0])
 
 
 def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", bits: int = BITS, orders: int = ORDERS) -> LanguageModel:
@@ -100,23 +123,30 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", bi
                     sums[lang] = np.zeros(size, np.int64)
                 if len(g := grams(text, bits, orders)):
                     sums[lang] += np.bincount(g, minlength=size)
+                if len(sums) >= HELD:
+                    yield from told(sums)
+                    sums.clear()
+        yield from told(sums)
+
+    def told(sums: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
         for lang, s in sums.items():
             f = np.flatnonzero(s)
             yield pd.DataFrame({"l": [lang] * (len(f) + 1), "f": np.append(f, -1), "n": np.append(s[f], 0)})
 
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    most = MOST_BYTES // (size * 4)
+    if len(rows.select("l").distinct().limit(most + 1).take(most + 1)) > most:
+        raise ValueError(f"more than {most} languages of {size} features are more than {MOST_BYTES} bytes")
     sums = rows.mapInPandas(count, "l string, f int, n long").groupBy("l", "f").agg(F.sum("n").alias("n"))
     packed = sums.groupBy("l").agg(F.collect_list(F.struct("f", "n")).alias("x"))  # at most 2 ** bits + 1 entries a language
     got = {r["l"]: r["x"] for r in packed.collect()}
     names = sorted(got)
-    if len(names) * size * 4 > MOST_BYTES:
-        raise ValueError(f"{len(names)} languages of {size} features are more than {MOST_BYTES} bytes")
     counts = np.zeros((size, len(names)))
     for k, name in enumerate(names):
         pairs = np.array([(e["f"], e["n"]) for e in got[name]], np.int64)
         pairs = pairs[pairs[:, 0] >= 0]
         counts[pairs[:, 0], k] = pairs[:, 1]
-    matrix = np.log((counts + 1) / (counts + 1).sum(axis=0)).astype(np.float32) if names else np.zeros((size, 0), np.float32)
+    matrix = np.rint(np.log((counts + 1) / (counts + 1).sum(axis=0)) * SCALE).astype(np.int32)
     return LanguageModel(names, matrix, bits, orders)
 
 
@@ -128,7 +158,8 @@ def predict_column(model: LanguageModel, text: Column, spark) -> Column:
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = LanguageModel(*shared.value)
         for texts in batches:
-            yield pd.DataFrame([m.predict(t) for t in texts], columns=["lang_pred", "score"])
+            names, scores = m.predict_batch(texts.tolist())
+            yield pd.DataFrame({"lang_pred": names, "score": scores})
 
     return F.pandas_udf(predicted, "lang_pred string, score double").asNondeterministic()(text)
 
