@@ -4,7 +4,8 @@ Two Parquet tables make an archive:
 
 * ``payloads``: each distinct payload's bytes once, under their SHA-256, with the SHA-1 and
   length taken from those bytes;
-* ``headers``: one row per record with the exact header bytes and the SHA-256 of its payload.
+* ``headers``: one row per record with the exact header bytes and the SHA-256 of its payload (and the page's id as a
+  key of the table; what is read back comes from the header itself).
 
 Reading back joins headers to payloads on the digest and verifies that the bytes hash to
 the digest they are stored under, so a damaged or swapped payload is an error, never a
@@ -59,7 +60,7 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
     kind = F.when((F.col("length") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("newest")), F.lit("revisit")).otherwise(F.lit("response"))
     refers = F.when(F.col("kind") == "revisit", F.col("newest"))
     rows = records.drop("payload").join(digests, "sha256").withColumn("kind", kind).withColumn("refers_to", refers)
-    rows.select("page_id", "sha256", "kind", "refers_to", _header(F.col("kind"), F.col("page_id"), F.col("url"), F.col("sha1"), F.col("length"), F.col("refers_to"), F.lit(date)).alias("header")).write.parquet(f"{path}/headers")
+    rows.select("page_id", "sha256", _header(F.col("kind"), F.col("page_id"), F.col("url"), F.col("sha1"), F.col("length"), F.col("refers_to"), F.lit(date)).alias("header")).write.parquet(f"{path}/headers")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -69,7 +70,10 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     text = F.decode("header", "UTF-8")
     headers = spark.read.parquet(f"{path}/headers")
     rebuilt = headers.join(payloads.select("sha256", sound.alias("payload")), "sha256")
-    return rebuilt.select("page_id", F.regexp_extract(text, r"\r\nWARC-Type: (\w+)\r\n", 1).alias("record_type"), "refers_to", "header", "payload")
+    said = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    kind = dict(headers.dtypes)["page_id"]
+    page, refers = (said(rf"\r\n{name}: <urn:page:([^>]*)>\r\n").cast(kind) for name in ("WARC-Record-ID", "WARC-Refers-To"))
+    return rebuilt.select(page.alias("page_id"), said(r"\r\nWARC-Type: (\w+)\r\n").alias("record_type"), refers.alias("refers_to"), "header", "payload")
 
 
 def record_bytes(archive: DataFrame) -> DataFrame:
