@@ -39,7 +39,8 @@ from .common import materialize, word_count
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Hash buckets in which a cell's documents are ranked.
 BUCKETS = 64
-NEWTON_ROUNDS, SETTLE_ROUNDS = 40, 8
+#: Rounds after which a loop that should have ended is an error.
+NEWTON_ROUNDS, SETTLE_ROUNDS = 200, 200
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
@@ -99,8 +100,8 @@ def _solve(cells: DataFrame, goals: DataFrame, most: int) -> DataFrame:
         following = materialize(step.select("skey", "target", "scale", "source_size", F.when(done | (F.col("target") >= most * F.col("source_size")), F.when(done, F.col("theta")).otherwise(1e6)).otherwise(F.when(inside, newton).otherwise(fallback)).alias("theta"), lo.alias("lo"), hi.alias("hi"), done.alias("done")), "mix-theta")
         state = following.drop("done")
         if not following.where("not done and target < source_size * %d" % most).head(1):
-            break
-    return state
+            return state
+    raise RuntimeError(f"no solution of the dual after {NEWTON_ROUNDS} rounds")
 
 
 def _running(cells: DataFrame, value, name: str, keep=None) -> DataFrame:
@@ -131,7 +132,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     whole = (F.floor(F.col("before") + F.col("n") * F.col("rate") + 0.5) - F.floor(F.col("before") + 0.5)).cast("long")
     cells = materialize(summed.select("skey", "size", "n", F.least(whole, F.col("n") * most).alias("k")), "mix-copies")
 
-    for _ in range(SETTLE_ROUNDS):
+    for n in range(SETTLE_ROUNDS):
         left = cells.groupBy("skey").agg(F.sum(F.col("k") * F.col("size")).alias("got")).join(goals.select("skey", "target"), "skey").select("skey", F.round(F.col("target") - F.col("got")).cast("double").alias("rest"))
         free = F.when(F.col("size") == 0, 0).when(F.col("rest") > 0, F.col("n") * most - F.col("k")).otherwise(F.col("k"))
         fits = F.when(F.col("size") > F.abs("rest"), 0).otherwise(F.col("free"))
@@ -144,6 +145,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         moved = moved.join(near, "skey").withColumn("move", F.when((F.col("any") == 0) & F.col("has").isNotNull() & (F.col("size") == F.col("nearest")), 1).otherwise(F.col("move")))
         if not moved.where("move > 0").head(1):
             break
+        if n + 1 == SETTLE_ROUNDS:
+            raise RuntimeError(f"the remainder isn't settled after {SETTLE_ROUNDS} rounds")
         cells = materialize(moved.select("skey", "size", "n", (F.col("k") + F.when(F.col("rest") > 0, F.col("move")).otherwise(-F.col("move"))).alias("k")), "mix-copies")
 
     # a cell's copies, bucket by bucket in order: every document gets the whole part, the first ones one more
