@@ -2,8 +2,9 @@
 
 Scratch tables.  Lineage is cut by writing Parquet under the folder that the
 session names in ``spark.checkpoint.dir`` (every executor can read it, so a
-lost executor costs a re-read, not a re-run).  Only where that setting is unset,
-as in tests on one machine, a temporary folder is made for it.
+lost executor costs a re-read, not a re-run).  Only where that setting is unset and
+the master is local, as in tests, a temporary folder is made for it; a cluster
+without the setting is an error.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ def by_value(module_name: str) -> None:
 def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="lodestone-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{folder}")
@@ -64,7 +67,7 @@ def discard(df: DataFrame) -> None:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch may hold."""
+    """Bound what one Arrow batch may hold, for this session from now on: plans read the setting when they run."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 

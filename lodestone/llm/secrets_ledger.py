@@ -8,10 +8,10 @@ holds one row per (blob, rule version) already scanned, with its findings.  A sc
     4. joins the findings back to every path that has the blob.
 All of it is DataFrame functions; nothing runs in Python.
 
-Positions.  ``regexp_extract_all`` gives matches without places, so each rule is run as
-"whatever lies before, as little as possible; the match or the end": the lengths of
-the gaps and matches add up to the places, in code points.  A text is only taken
-apart where a cheaper test finds that the rule may hit.
+Positions.  ``regexp_extract_all`` gives matches without places, and ``split`` by the same pattern
+what lies between them: the lengths of gaps and matches, summed up along a blob, are the places, in
+code points.  The sums are a window over rows, so a text of very many secrets costs no more for each.
+A text is only taken apart where a cheaper test finds that the rule may hit.
 
 Defined results.  Null text is the empty blob.  Empty texts have no spans.  Repeated
 rows keep their rows.  An empty table gives an empty result.
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -39,33 +39,38 @@ def rule_version(rules=RULES) -> str:
     return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
-def spans(text: Column, kind: str, pattern: str, group: int, least: int, test: str) -> Column:
-    """array<struct<start, end, kind>>: leftmost matches that do not overlap, those too short dropped."""
-    flags, body = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
-    whole = f"{flags}([\\s\\S]*?)({body}|\\z)"
-    gaps = F.regexp_extract_all(text, F.lit(whole), F.lit(1))
-    hits = F.regexp_extract_all(text, F.lit(whole), F.lit(2))
-    value = F.regexp_extract_all(text, F.lit(whole), F.lit(group + 2)) if group else hits
-    steps = F.zip_with(F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h"))), value, lambda s, v: F.struct(s["g"].alias("g"), s["h"].alias("h"), F.length(v).alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string>>").alias("out"))
-    told = F.aggregate(
-        steps,
-        start,
-        lambda acc, s: F.struct(
-            (acc["at"] + s["g"] + s["h"]).alias("at"),
-            F.when((s["h"] > 0) & (s["v"] >= least), F.concat(acc["out"], F.array(F.struct((acc["at"] + s["g"]).alias("start"), (acc["at"] + s["g"] + s["h"]).alias("end"), F.lit(kind).alias("kind"))))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
+SPAN = "struct<start:int,end:int,kind:string,after:int>"
+
+
+def matches(text: Column, kind: str, order: int, pattern: str, group: int, test: str) -> Column:
+    """array<struct<order, kind, i, gap, hit, value>>: lengths of each match, of its valued group, and of what lies before it."""
+    gaps = F.split(text, pattern)
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
+    told = F.transform(
+        F.arrays_zip(F.slice(gaps, 1, F.greatest(F.size(hits), F.lit(0))).alias("g"), hits.alias("h"), value.alias("v")),
+        lambda z, i: F.struct(F.lit(order).alias("order"), F.lit(kind).alias("kind"), i.alias("i"), F.length(z["g"]).alias("gap"), F.length(z["h"]).alias("hit"), F.length(z["v"]).alias("value")),
     )
-    return F.when(text.rlike(test), told).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string>>"))
+    return F.when(text.rlike(test), told).otherwise(F.array().cast("array<struct<order:int,kind:string,i:int,gap:int,hit:int,value:int>>"))
 
 
 def scan_blobs(blobs: DataFrame, rules=RULES) -> DataFrame:
-    """(blob, text) to (blob, rule_version, found): ``found`` by start, then in the rules' order."""
-    order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r[0]), F.lit(i))])
-    each = F.concat(*[spans(F.col("text"), *r) for r in rules])
-    keyed = F.array_sort(F.transform(each, lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("order"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    return blobs.select("blob", F.lit(rule_version(rules)).alias("rule_version"), F.transform(keyed, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("found"))
+    """(blob, text) to (blob, rule_version, found): ``found`` by start, then in the rules' order; ``after``: where all spans before end.
+
+    Matches become rows, and a running sum over a blob's matches of one kind gives their places; only
+    lengths are shuffled, and only of blobs that have a match.
+    """
+    each = F.concat(*[matches(F.col("text"), kind, k, pattern, group, test) for k, (kind, pattern, group, _, test) in enumerate(rules)])
+    told = materialize(blobs.select("blob", each.alias("m")), "ledger-matches")
+    least = F.create_map(*[x for r in rules for x in (F.lit(r[0]), F.lit(r[3]))])
+    so_far = Window.partitionBy("blob", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = told.select("blob", F.explode("m").alias("m")).select("blob", "m.*").repartition("blob").withColumn("end", F.sum(F.col("gap") + F.col("hit")).over(so_far).cast("int"))
+    kept = rows.where(F.col("value") >= least[F.col("kind")]).select("blob", (F.col("end") - F.col("hit")).alias("start"), "order", "end", "kind")
+    before = Window.partitionBy("blob").orderBy("start", "order").rowsBetween(Window.unboundedPreceding, -1)
+    kept = kept.select("blob", F.struct("start", "order", "end", "kind", F.coalesce(F.max("end").over(before), F.lit(0)).alias("after")).alias("s"))
+    listed = kept.groupBy("blob").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    found = F.transform("s", lambda s: F.struct(*[s[c].alias(c) for c in ("start", "end", "kind", "after")]))
+    return told.select("blob").join(listed, "blob", "left").select("blob", F.lit(rule_version(rules)).alias("rule_version"), F.coalesce(found, F.array().cast(f"array<{SPAN}>")).alias("found"))
 
 
 def blob_id(text: Column) -> Column:
@@ -98,16 +103,18 @@ def kind_count(found: Column, kind: str) -> Column:
     return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long")
 
 
+def scan_commits(commits: list[DataFrame], **options) -> tuple[DataFrame, DataFrame]:
+    """``scan`` of one batch of versions after another, each against the ledger of those before it."""
+    ledger, found = None, None
+    for versions in commits:
+        told, ledger = scan(versions, ledger, **options)
+        found = told if found is None else found.unionByName(told)
+    return found, ledger
+
+
 def redact(text: Column, found: Column, mark: str = "[secret]") -> Column:
     """The text with every span (overlapping ones merged) replaced by ``mark``; spans come by start."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(
-        found,
-        start,
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    return F.when(text.isNull() | (F.size(found) == 0), text).otherwise(done)
+    apart = F.filter(found, lambda s: s["start"] >= s["after"])  # the others overlap what is hidden already
+    shown = F.transform(apart, lambda s: F.concat(F.substring(text, s["after"] + 1, s["start"] - s["after"]), F.lit(mark)))
+    tail = F.substring(text, F.array_max(F.transform(found, lambda s: s["end"])) + 1, F.length(text))
+    return F.when(text.isNull() | (F.size(found) == 0), text).otherwise(F.concat(F.array_join(shown, ""), tail))

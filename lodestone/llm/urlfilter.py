@@ -17,20 +17,18 @@ Defined results.  A null url, or one without ``://``, has empty host and path, f
 rule, has no node and is allowed.  Repeated rows keep their rows.  Null html has no
 edges.  Relative targets are resolved against the page's url as RFC 3986 has it (relative paths, queries alone, dot
 segments; a base element is not looked at) once character references for ``&`` are decoded; one of
-another scheme than http and https without ``//`` (mailto:, javascript:) is no edge.  The oracle SQL knows
-neither relative paths nor ``&amp;``: on pages that have them, it finds fewer edges.
+another scheme than http and https without ``//`` (mailto:, javascript:) is no edge.  ``rel`` may hold further
+words beside canonical.  Of two rules with one host and path, allow wins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import connected_components
 
-#: Rules are one expression of the plan; beyond this many they would not fit one.
-MOST_RULES = 500
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
 
@@ -55,17 +53,24 @@ def node(url: Column) -> Column:
     return F.when(n != "", n)
 
 
-def rule_of(host: Column, path: Column, rules=RULES) -> Column:
-    """struct<rule, verdict> of the longest rule that fits, or null."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MOST_RULES}")
-    fits = [
-        F.when(((host == h) | host.endswith("." + h)) & path.startswith(p), F.struct(F.lit(len(h + p)).alias("n"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict")))
-        for h, p, v in rules
-    ]
-    if not fits:
-        return F.lit(None).cast("struct<n:int,rule:string,verdict:string>")
-    return fits[0] if len(fits) == 1 else F.greatest(*fits)
+def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
+    """Rules given as (host, path, verdict), as a table."""
+    return spark.createDataFrame([tuple(r) for r in rules], "rule_host string, rule_path string, verdict string")
+
+
+def ruled(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path, rule, verdict) of the distinct (host, path) of ``urls`` that a rule fits: the longest; allow before block.
+
+    A url meets the rules of its host and of the domains above it by an equi-join, so the work doesn't
+    grow with the number of rules.
+    """
+    distinct = urls.select("host", "path").distinct()
+    labels = F.split("host", r"\.")
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    met = distinct.withColumn("rule_host", F.explode(F.array_distinct(domains))).join(rules, "rule_host").where(F.startswith("path", F.col("rule_path")))
+    name = F.concat("rule_host", "rule_path")
+    best = F.max(F.struct(F.length(name).alias("n"), (F.col("verdict") == "allow").alias("allow"), name.alias("rule"), "verdict"))
+    return met.groupBy("host", "path").agg(best.alias("b")).select("host", "path", "b.rule", "b.verdict")
 
 
 def without_dots(path: Column) -> Column:
@@ -99,7 +104,7 @@ def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
     """Edges (src, dst) between nodes from canonical links and refresh redirects."""
     html, url = F.col(html_col), F.col(url_col)
     tags = F.concat(
-        F.transform(F.regexp_extract_all(html, F.lit(r"(?i)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"), F.lit(1)), lambda t: F.regexp_extract(t, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)),
+        F.transform(F.regexp_extract_all(html, F.lit(r"(?i)(<link\b[^>]*\brel\s*=\s*(?:[\"'][^\"'>]*\bcanonical\b|canonical\b)[^>]*>)"), F.lit(1)), lambda t: F.regexp_extract(t, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)),
         F.transform(F.regexp_extract_all(html, F.lit(r"(?i)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"), F.lit(1)), lambda t: F.regexp_extract(t, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)),
     )
     may = html.rlike(r"(?i)<(link|meta)\b[^>]*\b(canonical|refresh)\b")
@@ -109,9 +114,13 @@ def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
 
 
 def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
-    """One row per page: id, host, path, rule (null without one), verdict.  ``redirects``: further (src, dst) urls."""
+    """One row per page: id, host, path, rule (null without one), verdict.
+
+    ``rules``: tuples, or a table as ``rule_table`` makes it.  ``redirects``: further (src, dst) urls.
+    """
     url = F.col(url_col)
-    base = pages.select(F.col(id_col), node(url).alias("node"), host(url).alias("host"), path(url).alias("path")).withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
+    table = rules if isinstance(rules, DataFrame) else rule_table(pages.sparkSession, rules)
+    base = pages.select(F.col(id_col), node(url).alias("node"), host(url).alias("host"), path(url).alias("path"))
     edges = links(pages, url_col, html_col)
     if redirects is not None:
         edges = edges.unionByName(redirects.select(node(F.col("src")).alias("src"), node(F.col("dst")).alias("dst")).where("src is not null and dst is not null and src <> dst"))
@@ -119,9 +128,9 @@ def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", ht
     classes = materialize(connected_components(edges), "url-classes")
     # every member url is judged by its own host and path, whether it is a page or only a target
     member = F.concat(F.lit("x://"), F.col("node"))
-    own = classes.select("component", rule_of(host(member), path(member), rules)["verdict"].alias("verdict")).where("verdict is not null")
+    members = classes.select("node", "component", host(member).alias("host"), path(member).alias("path"))
+    own = members.join(ruled(members, table), ["host", "path"]).select("component", "verdict")
     decided = own.groupBy("component").agg(F.min("verdict").alias("method"))  # 'allow' < 'block': allow takes precedence
     alias = classes.join(decided, "component").select("node", "method")
-    return base.join(alias, "node", "left").select(id_col, "host", "path", F.col("r")["rule"].alias("rule"), F.coalesce(F.col("r")["verdict"], F.col("method"), F.lit("allow")).alias("verdict"))
-
-
+    told = base.join(ruled(base, table), ["host", "path"], "left").join(alias, "node", "left")
+    return told.select(id_col, "host", "path", "rule", F.coalesce("verdict", "method", F.lit("allow")).alias("verdict"))
