@@ -181,7 +181,8 @@ def test_pu_learning_finds_the_words_of_the_confirmed():
     clean = lambda: " ".join(word() for _ in range(40))
     toxic = lambda: clean() + " zzzidiot " + rng.choice(("zzzscum", "zzztrash"))
     f = lambda t: toxicity.text_features(t, 18)
-    model = toxicity.fit_nnpu([f(toxic()) for _ in range(150)], [f(toxic() if k % 10 == 0 else clean()) for k in range(1500)], 0.1)
+    positive, unlabelled = [f(toxic()) for _ in range(150)], [f(toxic() if k % 10 == 0 else clean()) for k in range(1500)]
+    model = toxicity.fit_nnpu(positive, unlabelled, 0.1, np.unique(np.concatenate(positive + unlabelled)))
     assert np.mean([model.score(f(toxic())) >= 0.5 for _ in range(100)]) > 0.95
     assert np.mean([model.score(f(clean())) >= 0.5 for _ in range(100)]) < 0.05
     again = toxicity.fit_nnpu([f("x zzzidiot")] * 5, [f("y")] * 5, 0.1)
