@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 import re
 import zlib
 from collections import Counter
@@ -175,19 +176,40 @@ def test_edited():
     assert weighted_sampling.edited("abcdef", "xyz") == "abcxyz" and weighted_sampling.edited("abcdef", "x") == "abcx" and weighted_sampling.edited("abc", "xyz") == "abx" and weighted_sampling.edited("", "q") == ""
 
 
+def parting(positive, unlabelled):
+    """Features whose document frequencies differ by four standard errors."""
+    held = [Counter(int(x) for fs in side for x in fs) for side in (positive, unlabelled)]
+    out, n, m = [], len(positive), len(unlabelled)
+    for f in sorted(held[0] | held[1]):
+        p, u = held[0][f], held[1][f]
+        pooled = (p + u + 0.5) / (n + m + 1)
+        if max(p, u) >= 3 and abs(p / n - u / m) / (pooled * (1 - pooled) * (1 / n + 1 / m)) ** 0.5 >= 4:
+            out.append(f)
+    return np.array(out, np.int64)
+
+
 def test_pu_learning_finds_the_words_of_the_confirmed():
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     clean = lambda: " ".join(word() for _ in range(40))
     toxic = lambda: clean() + " zzzidiot " + rng.choice(("zzzscum", "zzztrash"))
     f = lambda t: toxicity.text_features(t, 18)
-    positive, unlabelled = [f(toxic()) for _ in range(150)], [f(toxic() if k % 10 == 0 else clean()) for k in range(1500)]
-    model = toxicity.fit_nnpu(positive, unlabelled, 0.1, np.unique(np.concatenate(positive + unlabelled)))
+    positive, unlabelled = [f(toxic()) for _ in range(100)], [f(toxic() if k % 10 == 0 else clean()) for k in range(600)]
+    model = toxicity.fit_nnpu(positive, unlabelled, 0.1, parting(positive, unlabelled))
     assert np.mean([model.score(f(toxic())) >= 0.5 for _ in range(100)]) > 0.95
     assert np.mean([model.score(f(clean())) >= 0.5 for _ in range(100)]) < 0.05
-    again = toxicity.fit_nnpu([f("x zzzidiot")] * 5, [f("y")] * 5, 0.1)
-    assert again.score(f("")) == toxicity.fit_nnpu([f("x zzzidiot")] * 5, [f("y")] * 5, 0.1).score(f(""))
-    assert toxicity.fit_nnpu([], [], 0.1).score(f("anything")) == 0.0
+    few = lambda: toxicity.fit_nnpu([f("x zzzidiot")] * 5, [f("y")] * 5, 0.1, f("x zzzidiot y"))
+    assert few().score(f("")) == few().score(f(""))
+    assert toxicity.fit_nnpu([], [], 0.1, np.zeros(0, np.int64)).score(f("anything")) == 0.0
+
+
+def test_chosen_features_by_plain_counts(spark):
+    rng = random.Random(4)
+    positive, unlabelled = ([np.array(sorted(rng.sample(range(60), 10) + [60 + k % 2] * side), np.int32) for k in range(n)] for side, n in ((1, 40), (0, 90)))
+    positive, unlabelled = [np.unique(x) for x in positive], [np.unique(x) for x in unlabelled]
+    counts = [(f, sum(f in x for x in positive), sum(f in x for x in unlabelled)) for f in range(62)]
+    got = sorted(r["f"] for r in toxicity.select_features(spark.createDataFrame(counts, "f int, p long, u long"), 40, 90).collect())
+    assert got == parting(positive, unlabelled).tolist() and {60, 61} <= set(got)
 
 
 def test_features_are_those_of_whole_words():
