@@ -21,7 +21,7 @@ MESSAGES = {
     "held_broken": "Unable to correct problems, you have held broken packages.",
     "resolver_breaks": "Error, pkgProblemResolver::Resolve generated breaks, this may be caused by held packages.",
     "unmet_deps": "Unmet dependencies. Try 'apt --fix-broken install' with no packages (or specify a solution).",
-    "dpkg_interrupted": "dpkg was interrupted, you must manually run 'sudo dpkg --configure -a' to correct the problem. ",
+    "dpkg_interrupted": "dpkg was interrupted, you must manually run '%s' to correct the problem. ",
 }
 FRAGMENTS = {"resolver_breaks": ("pkgProblem", "::Resolve"), "dpkg_interrupted": ("dpkg --configure -a",), "unmet_deps": ("apt --fix-broken install",), "held_broken": ()}
 RELATIONS = {"Depends": 6, "PreDepends": 7, "Suggests": 2, "Recommends": 1, "Conflicts": 5, "Replaces": 3, "Breaks": 4}

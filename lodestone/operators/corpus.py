@@ -37,15 +37,21 @@ def unclassified_templates(run_templates: DataFrame, runs: DataFrame, limit: int
     return top_counts(run_templates.join(open_, "run_key", "left_semi"), ["template"], limit)
 
 
-def sharing(rows: DataFrame, key: str, item: str, least: int = 1) -> DataFrame:
-    """(key, other, shared): pairs of keys with at least ``least`` items in common, both ways."""
-    a, b = rows.select(key, item).distinct(), rows.select(F.col(key).alias("other"), item).distinct()
-    return a.join(b, item).where(F.col(key) != F.col("other")).groupBy(key, "other").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+def sharing(rows: DataFrame, key: str, item: str, least: int = 1, queries: DataFrame | None = None) -> DataFrame:
+    """(key, other, shared): who has at least ``least`` items in common with each of ``queries`` (a column of keys).
+
+    Without ``queries`` every key is one, and an item that n keys hold makes n * n pairs: name them.
+    """
+    have = rows.select(key, item).distinct()
+    asked = have if queries is None else have.join(queries.select(F.col(queries.columns[0]).alias(key)).distinct(), key, "left_semi")
+    both = asked.join(have.withColumnRenamed(key, "other"), item).where(F.col(key) != F.col("other"))
+    return both.groupBy(key, "other").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
 
 
-def related(signatures: DataFrame, shared_roots: DataFrame, key: str = "run_key") -> DataFrame:
-    """(key, other, how): equal graphs; else equal causes; else shared roots."""
-    pair = lambda c: signatures.where(F.col(c).isNotNull()).select(key, c).join(signatures.select(F.col(key).alias("other"), c), c).where(F.col(key) != F.col("other")).select(key, "other")
+def related(signatures: DataFrame, shared_roots: DataFrame, key: str = "run_key", queries: DataFrame | None = None) -> DataFrame:
+    """(key, other, how) of each of ``queries`` (a column of keys; by default all): equal graphs; else equal causes; else shared roots."""
+    asked = signatures if queries is None else signatures.join(queries.select(F.col(queries.columns[0]).alias(key)).distinct(), key, "left_semi")
+    pair = lambda c: asked.where(F.col(c).isNotNull()).select(key, c).join(signatures.select(F.col(key).alias("other"), c), c).where(F.col(key) != F.col("other")).select(key, "other")
     exact = pair("root_graph")
     cause = pair("cause_tuple").join(exact, [key, "other"], "left_anti")
     roots = shared_roots.select(key, "other").join(exact, [key, "other"], "left_anti").join(cause, [key, "other"], "left_anti")
@@ -63,7 +69,9 @@ def runs_with_package(run_packages: DataFrame, packages: DataFrame, key: str = "
 
 
 def signature_buckets(runs: DataFrame, column: str, key: str = "run_key") -> DataFrame:
-    return runs.where(F.col(column).isNotNull()).groupBy(column).agg(F.array_sort(F.collect_list(key)).alias("keys"))
+    """(column, key, n): the members of every bucket, a row each, with the bucket's size; no bucket is gathered in one row."""
+    members = runs.where(F.col(column).isNotNull()).select(column, key)
+    return members.join(members.groupBy(column).agg(F.count(F.lit(1)).alias("n")), column)
 
 
 def expand_names(bare: DataFrame, seen: DataFrame, name: str = "name", pkg: str = "pkg") -> DataFrame:
@@ -90,10 +98,19 @@ def refresh_targets(groups: list[DataFrame], key: str, checked: str, limit: int)
     return first.orderBy("group_no", F.col(checked).asc_nulls_first(), key).limit(limit)
 
 
-def rank_capped(rows: DataFrame, group: list[str], order: list[Column], limit: int, always: Column) -> DataFrame:
-    """The first ``limit`` rows of each group by ``order``, and beyond them those that must stay."""
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return rows.withColumn("rank", rank).where((F.col("rank") <= limit) | always)
+def rank_capped(rows: DataFrame, group: list[str], order: list[Column], limit: int, always: Column, parts: int = 16) -> DataFrame:
+    """The first ``limit`` rows of each group by ``order`` with their rank, and beyond them those that must stay, at rank ``limit + 1``.
+
+    A group is ranked in ``parts`` hashed parts first, so that a hot one is no single task; of each
+    part only the first ``limit`` are ranked again.  Rows equal in every column fall into one part.
+    """
+    part = F.pmod(F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))), F.lit(parts))
+    tagged = rows.withColumns({"_always": F.coalesce(always, F.lit(False)), "_part": part})
+    tagged = tagged.withColumn("_near", F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order)))
+    near = tagged.where(F.col("_near") <= limit).withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    first = near.where((F.col("rank") <= limit) | F.col("_always")).withColumn("rank", F.least("rank", F.lit(limit + 1)))
+    beyond = tagged.where((F.col("_near") > limit) & F.col("_always")).withColumn("rank", F.lit(limit + 1))
+    return first.unionByName(beyond).drop("_always", "_part", "_near")
 
 
 def reachable(edges: DataFrame, starts: DataFrame, src: str = "src", dst: str = "dst", most_depth: int | None = None) -> DataFrame:
@@ -121,12 +138,26 @@ def reachable(edges: DataFrame, starts: DataFrame, src: str = "src", dst: str =
 
 
 def duplicate_roots(links: DataFrame, key: str = "bug_id", to: str = "duplicate_of") -> DataFrame:
-    """(key, root): the end of each chain of duplicates; a cycle ends at its least member reached."""
-    from ..sources.scratch import materialize
+    """(key, root): the end of each chain of duplicates; a cycle, and what leads into it, ends at the cycle's least member.
 
-    edges = links.where(F.col(to).isNotNull()).select(F.col(key).alias("k"), F.col(to).alias("t")).distinct()
-    ends = materialize(reachable(edges, edges.select("k"), "k", "t"))
-    stops = ends.join(edges.select(F.col("k").alias("node")), "node", "left_anti")
-    at_end = stops.groupBy("root").agg(F.min("node").alias("end"))
-    loops = ends.join(at_end.select("root"), "root", "left_anti").groupBy("root").agg(F.min("node").alias("end"))
-    return at_end.unionByName(loops).select(F.col("root").alias(key), F.col("end").alias("root"))
+    Pointer doubling: every round each row jumps as far again as it has come, so a chain of n links
+    takes log2(n) rounds of one join over one row a key.  Of several links of a key the least counts.
+    """
+    from ..sources.scratch import discard, materialize
+
+    links = links.where(F.col(key).isNotNull() & F.col(to).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(to).alias("at"))
+    jumps = materialize(links.select("k", "at", F.least("k", "at").alias("low"), F.lit(True).alias("open")))
+    for n in count(1):
+        ahead = jumps.select(F.col("k").alias("at"), F.col("at").alias("further"), F.col("low").alias("more"))
+        step = jumps.join(ahead, "at", "left")
+        moved = materialize(step.select("k", F.coalesce("further", "at").alias("at"), F.least("low", "more").alias("low"), F.col("further").isNotNull().alias("open")))
+        discard(jumps)
+        jumps = moved
+        left = jumps.where("open").count()
+        # none is open, or all that are have come to their end or gone round their cycle: a row further from
+        # its end would leave more than 2 ** (n - 1) open behind it
+        if 2**n >= 2 * left:
+            break
+    cycles = jumps.select(F.col("k").alias("at"), F.col("low").alias("least"))
+    found = jumps.join(cycles, "at", "left")
+    return found.select(F.col("k").alias(key), F.when(F.col("open"), F.coalesce("least", "at")).otherwise(F.col("at")).alias("root"))

@@ -1,8 +1,8 @@
 """Lines of a dependency resolver's trace, told apart by phrase.
 
 Phrases are written as templates and compiled to anchored patterns; a line's first
-phrase wins.  The tests run in one Arrow-batched UDF over distinct skeletons' lines
-(some forty alternatives would otherwise be forty regular expressions of the plan);
+phrase wins.  The tests run in one Arrow-batched UDF, which parses each distinct skeleton
+of a task once (some forty alternatives would otherwise be forty regular expressions of the plan);
 states, depth and everything else are built-in expressions.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -20,6 +21,8 @@ from ..functions import states as S
 from ..functions import text as T
 
 MOST_LINE = 8192
+#: Parsed skeletons that a task remembers.
+MOST_KNOWN = 100_000
 
 #: Verb, stream, phrase.  {a} {b} {c} are package references, {dep} a relation's
 #: name in any language, {v} an optional version in brackets, {n} a number.  A blank is any white space.
@@ -97,14 +100,17 @@ def parse(skeleton: str, patterns: list[tuple[str, re.Pattern[str]]]) -> tuple:
 
 
 def parsed(skeleton: Column) -> Column:
-    def run(lines: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         patterns, known = compiled(), {}
-        rows = [known.get(x) or known.setdefault(x, parse(x or "", patterns)) for x in lines]
-        frame = pd.DataFrame(rows, columns=FIELDS)
-        for c in ("score_src", "score_dst", "broken_count", "pass_no"):
-            frame[c] = frame[c].astype("Int32")
-        frame["from_user"] = frame["from_user"].astype("boolean")
-        return frame
+        for lines in batches:
+            if len(known) > MOST_KNOWN:
+                known.clear()
+            rows = [known.get(x) or known.setdefault(x, parse(x or "", patterns)) for x in lines]
+            frame = pd.DataFrame(rows, columns=FIELDS)
+            for c in ("score_src", "score_dst", "broken_count", "pass_no"):
+                frame[c] = frame[c].astype("Int32")
+            frame["from_user"] = frame["from_user"].astype("boolean")
+            yield frame
 
     return F.pandas_udf(run, SCHEMA)(skeleton)
 
@@ -152,6 +158,15 @@ def unknown_shapes(tokens: DataFrame, text: str = "line", limit: int = 20) -> Da
     return lines.select(T.mask(F.col(text))["template"].alias("template"), "count").groupBy("template").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "template").limit(limit)
 
 
+def unknown_shapes_by_run(tokens: DataFrame, text: str = "line", limit: int = 20) -> DataFrame:
+    """(run_key, unknown_shapes array<struct<template, count>>): each run's ``limit`` most frequent; a line is masked once."""
+    lines = tokens.where("shape = 'unmatched'").select("run_key", text)
+    masked = lines.select(text).distinct().select(text, T.mask(F.col(text))["template"].alias("template"))
+    counts = lines.join(masked, text).groupBy("run_key", "template").count()
+    ranked = counts.groupBy("run_key").agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("n"), "template"))).alias("x"))
+    return ranked.select("run_key", F.transform(F.slice("x", 1, limit), lambda s: F.struct(s["template"].alias("template"), (-s["n"]).alias("count"))).alias("unknown_shapes"))
+
+
 def trace_sections(tokens: DataFrame) -> DataFrame:
     """Sections of a resolver trace (see ``ordered.sections``)."""
     from .ordered import sections

@@ -42,6 +42,7 @@ MESSAGE_RULES = (
     ("upgrader.post-install-script", "post_install_script_error", MEDIUM, 33, "a post-install script failed: {script}", (("got error from PostInstallScript %s (%s)", "script", "error"),)),
     ("upgrader.broken-after-upgrade", "broken_packages_after_upgrade", HIGH, 34, "packages were left broken after the upgrade finished: {packages}", (("Broken packages after upgrade: %s", "packages"),)),
 )
+#: The other rules' priority, severity, confidence, and whether they need complete evidence.
 OTHER_RULES = {
     "dpkg.interrupted": (5, HIGH, CERTAIN, True), "upgrader.crash": (6, HIGH, CERTAIN, True), "net.update-failed": (22, HIGH, STRONG, True), "upgrader.metapkg-install-failed": (35, HIGH, STRONG, True),
     "dpkg.failures": (40, HIGH, STRONG, True), "resolver.livelock": (50, HIGH, STRONG, False), "resolver.roots": (100, MEDIUM, STRONG, False), "resolver.third-party-blocker": (100, HIGH, STRONG, False),
@@ -51,6 +52,7 @@ PRIORITY = {r[0]: r[3] for r in MESSAGE_RULES} | {k: v[0] for k, v in OTHER_RULE
 NEEDS_ALL = {r[0]: True for r in MESSAGE_RULES} | {k: v[3] for k, v in OTHER_RULES.items()}
 #: Errors that end nothing.
 BENIGN = ("failed to import AptClone", "failed to import apport python module", "_checkDep:", "has no priority set", "can not find failed maintainer script", "Can not open terminal log", "No snap store connectivity", "Failed fetching size of snap", "error reading from self.master_fd", "error setting default icon", "lspci failed", "os.path.realpath failed")
+#: Causes outside the resolver, causes the resolver names, and words that corroborate causes.
 ENVIRONMENT = ("not_enough_disk_space", "filesystem_not_writable", "cache_lock_failed", "ssh_upgrade_blocked", "esp_unusable", "unsupported_upgrade_path", "package_auth_failed", "download_failed", "update_failed", "view_depends_missing", "python_symlink_broken")
 RESOLVER = ("third_party_pin", "unsatisfiable_virtual", "holdback_blocks_new_dep", "held_package_blocks_upgrade", "t64_transition", "i386_orphan", "exact_pin_broken_by_upgrade", "removal_cascade", "transitional_breaks")
 CORROBORATION = (
@@ -180,6 +182,7 @@ def dpkg_failures(c: Corpus) -> DataFrame | None:
     return finding(rows, "dpkg.failures", cause, summary, roots=F.array(culprit), victims=F.col("victims"), size=n, detail=detail)
 
 
+#: What is said of a root, by cause.
 ROOT_TEXTS = {
     "third_party_pin": "{p} comes from outside Ubuntu and cannot be upgraded", "holdback_blocks_new_dep": "apt held {p} back", "held_package_blocks_upgrade": "{p} is held at its current version",
     "exact_pin_broken_by_upgrade": "{p} requires {c}, which the upgrade does not provide", "unsatisfiable_virtual": "nothing in resolute provides {p}", "i386_orphan": "{p} is i386 and has no 26.04 counterpart",
@@ -325,6 +328,7 @@ def primary(findings: DataFrame) -> DataFrame:
     return rest.groupBy("run_key").agg(F.min_by(F.struct(*[c for c in rest.columns if c != "run_key"]), "rank").alias("x")).select("run_key", "x.*")
 
 
+#: Titles by cause.
 TITLES = {
     "third_party_pin": "third-party {p2} cannot be upgraded{blocking}", "holdback_blocks_new_dep": "{p} held back{blocking}", "held_package_blocks_upgrade": "{p} is held and blocks {n}", "unsatisfiable_virtual": "nothing provides {p}{breaking}",
     "i386_orphan": "i386 {p} has no counterpart, breaking {n}", "t64_transition": "{p} is stuck in the 64-bit time_t transition", "removal_cascade": "removing {p} would remove {n}", "transitional_breaks": "{p} conflicts with its own replacement",

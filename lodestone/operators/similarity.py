@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TIERS = {"root_graph": 0, "cause_tuple": 1, "evidence": 2, "none": 3}
@@ -13,6 +13,11 @@ def document_frequency(items: DataFrame, doc: str, item: str) -> DataFrame:
     return items.select(doc, item).distinct().groupBy(item).agg(F.count(F.lit(1)).alias("df"))
 
 
+def set_frequency(sets: DataFrame, items: str, item: str) -> DataFrame:
+    """(item, df) where each row holds one document's items in an array: repeats go before the shuffle."""
+    return sets.select(F.explode(F.array_distinct(items)).alias(item)).groupBy(item).agg(F.count(F.lit(1)).alias("df"))
+
+
 def idf(frequencies: DataFrame, documents: int | Column) -> DataFrame:
     """Adds ``weight`` = ln(1 + documents / df)."""
     n = documents if isinstance(documents, Column) else F.lit(documents)
@@ -45,6 +50,29 @@ def weighted_pairs(items: DataFrame, doc: str, item: str, weight: str, blocks: D
     return out.select("left", "right", score.alias("score"))
 
 
+def similar_pairs(items: DataFrame, doc: str, item: str, weight: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): every pair of classes whose weighted Jaccard is ``least`` or more, and who is in which class.
+
+    ``items`` (doc, item, weight) are distinct.  Documents with equal items are one class, named after its
+    least document; ``members``: (doc, class).  ``pairs``: (left, right, score).  No pair is lost: the items
+    of both, heaviest first, share one before what is left weighs less than ``least`` of the whole.
+    """
+    from ..sources.scratch import materialize
+
+    sets = items.groupBy(doc).agg(F.sha2(F.to_json(F.sort_array(F.collect_list(item))), 256).alias("_set"))
+    sets = materialize(sets)
+    members = materialize(sets.join(sets.groupBy("_set").agg(F.min(doc).alias("class")), "_set").select(doc, "class"))
+    heads = items.join(members.where(F.col(doc) == F.col("class")).select(doc), doc, "left_semi")
+    own = Window.partitionBy(doc)
+    before = F.coalesce(F.sum(weight).over(own.orderBy(F.desc(weight), item).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    total = F.sum(weight).over(own)
+    # a little more than needed, so that rounding loses nothing
+    kept = heads.select(doc, item, weight, (total - before >= total * least - 1e-9).alias("_lead"))
+    kept = materialize(kept)
+    scored = weighted_pairs(kept.select(doc, item, weight), doc, item, weight, kept.where("_lead").select(doc, item), item)
+    return scored.where(F.col("score") >= least), members
+
+
 def verdict(same_graph: Column, same_cause: Column, shared: Column, has_evidence: Column, score: Column, least_shared: int = 1, low: float = 0.55, high: float = 0.80) -> Column:
     """struct<duplicate, tier, score, ambiguous>: each tier only where the one before says nothing."""
     make = lambda dup, tier, s=None, amb=False: F.struct(F.lit(dup).alias("duplicate"), F.lit(tier).alias("tier"), (F.lit(None).cast("double") if s is None else s).alias("score"), F.lit(amb).alias("ambiguous"))
@@ -77,8 +105,11 @@ def clusters(signatures: DataFrame, key: str = "run_key", precise: str = "root_g
     set-based: three aggregations, no pairs.  ``canonical`` is the least by ``order`` (the key
     itself by default).  Classes over ``most`` members are left out.
     """
+    from ..sources.scratch import materialize
+
     by = order or key
-    rows = signatures.select(F.col(key).alias("k"), F.col(precise).alias("p"), F.col(coarse).alias("c"), F.col(by).alias("o"))
+    # six branches read these narrow rows: the signatures are worked out once
+    rows = materialize(signatures.select(F.col(key).alias("k"), F.col(precise).alias("p"), F.col(coarse).alias("c"), F.col(by).alias("o")))
     first = rows.where("p is not null").groupBy("p").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     owned = rows.join(first.select("p"), "p", "left_semi").select("k", F.concat(F.lit("0:"), F.col("p").cast("string")).alias("cluster"))
     tagged = rows.join(owned, "k", "left")

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or the context's checkpoint folder; a temporary one only where both are unset."""
+    """``spark.checkpoint.dir``, or the context's checkpoint folder; on one machine alone, a temporary one where both are unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="lodestone-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{folder}")
@@ -25,4 +27,14 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write and read back: the lineage ends at a table every executor can read."""
     path = f"{root(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``materialize`` that nothing reads any more."""
+    if path := getattr(df, "_scratch_path", None):
+        context = df.sparkSession.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)

@@ -8,6 +8,8 @@ is run again gives the same table.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +61,7 @@ def fold_files(spark: SparkSession, path: str, key: str, order: list[str], colum
     folder, name = path.rsplit("/", 1)
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}*")
     source = source.select(key, *order, column).withColumn("checked_at", F.col(order[0]))
-    base = f"{scratch.root(spark)}/streams/{abs(hash((path, column)))}-{spark.sparkContext.applicationId}-{spark.range(1).select(F.uuid()).first()[0]}"
+    base = f"{scratch.root(spark)}/streams/{uuid.uuid4().hex}"
     table = VersionedTable(spark, f"{base}/table")
     collect(spark, source, table, f"{base}/checkpoint", key, order, (column,), (), ("checked_at",))
     return table.read()
