@@ -1,7 +1,7 @@
 """Log directories and attachments as rows.
 
-``attempts`` lists log files below a root without reading them; ``lines`` reads, caps,
-decodes, cleans and parts them.  Files are read by Spark's binary source, so any store
+``files`` lists the known log files below a root (others aren't opened; contents are read only by plans that
+select them, which ``attempts`` by itself does not); ``lines`` reads, caps, decodes, cleans and parts them.  Files are read by Spark's binary source, so any store
 that Spark reaches will do; a file is capped to its last bytes by kind before decoding.
 """
 
@@ -27,7 +27,8 @@ def _of(table: dict, key: Column) -> Column:
 
 def files(spark: SparkSession, root: str) -> DataFrame:
     """(path, content, source, folder, stamp) of every known log below ``root``."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "content")
+    known = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join(FILES) + "}")
+    raw = known.load(root).select("path", "length", "content")
     name = F.element_at(F.split("path", "/"), -1)
     folder = F.element_at(F.split("path", "/"), -2)
     return raw.withColumn("source", _of(FILES, name)).where("source is not null").withColumn("stamp", F.when(folder.rlike(r"^\d{8}-\d{4}$"), folder)).withColumn("folder", F.regexp_replace("path", r"(/\d{8}-\d{4})?/[^/]+$", ""))
@@ -155,9 +156,11 @@ def release_number(version: Column) -> Column:
 def upgrade_steps(pairs: DataFrame, series: DataFrame) -> DataFrame:
     """Adds is_upgrade, is_lts_to_lts and steps (releases in between) to (from_series, to_series)."""
     s = series.select("series", release_number(F.col("version")).alias("no"), (F.col("version").rlike(r"\.04$") & (F.split_part("version", F.lit("."), F.lit(1)).try_cast("int") % 2 == 0)).alias("lts"))
-    a, b = (s.select(F.col("series").alias(f"{x}_series"), F.col("no").alias(f"{x}_no"), F.col("lts").alias(f"{x}_lts")) for x in ("from", "to"))
-    j = pairs.join(F.broadcast(a), "from_series", "left").join(F.broadcast(b), "to_series", "left")  # some dozens of releases
-    between = j.join(F.broadcast(s.select("series", "no")), (F.col("no") > F.col("from_no")) & (F.col("no") < F.col("to_no")), "left")
-    out = between.groupBy("from_series", "to_series").agg(F.first("from_no").alias("f"), F.first("to_no").alias("t"), F.first("from_lts").alias("fl"), F.first("to_lts").alias("tl"), F.array_sort(F.collect_set("series")).alias("steps"))
+    a, b = (s.select(F.col("series").alias(f"{x}_series"), F.col("no").alias(x[0]), F.col("lts").alias(f"{x[0]}l")) for x in ("from", "to"))
+    # the whole dimension, some dozens of releases, beside each distinct pair
+    all_ = s.agg(F.collect_list(F.struct("series", "no")).alias("all"), F.lit(1).alias("one"))
+    j = pairs.select("from_series", "to_series").distinct().join(a, "from_series", "left").join(b, "to_series", "left").withColumn("one", F.lit(1)).join(all_, "one")
+    between = F.filter("all", lambda x: (x["no"] > F.col("f")) & (x["no"] < F.col("t")))
+    out = j.withColumn("steps", F.coalesce(F.sort_array(F.array_distinct(F.transform(between, lambda x: x["series"]))), F.array().cast("array<string>")))
     up = F.coalesce(F.col("t") > F.col("f"), F.lit(False))
     return out.select("from_series", "to_series", up.alias("is_upgrade"), (up & F.coalesce(F.col("fl") & F.col("tl"), F.lit(False))).alias("is_lts_to_lts"), "steps")
