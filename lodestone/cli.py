@@ -25,12 +25,16 @@ def session() -> SparkSession:
     return SparkSession.builder.appName("lodestone").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def show(df: DataFrame, as_json: bool, limit: int = 50) -> None:
-    df = df.limit(limit)
-    for row in df.toJSON().collect() if as_json else []:
-        print(row)
-    if not as_json:
-        df.show(limit, truncate=100)
+def show(df: DataFrame, as_json: bool, limit: int | None = None) -> None:
+    """Every row as a JSON line, read from Spark partition by partition; a table for people ends after ``limit`` (50) rows and says so."""
+    if as_json:
+        for row in (df if limit is None else df.limit(limit)).toJSON().toLocalIterator():
+            print(row)
+        return
+    most = limit or 50
+    df.show(most, truncate=100)
+    if len(df.take(most + 1)) > most:
+        print(f"... only the first {most} rows are shown; --json prints all")
 
 
 def diagnosed(spark: SparkSession, folder: str, settings: config.Config) -> tuple[DataFrame, diagnosis.Diagnosis]:
@@ -77,16 +81,22 @@ def command(a: argparse.Namespace) -> int:
         if a.command == "title":
             show(rules.primary(d.findings).select("run_key", rules.title(settings.title.max_length).alias("title")), a.json)
         elif a.markdown:
-            for row in report.markdown_reports(d.facts, d.findings).collect():
+            for row in report.run_pages(d).toLocalIterator():
                 print(row["report"])
         else:
-            show(report.json_records(d.facts, d.findings) if a.json else d.findings.orderBy("run_key", "rank"), a.json)
+            if a.json:
+                for row in report.triage_records(d).toLocalIterator():
+                    print(row["record"])
+            else:
+                show(d.findings.orderBy("run_key", "rank"), False)
         open_ = d.facts.join(rules.primary(d.findings).where("cause not in ('unknown')").select("run_key"), "run_key", "left_anti")
         return 3 if a.strict and open_.head(1) else 0
     store = Store(spark, a.store)
     if a.command == "ingest":
         found, d = diagnosed(spark, a.target, settings)
-        templates = d.records.select("run_key", diagnosis.T.mask(F.col("message"))["template"].alias("template"))
+        said = d.records.select("message").distinct()  # each message is masked once
+        masked = said.select("message", diagnosis.T.mask(F.col("message"))["template"].alias("template"))
+        templates = d.records.select("run_key", "message").join(masked, "message").select("run_key", "template")
         top = d.findings.select("run_key", F.explode("root_pkgs").alias("pkg"), F.lit("root").alias("role")).unionByName(d.findings.select("run_key", F.explode("victim_pkgs").alias("pkg"), F.lit("victim").alias("role")))
         store.put_runs(run_rows(found, d, settings), templates, top)
         show(store.table("runs").select("run_key", "top_cause", "current_title"), a.json)
@@ -99,7 +109,8 @@ def command(a: argparse.Namespace) -> int:
     elif a.command == "related":
         runs = store.table("runs").where("is_primary").select("run_key", "root_graph", "cause_tuple")
         roots = store.table("run_packages").where("role = 'root'")
-        show(corpus.related(runs, corpus.sharing(roots, "run_key", "pkg", settings.dedup.min_shared_roots)).where(F.col("run_key") == a.target), a.json)
+        asked = spark.createDataFrame([(a.target,)], "run_key string")
+        show(corpus.related(runs, corpus.sharing(roots, "run_key", "pkg", settings.dedup.min_shared_roots, asked), queries=asked), a.json)
     elif a.command == "history":
         packages = store.table("run_packages")
         show(corpus.runs_with_package(packages, corpus.packages_matching(packages.select("pkg").distinct(), a.target)), a.json)
@@ -113,21 +124,29 @@ def command(a: argparse.Namespace) -> int:
         show(corpus.top_counts(store.table("run_packages").where("role = 'root'"), ["pkg"], settings.report.top_packages, "run_key"), a.json)
     elif a.command == "fetch":
         spark.dataSource.register(bugs.TrackerSource)
+        # complete=false in what is stored tells that the listing was cut off
         tasks = spark.read.format("bug_tracker").options(url=settings.tracker.url, interval=settings.tracker.interval, pages=settings.tracker.max_pages).load()
         tasks.write.mode("append").json(a.target)
     elif a.command == "sweep":
-        fresh = incremental.unseen(bugs.read_tasks(spark, a.target), store.known_bugs(), "bug_id", "created", a.limit)
+        tasks = bugs.read_tasks(spark, a.target)
+        fresh = incremental.unseen(tasks.where("bug_id is not null"), store.known_bugs(), "bug_id", "created", a.limit).cache()
         show(fresh, a.json)
         if not a.dry_run:
-            states = fresh.withColumns({"is_duplicate": F.col("duplicate_of").isNotNull(), "checked_at": F.current_timestamp()})
-            store.put_states(states, ["modified", "bug_id"])
-            top = fresh.agg(F.max("created").cast("string").alias("t")).first()["t"]
+            good, bad = fresh.where("created is not null"), fresh.where("created is null")
+            store.put_states(good.withColumns({"is_duplicate": F.col("duplicate_of").isNotNull(), "checked_at": F.current_timestamp()}), ["modified", "bug_id"])
+            # the cursor moves over what the store now has, and is held at the oldest that failed
+            stored = good.join(store.table("bug_state").select("bug_id"), "bug_id", "left_semi")
+            failed = good.join(store.table("bug_state").select("bug_id"), "bug_id", "left_anti")
+            top = incremental.next_cursor(stored.select(F.col("created").cast("string").alias("created")), failed.select(F.col("created").cast("string").alias("created")), "created", None)
             if top:
                 store.advance("sweep_watermark", top)
+            if bad.head(1):
+                print("tasks without a date were not stored", file=sys.stderr)
     elif a.command == "refresh":
         tasks = bugs.read_tasks(spark, a.target)
         now = tasks.select("bug_id", "status", "importance", "assignee", "title")
-        changed, touched = incremental.refresh(store.table("bug_state").select("bug_id", "status", "importance", "assignee", "title"), now, not a.partial, "bug_id", None, ["status", "importance", "assignee", "title"])
+        whole = not a.partial and not tasks.where("not complete").head(1)
+        changed, touched = incremental.refresh(store.table("bug_state").select("bug_id", "status", "importance", "assignee", "title"), now, whole, "bug_id", None, ["status", "importance", "assignee", "title"])
         show(changed, a.json)
         if not a.dry_run:
             store.touch_states(touched, F.current_timestamp())

@@ -82,13 +82,13 @@ def diagnose(lines: DataFrame, reports: DataFrame | None = None, **options) -> D
     own = by(records, F.max("phase").alias("terminal_phase"), F.count(F.lit(1)).alias("records"), F.max(F.col("message").startswith("abort called")).alias("aborted"), F.max((F.col("level") == "ERROR") & rules.is_terminal_error(F.col("message"))).alias("failed"))
     flags = keys.join(own, "run_key", "left").join(by(apt_errors, F.lit(True).alias("apt_failed")), "run_key", "left").join(by(secs, F.max("truncated").alias("apt_cut")), "run_key", "left")
     flags = flags.join(by(blocks, F.max("truncated").alias("term_cut"), F.max("line_count").alias("term_lines")), "run_key", "left").join(by(fails.where("kind <> 'dependency'"), F.lit(True).alias("dpkg_failed")), "run_key", "left")
-    flags = flags.join(by(lines, F.array_except(F.array(F.lit("main"), F.lit("apt")), F.collect_set("source")).alias("missing_logs")), "run_key", "left")
+    flags = flags.join(by(lines, F.array_except(F.array(F.lit("main"), F.lit("apt")), F.collect_set("source")).alias("missing_logs"), F.sort_array(F.collect_set("source")).alias("logs_present")), "run_key", "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     phase = F.coalesce("terminal_phase", F.lit(0))
     complete = F.when(yes("apt_cut") | yes("term_cut"), False).when(yes("dpkg_failed"), True).when(F.coalesce("records", F.lit(0)) == 0, False).when(phase == ordered.PHASES["SCREEN_REEXEC"], False).otherwise(yes("aborted") | yes("apt_failed") | yes("failed") | (phase >= ordered.PHASES["POST_CLEANUP"]))
     wrote = F.when(F.col("term_lines").isNotNull(), F.col("term_lines") > 0).when(phase >= ordered.PHASES["COMMIT"], True).when(F.coalesce("records", F.lit(0)) > 0, False)
     names = F.create_map(*[F.lit(x) for k, v in ordered.PHASES.items() for x in (v, k)])
-    facts = flags.select("run_key", complete.alias("evidence_complete"), wrote.alias("reached_dpkg"), phase.alias("terminal_phase"), names[phase].alias("phase_name"), "missing_logs")
+    facts = flags.select("run_key", complete.alias("evidence_complete"), wrote.alias("reached_dpkg"), phase.alias("terminal_phase"), names[phase].alias("phase_name"), "missing_logs", "logs_present")
     more = ("problem_type", "traceback", "duplicate_signature")
     facts = facts.join(reports.select("run_key", *more), "run_key", "left") if reports is not None else facts.withColumns({c: F.lit(None).cast("string") for c in more})
 

@@ -1,5 +1,7 @@
 """Ordered streams, resolver lines, graphs and diagnosis on small synthetic logs."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +121,43 @@ def test_graph(spark):
     assert conflicts.report(conflicts.roots(blame), blame).first()["roots"] == 2
 
 
+def plain_search(pairs):
+    """Roots one after another, by looking at everything each time."""
+    causes = sorted({a for a, _ in pairs})
+    hit = lambda x: sum(b == x for _, b in pairs)
+    out, covered = [], set()
+
+    def reach(root):
+        seen, queue = [root], [root]
+        while queue:
+            here = queue.pop(0)
+            for b in sorted({b for a, b in pairs if a == here}):
+                if b not in seen:
+                    seen.append(b)
+                    queue.append(b)
+        return seen
+
+    for root in [a for a in causes if not hit(a)]:
+        out.append((root, reach(root)[1:], False))
+        covered |= set(reach(root))
+    while left := [a for a in causes if a not in covered]:
+        made = lambda x: sum(a == x for a, _ in pairs)
+        root = min(left, key=lambda x: (hit(x) - made(x), -made(x), x))
+        out.append((root, reach(root)[1:], True))
+        covered |= set(reach(root))
+    return out
+
+
+def test_cascades_by_brute_force():
+    import random
+
+    rng = random.Random(5)
+    for n in range(300):
+        names = "abcdefgh"[: rng.randint(2, 8)]
+        pairs = sorted({(a, b) for a, b in ((rng.choice(names), rng.choice(names)) for _ in range(rng.randint(1, 14))) if a != b})
+        assert conflicts.search(pairs) == plain_search(pairs), pairs
+
+
 def test_search_breaks_cycles():
     assert conflicts.search([("a", "b"), ("b", "c")]) == [("a", ["b", "c"], False)]
     assert conflicts.search([("a", "b"), ("b", "a"), ("b", "c")]) == [("b", ["a", "c"], True)]
@@ -168,6 +207,15 @@ def test_diagnosis_end_to_end(spark):
     rec = report.json_records(d.facts, d.findings).first()["record"]
     assert '"schema":1' in rec and "holdback_blocks_new_dep" in rec
     assert "libb" in report.markdown_reports(d.facts, d.findings).first()["report"]
+    told = json.loads(report.triage_records(d).first()["record"])
+    assert len(told) == 36 and told["cause"] == "holdback_blocks_new_dep" and told["severity"] == "high" and told["lex_unmatched"] == 1 and told["unknown_shapes"] == [{"template": "a line of no known phrase", "count": 1}]
+    assert told["apt_broken_count"] == 2 and told["logs_present"] == ["apt", "main"] and told["rules_withheld"] == [] and told["evidence_complete"] and told["corroborated"] == ["holdback_blocks_new_dep", "third_party_pin"]
+    page = report.run_pages(d).first()["report"]
+    for head in ("# libb held back", "## Diagnosis", "## What the log says", "## Packages from elsewhere", "## Fragile decision", "## Run", "## Counts", "## Method"):
+        assert head in page, head
+    assert "## Livelock" not in page
+    digest = report.corpus_digest(d, similarity.clusters(d.signatures))
+    assert "1 run diagnosed" in digest and "| `holdback_blocks_new_dep` | 1 |" in digest and "## Alone: 1" in digest
     assert d.findings.orderBy("rank").select(rules.title().alias("t")).first()["t"] == "libb held back, blocking 2 packages"
 
 

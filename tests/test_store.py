@@ -145,6 +145,80 @@ def test_pacing_and_paging():
     assert [end for _, end in seen] == [False, True] and bugs.task_row(seen[0][0][0])[0] == 5
 
 
+class Answer:
+    def __init__(self, status, headers, body):
+        self.status, self.headers, self.body = status, headers, body
+
+    def read(self):
+        return self.body
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+
+
+def opener(answers, asked):
+    """A stand-in for urlopen: statuses of 300 and more are raised, as it does."""
+    import io
+    import urllib.error
+
+    def open_(request, timeout):
+        asked.append((request.full_url, request.get_header("If-none-match")))
+        status, headers, body = answers[request.full_url].pop(0)
+        if status >= 300:
+            raise urllib.error.HTTPError(request.full_url, status, "", headers, io.BytesIO(body))
+        return Answer(status, headers, body)
+
+    return open_
+
+
+def test_raised_statuses_are_retried_and_unmodified_bodies_kept():
+    slept, asked = [], []
+    answers = {"http://u": [(429, {"Retry-After": "7"}, b""), (503, {}, b""), (200, {"ETag": "t"}, b"ok"), (304, {}, b"")]}
+    fetch = bugs.Fetcher(bugs.Pacer(0.0, 5, lambda: 0.0, slept.append), opener=opener(answers, asked))
+    assert fetch("http://u") == b"ok" and slept == [7, 10] and fetch("http://u") == b"ok" and asked[-1] == ("http://u", "t")
+    with pytest.raises(OSError, match="404"):
+        bugs.Fetcher(bugs.Pacer(0.0), opener=opener({"http://v": [(404, {}, b"")]}, []))("http://v")
+
+
+def test_a_listing_that_is_cut_off_says_so():
+    docs = {"a": {"entries": [{"bug_link": "x/bugs/5"}], "next_collection_link": "b"}, "b": {"entries": [{"bug_link": "x/bugs/6"}]}}
+    fetch = lambda u: json.dumps(docs[u]).encode()
+    assert [bugs.task_row(e, c)[-1] for entries, c in [bugs.listing("a", fetch)] for e in entries] == [True, True]
+    assert bugs.listing("a", fetch, most=1)[1] is False
+
+
+def test_single_bugs():
+    docs = {
+        "t/bugs/7": {"title": "x", "description": "d", "date_created": "2026-01-01T00:00:00+00:00", "duplicate_of_link": "t/bugs/3", "number_of_duplicates": 2, "bug_tasks_collection_link": "tasks", "attachments_collection_link": "files"},
+        "tasks": {"entries": [{"target_link": "t/other", "status": "New"}, {"target_link": "t/tool", "status": "Triaged", "importance": "High", "assignee_link": "t/~me"}]},
+        "files": {"entries": [{"title": "main.log", "data_link": "f/1", "type": "Unspecified"}]},
+    }
+    row = bugs.bug_row("t", 7, lambda u: json.dumps(docs[u]).encode(), "tool")
+    assert row[:3] == (7, "x", "d") and row[4:] == (3, 2, "Triaged", "High", "me", [("main.log", "f/1", "Unspecified")])
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark):
+    from types import SimpleNamespace
+
+    from lodestone.sources import scratch
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://x"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch.root(far)
+
+
+def test_json_output_is_whole(spark, capsys):
+    from lodestone import cli
+
+    cli.show(spark.range(70), True)
+    assert len(capsys.readouterr().out.splitlines()) == 70
+    cli.show(spark.range(70), False)
+    assert "only the first 50" in capsys.readouterr().out
+
+
 def test_config(tmp_path):
     from lodestone.sources import config
 
