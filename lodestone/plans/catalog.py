@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import conflicts, corpus, ordered, similarity, state, worklist
+from ..operators import conflicts, corpus, ordered, resolver_lines, rules, similarity, state, terminal, worklist
+from ..sources import logs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -57,9 +58,8 @@ SELECT template, count(*) AS df FROM t GROUP BY template
 """)
 def template_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency of lines with their numbers masked."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
-    masked = lines.select("doc_id", F.trim(F.regexp_replace("line", DIGITS, "<N>")).alias("template"))
-    return similarity.document_frequency(masked, "doc_id", "template")
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    return similarity.set_frequency(table(spark, sf_dir, "documents"), F.transform(lines, lambda x: F.trim(F.regexp_replace(x, DIGITS, "<N>"))), "template")
 
 
 @query()
@@ -80,9 +80,8 @@ SELECT token, count(*) AS df, round(ln(1 + any_value(n.n) / count(*)), 6) AS wei
 """)
 def idf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    tokens = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))).alias("token"))
-    n = docs.count()
-    return similarity.idf(similarity.document_frequency(tokens, "doc_id", "token"), n).withColumn("weight", F.round("weight", 6))
+    found = similarity.set_frequency(docs, F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)), "token")
+    return similarity.idf(found, docs.count()).withColumn("weight", F.round("weight", 6))
 
 
 def _order_parts(spark, sf_dir):
@@ -93,21 +92,25 @@ def _order_parts(spark, sf_dir):
 WITH i AS (SELECT DISTINCT l_orderkey AS doc, l_partkey AS item FROM lineitem),
 n AS (SELECT count(DISTINCT doc) AS n FROM i),
 w AS (SELECT item, ln(1 + any_value(n.n) / count(*)) AS w FROM i, n GROUP BY item),
-p AS (SELECT DISTINCT a.doc AS l, b.doc AS r FROM i a JOIN i b ON a.item = b.item AND a.doc < b.doc WHERE a.item % 25 = 0),
-t AS (SELECT doc, sum(w) AS total FROM i JOIN w USING (item) GROUP BY doc),
-s AS (SELECT p.l, p.r, sum(w.w) AS both_ FROM p JOIN i a ON a.doc = p.l JOIN i b ON b.doc = p.r AND a.item = b.item JOIN w ON w.item = a.item GROUP BY p.l, p.r)
-SELECT s.l AS "left", s.r AS "right", round(both_ / (x.total + y.total - both_), 6) AS score,
-  CASE WHEN both_ / (x.total + y.total - both_) >= 0.8 THEN 'duplicate' WHEN both_ / (x.total + y.total - both_) < 0.55 THEN 'different' ELSE 'ambiguous' END AS verdict
-FROM s JOIN t x ON x.doc = s.l JOIN t y ON y.doc = s.r
+g AS (SELECT doc, list_sort(list(item)) AS items FROM i GROUP BY doc),
+c AS (SELECT doc, min(doc) OVER (PARTITION BY items) AS class FROM g),
+h AS (SELECT i.doc, i.item, w.w FROM i JOIN c USING (doc) JOIN w USING (item) WHERE c.doc = c.class),
+t AS (SELECT doc, sum(w) AS total FROM h GROUP BY doc),
+b AS (SELECT a.doc AS l, b.doc AS r, sum(a.w) AS both_ FROM h a JOIN h b ON a.item = b.item AND a.doc < b.doc GROUP BY 1, 2),
+p AS (SELECT l, r, round(both_ / (x.total + y.total - both_), 9) AS score FROM b JOIN t x ON x.doc = b.l JOIN t y ON y.doc = b.r)
+SELECT l AS "left", r AS "right", round(score, 6) AS score, CASE WHEN score >= 0.8 THEN 'duplicate' ELSE 'ambiguous' END AS verdict FROM p WHERE score >= 0.55
+UNION ALL SELECT class, doc, 1.0, 'same' FROM c WHERE doc <> class
 """)
 def weighted_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders that share one of every 25th part (the block), scored over all of their parts."""
+    """All pairs of different baskets that aren't told apart (0.55 or more), by their least order; then who has the same basket."""
     items = _order_parts(spark, sf_dir)
     n = items.select("doc").distinct().count()
     weights = similarity.idf(similarity.document_frequency(items, "doc", "item"), n)
-    scored = similarity.weighted_pairs(items.join(weights.select("item", "weight"), "item"), "doc", "item", "weight", items.where("item % 25 = 0"), "item")
+    pairs, members = similarity.similar_pairs(items.join(weights.select("item", "weight"), "item"), "doc", "item", "weight", 0.55 - 1e-9)
+    scored = pairs.select("left", "right", F.round("score", 9).alias("score")).where("score >= 0.55")
     v = similarity.verdict(F.lit(False), F.lit(False), F.lit(1), F.lit(True), F.col("score"))
-    return scored.select("left", "right", F.round("score", 6).alias("score"), F.when(v["duplicate"], "duplicate").when(v["ambiguous"], "ambiguous").otherwise("different").alias("verdict"))
+    told = scored.select("left", "right", F.round("score", 6).alias("score"), F.when(v["duplicate"], "duplicate").when(v["ambiguous"], "ambiguous").otherwise("different").alias("verdict"))
+    return told.unionByName(members.where("doc <> class").select(F.col("class").alias("left"), F.col("doc").alias("right"), F.lit(1.0).alias("score"), F.lit("same").alias("verdict")))
 
 
 @query("""
@@ -123,10 +126,9 @@ SELECT doc_id, m.cluster, CAST(left(m.cluster, 1) AS INTEGER) AS tier, joined_ti
 """.replace("\\\\", "\\"))
 def signature_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiered classes: equal sets of words, extended by equal first words of the sorted set."""
-    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0))))
-    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("s"))
-    sigs = docs.select("doc_id", F.md5(F.array_join("s", " ")).alias("root_graph"), F.md5(F.array_join(F.slice("s", 1, 3), " ")).alias("cause_tuple"))
-    return similarity.clusters(sigs, "doc_id")
+    words = F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0))))
+    both = T.bound(words, lambda s: F.struct(F.md5(F.array_join(s, " ")).alias("root_graph"), F.md5(F.array_join(F.slice(s, 1, 3), " ")).alias("cause_tuple")))
+    return similarity.clusters(table(spark, sf_dir, "documents").select("doc_id", both.alias("x")).select("doc_id", "x.*"), "doc_id")
 
 
 @query(r"""
@@ -146,14 +148,76 @@ def redact_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.redact(F.col("text")).alias("clean"))
 
 
-@query(r"""
-SELECT doc_id, CASE WHEN regexp_matches(text[1:64000], '(?m)^Licensed ') THEN 'license' WHEN regexp_matches(text[1:64000], '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 'dated'
-  WHEN regexp_matches(text[1:64000], '\|') THEN 'table' ELSE 'prose' END AS kind FROM documents
+#: Openings of logs of each kind, by doc_id modulo 7 (the last is none), before the documents' own texts.
+OPENINGS = ("Log time: Mon Jan 5 10:00:00 2026", "  Investigating (0) a:amd64 ", "Start-Date: 2026-01-05  10:00:00", "2026-01-05 10:00:00,000 INFO started", "Setting up a (1.0) ...", "dpkg: error processing package a", "nothing known")
+LOG_TEXT = "CASE doc_id % 7 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(OPENINGS)) + " END || chr(10) || coalesce(text, '')"
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, ({LOG_TEXT})[1:64000] AS h FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(h, '(?m)^Log time: (\w{{3}} \w{{3}}|\d{{4}}-)') OR regexp_matches(h, '(?m)^(  )*(Investigating|Broken|Considering) \S+ ') THEN 'apt'
+  WHEN regexp_matches(h, '(?m)^Start-Date: \d{{4}}-\d{{2}}-\d{{2}}') THEN 'history' WHEN regexp_matches(h, '(?m)^\d{{4}}-\d\d-\d\d \d\d:\d\d:\d\d,\d{{3}} (DEBUG|INFO|WARNING|ERROR|CRITICAL) ') THEN 'main'
+  WHEN regexp_matches(h, '(?m)^(Preparing to unpack|Unpacking|Setting up|Processing triggers for|Removing|Selecting previously unselected package|Purging configuration files for) .*\.\.\.') OR regexp_matches(h, '(?m)^dpkg: (error|warning)') THEN 'apt_term' END AS kind FROM d
 """)
 def sniff_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("text", 1, 64000)
-    kind = F.when(head.rlike("(?m)^Licensed "), "license").when(head.rlike("[0-9]{4}-[0-9]{2}-[0-9]{2}"), "dated").when(head.rlike(r"\|"), "table").otherwise("prose")
-    return table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"))
+    """What a log is by its opening: the documents, each under a line of some kind of log."""
+    return table(spark, sf_dir, "documents").select("doc_id", logs.sniff(F.expr(LOG_TEXT)).alias("kind"))
+
+
+SHOWN = r"chr(27) || '[1m' || replace(coalesce(text, ''), chr(10), chr(27) || '[0m' || chr(10) || 'gone' || chr(13) || chr(27) || '[1;31m' || chr(7)) || chr(27) || '[0m'"
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
+c AS (SELECT doc_id, k, regexp_replace(CASE WHEN k > 1 AND regexp_replace(x, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g') = '' THEN 'gone' ELSE regexp_replace(x, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g') END, '\s+$', '') AS x FROM l),
+k AS (SELECT doc_id, count(*) AS n, md5(string_agg(x, chr(10) ORDER BY k)) AS digest FROM c WHERE x <> '' GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n, coalesce(digest, md5('')) AS digest FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
+""")
+def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a terminal records them, with colours, bells and lines drawn over others, made plain again."""
+    lines = T.clean_lines(F.expr(SHOWN), redacted=False)
+    return table(spark, sf_dir, "documents").select("doc_id", T.bound(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), F.md5(F.array_join(x, "\n")).alias("digest"))).alias("x")).select("doc_id", "x.*")
+
+
+#: One line of a resolver trace for each row of lineitem, of a kind by its number; DuckDB and Spark read it alike.
+P, S = "'p' || l_partkey || ':amd64'", "'s' || l_suppkey || ':i386'"
+TRACE = f"""CASE l_linenumber WHEN 1 THEN 'Broken ' || {P} || ' Depends on ' || {S} || ' < none | 3.' || l_partkey || ' @un umH > (>= 3.' || l_suppkey || ')'
+  WHEN 2 THEN '  Considering ' || {P} || ' 4 as a solution to ' || {S} || ' -7' WHEN 3 THEN 'Holding Back ' || {P} || ' rather than change ' || {S}
+  WHEN 4 THEN 'Upgrading: ' || {P} || ' due to ' || {S} WHEN 5 THEN '    MarkInstall ' || {P} || ' < 1.0 -> 2.0 @ii umU Ib > FU=1'
+  WHEN 6 THEN {P} || ' Conflicts on ' || {S} || ' can' || chr(39) || 't be satisfied! (dep)' ELSE 'no known phrase ' || l_partkey END"""
+
+
+def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("run_key"), F.col("l_linenumber").alias("line_no"), "l_partkey", "l_suppkey", F.expr(TRACE).alias("line"))
+    return resolver_lines.lex(lines)
+
+
+@query(f"""
+SELECT CAST(l_orderkey AS VARCHAR) AS run_key, l_linenumber AS line_no, l_partkey, l_suppkey,
+  CASE l_linenumber WHEN 1 THEN 'broken' WHEN 2 THEN 'considering' WHEN 3 THEN 'holding_back' WHEN 4 THEN 'upgrading_due_to' WHEN 5 THEN 'mark_install' WHEN 6 THEN 'cant_be_satisfied' ELSE 'unknown' END AS verb,
+  CASE WHEN l_linenumber < 7 THEN {P} ELSE '' END AS subject, CASE WHEN l_linenumber IN (1, 2, 3, 4, 6) THEN {S} ELSE '' END AS object, CASE l_linenumber WHEN 1 THEN 6 WHEN 6 THEN 5 ELSE 0 END AS dep,
+  CASE WHEN l_linenumber = 1 THEN '>= 3.' || l_suppkey ELSE '' END AS "constraint", CASE WHEN l_linenumber = 2 THEN -7 END AS score_dst, CASE l_linenumber WHEN 2 THEN 2 WHEN 5 THEN 4 ELSE 0 END AS depth,
+  CASE l_linenumber WHEN 1 THEN '3.' || l_partkey WHEN 5 THEN '2.0' END AS candidate, CASE WHEN l_linenumber = 5 THEN true END AS from_user, CASE WHEN l_linenumber < 7 THEN 'matched' ELSE 'unmatched' END AS shape FROM lineitem
+""")
+def lex_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of the traces with its fields."""
+    return _trace(spark, sf_dir).select("run_key", "line_no", "l_partkey", "l_suppkey", "verb", "subject", "object", "dep", "constraint", "score_dst", "depth", F.get("states", F.lit(0))["cand_version"].alias("candidate"), "from_user", "shape")
+
+
+@query("""
+SELECT CAST(l_orderkey AS VARCHAR) AS run_key, count(*) AS lines, count_if(l_linenumber < 7) AS matched, count_if(l_linenumber >= 7) AS unmatched, round(count_if(l_linenumber < 7) / count(*), 6) AS coverage FROM lineitem GROUP BY 1
+""")
+def lex_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolver_lines.coverage(_trace(spark, sf_dir)).select("run_key", "lines", "matched", "unmatched", F.round("coverage", 6).alias("coverage"))
+
+
+@query(f"""
+SELECT CAST(l_orderkey AS VARCHAR) AS run_key, {S} AS src, {P} AS dst, CASE l_linenumber WHEN 1 THEN 1 WHEN 3 THEN 3 WHEN 4 THEN 5 ELSE 6 END AS kind, CASE l_linenumber WHEN 1 THEN 6 WHEN 6 THEN 5 ELSE 0 END AS dep,
+  CASE WHEN l_linenumber = 1 THEN '>= 3.' || l_suppkey ELSE '' END AS "constraint", CASE WHEN l_linenumber = 3 THEN 1 ELSE 0 END AS decision FROM lineitem WHERE l_linenumber IN (1, 3, 4, 6) GROUP BY ALL
+""")
+def trace_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the runs' conflict graphs, cause to affected."""
+    return conflicts.edges(_trace(spark, sf_dir)).select("run_key", "src", "dst", "kind", "dep", "constraint", "decision")
 
 
 @query("""
@@ -175,8 +239,8 @@ def cause_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.histogram(table(spark, sf_dir, "orders"), F.coalesce(F.nullif("o_orderstatus", F.lit("P")), F.lit("not_diagnosed")), "cause")
 
 
-PHASE_SQL = "CASE event_type WHEN 'signup' THEN 10 WHEN 'view' THEN 20 WHEN 'click' THEN 60 WHEN 'error' THEN 70 WHEN 'purchase' THEN 100 ELSE 0 END"
-PHASE_OF = {"signup": 10, "view": 20, "click": 60, "error": 70, "purchase": 100}
+PHASE_SQL = "CASE event_type WHEN 'signup' THEN 10 WHEN 'view' THEN 30 WHEN 'click' THEN 60 WHEN 'error' THEN 70 WHEN 'purchase' THEN 100 ELSE 0 END"
+PHASE_OF = {"signup": 10, "view": 30, "click": 60, "error": 70, "purchase": 100}
 
 
 def phase_code():
@@ -239,12 +303,13 @@ def top_blamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS i FROM lineitem WHERE l_returnflag = 'R')
-SELECT a.k AS supplier, b.k AS other, count(*) AS shared FROM s a JOIN s b ON a.i = b.i AND a.k <> b.k GROUP BY 1, 2 HAVING count(*) >= 3
+WITH s AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS i FROM lineitem)
+SELECT a.k AS supplier, b.k AS other, count(*) AS shared FROM s a JOIN s b ON a.i = b.i AND a.k <> b.k WHERE a.k % 50 = 0 GROUP BY 1, 2 HAVING count(*) >= 3
 """)
 def related_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("supplier"), F.col("l_partkey").alias("part"))
-    return corpus.sharing(rows, "supplier", "part", 3)
+    """A search: who shares three or more parts with the suppliers asked for (every fiftieth), among all."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supplier"), F.col("l_partkey").alias("part"))
+    return corpus.sharing(rows, "supplier", "part", 3, rows.where("supplier % 50 = 0").select("supplier"))
 
 
 @query("""
@@ -275,17 +340,17 @@ def role_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS g, o_custkey % 50 * 10 + CAST(left(o_orderpriority, 1) AS INTEGER) AS c FROM orders WHERE o_orderstatus = 'P'),
-e AS (SELECT a.k, b.k AS other FROM s a JOIN s b ON a.g = b.g AND a.k <> b.k)
+WITH s AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey || o_orderpriority END AS g, o_custkey AS c FROM orders),
+e AS (SELECT a.k, b.k AS other FROM s a JOIN s b ON a.g = b.g AND a.k <> b.k WHERE a.k % 50 = 0)
 SELECT k AS run_key, other, 'root-graph' AS how FROM e UNION ALL
-SELECT a.k, b.k, 'cause' FROM s a JOIN s b ON a.c = b.c AND a.k <> b.k LEFT JOIN e ON e.k = a.k AND e.other = b.k WHERE e.k IS NULL
+SELECT a.k, b.k, 'cause' FROM s a JOIN s b ON a.c = b.c AND a.k <> b.k LEFT JOIN e ON e.k = a.k AND e.other = b.k WHERE e.k IS NULL AND a.k % 50 = 0
 """)
 def anti_related(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs with the same graph, then those with the same cause that aren't among them."""
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
-    sig = o.select(F.col("o_orderkey").alias("run_key"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey")).alias("root_graph"), (F.col("o_custkey") % 50 * 10 + F.substring("o_orderpriority", 1, 1).cast("int")).alias("cause_tuple"))
+    """A search for every fiftieth run, among all: runs with the same graph, then those with the same cause that aren't among them."""
+    o = table(spark, sf_dir, "orders")
+    sig = o.select(F.col("o_orderkey").alias("run_key"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.col("o_custkey").cast("string"), "o_orderpriority")).alias("root_graph"), F.col("o_custkey").alias("cause_tuple"))
     none = sig.select("run_key", F.col("run_key").alias("other")).where("false")
-    return corpus.related(sig, none)
+    return corpus.related(sig, none, queries=sig.where("run_key % 50 = 0").select("run_key"))
 
 
 @query("SELECT doc_id, NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AS is_duplicate FROM documents d")
@@ -294,33 +359,39 @@ def listing_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT l_suppkey AS supplier, list_sort(list(DISTINCT l_linestatus)) AS keys FROM lineitem GROUP BY 1
+WITH r AS (SELECT DISTINCT l_suppkey AS supplier, l_partkey FROM lineitem) SELECT supplier, l_partkey, count(*) OVER (PARTITION BY supplier) AS n FROM r
 """)
 def signature_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supplier"), "l_linestatus").distinct()
-    return corpus.signature_buckets(rows, "supplier", "l_linestatus")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supplier"), "l_partkey").distinct()
+    return corpus.signature_buckets(rows, "supplier", "l_partkey")
 
 
 @query("""
-WITH b AS (SELECT DISTINCT p_brand AS name FROM part UNION SELECT 'nobody'), k AS (SELECT DISTINCT p_brand || ':' || p_size AS pkg, p_brand AS name FROM part WHERE p_size <= 5)
+WITH b AS (SELECT DISTINCT p_brand AS name FROM part UNION SELECT 'nobody'), k AS (SELECT DISTINCT p_brand || ':' || p_size AS pkg, p_brand AS name FROM part)
 SELECT DISTINCT b.name, coalesce(k.pkg, b.name) AS pkg FROM b LEFT JOIN k USING (name)
 """)
 def name_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     bare = part.select(F.col("p_brand").alias("name")).distinct().union(spark.createDataFrame([("nobody",)], "name string"))
-    seen = part.where("p_size <= 5").select(F.concat("p_brand", F.lit(":"), F.col("p_size").cast("string")).alias("pkg"))
+    seen = part.select(F.concat("p_brand", F.lit(":"), F.col("p_size").cast("string")).alias("pkg"))
     return corpus.expand_names(bare, seen)
 
 
 # -- ordered streams -----------------------------------------------------------------------
 
 
+#: What a log says in the phase of each type of event.
+SAID = {"signup": "Using config files 'x'", "view": "checkViewDepends()", "click": "Marking 'x' for upgrade", "error": "cache.commit() returned False", "purchase": "confirmRestart() called"}
+
+
 @query(f"""
 SELECT event_id, CAST(max({PHASE_SQL}) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS phase FROM events
 """)
 def running_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    return ordered.running_phase(ev, phase_code(), ["user_id"], ["ts", "event_id"]).select("event_id", long("phase").alias("phase"))
+    message = F.create_map(*[F.lit(x) for kv in SAID.items() for x in kv])[F.col("event_type")]
+    marker = ordered.phase_of(F.col("message"))
+    return ordered.running_phase(ev.withColumn("message", message), marker, ["user_id"], ["ts", "event_id"]).select("event_id", long("phase").alias("phase"))
 
 
 @query(f"""
@@ -335,15 +406,22 @@ def phase_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.phase_spans(rows, ["user_id"]).withColumn("phase", long("phase"))
 
 
-@query("""
-WITH g AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS rec FROM conversations)
-SELECT conv_id, CAST(rec AS BIGINT) AS rec, min(turn) AS first_turn, count(*) AS turns, md5(string_agg(role || ':' || text, chr(10) ORDER BY turn)) AS folded FROM g WHERE rec > 0 GROUP BY conv_id, rec
+#: A line of a log for each turn: users' turns open a record with a stamp, the others continue it.
+TURN = "regexp_replace(text, '[\\r\\n\u0085\u2028\u2029]', ' '{g})"
+LOGGED = "CASE WHEN role = 'user' THEN '2026-01-' || lpad(CAST(1 + turn % 28 AS {s}), 2, '0') || ' 10:00:00,' || lpad(CAST(turn % 1000 AS {s}), 3, '0') || ' INFO ' ELSE '' END || " + TURN
+
+
+@query(f"""
+WITH g AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER w AS rec, {LOGGED.format(s="VARCHAR", g=", 'g'")} AS line FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT conv_id, rec, min(turn) AS line_no, any_value({TURN.format(g=", 'g'")}) FILTER (WHERE role = 'user') AS message, count(*) - 1 AS more, md5(coalesce(string_agg(line, chr(10) ORDER BY turn) FILTER (WHERE role <> 'user'), '')) AS folded FROM g WHERE rec > 0 GROUP BY conv_id, rec),
+m AS (SELECT *, (line_no % 28) * 86400000 + line_no % 1000 AS ms FROM r)
+SELECT conv_id, CAST(rec AS INTEGER) AS seq, line_no, 'INFO' AS level, md5(message) AS message, more, folded, greatest(0, ms - first(ms) OVER (PARTITION BY conv_id ORDER BY rec)) AS t_ms FROM m
 """)
 def record_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A record begins at a user's turn; what follows continues it."""
-    rows = ordered.group_number(table(spark, sf_dir, "conversations"), F.col("role") == "user", ["conv_id"], ["turn"], "rec").where("rec > 0")
-    lines = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(":"), "text").alias("x"))))
-    return rows.groupBy("conv_id", long("rec").alias("rec")).agg(F.min("turn").alias("first_turn"), F.count(F.lit(1)).alias("turns"), F.md5(F.array_join(F.transform(lines, lambda r: r["x"]), "\n")).alias("folded"))
+    """Records of a log: a stamped line opens one, what follows continues it."""
+    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(LOGGED.format(s="STRING", g="")).alias("line"))
+    r = ordered.fold_records(lines, ["conv_id"], "turn", "line")
+    return r.select("conv_id", "seq", "line_no", "level", F.md5("message").alias("message"), F.size("continuation").cast("long").alias("more"), F.md5(F.array_join("continuation", "\n")).alias("folded"), "t_ms")
 
 
 @query("""
@@ -385,12 +463,12 @@ def lag_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH w AS (SELECT user_id, min(ts) AS a, max(ts) AS b FROM events WHERE event_type = 'signup' AND value > 60 GROUP BY user_id)
+WITH w AS (SELECT user_id, min(ts) AS a, max(ts) AS b FROM events WHERE event_type = 'signup' GROUP BY user_id)
 SELECT event_id FROM events JOIN w USING (user_id) WHERE ts >= a - INTERVAL 300 SECOND AND ts <= b + INTERVAL 300 SECOND
 """)
 def interval_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
-    spans = ev.where("event_type = 'signup' and value > 60").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    spans = ev.where("event_type = 'signup'").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
     return ordered.within(ev, spans, ["user_id"], F.col("ts"), "a", "b", 300).select("event_id")
 
 
@@ -415,20 +493,21 @@ def tx_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- graphs ------------------------------------------------------------------------------------
 
+#: Orders are runs; the packages of a run's graph are few, so that edges meet.
 BLAME_SQL = """
-e AS (SELECT l_orderkey % 400 AS run_key, 's' || l_suppkey % 40 AS src, 'p' || l_partkey % 60 AS dst, CAST(4 + l_linenumber % 3 AS INTEGER) AS dep FROM lineitem WHERE l_returnflag = 'R'),
-f AS (SELECT DISTINCT l_orderkey % 400 AS run_key, 'p' || l_partkey % 60 AS pkg FROM lineitem WHERE l_returnflag = 'R' AND l_partkey % 10 = 0),
+e AS (SELECT l_orderkey AS run_key, 's' || l_suppkey % 3 AS src, 'p' || l_partkey % 4 AS dst, CAST(4 + l_linenumber % 3 AS INTEGER) AS dep FROM lineitem),
+f AS (SELECT DISTINCT l_orderkey AS run_key, 'p' || l_partkey % 4 AS pkg FROM lineitem WHERE l_partkey % 4 = 0),
 o AS (SELECT e.run_key, CASE WHEN t THEN dst ELSE src END AS src, CASE WHEN t THEN src ELSE dst END AS dst, dep, t AS reoriented FROM (
   SELECT e.*, dep IN (4, 5) AND x.pkg IS NOT NULL AND y.pkg IS NULL AS t FROM e LEFT JOIN f x ON x.run_key = e.run_key AND x.pkg = e.dst LEFT JOIN f y ON y.run_key = e.run_key AND y.pkg = e.src) e)
 """
 
 
 def _blame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
-    run = F.col("l_orderkey") % 400
+    li = table(spark, sf_dir, "lineitem")
+    run = F.col("l_orderkey")
     name = lambda letter, c, n: F.concat(F.lit(letter), (F.col(c) % n).cast("string"))
-    rows = li.select(run.alias("run_key"), name("s", "l_suppkey", 40).alias("src"), name("p", "l_partkey", 60).alias("dst"), F.lit(conflicts.BREAKS).alias("kind"), (4 + F.col("l_linenumber") % 3).cast("int").alias("dep"))
-    foreign = li.where("l_partkey % 10 = 0").select(run.alias("run_key"), name("p", "l_partkey", 60).alias("pkg")).distinct()
+    rows = li.select(run.alias("run_key"), name("s", "l_suppkey", 3).alias("src"), name("p", "l_partkey", 4).alias("dst"), F.lit(conflicts.BREAKS).alias("kind"), (4 + F.col("l_linenumber") % 3).cast("int").alias("dep"))
+    foreign = li.where("l_partkey % 4 = 0").select(run.alias("run_key"), name("p", "l_partkey", 4).alias("pkg")).distinct()
     return conflicts.blame_edges(rows, foreign)
 
 
@@ -442,53 +521,80 @@ def roots_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conflicts.entry_roots(_blame(spark, sf_dir))
 
 
-@query(f"""
-WITH RECURSIVE {BLAME_SQL}, d AS (SELECT DISTINCT run_key, src, dst FROM o),
-r AS (SELECT DISTINCT run_key, src AS pkg FROM d WHERE NOT EXISTS (SELECT 1 FROM d b WHERE b.run_key = d.run_key AND b.dst = d.src)),
-w(run_key, pkg, node) AS (SELECT run_key, pkg, pkg FROM r UNION SELECT w.run_key, w.pkg, d.dst FROM w JOIN d ON d.run_key = w.run_key AND d.src = w.node)
-SELECT run_key, pkg, count(*) - 1 AS cascade_size FROM w GROUP BY run_key, pkg
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS run_key, 'n' || least(l_suppkey % 6, l_partkey % 7) AS src, 'n' || greatest(l_suppkey % 6, l_partkey % 7) AS dst FROM lineitem WHERE l_suppkey % 6 <> l_partkey % 7),
+r AS (SELECT DISTINCT run_key, src AS pkg FROM e WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.run_key = e.run_key AND b.dst = e.src)),
+w(run_key, pkg, node) AS (SELECT run_key, pkg, pkg FROM r UNION SELECT w.run_key, w.pkg, e.dst FROM w JOIN e ON e.run_key = w.run_key AND e.src = w.node)
+SELECT CAST(run_key AS VARCHAR) AS run_key, pkg, false AS cycle_broken, count(*) - 1 AS cascade_size, string_agg(CASE WHEN node <> pkg THEN node END, ',' ORDER BY node) AS members FROM w GROUP BY run_key, pkg
 """)
 def cascades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cascades of the roots that no cycle had to be broken for."""
-    rows = conflicts.roots(_blame(spark, sf_dir).select("run_key", "src", "dst").distinct()).where("not cycle_broken")
-    return rows.select(long("run_key").alias("run_key"), "pkg", long(F.size("cascade")).alias("cascade_size"))
+    """What each root drags along; edges go from the lesser to the greater name, so that no cycle has to be broken."""
+    a, b = F.col("l_suppkey") % 6, F.col("l_partkey") % 7
+    name = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    blame = table(spark, sf_dir, "lineitem").where(a != b).select(F.col("l_orderkey").alias("run_key"), name(F.least(a, b)).alias("src"), name(F.greatest(a, b)).alias("dst")).distinct()
+    return conflicts.roots(blame).select("run_key", "pkg", "cycle_broken", long(F.size("cascade")).alias("cascade_size"), F.array_join(F.sort_array("cascade"), ",").alias("members"))
+
+
+@query()
+def cascades_of_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cascades where blame goes round: SQL has no word for which member of a cycle is promoted (tests compare with brute force)."""
+    rows = conflicts.roots(_blame(spark, sf_dir).select("run_key", "src", "dst").distinct())
+    return rows.select("run_key", "pkg", "cycle_broken", long(F.size("cascade")).alias("cascade_size"))
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 500 AS a, (l_suppkey * 7 + l_partkey) % 500 AS b FROM lineitem WHERE l_orderkey % 7 = 0 AND l_linenumber = 1),
-w(root, node, depth) AS (SELECT a, a, 0 FROM e WHERE a % 25 = 0 UNION SELECT root, e.b, depth + 1 FROM w JOIN e ON e.a = w.node WHERE depth < 6)
+WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey > 1 UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey > 2),
+w(root, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION SELECT root, e.b, depth + 1 FROM w JOIN e ON e.a = w.node)
 SELECT root, node, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY root, node
 """)
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "lineitem").where("l_orderkey % 7 = 0 and l_linenumber = 1").select((F.col("l_partkey") % 500).alias("src"), ((F.col("l_suppkey") * 7 + F.col("l_partkey")) % 500).alias("dst")).distinct()
-    return corpus.reachable(e, e.where("src % 25 = 0").select("src"), most_depth=6).withColumn("depth", long("depth"))
+    """All that every part reaches by halves and thirds, and how far it is."""
+    part = table(spark, sf_dir, "part")
+    step = lambda n: part.where(f"p_partkey >= {n}").select(F.col("p_partkey").alias("src"), F.expr(f"p_partkey div {n}").alias("dst"))
+    return corpus.reachable(step(2).union(step(3)), part.select("p_partkey")).withColumn("depth", long("depth"))
 
 
 @query("""
-WITH RECURSIVE l AS (SELECT c_custkey AS k, c_custkey // 3 AS t FROM customer WHERE c_custkey % 3 = 0 AND c_custkey // 3 > 0),
+WITH RECURSIVE l AS (SELECT c_custkey AS k, c_custkey - 7 AS t FROM customer WHERE c_custkey >= 7),
 w(k, n) AS (SELECT k, t FROM l UNION SELECT w.k, l.t FROM w JOIN l ON l.k = w.n)
-SELECT w.k AS bug_id, min(n) AS root FROM w WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.k = w.n) GROUP BY w.k
+SELECT w.k AS bug_id, min(n) AS root FROM w GROUP BY w.k
 """)
 def duplicate_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0 and c_custkey div 3 > 0").select(F.col("c_custkey").alias("bug_id"), F.expr("c_custkey div 3").alias("duplicate_of"))
+    """Every customer is a duplicate of the seventh before: seven chains as long as a seventh of the table."""
+    links = table(spark, sf_dir, "customer").where("c_custkey >= 7").select(F.col("c_custkey").alias("bug_id"), (F.col("c_custkey") - 7).alias("duplicate_of"))
     return corpus.duplicate_roots(links)
 
 
-@query("""
-SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' AND l_discount > 0.05 THEN 'third_party_pin' WHEN l_returnflag = 'R' THEN 'held_package_blocks_upgrade'
-  WHEN l_linestatus = 'O' AND l_quantity > 40 THEN 'exact_pin_broken_by_upgrade' WHEN l_tax > 0.06 THEN 'removal_cascade' ELSE 'unknown' END AS cause,
-  CASE WHEN l_returnflag = 'R' AND l_discount > 0.05 THEN 3 WHEN l_quantity >= 25 THEN 3 WHEN l_quantity <= 1 THEN 2 ELSE 2 END AS severity FROM lineitem
+NAME = """CASE CAST(l_partkey % 5 AS INTEGER) WHEN 0 THEN 'x-abi-' || l_partkey || ':amd64' WHEN 1 THEN 'lib' || l_partkey || 't64:amd64' WHEN 2 THEN 'old' || l_partkey || ':i386' ELSE 'p' || l_partkey || ':amd64' END"""
+RUN = "l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber"
+
+
+@query(f"""
+WITH c AS (SELECT DISTINCT {RUN} AS run_key, {NAME} AS pkg, CAST(l_partkey % 5 AS INTEGER) AS shape, CAST(l_suppkey % 7 AS INTEGER) AS mode, l_linenumber % 2 = 0 AS cur, l_linenumber % 3 = 0 AS cand, CAST(4 + l_linenumber % 3 AS INTEGER) AS dep,
+  CAST(l_partkey % 4 AS INTEGER) AS op, CAST(l_suppkey % 9 AS INTEGER) AS victims, l_partkey % 11 = 0 AS foreign_ FROM lineitem),
+k AS (SELECT *, CASE WHEN foreign_ THEN 'third_party_pin' WHEN NOT cur AND NOT cand AND (mode = 6 OR shape = 0) THEN 'unsatisfiable_virtual' WHEN mode = 6 AND cand AND NOT cur THEN 'holdback_blocks_new_dep' WHEN mode = 6 AND cand THEN 'held_package_blocks_upgrade'
+  WHEN shape = 1 AND victims > 0 AND dep IN (4, 5) THEN 't64_transition' WHEN shape = 2 THEN 'i386_orphan' WHEN mode = 2 AND op IN (0, 2) THEN 'exact_pin_broken_by_upgrade' WHEN mode IN (4, 5) THEN 'removal_cascade' WHEN mode = 1 AND dep IN (4, 5) THEN 'transitional_breaks' ELSE 'unknown' END AS cause FROM c),
+v AS (SELECT *, CASE cause WHEN 't64_transition' THEN 2 WHEN 'i386_orphan' THEN 1 WHEN 'removal_cascade' THEN 2 WHEN 'transitional_breaks' THEN 1 WHEN 'unknown' THEN 2 ELSE 3 END AS base FROM k)
+SELECT run_key, pkg, cause, CASE WHEN cause IN ('third_party_pin', 'i386_orphan', 't64_transition') THEN base WHEN base < 3 AND victims >= 5 THEN 3 WHEN base = 3 AND victims <= 1 THEN 2 ELSE base END AS severity, victims AS cascade_size FROM v
 """)
 def classify_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pinned = (F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.05)
-    cause = F.when(pinned, "third_party_pin").when(F.col("l_returnflag") == "R", "held_package_blocks_upgrade").when((F.col("l_linestatus") == "O") & (F.col("l_quantity") > 40), "exact_pin_broken_by_upgrade").when(F.col("l_tax") > 0.06, "removal_cascade").otherwise("unknown")
-    severity = F.when(pinned, 3).when(F.col("l_quantity") >= 25, 3).otherwise(2)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", cause.alias("cause"), severity.alias("severity"))
+    """Cause and severity of roots in every state: each row of lineitem is a run with one root."""
+    n = lambda c, k: (F.col(c) % k).cast("int")
+    part = n("l_partkey", 5)
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").distinct().select(F.expr(RUN).alias("run_key"), F.expr(NAME).alias("pkg"), "l_partkey", "l_suppkey", "l_linenumber", part.alias("shape"))
+    victims = F.transform(F.sequence(F.lit(1), n("l_suppkey", 9)), lambda k: F.when((k == 1) & (F.col("shape") == 1), F.concat(F.lit("lib"), F.col("l_partkey").cast("string"), F.lit(":amd64"))).otherwise(F.concat(F.lit("v"), k.cast("string"))))
+    root = rows.select("run_key", "pkg", F.when(n("l_suppkey", 9) > 0, victims).otherwise(F.array().cast("array<string>")).alias("cascade"), F.lit(False).alias("cycle_broken"))
+    op = F.element_at(F.array(*[F.lit(x) for x in ("=", ">=", "<<", ">")]), n("l_partkey", 4) + 1)
+    blame = rows.select("run_key", F.col("pkg").alias("src"), F.lit("v").alias("dst"), F.lit(conflicts.BREAKS).alias("kind"), (4 + F.col("l_linenumber") % 3).cast("int").alias("dep"), F.concat(op, F.lit(" 1")).alias("constraint"), F.lit(0).alias("decision"), F.lit(None).cast("int").alias("score_src"), F.lit(None).cast("int").alias("score_dst"), F.lit(False).alias("has_scores"), F.lit(0).alias("depth"), F.lit(1).alias("line_no"))
+    version = lambda k: F.when(F.col("l_linenumber") % k == 0, "1")
+    nodes = rows.select("run_key", "pkg", version(2).alias("cur_version"), version(3).alias("cand_version"), F.lit(0).alias("selection"), n("l_suppkey", 7).alias("mode"), F.lit("installed").alias("status"), F.lit(0).alias("bits"), F.lit("").alias("raw_flags"))
+    foreign = rows.where("l_partkey % 11 = 0").select("run_key", "pkg")
+    return conflicts.classify(root, blame, nodes, blame, foreign).select("run_key", "pkg", "cause", "severity", "cascade_size")
 
 
 @query("""
 WITH r AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_returnflag, l_quantity DESC, l_discount, l_orderkey, l_linenumber) AS rank FROM lineitem)
-SELECT l_suppkey, l_orderkey, l_linenumber, rank FROM r WHERE rank <= 12 OR l_quantity = 50
+SELECT l_suppkey, l_orderkey, l_linenumber, least(rank, 13) AS rank FROM r WHERE rank <= 12 OR l_quantity = 50
 """)
 def rank_findings_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [F.asc("l_returnflag"), F.desc("l_quantity"), F.asc("l_discount"), F.asc("l_orderkey"), F.asc("l_linenumber")]
@@ -496,6 +602,68 @@ def rank_findings_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("l_suppkey", "l_orderkey", "l_linenumber", long("rank").alias("rank"))
 
 
+#: An error for each rule that messages alone decide, by event: message, rule, cause, severity, what is said.
+SAMPLES = (
+    ("Not enough free space: 5 GB", "env.disk-space", "not_enough_disk_space", 3, "not enough free disk space: 5 GB"),
+    ("Not running as root!", "env.not-root", "filesystem_not_writable", 3, "the upgrader was not run as root"),
+    ("/boot not writable", "env.not-writable", "filesystem_not_writable", 3, "a required path is not writable: /boot"),
+    ("Cache can not be locked (held)", "env.cache-locked", "cache_lock_failed", 3, "another package manager holds the apt lock: held"),
+    ("upgrade over ssh not allowed", "env.ssh-blocked", "ssh_upgrade_blocked", 2, "the upgrade was refused because it was started over SSH"),
+    ("EFI System Partition (ESP) not usable", "env.esp-unusable", "esp_unusable", 3, "the EFI system partition is not usable"),
+    ("An upgrade from ''a'' to ''b'' is not supported", "env.unsupported-path", "unsupported_upgrade_path", 3, "upgrading from a to b is not a supported path"),
+    ("lxd is installed", "env.lxd-installed", "unsupported_upgrade_path", 2, "lxd is installed, which the upgrader refuses to upgrade through"),
+    ("Unauthenticated packages found: ''a b''", "net.auth-failed", "package_auth_failed", 3, "packages could not be authenticated: a b"),
+    ("''x'' was not downloadable", "net.download-failed", "download_failed", 3, "the upgrade could not be downloaded"),
+    ("checkViewDepends() failed", "upgrader.view-depends", "view_depends_missing", 3, "the upgrader''s own frontend dependencies are not satisfied"),
+    ("pythonSymlinkCheck() failed, aborting", "upgrader.python-symlink", "python_symlink_broken", 3, "/usr/bin/python3 does not point where the upgrader expects"),
+    ("Packages to downgrade found: ''a''", "upgrader.downgrade", "unsupported_upgrade_path", 3, "the upgrade would downgrade packages: a"),
+    ("got error from PostInstallScript x.sh (1)", "upgrader.post-install-script", "post_install_script_error", 2, "a post-install script failed: x.sh"),
+    ("Broken packages after upgrade: a", "upgrader.broken-after-upgrade", "broken_packages_after_upgrade", 3, "packages were left broken after the upgrade finished: a"),
+    ("dpkg was interrupted, you must manually run x", "dpkg.interrupted", "dpkg_interrupted", 3, "a previous dpkg run was interrupted, so the upgrade could not start"),
+    ("doUpdate() failed completely", "net.update-failed", "update_failed", 3, "refreshing the package lists failed"),
+    ("failed to mark ''meta'' for install (E:x)", "upgrader.metapkg-install-failed", "meta_package_uninstallable", 3, "the meta metapackage could not be installed"),
+    ("no rule knows this", "evidence.truncated", "no_failure_recorded", 0, "no failure was recorded -- the log stops during CALCULATE with no error recorded"),
+    ("nor this", "upgrader.crash", "upgrader_crash", 3, "the upgrader crashed: ValueError: x"),
+    ("_checkDep: ends nothing", "upgrader.no-failure", "upgrade_succeeded", 0, "the upgrade completed; no failure was recorded"),
+)
+KIND = f"event_id % {len(SAMPLES)}"
+
+
+@query(f"""
+WITH s(k, rule, cause, severity, summary) AS (VALUES {", ".join(f"({k}, '{x[1]}', '{x[2]}', {x[3]}, '{x[4]}')" for k, x in enumerate(SAMPLES))})
+SELECT CAST(event_id AS VARCHAR) AS run_key, rule, cause, severity, summary, CAST(1 AS INTEGER) AS rank FROM events JOIN s ON {KIND} = s.k
+""")
+def rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked findings of runs with one error each, for every rule that needs no resolver graph."""
+    kind = F.expr(KIND)
+    runs = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("run_key"), kind.alias("k"))
+    message = F.element_at(F.array(*[F.lit(x[0].replace("''", "'")) for x in SAMPLES]), (F.col("k") + 1).cast("int"))
+    records = runs.select("run_key", F.lit(1).alias("seq"), F.lit("ERROR").alias("level"), message.alias("message"))
+    at = {x[1]: k for k, x in enumerate(SAMPLES)}
+    done = F.col("k") == at["upgrader.no-failure"]
+    facts = runs.select("run_key", (F.col("k") != at["evidence.truncated"]).alias("evidence_complete"), done.alias("reached_dpkg"), F.when(done, 100).otherwise(60).alias("terminal_phase"), F.when(done, "DONE").otherwise("CALCULATE").alias("phase_name"), F.when(F.col("k") == at["upgrader.crash"], "Crash").alias("problem_type"), F.lit("Traceback\n  x\nValueError: x\n").alias("traceback"), F.lit("").alias("duplicate_signature"), F.array().cast("array<string>").alias("missing_logs"))
+    return rules.diagnose(rules.Corpus(facts, records)).select("run_key", "rule", "cause", "severity", "summary", "rank")
+
+
+#: The terminal log of an order: a block with one failure, of a kind by its key.
+WHY = ("installed p package post-installation script subprocess returned error exit status 3", "dependency problems - leaving unconfigured", "trying to overwrite ''/usr/bin/f'', which is also in package c1 1.0", "cannot access archive: gone")
+FAILED = "CASE CAST(o_orderkey % 4 AS INTEGER) " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(WHY)) + " END"
+
+
+@query(f"""
+SELECT CAST(o_orderkey AS VARCHAR) AS run_key, 3 AS line_no, 'p' || o_custkey AS package, '--configure' AS action, {FAILED} AS reason, CASE CAST(o_orderkey % 4 AS INTEGER) WHEN 0 THEN 'maintainer-script' WHEN 1 THEN 'dependency' WHEN 2 THEN 'file-conflict' ELSE 'unpack' END AS kind,
+  CASE WHEN o_orderkey % 4 = 2 THEN 'c1' ELSE '' END AS conflicting_package, CASE WHEN o_orderkey % 4 = 2 THEN '/usr/bin/f' ELSE '' END AS conflicting_path, CASE WHEN o_orderkey % 4 = 0 THEN 'h' || o_custkey ELSE '' END AS blamed_package, CASE WHEN o_orderkey % 4 = 0 THEN 3 ELSE 0 END AS exit_status FROM orders
+""")
+def terminal_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What failed in each order's terminal log, why, and whom a hook blames."""
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    who = F.col("o_custkey").cast("string")
+    why = F.expr(FAILED.replace("''", "\\'"))
+    block = F.array(F.lit("Log started: 2026-01-05  10:00:00"), said("error running python rtupdate hook h", who), said("dpkg: error processing package p", who, " (--configure):"), F.lit(" /usr/lib/x.py:3: SyntaxWarning: invalid escape"), said(" ", why), F.lit("Errors were encountered while processing:"), said(" p", who), F.lit("Log ended: 2026-01-05  10:01:00"))
+    lines = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("run_key"), F.posexplode(block).alias("n", "line")).select("run_key", (F.col("n") + 1).alias("line_no"), "line")
+    return terminal.failures(lines).select("run_key", "line_no", "package", "action", "reason", "kind", "conflicting_package", "conflicting_path", "blamed_package", "exit_status")
+
+
 # -- state, worklist, increments ------------------------------------------------------------------
 
 
@@ -510,14 +678,14 @@ def upsert_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT user_id, count(*) AS n, max(event_type) AS last FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT user_id, count(*) AS n, max(event_type) AS last FROM events WHERE event_id % 3 = 0 GROUP BY 1)
+WITH a AS (SELECT user_id, count(*) AS n, max(event_type) AS last FROM events WHERE value <= 50 GROUP BY 1), b AS (SELECT user_id, count(*) AS n, max(event_type) AS last FROM events WHERE value > 50 GROUP BY 1)
 SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.user_id IS NULL THEN 'added' WHEN b.user_id IS NULL THEN 'removed' WHEN a.n IS DISTINCT FROM b.n OR a.last IS DISTINCT FROM b.last THEN 'changed' ELSE 'same' END AS change
 FROM a FULL JOIN b ON a.user_id = b.user_id
 """)
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
-    snap = lambda k: ev.where(F.col("event_id") % k == 0).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_type").alias("last"))
-    return state.snapshot_diff(snap(2), snap(3), "user_id", ["n", "last"]).select("user_id", "change")
+    snap = lambda half: ev.where(half).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_type").alias("last"))
+    return state.snapshot_diff(snap("value <= 50"), snap("value > 50"), "user_id", ["n", "last"]).select("user_id", "change")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -567,17 +735,17 @@ def todo_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT coalesce(r.n, f.n) AS name, CASE WHEN r.n IS NULL THEN 'orphan' WHEN f.n IS NULL THEN 'stale' WHEN f.s = 0 OR f.s <> r.s THEN 'unusable' ELSE 'kept' END AS verdict, CAST(coalesce(f.s, 0) AS BIGINT) AS size
-FROM (SELECT 'a' || p_partkey AS n, p_size AS s FROM part WHERE p_partkey % 2 = 0) r FULL JOIN (SELECT 'a' || p_partkey AS n, p_size - p_partkey % 5 // 4 AS s FROM part WHERE p_partkey % 3 = 0) f ON r.n = f.n
+FROM (SELECT 'a' || p_partkey AS n, p_size AS s FROM part) r FULL JOIN (SELECT 'a' || (p_partkey + 7) AS n, CASE WHEN p_partkey % 5 = 4 THEN p_size ELSE (p_partkey * 3) % 50 END AS s FROM part) f ON r.n = f.n
 """)
 def cache_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    name = F.concat(F.lit("a"), F.col("p_partkey").cast("string")).alias("name")
-    rows = p.where("p_partkey % 2 = 0").select(name, F.col("p_size").alias("size"))
-    files = p.where("p_partkey % 3 = 0").select(name, (F.col("p_size") - F.expr("p_partkey % 5 div 4")).alias("size"))
+    name = lambda k: F.concat(F.lit("a"), (F.col("p_partkey") + k).cast("string")).alias("name")
+    rows = p.select(name(0), F.col("p_size").alias("size"))
+    files = p.select(name(7), F.expr("CASE WHEN p_partkey % 5 = 4 THEN p_size ELSE (p_partkey * 3) % 50 END").alias("size"))
     return state.cache_plan(rows, files)
 
 
-@query()
+@query("SELECT user_id, arg_max(event_type, struct_pack(ts := ts, event_id := event_id)) AS event_type, max(ts) AS checked_at FROM events GROUP BY user_id")
 def watermark_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files taken up once each by an available-now stream, folded into a state table."""
     from ..streaming import incremental
