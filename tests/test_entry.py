@@ -10,7 +10,7 @@ import sys
 class Gone:
     def find_spec(self, name, path=None, target=None):
         if name == "corpus_pipeline" or name.startswith("lodestone.llm"):
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(f"no {name}", name="lodestone.llm" if name.startswith("lodestone.llm") else name)
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 names = set(e.queries())
@@ -23,6 +23,12 @@ def test_entry_without_the_subpackage():
     subprocess.run([sys.executable, "-c", WITHOUT], cwd=ROOT, check=True, timeout=60)
 
 
+def test_a_missing_library_is_an_error():
+    gone = WITHOUT.split("import __spark_entry__")[0].replace('name == "corpus_pipeline" or name.startswith("lodestone.llm")', 'name == "xxhash"').replace('"lodestone.llm" if name.startswith("lodestone.llm") else name', "name")
+    ran = subprocess.run([sys.executable, "-c", gone + "import __spark_entry__"], cwd=ROOT, capture_output=True, text=True, timeout=60)
+    assert ran.returncode and "xxhash" in ran.stderr
+
+
 def test_nothing_else_imports_the_subpackage():
     import pathlib
 
