@@ -205,7 +205,7 @@ def lex_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT CAST(l_orderkey AS VARCHAR) AS run_key, count(*) AS lines, count_if(l_linenumber < 7) AS matched, count_if(l_linenumber >= 7) AS unmatched, round(count_if(l_linenumber < 7) / count(*), 6) AS coverage FROM lineitem GROUP BY 1
+SELECT CAST(l_orderkey AS VARCHAR) AS run_key, count(*) AS lines, CAST(count_if(l_linenumber < 7) AS BIGINT) AS matched, CAST(count_if(l_linenumber >= 7) AS BIGINT) AS unmatched, round(count_if(l_linenumber < 7) / count(*), 6) AS coverage FROM lineitem GROUP BY 1
 """)
 def lex_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolver_lines.coverage(_trace(spark, sf_dir)).select("run_key", "lines", "matched", "unmatched", F.round("coverage", 6).alias("coverage"))
