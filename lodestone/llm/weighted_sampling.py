@@ -86,9 +86,9 @@ class Sampler:
         r = self.r[h & self.mask]
         at_c = (h >> bits) & self.mask
         log_c = self.log_c[at_c]
-        lowest = np.nonzero(at_c == 0)
-        if len(lowest[0]):
-            log_c[lowest] = low_tail(_mix64(h[lowest] ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+        lowest = np.flatnonzero(at_c == 0)
+        if len(lowest):
+            log_c.ravel()[lowest] = low_tail(_mix64(h.ravel()[lowest] ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
         b = ((h >> (bits + bits)) & np.uint64(0xFFFFFF)).astype(np.float32) * np.float32(1 / (1 << 24))
         return r, log_c, b
 
