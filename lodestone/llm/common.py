@@ -82,9 +82,9 @@ def word_count(column: Column) -> Column:
 
 
 def row_key(docs: DataFrame) -> Column:
-    """128 bits of all of a row's values, nulls told apart from nothing: equal rows alone share it."""
+    """16 bytes of all of a row's values, nulls told apart from nothing: equal rows alone share it."""
     values = [F.col(f"`{c}`") for c in docs.columns] + [F.col(f"`{c}`").isNull() for c in docs.columns]
-    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), *values)), 16, "0") for seed in (17, 23)])
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), *values)), 16, "0") for seed in (17, 23)]))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

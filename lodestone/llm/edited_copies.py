@@ -16,11 +16,14 @@ what they leave is found by prefixes:
   first ``n - ceil(t * n) + 1`` shingles in common (``n``: the own size).  Only these are dealt out.
   The order puts shingles that are frequent in a sample last; the sample decides what is cheap, not
   what is found.
-* Of a shingle's sets, neighbours by size are compared first.  Their links and SimHash's make classes;
-  after that only pairs of sets in different classes are still candidates, so a group of copies does
-  not become all its pairs.  Sizes, and the shingle's places in the two prefixes, exclude pairs that
-  can't reach ``t``.
-* Every candidate is compared on its whole sets.
+* Of a shingle's sets, neighbours by size and by parities come first.  What they and SimHash link makes
+  classes; after that only pairs of sets in different classes are still candidates, so a group of
+  copies does not become all its pairs.  Sizes and the sets' parities exclude pairs that can't reach
+  ``t``: every shingle flips one of so many bits, so two sets differ in at least as many shingles as
+  their parities differ in bits, and at similarity 0.8 in at most a ninth of both sizes.  Rows carry
+  ``NARROW`` bits, pairs that pass meet ``WIDE`` ones.
+* Candidates are compared on their whole texts: each set with its nearest first, then the others that
+  are still in different classes.
 
 Links are transitive: documents of linked sets form classes.
 
@@ -43,6 +46,12 @@ from .components import connected_components
 
 #: Similarity PART / WHOLE; shingles are hashed to 64 bits.
 WIDTH, PART, WHOLE, SEED = 5, 4, 5, 42
+#: Texts that are compared whole are found by a broadcast of their keys, some 50 bytes each, up to this many; beyond, by a shuffle.
+FEW = 100_000
+#: Orders of a shingle's sets, and how many places on each is compared with in each; besides, all are with the first.
+ORDERS, REACH = (("n",), ("x0",), ("x1", "x2")), 10
+#: Bits of a set's parities: in every row of a block, and for pairs.
+NARROW, WIDE = 512, 8192
 #: Documents sampled for the order, and the most frequent shingles that it puts last.
 SAMPLE, FREQUENT = 10_000, 50_000
 
@@ -67,6 +76,35 @@ def fingerprint(found: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(found), bitorder="little").view(np.int64)[0])
 
 
+def parities(found: np.ndarray, bits: int = NARROW) -> np.ndarray:
+    """Whether an odd number of the set's hashes fall on each of so many bits, as signed numbers."""
+    odd = np.bincount((found % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def wide_column(text: Column, spark) -> Column:
+    bound_batches(spark)
+
+    def wide(texts: pd.Series) -> pd.Series:
+        return pd.Series([parities(shingles(t), WIDE) for t in texts], dtype=object)
+
+    return F.pandas_udf(wide, "array<long>")(text)
+
+
+def alike_column(a: Column, b: Column, spark) -> Column:
+    """Whether two texts' sets reach the similarity."""
+    bound_batches(spark)
+
+    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([_alike(shingles(x), shingles(y)) for x, y in zip(left, right, strict=True)], dtype=bool)
+
+    return F.pandas_udf(alike, "boolean")(a, b)
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> bool:
+    return len(np.intersect1d(a, b, assume_unique=True)) * (PART + WHOLE) >= (len(a) + len(b)) * PART
+
+
 def shingle_column(text: Column, spark) -> Column:
     bound_batches(spark)
 
@@ -110,9 +148,10 @@ def _signed(text: Column, often: np.ndarray, counts: np.ndarray, spark) -> Colum
             "n": np.array([len(s) for s in found], np.int32),
             "fp": np.array([fingerprint(s) for s in found], np.int64),
             "prefix": [prefix(s, *shared.value).view(np.int64) for s in found],
+            "odd": [parities(s) for s in found],
         })
 
-    return F.pandas_udf(signed, "set binary, n int, fp long, prefix array<long>").asNondeterministic()(text)
+    return F.pandas_udf(signed, "set binary, n int, fp long, prefix array<long>, odd array<long>").asNondeterministic()(text)
 
 
 def _shared(batches):
@@ -142,24 +181,62 @@ def _blocks(batches):
         yield pdf[pdf["id"] >= 0]
 
 
-def _possible(a: str, b: str) -> Column:
-    n = lambda x: F.col(f"{x}.n")
-    rest = F.least(*[n(x) - F.col(f"{x}.pos") for x in (a, b)])
-    sizes = F.least(n(a), n(b)) * WHOLE >= F.greatest(n(a), n(b)) * PART
-    return sizes & (rest * (PART + WHOLE) >= (n(a) + n(b)) * PART)
+def _room(apart: Column, n: Column, m: Column) -> Column:
+    """Whether two sets of ``n`` and ``m`` shingles, ``apart`` or more of them not shared, can reach the similarity."""
+    return (apart * (PART + WHOLE) <= (n + m) * (WHOLE - PART)) & (F.least(n, m) * WHOLE >= F.greatest(n, m) * PART)
+
 
+def _near(a: str, b: str) -> Column:
+    apart = sum((F.bit_count(F.col(f"{a}.x{k}").bitwiseXOR(F.col(f"{b}.x{k}"))) for k in range(NARROW // 64)), F.lit(0))
+    return _room(apart, F.col(f"{a}.n"), F.col(f"{b}.n"))
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """The pairs (src, dst) that are similar, on whole sets."""
+
+def _texts(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """(id, n, text, wide) of the sets in ``pairs``, a row each."""
     needed = pairs.select(F.col("src").alias("id")).unionAll(pairs.select(F.col("dst").alias("id"))).distinct()
-    rows = sets.select("id", F.col("least.key").alias("key")).join(needed, "id", "left_semi")
-    texts = docs.select(row_key(docs).alias("key"), F.col(text_col).alias("text")).join(rows, "key").dropDuplicates(["key"])
-    whole = materialize(texts.select("id", shingle_column(F.col("text"), docs.sparkSession).alias("s")), "copies-whole")
-    both = pairs.join(whole.select(F.col("id").alias("src"), F.col("s").alias("a")), "src").join(whole.select(F.col("id").alias("dst"), F.col("s").alias("b")), "dst")
-    similar = both.where(F.size(F.array_intersect("a", "b")) * (PART + WHOLE) >= (F.size("a") + F.size("b")) * PART)
-    found = materialize(similar.select("src", "dst"), "copies-similar")
-    discard(whole)
-    return found
+    rows = materialize(sets.select("id", "n", F.col("least.key").alias("key")).join(needed, "id", "left_semi"), "copies-needed")
+    few = rows.count() <= FEW  # then the texts needn't move
+    found = docs.select(row_key(docs).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(rows) if few else rows, "key")
+    texts = materialize(found.select("id", "n", "text", wide_column(F.col("text"), docs.sparkSession).alias("wide")), "copies-texts")
+    discard(rows)
+    if not texts.groupBy("id").count().where("count > 1").head(1):
+        return texts
+    once = materialize(texts.dropDuplicates(["id"]), "copies-texts")  # of rows equal in every column
+    discard(texts)
+    return once
+
+
+def _both(pairs: DataFrame, texts: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` with structs a and b of columns of ``texts``."""
+    side = lambda end, name: texts.select(F.col("id").alias(end), F.struct(*columns).alias(name))
+    return pairs.join(side("src", "a"), "src").join(side("dst", "b"), "dst")
+
+
+def _proved(pairs: DataFrame, links: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """Similar pairs (src, dst) among ``pairs``: enough of them to make, with ``links``, the classes that all of them make."""
+    spark = docs.sparkSession
+    texts = _texts(pairs, sets, docs, text_col)
+    apart = F.aggregate(F.zip_with("a.wide", "b.wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    wide = _both(pairs, texts, "n", "wide").withColumn("apart", apart).where(_room(F.col("apart"), F.col("a.n"), F.col("b.n")))
+    near = materialize(wide.select("src", "dst", "apart"), "copies-near")
+    ends = near.select(F.col("src").alias("id"), F.col("dst").alias("to"), "apart").unionAll(near.select(F.col("dst").alias("id"), F.col("src").alias("to"), "apart"))
+    nearest = ends.groupBy("id").agg(F.min(F.struct("apart", "to")).alias("x"))
+    lead = materialize(nearest.select(F.least("id", "x.to").alias("src"), F.greatest("id", "x.to").alias("dst")).distinct(), "copies-lead")
+    check = lambda some, label: materialize(_both(some, texts, "text").where(alike_column(F.col("a.text"), F.col("b.text"), spark)).select("src", "dst"), label)
+    good = check(lead, "copies-good")
+    known = materialize(connected_components(links.unionAll(good)), "copies-known")
+    name = lambda end: known.select(F.col("node").alias(end), F.col("component").alias(f"{end}_class"))
+    rest = near.select("src", "dst").join(lead, ["src", "dst"], "left_anti").join(name("src"), "src", "left").join(name("dst"), "dst", "left")
+    rest = materialize(rest.where(~F.coalesce("src_class", "src").eqNullSafe(F.coalesce("dst_class", "dst"))).select("src", "dst"), "copies-rest")
+    if rest.head(1):
+        more = check(rest, "copies-more")
+        both = materialize(good.unionAll(more), "copies-good")
+        discard(good)
+        discard(more)
+        good = both
+    for done in (texts, near, lead, known, rest):
+        discard(done)
+    return good
 
 
 def _simhash_links(sets: DataFrame) -> DataFrame:
@@ -177,37 +254,46 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     often, counts = frequent(docs, text_col)
     least = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), row_key(docs).alias("key"))
     rows = docs.select(least.alias("least"), _signed(F.col(text_col), often, counts, spark).alias("s")).select("least", "s.*")
-    distinct = rows.groupBy("set").agg(F.min("least").alias("least"), *[F.first(c).alias(c) for c in ("n", "fp", "prefix")])
-    sets = materialize(distinct.drop("set").withColumn("id", F.monotonically_increasing_id()), "copies-sets")
-    prints = materialize(_simhash_links(sets), "copies-simhash")
-
+    distinct = rows.groupBy("set").agg(F.min("least").alias("least"), *[F.first(c).alias(c) for c in ("n", "fp", "prefix", "odd")])
+    told = materialize(distinct.drop("set").withColumn("id", F.monotonically_increasing_id()), "copies-told")
+    sets = materialize(told.select("id", "least", "n", "fp", *[F.get("odd", F.lit(k)).alias(f"x{k}") for k in range(NARROW // 64)]), "copies-sets")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = sets.select("id", "n", F.posexplode("prefix").alias("pos", "tok")).repartition(n, "tok").sortWithinPartitions("tok")
-    blocks = materialize(dealt.select("tok", "pos", "id", "n").mapInPandas(_blocks, "tok long, pos int, id long, n int"), "copies-blocks")
+    dealt = told.select("id", F.explode("prefix").alias("tok")).repartition(n, "tok").sortWithinPartitions("tok")
+    blocks = materialize(dealt.select("tok", "id").mapInPandas(_blocks, "tok long, id long"), "copies-blocks")
+    discard(told)
+    bits = [f"x{k}" for k in range(NARROW // 64)]
 
     def tagged(known: DataFrame) -> DataFrame:
-        return blocks.join(known, blocks["id"] == known["node"], "left").select("tok", "pos", "id", "n", F.coalesce("component", "id").alias("class"))
+        """Blocks with the sets' classes; ``known``: (node, component)."""
+        named = sets.select("id", "n", *bits).join(known, F.col("id") == F.col("node"), "left")
+        return blocks.join(named.select("id", "n", *bits, F.coalesce("component", "id").alias("class")), "id")
 
     def pairs(found: DataFrame) -> DataFrame:
         return found.select(F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst")).distinct()
 
-    known = materialize(connected_components(prints), "copies-known")
-    me = F.struct("id", "n", "pos", "class")
-    order = Window.partitionBy("tok").orderBy("n", "id")
-    neighbours = tagged(known).select(me.alias("a"), F.lead(me).over(order).alias("b"))
-    first = materialize(pairs(neighbours.where(F.expr("b is not null and a.class <> b.class") & _possible("a", "b"))), "copies-first")
-    near = materialize(prints.unionAll(_verified(first, sets, docs, text_col)), "copies-near")
-    known = materialize(connected_components(near), "copies-known")
-
+    # neighbours first: what they link needs no comparing of all with all
+    links = materialize(_simhash_links(sets), "copies-simhash")  # every set with the least of its class
+    me = F.struct("id", "n", "class", *bits)
+    by = lambda *order: Window.partitionBy("tok").orderBy(*order, "id")
+    met = [F.lead(me, k).over(by(*order)) for order in ORDERS for k in range(1, REACH + 1)] + [F.first(me).over(by())]
+    neighbours = tagged(links.select(F.col("dst").alias("node"), F.col("src").alias("component"))).select(me.alias("a"), F.array(*met).alias("met")).select("a", F.explode("met").alias("b"))
+    first = materialize(pairs(neighbours.where(F.expr("b is not null and a.class <> b.class") & _near("a", "b"))), "copies-first")
+    good = _proved(first, links, sets, docs, text_col)
+
+    # then all pairs of a shingle's sets that are still in different classes
+    known = materialize(connected_components(links.unionAll(good)), "copies-known")
     rows = tagged(known)
     mixed = rows.groupBy("tok").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("tok")
-    open_ = materialize(rows.join(mixed, "tok", "left_semi"), "copies-open")
-    joined = open_.alias("a").join(open_.alias("b"), F.expr("a.tok = b.tok and a.id < b.id and a.class <> b.class")).where(_possible("a", "b"))
-    second = materialize(pairs(joined).join(first, ["src", "dst"], "left_anti"), "copies-second")
-    more = _verified(second, sets, docs, text_col)
-    for done in (prints, blocks, first, open_, second):
+    open_ = rows.join(mixed, "tok", "left_semi")
+    second = pairs(open_.alias("a").join(open_.alias("b"), F.expr("a.tok = b.tok and a.id < b.id and a.class <> b.class")).where(_near("a", "b")))
+    second = materialize(second.join(first, ["src", "dst"], "left_anti"), "copies-second")
+    found = known
+    if second.head(1):
+        more = _proved(second, links.unionAll(good), sets, docs, text_col)
+        found = materialize(connected_components(links.unionAll(good).unionAll(more)), "copies-found")
+        discard(more)
+    for done in (blocks, links, first, good, second):
         discard(done)
-    found = materialize(connected_components(near.unionAll(more)), "copies-found") if more.head(1) else known
     return sets.join(found, sets["id"] == found["node"], "left").select(sets["id"], F.coalesce("component", sets["id"]).alias("class"), "least")
 
 

@@ -117,7 +117,7 @@ def test_blocks_over_many_batches():
     from lodestone.llm import edited_copies
 
     tok = [1, 2, 2, 3, 3, 3, 3, 4, 5, 5, 6]
-    rows = pd.DataFrame({"tok": tok, "pos": 0, "id": range(len(tok)), "n": 1})
+    rows = pd.DataFrame({"tok": tok, "id": range(len(tok))})
     for size in (1, 2, 3, 5, 20):
         got = pd.concat(list(edited_copies._blocks(iter([rows[k : k + size] for k in range(0, len(rows), size)]))))
         assert sorted(got["id"]) == [1, 2, 3, 4, 5, 6, 8, 9], size
