@@ -44,6 +44,8 @@ from . import simhash
 from .common import bound_batches, by_value, discard, materialize, row_key
 from .components import connected_components
 
+#: Hashes whose bits are counted at once.
+PIECE = 1 << 16
 #: Similarity PART / WHOLE; shingles are hashed to 64 bits.
 WIDTH, PART, WHOLE, SEED = 5, 4, 5, 42
 #: Texts that are compared whole are found by a broadcast of their keys, some 50 bytes each, up to this many; beyond, by a shuffle.
@@ -71,8 +73,8 @@ def fingerprint(found: np.ndarray) -> int:
     if not len(found):
         return 0
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(found), simhash.PIECE):
-        ones += np.unpackbits(found[at : at + simhash.PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    for at in range(0, len(found), PIECE):
+        ones += np.unpackbits(found[at : at + PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(found), bitorder="little").view(np.int64)[0])
 
 

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, mixing, piece_bpe, secrets_ledger, simhash, toxicity, urlfilter, warc, weighted_sampling
+from . import langid, media, mixing, pair_counts, piece_bpe, secrets_ledger, simhash, toxicity, urlfilter, warc, weighted_sampling
 from .common import crc_bucket, read
 
 #: The tokenizer that op8 applies: a file of the ``public_tokenizers`` package.
 TOKENIZER = "piece_bpe_32k.model"
+#: The byte-level tokenizer that op11 aligns with it.
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -79,8 +81,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(tokenizer_path(BYTE_TOKENIZER), encoding="utf-8") as file:
+        byte_level = file.read()
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pair_counts.align_documents(docs, byte_level, piece_bpe.model_bytes(tokenizer_path())).select("doc_id", "aligned.*")
+    digest = F.when(F.col("groups") != "", F.sha2("groups", 256)).otherwise("")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_fingerprints, op4_media, op5_language, op6_url_filter, op7_warc, op8_pieces, op9_secrets, op10_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_fingerprints, op4_media, op5_language, op6_url_filter, op7_warc, op8_pieces, op9_secrets, op10_simhash, op11_alignment)}
 
 
 URL_SQL = r"""
