@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, mixing, pair_counts, piece_bpe, secrets_ledger, simhash, toxicity, urlfilter, warc, weighted_sampling
-from .common import crc_bucket, read
+from . import langid, media, mixing, pair_counts, piece_bpe, repeated_spans, secrets_ledger, simhash, toxicity, urlfilter, warc, weighted_sampling
+from .common import crc_bucket, read, word_count
 
 #: The tokenizer that op8 applies: a file of the ``public_tokenizers`` package.
 TOKENIZER = "piece_bpe_32k.model"
@@ -90,8 +90,17 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests are made before the join, so that texts stay where they are."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    text = F.col("text")
+    told = docs.select("doc_id", repeated_spans.text_key(text).alias("key"), word_count(text).alias("n_words"), F.sha2(repeated_spans.plain(text), 256).alias("whole"))
+    gone = repeated_spans.removals(docs).select("key", "n_removed", F.sha2("kept", 256).alias("kept"))
+    return told.join(gone, "key", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "whole").alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_fingerprints, op4_media, op5_language, op6_url_filter, op7_warc, op8_pieces, op9_secrets, op10_simhash, op11_alignment)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_fingerprints, op4_media, op5_language, op6_url_filter, op7_warc, op8_pieces, op9_secrets, op10_simhash, op11_alignment, op12_repeats)}
 
 
 URL_SQL = r"""
@@ -164,5 +173,17 @@ SELECT d.doc_id, CAST(coalesce(na, 0) AS BIGINT) AS n_assign, CAST(coalesce(nc,
 """
 
 
+REPEAT_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT rid, w, unnest(range(1, CAST(len(w) AS BIGINT) - 33)) AS p FROM d WHERE len(w) >= 35),
+h AS (SELECT rid, p, md5_number(array_to_string(w[p:p + 34], ' ')) AS k FROM s),
+m AS (SELECT rid, p FROM h WHERE k IN (SELECT k FROM h GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT DISTINCT rid, unnest(range(p, p + 35)) AS i FROM m),
+u AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+k AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM u ANTI JOIN g USING (rid, i) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": URL_SQL, "op7_warc": WARC_SQL, "op9_secrets": SECRET_SQL}
+    return {"op6_url_filter": URL_SQL, "op7_warc": WARC_SQL, "op9_secrets": SECRET_SQL, "op12_repeats": REPEAT_SQL}
