@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, mixing, pair_counts, piece_bpe, repeated_spans, secrets_ledger, simhash, toxicity, urlfilter, warc, weighted_sampling
+from . import langid, media, mixing, pair_counts, piece_bpe, prefix_trie, repeated_spans, secrets_ledger, simhash, toxicity, urlfilter, warc, weighted_sampling
 from .common import crc_bucket, read, word_count
 
 #: The tokenizer that op8 applies: a file of the ``public_tokenizers`` package.
@@ -99,8 +99,15 @@ def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.join(gone, "key", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "whole").alias("kept_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.numbered(read(spark, sf_dir, "conversations"))
+    opening = F.pmod(F.crc32(F.col("conv").cast("string").cast("binary")), F.lit(9))
+    rebuilt, convs = prefix_trie.with_shared_openings(turns, opening, F.col("conv") - F.col("conv") % 5)
+    return prefix_trie.trie(prefix_trie.hashed(rebuilt), convs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_fingerprints, op4_media, op5_language, op6_url_filter, op7_warc, op8_pieces, op9_secrets, op10_simhash, op11_alignment, op12_repeats)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_fingerprints, op4_media, op5_language, op6_url_filter, op7_warc, op8_pieces, op9_secrets, op10_simhash, op11_alignment, op12_repeats, op13_prefix_trie)}
 
 
 URL_SQL = r"""
@@ -185,5 +192,23 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 """
 
 
+TRIE_SQL = r"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(coalesce(role, '') || chr(0) || coalesce(text, ''))) - 1 AS pos,
+  md5(coalesce(role, '') || chr(0) || coalesce(text, '')) AS k, octet_length(encode(coalesce(text, ''))) AS bytes FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT c, c - c % 5 AS base, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: [CAST(ascii(s) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295) % 9 AS h FROM (SELECT DISTINCT c FROM t)),
+o AS (SELECT c.c, 0 AS part, pos, k, bytes FROM c JOIN t ON t.c = c.base AND pos < h UNION ALL SELECT t.c, 1, pos, k, bytes FROM c JOIN t ON t.c = c.c AND pos >= h),
+r AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS d, k, bytes FROM o),
+p AS (SELECT c, d, bytes, string_agg(k, '' ORDER BY d) OVER (PARTITION BY c ORDER BY d) AS path FROM r UNION ALL SELECT c, 0, 0, '' FROM c),
+n AS (SELECT path, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM p GROUP BY path),
+e AS (SELECT path, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM (SELECT c, arg_max(path, d) AS path FROM p GROUP BY c) GROUP BY path),
+u AS (SELECT path, left(path, length(path) - 32) AS parent FROM n WHERE depth > 0),
+q AS (SELECT parent AS path, count(*) AS kids FROM u GROUP BY parent),
+s AS (SELECT a.path, sum((b.n_convs - 1) * b.bytes) AS saved, count_if(q.kids IS NULL) AS leaves FROM n a JOIN n b ON left(b.path, 32 * a.depth) = a.path LEFT JOIN q ON q.path = b.path GROUP BY a.path)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(kids, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n LEFT JOIN u ON u.path = n.path LEFT JOIN n m ON m.path = u.parent LEFT JOIN q ON q.path = n.path JOIN s ON s.path = n.path LEFT JOIN e ON e.path = n.path
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": URL_SQL, "op7_warc": WARC_SQL, "op9_secrets": SECRET_SQL, "op12_repeats": REPEAT_SQL}
+    return {"op6_url_filter": URL_SQL, "op7_warc": WARC_SQL, "op9_secrets": SECRET_SQL, "op12_repeats": REPEAT_SQL, "op13_prefix_trie": TRIE_SQL}
