@@ -15,8 +15,7 @@ space itself).  Byte offsets where tokens of both end cut them into groups; the
 * **Second pass.**  Every text is aligned again and its links' counts are looked up by the hash.
 
 Texts part where neither tokenizer's tokens can reach across: at a space between two characters that aren't white
-space, and between a letter and one of ``.,;:!?`` (both checked against B's pieces when it is loaded).  So parts
-are encoded and aligned once, and a task keeps the parts that it has met lately.
+space (checked against B's pieces when it is loaded).  So each distinct part of a window of texts is encoded and aligned once.
 
 Defined results.  Texts that are null or empty, and those whose joined token bytes differ from space + text (such as
 texts with U+2581, which B's pieces use for the space), have no tokens: no groups, zeros.  Texts are taken whole; a very long
@@ -41,24 +40,20 @@ from pyspark.sql import functions as F
 from .common import bound_batches, by_value, discard, materialize
 
 SPACE = "▁"
-#: Parts (in each of two generations) and the longest part that a worker keeps.
-KEPT, KEPT_CHARS = 150_000, 64
+#: Characters of texts, and distinct parts, that a task takes together; parts that are encoded at once.
+WINDOW_CHARS, WINDOW_PARTS, ENCODED = 24_000_000, 600_000, 50_000
 #: Counts in a slice, and vectors that are summed at once.
 SLICE, FAN = 8192, 16
 ALIGNED = "groups string, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long"
 
-_LETTER = "[A-Za-zÀ-ÖØ-öø-ɏ]"
 _WORDS = re.compile(r"(?<=\S) (?=\S)")
-_MARKS = re.compile(f"(?<={_LETTER})(?=[.,;:!?\n])|(?<=\n)(?=\\S)")
+_BLANKS = re.compile(r"\s\s")
 #: How a byte-level tokenizer cuts texts before it merges (a fixed value).
 BYTE_LEVEL = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class Aligner:
-    """Both tokenizers, and the parts met lately.  ``a``: the text of a tokenizers file, ``b``: the bytes of a model file.
-
-    Pickled as the two files alone.  In a broadcast, a worker keeps it from task to task.
-    """
+    """Both tokenizers.  ``a``: the text of a tokenizers file, ``b``: the bytes of a model file; pickled as these alone."""
 
     def __init__(self, a: str, b: bytes):
         self.files, self.ready = (a, b), False
@@ -80,18 +75,15 @@ class Aligner:
         self.encode_a = self._byte_level(json.loads(a)) or self._library(a)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        if any(SPACE in p.lstrip(SPACE) for p in pieces):
+            raise ValueError("a piece of B has a space inside: parts can't be encoded one at a time")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.a_len, self.b_len = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
-        if any(SPACE in p.lstrip(SPACE) for p in pieces) or any("\n" in p for p in pieces):
-            raise ValueError("a piece of B has a space inside, or a line feed: parts can't be encoded one at a time")
-        self.marks = _MARKS if not any(_MARKS.search(p.lstrip(SPACE)) for p in pieces) else None
-        self.units: dict[str, tuple | None] = {}
-        self.parts: dict[str, tuple | None] = {}
-        self.older_units, self.older_parts, self.ready = {}, {}, True
+        self.a_len, self.b_len = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.ready = True
         return self
 
     def _byte_level(self, told: dict):
-        """A's encoder of many units by ``tiktoken``, where ids are in the order of the merges (then both libraries give the same ids)."""
+        """A's encoder by ``tiktoken``, where ids are in the order of the merges (then both libraries give the same ids)."""
         # a byte-level token has one character a byte: printable ones stand for themselves, the others for 256 and up in order
         shown = [x for x in range(256) if 33 <= x <= 126 or 161 <= x <= 172 or 174 <= x <= 255]
         byte_of = {chr(x): x for x in shown} | {chr(256 + k): x for k, x in enumerate(x for x in range(256) if x not in set(shown))}
@@ -109,7 +101,7 @@ class Aligner:
 
         ranks = {self.a_bytes[i]: i for token, i in vocab.items() if token not in special}
         one = tiktoken.Encoding("bytes", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        return lambda units: [one(u) for u in units]
+        return lambda parts: [one(p) for p in parts]
 
     @staticmethod
     def _library(a: str):
@@ -120,85 +112,52 @@ class Aligner:
 
         tokenizer = Tokenizer.from_str(a)
         tokenizer.encode_special_tokens = True
-        return lambda units: [x.ids for x in tokenizer.encode_batch(units, add_special_tokens=False)]
+        return lambda parts: [x.ids for x in tokenizer.encode_batch(parts, add_special_tokens=False)]
 
     def most_pairs(self) -> int:
-        return sum(self.a_len) + sum(self.b_len)
-
-    def align(self, a: list[int], b: list[int], text: bytes) -> tuple | None:
-        """(groups as text, pairs, number of A and of B tokens, groups) of one part; None where the bytes differ."""
-        of_a, of_b, a_len, b_len = self.a_bytes, self.b_bytes, self.a_len, self.b_len
-        if b"".join([of_a[i] for i in a]) != text or b"".join([of_b[i] for i in b]) != text:
-            return None
-        groups, pairs, i, j, from_a, from_b = [], [], 0, 0, 0, 0
-        x, y, last = a_len[a[0]], b_len[b[0]], len(a) - 1
-        while True:
-            if x == y:
-                pairs.append(a[i] << 32 | b[j])
-                if i == from_a and j == from_b:
-                    groups.append(f"{a[i]}|{b[j]}")
-                else:
-                    groups.append(",".join(map(str, a[from_a : i + 1])) + "|" + ",".join(map(str, b[from_b : j + 1])))
-                if i == last:
-                    return ";".join(groups), pairs, len(a), len(b), len(groups)
-                i += 1
-                j += 1
-                from_a, from_b = i, j
-                x += a_len[a[i]]
-                y += b_len[b[j]]
-            elif x < y:
-                i += 1
-                x += a_len[a[i]]
-            else:
-                j += 1
-                y += b_len[b[j]]
-
-    def _encode(self, units: list[str]) -> None:
-        """Units that open with a space as they are; B gets the others after a line feed, which nothing merges with."""
-        b = self.b.encode([u[1:] if u[0] == " " else "\n" + u for u in units], num_threads=1)
-        for u, x, y in zip(units, self.encode_a(units), b, strict=True):
-            self.units[u] = self.align(x, y if u[0] == " " else y[2:], u.encode("utf-8", "surrogatepass"))
-
-    def meet(self, parts: Iterable[str]) -> None:
-        """Have the parts aligned, as ``self.parts``."""
-        if len(self.parts) > KEPT:
-            self.older_parts, self.parts = self.parts, {}
-        if len(self.units) > KEPT:
-            self.older_units, self.units = self.units, {}
-        new = {}
-        for p in parts:
-            if p not in self.parts:
-                if p in self.older_parts:
-                    self.parts[p] = self.older_parts[p]
-                else:
-                    new[p] = self.marks.split(" " + p) if self.marks else [" " + p]
-        unknown = set()
-        for us in new.values():
-            for u in us:
-                if u not in self.units:
-                    if u in self.older_units:
-                        self.units[u] = self.older_units[u]
-                    else:
-                        unknown.add(u)
-        todo = list(unknown)
-        for at in range(0, len(todo), 4096):
-            self._encode(todo[at : at + 4096])
-        units = self.units
-        for p, us in new.items():
-            if len(us) == 1:
-                self.parts[p] = units[us[0]]
+        return int(self.a_len.sum() + self.b_len.sum())
+
+    def align(self, parts: list[str]) -> Iterator[Links]:
+        """The links of some parts at a time, in their order."""
+        for at in range(0, len(parts), ENCODED):
+            yield self._align(parts[at : at + ENCODED])
+
+    def _align(self, parts: list[str]) -> Links:
+        spaced = [" " + p for p in parts]
+        a, b = self.encode_a(spaced), self.b.encode(parts, num_threads=1)
+        data = [p.encode("utf-8", "surrogatepass") for p in spaced]
+        for ids, named in ((a, self.a_bytes), (b, self.b_bytes)):
+            if b"".join([named[i] for x in ids for i in x]) == b"".join(data) and [sum([len(named[i]) for i in x]) for x in ids] == list(map(len, data)):
                 continue
-            found = [units[u] for u in us]
-            if None in found:
-                self.parts[p] = None
-            else:
-                self.parts[p] = (";".join([f[0] for f in found]), [x for f in found for x in f[1]], sum([f[2] for f in found]), sum([f[3] for f in found]), sum([f[4] for f in found]))
-
-    def forget(self) -> None:
-        """Very long parts are not kept."""
-        for kept in (self.parts, self.units):
-            for p in [p for p in kept if len(p) > KEPT_CHARS]:
-                del kept[p]
+            for k, x in enumerate(ids):
+                if b"".join([named[i] for i in x]) != data[k]:
+                    a[k], b[k] = [], []
+        return Links(a, b, self.a_len, self.b_len)
+
+
+class Links:
+    """Groups and links of parts, end to end; a part without tokens is one that failed."""
+
+    def __init__(self, a: list[list[int]], b: list[list[int]], a_len: np.ndarray, b_len: np.ndarray):
+        self.n_a, self.n_b = (np.array(list(map(len, x)), np.int64) for x in (a, b))
+        self.a, self.b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
+        ends = [np.cumsum(n[x]) for n, x in ((a_len, self.a), (b_len, self.b))]
+        common, self.at_a, self.at_b = np.intersect1d(*ends, assume_unique=True, return_indices=True)
+        last = np.cumsum(self.n_a)
+        upto = np.where(last > 0, ends[0][np.maximum(last - 1, 0)], 0) if len(ends[0]) else np.zeros(len(last), np.int64)
+        self.ends = np.searchsorted(common, upto, side="right")  # links of the parts so far
+        self.n = np.diff(self.ends, prepend=0)
+        self.pairs = self.a[self.at_a] << 32 | self.b[self.at_b]
+        self.good = self.n_a > 0
+
+    def groups(self) -> list[str]:
+        """Each part's groups as text."""
+        a, b, out, p, q = self.a.tolist(), self.b.tolist(), [], 0, 0
+        for x, y in zip(self.at_a.tolist(), self.at_b.tolist(), strict=True):
+            out.append(f"{a[x]}|{b[y]}" if x == p and y == q else ",".join(map(str, a[p : x + 1])) + "|" + ",".join(map(str, b[q : y + 1])))
+            p, q = x + 1, y + 1
+        ends = self.ends.tolist()
+        return [";".join(out[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
 
 
 def cut(text: str | None) -> list[str]:
@@ -207,9 +166,23 @@ def cut(text: str | None) -> list[str]:
         return []
     if SPACE in text:
         return [SPACE]  # never aligned: B's pieces write the space so
-    parts = text.split(" ")
-    # a part that is empty or has white space at an edge belongs to its neighbours
-    return parts if all(p and not (p[0].isspace() or p[-1].isspace()) for p in parts) else _WORDS.split(text)
+    # a space beside white space, or at an edge, parts nothing
+    return _WORDS.split(text) if text[0].isspace() or text[-1].isspace() or _BLANKS.search(text) else text.split(" ")
+
+
+def windows(batches: Iterable[Iterable[str | None]]) -> Iterator[tuple[list[list[str | None]], Counter]]:
+    """Batches of texts taken together, and how often each part occurs in them."""
+    held, parts, size = [], Counter(), 0
+    for texts in batches:
+        held.append(list(texts))
+        for text in held[-1]:
+            parts.update(cut(text))
+            size += len(text or "")
+        if size >= WINDOW_CHARS or len(parts) >= WINDOW_PARTS:
+            yield held, parts
+            held, parts, size = [], Counter(), 0
+    if held:
+        yield held, parts
 
 
 class PairHash:
@@ -259,17 +232,25 @@ def link_counts(texts: Column, docs: DataFrame, a: str, b: bytes) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         aligner, sums = shared.value.open(), Counter()
-        for pdf in batches:
-            cuts = [cut(t) for t in pdf["text"]]
-            parts = Counter(chain.from_iterable(cuts))
-            aligner.meet(parts)
-            bad = {p for p in parts if aligner.parts[p] is None}
-            if bad:  # a text of which one part fails has no tokens at all
-                parts = Counter(chain.from_iterable(c for c in cuts if bad.isdisjoint(c)))
-            for p, n in parts.items():
-                for x in aligner.parts[p][1]:
-                    sums[x] += n
-            aligner.forget()
+        for held, parts in windows(pdf["text"] for pdf in batches):
+            bad, each = set(), list(parts)
+            aligned = list(aligner.align(each))
+            good = np.concatenate([x.good for x in aligned]) if each else np.zeros(0, bool)
+            if not good.all():  # a text of which one part fails has no tokens at all
+                bad = {each[k] for k in np.flatnonzero(~good).tolist()}
+                for text in chain.from_iterable(held):
+                    if not bad.isdisjoint(own := cut(text)):
+                        parts.subtract(own)
+            n = np.array([parts[p] for p in each], np.int64)
+            at = 0
+            for x in aligned:
+                pairs, where = np.unique(x.pairs, return_inverse=True)
+                totals = np.zeros(len(pairs), np.int64)
+                np.add.at(totals, where, np.repeat(n[at : at + len(x.n)], x.n))
+                at += len(x.n)
+                for pair, total in zip(pairs.tolist(), totals.tolist(), strict=True):
+                    if total:
+                        sums[pair] += total
         if sums:
             yield pd.DataFrame({"pair": np.fromiter(sums.keys(), np.int64, len(sums)), "n": np.fromiter(sums.values(), np.int64, len(sums))})
 
@@ -342,27 +323,26 @@ def aligned_column(counts: PairCounts, text: Column, a: str, b: bytes, spark: Sp
     def aligned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         held, known = shared.value
         aligner = held.open()
-        for texts in batches:
-            cuts = [cut(t) for t in texts]
-            parts = set(chain.from_iterable(cuts))
-            aligner.meet(parts)
-            found = [aligner.parts[p] for p in parts]
-            pairs = np.fromiter(chain.from_iterable(f[1] for f in found if f), np.int64)
-            n, best = known.look_up(pairs.view(np.uint64))
-            ends = np.cumsum([len(f[1]) if f else 0 for f in found]).astype(np.int64)
-            upto = lambda x: np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])]
-            links, bests, sums = np.diff(ends, prepend=0), np.diff(upto(best.astype(np.int64))), np.diff(upto(n))
-            figures = np.array([(f[2], f[3], f[4], x, y, z) if f else (0,) * 6 for f, x, y, z in zip(found, links.tolist(), bests.tolist(), sums.tolist(), strict=True)], np.int64).reshape(-1, 6)
+        for texts, parts in windows(batches):
             place = {p: k for k, p in enumerate(parts)}
-            out, bad = [], {p for p, f in zip(parts, found, strict=True) if f is None}
-            for own in cuts:
-                if own and (not bad or bad.isdisjoint(own)):
-                    at = [place[p] for p in own]
-                    out.append((";".join([found[k][0] for k in at]), *figures[at].sum(axis=0).tolist()))
-                else:
-                    out.append(("",) + (0,) * 6)
-            aligner.forget()
-            yield pd.DataFrame(out, columns=["groups", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"])
+            groups, figures, bad = [], [], set()
+            for x in aligner.align(list(parts)):
+                n, best = known.look_up(x.pairs.view(np.uint64))
+                upto = lambda v: np.concatenate([[0], np.cumsum(v)])
+                sums = [np.diff(upto(v)[np.concatenate([[0], x.ends])]) for v in (best.astype(np.int64), n)]  # noqa: B023
+                bad.update((np.flatnonzero(~x.good) + len(groups)).tolist())
+                groups += x.groups()
+                figures.append(np.stack([x.n_a, x.n_b, x.n, x.n, *sums], axis=1))
+            table = np.concatenate(figures) if figures else np.zeros((0, 6), np.int64)
+            for some in texts:
+                out = []
+                for text in some:
+                    at = [place[p] for p in cut(text)]
+                    if at and (not bad or bad.isdisjoint(at)):
+                        out.append((";".join([groups[k] for k in at]), *table[at].sum(axis=0).tolist()))
+                    else:
+                        out.append(("",) + (0,) * 6)
+                yield pd.DataFrame(out, columns=["groups", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"])
 
     return F.pandas_udf(aligned, ALIGNED).asNondeterministic()(text)
 
