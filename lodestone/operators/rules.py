@@ -1,7 +1,10 @@
 """Diagnosis rules over runs, and the ranking of what they find.
 
-A rule is a function from a ``Corpus`` (the parsed tables of many runs) to findings, one plan
-for all runs.  Message rules are written as the program's own message texts with ``%s`` blanks.
+All rules that read messages and facts share one scan: each of their predicates is a column, one aggregation
+a run gives the first hits with their details, and the run's findings are an array built of these.  A rule over another
+table (package failures, conflict roots, livelocks) is a function from a ``Corpus`` (the parsed tables of many runs) to findings,
+which join the array.  Arrays are cleared of repeats, ordered, cut and exploded once; a run's findings are bounded by its
+logs, whose sizes have caps.  Message rules are written as the program's own message texts with ``%s`` blanks.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -91,70 +94,111 @@ def message_pattern(text: str) -> str:
     return out
 
 
-def finding(rows: DataFrame, rule: str, cause, summary, severity=None, confidence=None, roots=None, victims=None, size=None, graph=False, margin=None, fragile=None, detail=None) -> DataFrame:
+def found(rule: str | Column, cause, summary, severity=None, confidence=None, roots=None, victims=None, size=None, graph=False, margin=None, fragile=None, detail=None) -> Column:
+    """A finding, without its run, as a struct."""
     col = lambda x, kind: (x if isinstance(x, Column) else F.lit(x)).cast(kind)
     none = F.array().cast("array<string>")
     sev, conf = (severity if severity is not None else OTHER_RULES[rule][1]), (confidence if confidence is not None else OTHER_RULES[rule][2])
-    return rows.select(
-        F.col("run_key").cast("string").alias("run_key"), F.lit(rule).alias("rule"), col(cause, "string").alias("cause"), col(summary, "string").alias("summary"), col(sev, "int").alias("severity"), col(conf, "int").alias("confidence"),
+    return F.struct(
+        col(rule, "string").alias("rule"), col(cause, "string").alias("cause"), col(summary, "string").alias("summary"), col(sev, "int").alias("severity"), col(conf, "int").alias("confidence"),
         (roots if roots is not None else none).alias("root_pkgs"), (victims if victims is not None else none).alias("victim_pkgs"), col(size if size is not None else 0, "int").alias("cascade_size"), F.lit(graph).alias("from_graph"),
-        col(margin, "int").alias("score_margin"), col(fragile if fragile is not None else False, "boolean").alias("fragile"), (detail if detail is not None else F.create_map().cast("map<string,string>")).alias("detail"),
+        col(margin, "int").alias("score_margin"), col(fragile if fragile is not None else False, "boolean").alias("fragile"), (detail if detail is not None else F.create_map().cast("map<string,string>")).cast("map<string,string>").alias("detail"),
     )
 
 
-def errors(c: Corpus) -> DataFrame:
-    return c.records.where("level = 'ERROR'").select("run_key", "seq", "message")
+def finding(rows: DataFrame, *args, **more) -> DataFrame:
+    """(run_key, f): a finding a row."""
+    return rows.select(F.col("run_key").cast("string").alias("run_key"), found(*args, **more).alias("f"))
+
+
+# -- rules that read messages and facts: predicates, aggregates, findings ---------------------------------
+
+FAILED, SHOWS, OPENING = "doUpdate() failed completely", "running doUpdate() (showErrors=", r"openCache\(\) failed: '(.*?)'"
+INTERRUPTED, UNMARKED = "(?i)dpkg was interrupted, you must manually run", "failed to mark '%s' for install (%s)"
+
+
+def said(c: Corpus) -> DataFrame:
+    """(run_key, apt, seq, error, message): the lines that rules read, and the package manager's last words."""
+    own = c.records.where((F.col("level") == "ERROR") | F.col("message").contains("doUpdate()"))
+    own = own.select(F.col("run_key").cast("string").alias("run_key"), F.lit(False).alias("apt"), F.col("seq").cast("long").alias("seq"), (F.col("level") == "ERROR").alias("error"), "message")
+    if c.apt_errors is None:
+        return own
+    return own.unionByName(c.apt_errors.select(F.col("run_key").cast("string").alias("run_key"), F.lit(True).alias("apt"), F.lit(None).cast("long").alias("seq"), F.lit(True).alias("error"), F.col("text").alias("message")))
+
+
+def _first_text(texts) -> Column:
+    """The first of a rule's message texts that a message has: struct<n, seq, values of its blanks>; else null."""
+    tests = []
+    for n, (text, *names) in enumerate(texts):
+        pattern = message_pattern(text)
+        values = F.array(*[F.trim(F.regexp_extract("message", pattern, i + 1)) for i in range(len(names))]).cast("array<string>")
+        tests.append(F.when(F.col("message").rlike(pattern), F.struct(F.lit(n).alias("n"), "seq", values.alias("values"))))
+    return F.coalesce(*tests)
+
+
+def first_hits(lines: DataFrame) -> DataFrame:
+    """One row a run: what each predicate met first (or last), all from one aggregation."""
+    error, apt, message = F.col("error") & ~F.col("apt"), F.col("apt"), F.col("message")
+    # what is lower-cased or matched more than once is worked out once a line
+    hits = [F.min(F.when(error, _first_text(texts))).alias(f"m{k}") for k, (*_, texts) in enumerate(MESSAGE_RULES)]
+    unmarked = message_pattern(UNMARKED)
+    return lines.groupBy("run_key").agg(
+        *hits,
+        F.bool_or(F.col("error") & message.rlike(INTERRUPTED)).alias("interrupted"),
+        F.max(F.when(message.contains(FAILED) & ~apt, F.col("seq"))).alias("failed_at"),
+        F.collect_list(F.when(message.contains(SHOWS) & ~apt, F.struct("seq", message.contains(f"{SHOWS}True)").alias("shown")))).alias("shows"),
+        F.min(F.when(error & message.rlike(OPENING), F.struct("seq", F.regexp_extract(message, OPENING, 1).alias("why")))).alias("unopened"),
+        F.min(F.when(error & message.rlike(unmarked), F.struct("seq", F.trim(F.regexp_extract(message, unmarked, 1)).alias("package"), F.trim(F.regexp_extract(message, unmarked, 2)).alias("error")))).alias("unmarked"),
+        F.bool_or(apt | (error & is_terminal_error(message))).alias("ended"),
+        *[F.bool_or(apt & F.lower(message).contains(words)).alias(f"c{k}") for k, (words, _) in enumerate(CORROBORATION)],
+    )
+
+
+def _message_finding(k: int) -> Column:
+    rule, cause, severity, _, summary, texts = MESSAGE_RULES[k]
+    hit, filled, detail = F.col(f"m{k}"), F.lit(summary), F.create_map().cast("map<string,string>")
+    for n, (_, *names) in enumerate(texts):
+        values = {name: F.get(hit["values"], F.lit(i)) for i, name in enumerate(names)}
+        if all(f"{{{b}}}" not in summary or b in names for b in re.findall(r"\{(\w+)\}", summary)):
+            said_so = F.lit(summary)
+            for name, value in values.items():
+                said_so = F.replace(said_so, F.lit(f"{{{name}}}"), value)
+            filled = F.when(hit["n"] == n, said_so).otherwise(filled)
+        if names:
+            detail = F.when(hit["n"] == n, F.create_map(*[x for name, value in values.items() for x in (F.lit(name), value)])).otherwise(detail)
+    return F.when(hit.isNotNull(), found(rule, cause, filled, severity, STRONG, detail=detail))
+
+
+def shared_findings() -> list[Column]:
+    """The findings (null: none) of a run with its facts and first hits."""
+    none = F.create_map().cast("map<string,string>")
+    trace = F.element_at(F.filter(F.transform(F.split(F.coalesce("traceback", F.lit("")), "\n"), lambda p: F.trim(p)), lambda x: x != ""), -1)
+    # the last complete failure counts if the update it belongs to showed its errors (unknown: it did)
+    before = F.array_max(F.filter(F.coalesce("shows", F.array().cast("array<struct<seq:bigint,shown:boolean>>")), lambda x: x["seq"] < F.col("failed_at")))
+    fatal = F.col("failed_at").isNotNull() & F.coalesce(before["shown"], F.lit(True))
+    why, package = F.col("unopened.why"), F.col("unmarked.package")
+    missing = F.coalesce("missing_logs", F.array().cast("array<string>"))
+    stops = F.when(F.size(missing) > 0, F.concat(F.lit("logs not provided: "), F.array_join(missing, ", "))).otherwise(F.concat(F.lit("the log stops during "), F.col("phase_name"), F.lit(" with no error recorded")))
+    meta = F.when(package == "", "a required metapackage could not be installed").otherwise(F.concat(F.lit("the "), package, F.lit(" metapackage could not be installed")))
+    crash = lambda x: found("upgrader.crash", "upgrader_crash", F.when(x == "", "the upgrader crashed").otherwise(F.concat(F.lit("the upgrader crashed: "), x)), detail=F.create_map(F.lit("exception"), x, F.lit("has_apport_signature"), (F.coalesce("duplicate_signature", F.lit("")) != "").cast("string")))
+    return [
+        *[_message_finding(k) for k in range(len(MESSAGE_RULES))],
+        F.when(F.col("interrupted"), found("dpkg.interrupted", "dpkg_interrupted", "a previous dpkg run was interrupted, so the upgrade could not start", detail=F.create_map(F.lit("remedy_command"), F.lit("sudo dpkg --configure -a")))),
+        F.when(F.col("problem_type") == "Crash", T.bound(F.coalesce(trace, F.lit("")), crash)),
+        F.when(fatal | F.col("unopened").isNotNull(), found("net.update-failed", "update_failed", "refreshing the package lists failed", detail=F.when(~F.coalesce(fatal, F.lit(False)) & why.isNotNull(), F.create_map(F.lit("error"), why)).otherwise(none))),
+        F.when(F.col("unmarked").isNotNull(), found("upgrader.metapkg-install-failed", "meta_package_uninstallable", meta, detail=F.create_map(F.lit("package"), package, F.lit("error"), F.col("unmarked.error")))),
+        F.when(~F.col("evidence_complete"), found("evidence.truncated", "no_failure_recorded", F.concat(F.lit("no failure was recorded -- "), stops), detail=F.create_map(F.lit("terminal_phase"), F.col("phase_name")))),
+        F.when(F.col("evidence_complete") & F.col("completed") & ~F.coalesce("ended", F.lit(False)), found("upgrader.no-failure", "upgrade_succeeded", "the upgrade completed; no failure was recorded")),
+    ]
 
 
 def message_rules(c: Corpus) -> DataFrame:
     """Of each rule the first message text that any error has, and its first error."""
-    tests = []
-    for k, (rule, cause, severity, _, summary, texts) in enumerate(MESSAGE_RULES):
-        for n, (text, *names) in enumerate(texts):
-            pattern = message_pattern(text)
-            said = [F.trim(F.regexp_extract("message", pattern, i + 1)) for i in range(len(names))]
-            filled = F.lit(summary)
-            if all(f"{{{b}}}" not in summary or b in names for b in re.findall(r"\{(\w+)\}", summary)):
-                for name, value in zip(names, said, strict=True):
-                    filled = F.replace(filled, F.lit(f"{{{name}}}"), value)
-            detail = F.map_from_arrays(F.array(*[F.lit(x) for x in names]).cast("array<string>"), F.array(*said).cast("array<string>"))
-            tests.append(F.when(F.col("message").rlike(pattern), F.struct(F.lit(k).alias("k"), F.lit(n).alias("n"), F.lit(rule).alias("rule"), F.lit(cause).alias("cause"), F.lit(severity).alias("severity"), filled.alias("summary"), detail.alias("detail"))))
-    hits = errors(c).select("run_key", "seq", F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("h"))
-    first = hits.groupBy("run_key", "h.k").agg(F.min_by("h", F.struct(F.col("h.n"), "seq")).alias("h"))
-    out = finding(first.select("run_key", "h"), "upgrader.no-failure", F.col("h.cause"), F.col("h.summary"), F.col("h.severity"), STRONG, detail=F.map_concat("h.detail", F.create_map(F.lit("_rule"), F.col("h.rule"))))
-    return out.withColumn("rule", F.col("detail")["_rule"]).withColumn("detail", F.map_filter("detail", lambda k, v: k != "_rule"))
-
-
-def dpkg_interrupted(c: Corpus) -> DataFrame:
-    said = errors(c).select("run_key", "message")
-    if c.apt_errors is not None:
-        said = said.unionByName(c.apt_errors.select("run_key", F.col("text").alias("message")))
-    runs = said.where(F.col("message").rlike("(?i)dpkg was interrupted, you must manually run")).select("run_key").distinct()
-    return finding(runs, "dpkg.interrupted", "dpkg_interrupted", "a previous dpkg run was interrupted, so the upgrade could not start", detail=F.create_map(F.lit("remedy_command"), F.lit("sudo dpkg --configure -a")))
-
-
-def upgrader_crash(c: Corpus) -> DataFrame:
-    last = F.element_at(F.filter(F.transform(F.split(F.coalesce("traceback", F.lit("")), "\n"), lambda p: F.trim(p)), lambda x: x != ""), -1)
-    rows = c.facts.where("problem_type = 'Crash'").withColumn("x", F.coalesce(last, F.lit("")))
-    return finding(rows, "upgrader.crash", "upgrader_crash", F.when(F.col("x") == "", "the upgrader crashed").otherwise(F.concat(F.lit("the upgrader crashed: "), F.col("x"))), detail=F.create_map(F.lit("exception"), F.col("x"), F.lit("has_apport_signature"), (F.coalesce("duplicate_signature", F.lit("")) != "").cast("string")))
-
-
-def update_failed(c: Corpus) -> DataFrame:
-    """The last complete failure counts if the update it belongs to showed its errors (unknown: it did)."""
-    so_far = Window.partitionBy("run_key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    show = F.when(F.col("message").contains("running doUpdate() (showErrors="), F.col("message").contains("(showErrors=True)"))
-    seen = c.records.withColumn("fatal", F.coalesce(F.last(show, ignorenulls=True).over(so_far), F.lit(True)))
-    failed = seen.where(F.col("message").contains("doUpdate() failed completely")).groupBy("run_key").agg(F.max_by("fatal", "seq").alias("fatal"))
-    cache = errors(c).where(F.col("message").rlike(r"openCache\(\) failed: '")).groupBy("run_key").agg(F.min_by(F.regexp_extract("message", r"openCache\(\) failed: '(.*?)'", 1), "seq").alias("error"))
-    both = failed.where("fatal").select("run_key").withColumn("error", F.lit(None).cast("string")).unionByName(cache.join(failed.where("fatal"), "run_key", "left_anti"))
-    return finding(both, "net.update-failed", "update_failed", "refreshing the package lists failed", detail=F.map_filter(F.create_map(F.lit("error"), F.col("error")), lambda k, v: v.isNotNull()))
-
-
-def metapackage_failed(c: Corpus) -> DataFrame:
-    pattern = message_pattern("failed to mark '%s' for install (%s)")
-    hit = errors(c).where(F.col("message").rlike(pattern)).groupBy("run_key").agg(F.min_by("message", "seq").alias("m"))
-    pkg = F.trim(F.regexp_extract("m", pattern, 1))
-    return finding(hit, "upgrader.metapkg-install-failed", "meta_package_uninstallable", F.when(pkg == "", "a required metapackage could not be installed").otherwise(F.concat(F.lit("the "), pkg, F.lit(" metapackage could not be installed"))), detail=F.create_map(F.lit("package"), pkg, F.lit("error"), F.trim(F.regexp_extract("m", pattern, 2))))
+    hits = first_hits(said(c)).select("run_key", F.explode(F.filter(F.array(*[_message_finding(k) for k in range(len(MESSAGE_RULES))]), lambda f: f.isNotNull())).alias("f"))
+    return hits.select("run_key", "f.*")
+
+
+# -- rules over other tables -------------------------------------------------------------------------------
 
 
 def dpkg_failures(c: Corpus) -> DataFrame | None:
@@ -249,27 +293,13 @@ def resolver_livelock(c: Corpus) -> DataFrame | None:
     return finding(rows, "resolver.livelock", "resolver_livelock", F.when(F.size("by") > 0, forced).otherwise(plain), roots=F.array("blocker"), victims=F.transform("x", lambda r: r["subject"]), graph=True, detail=detail)
 
 
-def truncated_evidence(c: Corpus) -> DataFrame:
-    rows = c.facts.where("not evidence_complete")
-    missing = F.coalesce("missing_logs", F.array().cast("array<string>"))
-    why = F.when(F.size(missing) > 0, F.concat(F.lit("logs not provided: "), F.array_join(missing, ", "))).otherwise(F.concat(F.lit("the log stops during "), F.col("phase_name"), F.lit(" with no error recorded")))
-    return finding(rows, "evidence.truncated", "no_failure_recorded", F.concat(F.lit("no failure was recorded -- "), why), detail=F.create_map(F.lit("terminal_phase"), F.col("phase_name")))
-
-
 def is_terminal_error(message: Column) -> Column:
     return ~reduce(lambda a, b: a | b, [message.contains(t) for t in BENIGN])
 
 
-def no_failure(c: Corpus) -> DataFrame:
-    bad = errors(c).where(is_terminal_error(F.col("message"))).select("run_key")
-    if c.apt_errors is not None:
-        bad = bad.union(c.apt_errors.select("run_key"))
-    rows = c.facts.where(F.col("evidence_complete") & F.coalesce("reached_dpkg", F.lit(False)) & (F.col("terminal_phase") >= POST_UPGRADE)).join(bad.distinct(), "run_key", "left_anti")
-    return finding(rows, "upgrader.no-failure", "upgrade_succeeded", "the upgrade completed; no failure was recorded")
-
-
 Rule = Callable[[Corpus], DataFrame | None]
-RULES: list[Rule] = [message_rules, dpkg_interrupted, upgrader_crash, update_failed, metapackage_failed, dpkg_failures, resolver_livelock, resolver_roots, third_party_blocker, fragile_decision, truncated_evidence, no_failure]
+#: The rules over other tables.
+RULES: list[Rule] = [dpkg_failures, resolver_livelock, resolver_roots, third_party_blocker, fragile_decision]
 
 
 def rules_digest() -> str:
@@ -277,49 +307,57 @@ def rules_digest() -> str:
     return hashlib.sha256(repr((MESSAGE_RULES, sorted(OTHER_RULES.items()))).encode()).hexdigest()[:16]
 
 
-def tier(completed: Column) -> Column:
+def tier(f: Column, completed: Column) -> Column:
     """The band of a finding; lower ones are more authoritative."""
-    c = F.col("cause")
-    early = F.col("from_graph") | c.isin(*RESOLVER, "resolver_livelock", "meta_package_uninstallable")
+    c = f["cause"]
+    early = f["from_graph"] | c.isin(*RESOLVER, "resolver_livelock", "meta_package_uninstallable")
     return (
-        F.when(c == "no_failure_recorded", 99).when(F.col("rule") == "resolver.fragile-decision", 50).when(completed & early, 40)
+        F.when(c == "no_failure_recorded", 99).when(f["rule"] == "resolver.fragile-decision", 50).when(completed & early, 40)
         .when(c.isin("dpkg_interrupted", "upgrader_crash"), 0).when(c.isin(*ENVIRONMENT), 1).when(c == "resolver_livelock", 2).when(c == "meta_package_uninstallable", 3).otherwise(4)
     )
 
 
-def corroborated(apt_errors: DataFrame) -> DataFrame:
-    """(run_key, causes) that the package manager's own last words point to."""
-    hits = F.flatten(F.array(*[F.when(F.lower("text").contains(words), F.array(*[F.lit(x) for x in causes])).otherwise(F.array().cast("array<string>")) for words, causes in CORROBORATION]))
-    return apt_errors.select("run_key", F.explode(hits).alias("c")).groupBy(F.col("run_key").cast("string").alias("run_key")).agg(F.collect_set("c").alias("causes"))
+def _corroborated(f: Column) -> Column:
+    """Whether the package manager's own last words point to the cause."""
+    return reduce(lambda a, b: a | b, [F.coalesce(F.col(f"c{k}"), F.lit(False)) & f["cause"].isin(*causes) for k, (_, causes) in enumerate(CORROBORATION)])
+
+
+def _once(all_: Column) -> Column:
+    """Of findings with one rule, cause and roots that with the larger cascade, then the lesser summary."""
+    keyed = F.transform(all_, lambda f, i: F.struct(f["rule"].alias("r"), f["cause"].alias("c"), F.array_join(f["root_pkgs"], ",").alias("p"), (-f["cascade_size"]).alias("n"), f["summary"].alias("s"), i.alias("i")))
+    same = lambda a, b: (a["r"] == b["r"]) & (a["c"] == b["c"]) & (a["p"] == b["p"])
+    kept = lambda xs: F.filter(xs, lambda x, i: (i == 0) | ~same(x, F.get(xs, i - 1)))
+    return T.bound(F.array_sort(keyed), lambda xs: F.transform(kept(xs), lambda x: F.get(all_, x["i"])))
+
+
+def ranked(all_: Column, limit: int) -> Column:
+    """array<struct<f, tier, corroborated, priority, rank>>: the first ``limit`` findings in order, then the caveats beyond."""
+    priorities = F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])
+    keyed = F.transform(all_, lambda f, i: F.struct(tier(f, F.col("completed")).alias("tier"), (-f["severity"]).alias("s"), (~_corroborated(f)).alias("u"), (-f["cascade_size"]).alias("n"), F.coalesce(priorities[f["rule"]], F.lit(500)).alias("priority"), (-f["confidence"]).alias("c"), f["rule"].alias("r"), f["summary"].alias("t"), i.alias("i")))
+    told = F.transform(F.array_sort(keyed), lambda x, n: F.struct(F.get(all_, x["i"]).alias("f"), x["tier"].alias("tier"), (~x["u"]).alias("corroborated"), x["priority"].alias("priority"), F.least(n + 1, F.lit(limit + 1)).alias("rank")))
+    return F.filter(told, lambda x: (x["rank"] <= limit) | (x["f"]["cause"] == "no_failure_recorded"))
 
 
 def diagnose(c: Corpus, enabled: list[str] | None = None, disabled: list[str] = [], limit: int = 12, rules: list[Rule] | None = None) -> DataFrame:  # noqa: B006
     """Ranked findings of every run; repeats of (rule, cause, roots) keep the larger cascade.
 
     Rules that need complete evidence say nothing of runs without; the first ``limit`` stay, and
-    caveats always.
+    caveats always.  ``rules`` (default: ``RULES``) are those over other tables.
     """
-    from .corpus import rank_capped
-
-    parts = [p for p in (r(c) for r in (rules or RULES)) if p is not None]
-    found = reduce(lambda a, b: a.unionByName(b), [p.select(*COLUMNS) for p in parts])
-    if enabled is not None:
-        found = found.where(F.col("rule").isin(enabled))
-    found = found.where(~F.col("rule").isin(disabled)) if disabled else found
-    facts = c.facts.select(F.col("run_key").cast("string").alias("run_key"), "evidence_complete", (F.coalesce("reached_dpkg", F.lit(False)) & (F.col("terminal_phase") >= POST_UPGRADE)).alias("completed"))
-    needs = F.create_map(*[F.lit(x) for kv in NEEDS_ALL.items() for x in kv])[F.col("rule")]
-    found = found.join(facts, "run_key").where(F.col("evidence_complete") | ~F.coalesce(needs, F.lit(True)))
-    same = Window.partitionBy("run_key", "rule", "cause", F.array_join("root_pkgs", ",")).orderBy(F.desc("cascade_size"), "summary")
-    found = found.withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")
-    if c.apt_errors is not None:
-        found = found.join(corroborated(c.apt_errors), "run_key", "left")
-    else:
-        found = found.withColumn("causes", F.lit(None).cast("array<string>"))
-    said = F.coalesce(F.array_contains("causes", F.col("cause")), F.lit(False))
-    priority = F.coalesce(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])[F.col("rule")], F.lit(500))
-    found = found.withColumns({"tier": tier(F.col("completed")), "corroborated": said, "priority": priority})
-    order = [F.asc("tier"), F.desc("severity"), F.desc("corroborated"), F.desc("cascade_size"), F.asc("priority"), F.desc("confidence"), F.asc("rule"), F.asc("summary")]
-    return rank_capped(found, ["run_key"], order, limit, F.col("cause") == "no_failure_recorded").drop("causes", "completed", "evidence_complete")
+    facts = c.facts.withColumn("run_key", F.col("run_key").cast("string")).withColumn("completed", F.coalesce("reached_dpkg", F.lit(False)) & F.coalesce(F.col("terminal_phase") >= POST_UPGRADE, F.lit(False)))
+    runs = facts.join(first_hits(said(c)), "run_key", "left")
+    all_ = F.filter(F.array(*shared_findings()), lambda f: f.isNotNull())
+    parts = [p for p in (r(c) for r in (RULES if rules is None else rules)) if p is not None]
+    if parts:
+        others = reduce(lambda a, b: a.unionByName(b), parts).groupBy("run_key").agg(F.collect_list("f").alias("others"))
+        runs = runs.join(others, "run_key", "left")
+        all_ = F.concat(all_, F.coalesce("others", F.array()))
+    needs = [name for name, all_logs in NEEDS_ALL.items() if not all_logs]
+    stays = lambda f: F.col("evidence_complete") | f["rule"].isin(*needs)
+    on = lambda f: reduce(lambda a, b: a & b, [stays(f), *([f["rule"].isin(*enabled)] if enabled is not None else []), *([~f["rule"].isin(*disabled)] if disabled else [])])
+    clear = runs.select("run_key", "completed", *[f"c{k}" for k in range(len(CORROBORATION))], T.bound(F.filter(all_, on), _once).alias("all"))
+    told = clear.select("run_key", F.explode(ranked(F.col("all"), limit)).alias("x"))
+    return told.select("run_key", "x.f.*", "x.tier", "x.corroborated", "x.priority", "x.rank")
 
 
 def primary(findings: DataFrame) -> DataFrame:

@@ -645,6 +645,58 @@ def rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.diagnose(rules.Corpus(facts, records)).select("run_key", "rule", "cause", "severity", "summary", "rank")
 
 
+#: For runs with many findings: message, rule, cause, tier, severity, priority, confidence, summary; {n} is the line's quantity.
+SAID_MANY = (
+    ("Not enough free space: {n} GB", "env.disk-space", "not_enough_disk_space", 1, 3, 10, 2, "not enough free disk space: {n} GB"),
+    ("Can not write to ''/a{n}''", "env.not-writable", "filesystem_not_writable", 1, 3, 12, 2, "a required path is not writable: /a{n}"),
+    ("Upgrading over remote connection not supported", "env.ssh-blocked", "ssh_upgrade_blocked", 1, 2, 14, 2, "the upgrade was refused because it was started over SSH"),
+    ("No ''x{n}'' available/downloadable after sources.list rewrite+update", "net.download-failed", "download_failed", 1, 3, 21, 2, "the upgrade could not be downloaded"),
+    ("got error from PostInstallScript s{n}.sh (1)", "upgrader.post-install-script", "post_install_script_error", 4, 2, 33, 2, "a post-install script failed: s{n}.sh"),
+    ("failed to mark ''meta{n}'' for install (E:x)", "upgrader.metapkg-install-failed", "meta_package_uninstallable", 3, 3, 35, 2, "the meta{n} metapackage could not be installed"),
+    ("dpkg was interrupted, you must manually run x", "dpkg.interrupted", "dpkg_interrupted", 0, 3, 5, 3, "a previous dpkg run was interrupted, so the upgrade could not start"),
+    ("error setting default icon", "", "", 0, 0, 0, 0, ""),
+    ("Broken packages after upgrade: b{n}", "upgrader.broken-after-upgrade", "broken_packages_after_upgrade", 4, 3, 34, 2, "packages were left broken after the upgrade finished: b{n}"),
+)
+MANY_KIND = f"CAST((l_partkey + l_linenumber) % {len(SAID_MANY)} AS INTEGER)"
+MANY_N = "CAST(CAST(l_quantity AS INTEGER) AS {s})"
+#: A supplier's packages that its resolver could not place.
+MANY_ROOT = "l_suppkey % 4 < 2 AND l_partkey % 10 = 0"
+
+
+@query(f"""
+WITH s(k, rule, cause, tier, severity, priority, confidence, summary) AS (VALUES {", ".join(f"({k}, '{x[1]}', '{x[2]}', {x[3]}, {x[4]}, {x[5]}, {x[6]}, '{x[7]}')" for k, x in enumerate(SAID_MANY))}),
+l AS (SELECT 'o' || l_orderkey AS run_key, l_orderkey AS id, l_linenumber AS seq, {MANY_KIND} AS k, {MANY_N.format(s="VARCHAR")} AS n FROM lineitem
+  UNION ALL SELECT 's' || l_suppkey, l_suppkey, l_orderkey * 10 + l_linenumber, {MANY_KIND}, {MANY_N.format(s="VARCHAR")} FROM lineitem),
+f AS (SELECT run_key, min(id) AS id, k, arg_min(n, struct_pack(seq, n)) AS n FROM l GROUP BY run_key, k),
+r AS (SELECT run_key, any_value(id) AS id FROM l GROUP BY run_key),
+c AS (SELECT DISTINCT 's' || l_suppkey AS run_key, l_suppkey AS id, l_partkey, l_partkey % 17 AS size FROM lineitem WHERE {MANY_ROOT}),
+a AS (
+  SELECT run_key, rule, cause, CASE WHEN id % 6 = 5 AND cause = 'meta_package_uninstallable' THEN 40 ELSE tier END AS tier, severity, id % 3 = 0 AND cause = 'meta_package_uninstallable' AS said, 0 AS size, priority, confidence, replace(summary, '{{n}}', n) AS summary FROM f JOIN s USING (k) WHERE rule <> '' AND id % 4 <> 0
+  UNION ALL SELECT run_key, 'upgrader.crash', 'upgrader_crash', 0, 3, false, 0, 6, 3, 'the upgrader crashed: KeyError: ' || id FROM r WHERE id % 7 = 0 AND id % 4 <> 0
+  UNION ALL SELECT run_key, 'upgrader.no-failure', 'upgrade_succeeded', 4, 0, false, 0, 901, 2, 'the upgrade completed; no failure was recorded' FROM r WHERE id % 6 = 5 AND id % 4 <> 0 AND id % 3 <> 0 AND run_key NOT IN (SELECT run_key FROM f JOIN s USING (k) WHERE rule <> '')
+  UNION ALL SELECT run_key, 'evidence.truncated', 'no_failure_recorded', 99, 0, false, 0, 900, 3, 'no failure was recorded -- ' || CASE WHEN id % 8 = 0 THEN 'logs not provided: main, apt' ELSE 'the log stops during ' || CASE WHEN id % 6 = 5 THEN 'DONE' ELSE 'CALCULATE' END || ' with no error recorded' END FROM r WHERE id % 4 = 0
+  UNION ALL SELECT run_key, 'resolver.roots', 'holdback_blocks_new_dep', CASE WHEN id % 6 = 5 THEN 40 ELSE 4 END, 2, id % 3 = 0, size, 100, 2, 'apt held p' || l_partkey || ' back' || CASE size WHEN 0 THEN '' WHEN 1 THEN ', blocking 1 package' ELSE ', blocking ' || size || ' packages' END FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY run_key ORDER BY tier, severity DESC, said DESC, size DESC, priority, confidence DESC, rule, summary) AS n FROM a)
+SELECT run_key, rule, cause, severity, said AS corroborated, CAST(tier AS INTEGER) AS tier, summary, CAST(least(n, 13) AS INTEGER) AS rank FROM o WHERE n <= 12 OR cause = 'no_failure_recorded'
+""")
+def rule_findings_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked findings of runs with several causes each: every order's lines, and every supplier's (more than twelve, and caveats)."""
+    line, text = table(spark, sf_dir, "lineitem"), lambda x: F.col(x).cast("string")
+    kind, n = F.expr(MANY_KIND), F.expr(MANY_N.format(s="STRING"))
+    message = F.replace(F.element_at(F.array(*[F.lit(x[0].replace("''", "'")) for x in SAID_MANY]), kind + 1), F.lit("{n}"), n)
+    runs = F.array(F.struct(F.concat(F.lit("o"), text("l_orderkey")).alias("run_key"), long("l_linenumber").alias("seq")), F.struct(F.concat(F.lit("s"), text("l_suppkey")).alias("run_key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq")))
+    records = line.select(F.explode(runs).alias("r"), F.lit("ERROR").alias("level"), message.alias("message")).select("r.*", "level", "message")
+    o, s = (table(spark, sf_dir, "lineitem").select(F.concat(F.lit(p), text(k)).alias("run_key"), long(k).alias("id")).distinct() for p, k in (("o", "l_orderkey"), ("s", "l_suppkey")))
+    keys, i = o.unionByName(s), F.col("id")
+    done = i % 6 == 5
+    facts = keys.select("run_key", (i % 4 != 0).alias("evidence_complete"), done.alias("reached_dpkg"), F.when(done, 100).otherwise(60).alias("terminal_phase"), F.when(done, "DONE").otherwise("CALCULATE").alias("phase_name"), F.when((i % 7 == 0) & (i % 4 != 0), "Crash").alias("problem_type"), F.concat(F.lit("Traceback\n x\nKeyError: "), text("id"), F.lit("\n")).alias("traceback"), F.lit("").alias("duplicate_signature"), F.when(i % 8 == 0, F.array(F.lit("main"), F.lit("apt"))).otherwise(F.array().cast("array<string>")).alias("missing_logs"))
+    apt = keys.where("id % 3 = 0").select("run_key", F.lit("Unable to correct problems, you have held broken packages.").alias("text"))
+    none = lambda kind: F.lit(None).cast(kind)
+    roots = line.where(MANY_ROOT).select(F.concat(F.lit("s"), text("l_suppkey")).alias("run_key"), F.concat(F.lit("p"), text("l_partkey"), F.lit(":amd64")).alias("pkg"), (F.col("l_partkey") % 17).cast("int").alias("cascade_size")).distinct()
+    roots = roots.select("*", F.lit("holdback_blocks_new_dep").alias("cause"), F.lit(2).alias("severity"), F.lit(2).alias("confidence"), F.array().cast("array<string>").alias("cascade"), F.lit("").alias("constraint"), none("int").alias("score_margin"), F.lit(False).alias("fragile"), F.lit(1).alias("rank"), F.create_map().cast("map<string,string>").alias("detail"), F.lit(False).alias("cycle_broken"))
+    return rules.diagnose(rules.Corpus(facts, records, apt, roots=roots)).select("run_key", "rule", "cause", "severity", "corroborated", "tier", "summary", "rank")
+
+
 #: The terminal log of an order: a block with one failure, of a kind by its key.
 WHY = ("installed p package post-installation script subprocess returned error exit status 3", "dependency problems - leaving unconfigured", "trying to overwrite ''/usr/bin/f'', which is also in package c1 1.0", "cannot access archive: gone")
 FAILED = "CASE CAST(o_orderkey % 4 AS INTEGER) " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(WHY)) + " END"
