@@ -102,9 +102,10 @@ def rank_capped(rows: DataFrame, group: list[str], order: list[Column], limit: i
     """The first ``limit`` rows of each group by ``order`` with their rank, and beyond them those that must stay, at rank ``limit + 1``.
 
     A group is ranked in ``parts`` hashed parts first, so that a hot one is no single task; of each
-    part only the first ``limit`` are ranked again.  Rows equal in every column fall into one part.
+    part only the first ``limit`` are ranked again.  Rows equal in every column without maps fall into one part.
     """
-    part = F.pmod(F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))), F.lit(parts))
+    plain = [F.col(f"`{f.name.replace('`', '``')}`") for f in rows.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    part = F.pmod(F.xxhash64(*plain), F.lit(parts))
     tagged = rows.withColumns({"_always": F.coalesce(always, F.lit(False)), "_part": part})
     tagged = tagged.withColumn("_near", F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order)))
     near = tagged.where(F.col("_near") <= limit).withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))

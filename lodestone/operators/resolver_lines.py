@@ -1,19 +1,16 @@
 """Lines of a dependency resolver's trace, told apart by phrase.
 
 Phrases are written as templates and compiled to anchored patterns; a line's first
-phrase wins.  The tests run in one Arrow-batched UDF, which parses each distinct skeleton
-of a task once (some forty alternatives would otherwise be forty regular expressions of the plan);
-states, depth and everything else are built-in expressions.
+phrase wins.  A line is dispatched by its first word, so it meets the one to three patterns that can open so, and the one that
+has no opening.  A pattern is matched once: the line is replaced by its fields, parted by a control character, and then
+split.  Everything is a built-in expression.
 """
 
 from __future__ import annotations
 
 import re
-import sys
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +18,8 @@ from ..functions import states as S
 from ..functions import text as T
 
 MOST_LINE = 8192
-#: Parsed skeletons that a task remembers.
-MOST_KNOWN = 100_000
+#: Parts the fields of a parsed line, and opens it.
+MARK = "\x01"
 
 #: Verb, stream, phrase.  {a} {b} {c} are package references, {dep} a relation's
 #: name in any language, {v} an optional version in brackets, {n} a number.  A blank is any white space.
@@ -80,39 +77,59 @@ DECISIONS = ("holding_back", "removing_rather", "fixing_via_remove", "fixing_via
 KEEPS, UPGRADES = ("holding_back", "mark_keep"), ("upgrading_due_to", "upgrading_due_to_field", "upgrading_due_to_dep")
 
 
-def compiled() -> list[tuple[str, re.Pattern[str]]]:
-    out = []
-    for verb, _, phrase in PHRASES:
-        for blank, pattern in BLANKS.items():
-            phrase = phrase.replace(blank, pattern)
-        out.append((verb, re.compile(phrase.replace(" ", r"\s+"))))
-    return out
+#: Groups of the patterns, in the order in which a parsed line has them after its verb.
+GROUPS = ["subject", "object", "third", "dep", "constraint", "score_src", "score_dst", "broken", "pass_no", "fu", "timestamp"]
 
 
-def parse(skeleton: str, patterns: list[tuple[str, re.Pattern[str]]]) -> tuple:
-    """The fields of one line without its states."""
-    for verb, pattern in patterns:
-        if m := pattern.fullmatch(skeleton):
-            g = m.groupdict()
-            num = lambda k: int(g[k]) if g.get(k) else None  # noqa: B023, E731
-            return verb, g.get("subject") or "", g.get("object") or "", g.get("third") or "", g.get("dep") or "", (g.get("constraint") or "").strip(), num("score_src"), num("score_dst"), num("broken"), num("pass_no"), g["fu"] == "1" if g.get("fu") else None, (g.get("timestamp") or "").strip()
-    return ("unknown", "", "", "", "", "", None, None, None, None, None, "")
+def _openings(phrase: str) -> list[str] | None:
+    """The first words a phrase can open with; None where that is a blank."""
+    word = re.split(r"[ (\\]", phrase)[0]
+    if word.startswith("{"):
+        return None
+    return [word] if "?" not in word else [re.sub(r".\?", "", word), word.replace("?", "")]
 
 
-def parsed(skeleton: Column) -> Column:
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        patterns, known = compiled(), {}
-        for lines in batches:
-            if len(known) > MOST_KNOWN:
-                known.clear()
-            rows = [known.get(x) or known.setdefault(x, parse(x or "", patterns)) for x in lines]
-            frame = pd.DataFrame(rows, columns=FIELDS)
-            for c in ("score_src", "score_dst", "broken_count", "pass_no"):
-                frame[c] = frame[c].astype("Int32")
-            frame["from_user"] = frame["from_user"].astype("boolean")
-            yield frame
+def _replacement(verb: str, phrase: str) -> tuple[str, str]:
+    """(anchored pattern, what a line that fits is replaced by)."""
+    for blank, pattern in BLANKS.items():
+        phrase = phrase.replace(blank, pattern)
+    names = re.findall(r"\(\?P<(\w+)>", phrase)
+    pattern = re.sub(r"\(\?P<\w+>", "(", phrase).replace(" ", r"\s+")
+    return f"^(?!{MARK})(?:{pattern})$", MARK.join(["", verb, *(f"${names.index(g) + 1}" if g in names else "" for g in GROUPS)])
+
 
-    return F.pandas_udf(run, SCHEMA)(skeleton)
+def parsed(skeleton: Column) -> Column:
+    """struct of ``SCHEMA`` of a line without its states."""
+    by_opening: dict[str, list[tuple[str, str]]] = {}
+    rest = []
+    for verb, _, phrase in PHRASES:
+        for opening in (own := _openings(phrase)) or []:
+            by_opening.setdefault(opening, []).append((verb, phrase))
+        rest += [(verb, phrase)] if own is None else []
+    shared: dict[tuple, list[str]] = {}
+    for opening, own in by_opening.items():
+        shared.setdefault(tuple(own), []).append(opening)
+    apply = lambda line, own: reduce(lambda x, vp: F.regexp_replace(x, *_replacement(*vp)), own, line)
+
+    def dispatched(line: Column) -> Column:
+        first, out = F.substring_index(line, " ", 1), line
+        cases = [(first.isin(*openings), apply(line, own)) for own, openings in shared.items()]
+        out = reduce(lambda w, c: w.when(*c), cases[1:], F.when(*cases[0])).otherwise(line)
+        return out
+
+    def fields(x: Column) -> Column:
+        text = lambda g: F.coalesce(F.get(x, F.lit(GROUPS.index(g) + 2)), F.lit(""))
+        number = lambda g: text(g).try_cast("int")
+        known = F.size(x) > 1
+        return F.struct(
+            F.when(known, F.get(x, F.lit(1))).otherwise("unknown").alias("verb"), text("subject").alias("subject"), text("object").alias("object"), text("third").alias("third"), text("dep").alias("dep"), F.trim(text("constraint")).alias("constraint"),
+            number("score_src").alias("score_src"), number("score_dst").alias("score_dst"), number("broken").alias("broken_count"), number("pass_no").alias("pass_no"), F.when(text("fu") != "", text("fu") == "1").alias("from_user"), F.trim(text("timestamp")).alias("timestamp"),
+        )
+
+    line = T.bound(F.coalesce(skeleton, F.lit("")), dispatched)
+    for verb, phrase in rest:
+        line = F.regexp_replace(line, *_replacement(verb, phrase))
+    return T.bound(F.split(line, MARK), fields)
 
 
 def dependency_code(name: Column, aliases: dict[str, int] | None = None) -> Column:
@@ -175,5 +192,3 @@ def trace_sections(tokens: DataFrame) -> DataFrame:
     content = F.concat_ws("|", "verb", "subject", "object", "third", F.col("dep").cast("string"), "constraint")
     return sections(tokens, verb == "log_time", ["run_key"], ["line_no"], verb.isin(*CONFLICTS), verb.isin(*DECISIONS), F.when(verb == "starting", F.col("broken_count")), verb == "done", content, verb == "entering_resolve_by_keep")
 
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

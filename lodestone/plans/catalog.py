@@ -62,7 +62,19 @@ def template_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.set_frequency(table(spark, sf_dir, "documents"), F.transform(lines, lambda x: F.trim(F.regexp_replace(x, DIGITS, "<N>"))), "template")
 
 
-@query()
+#: The masks that an RE2 oracle can repeat (those that look around need text that no document has), and the placeholders of their groups.
+SEEN_MASKS = [(n, p) for n, p in T.MASKS if "(?<=" not in p]
+SEEN_NAMES = list(dict.fromkeys(n for n, _ in SEEN_MASKS))
+SEEN_SCAN = "|".join("(" + "|".join(p for m, p in SEEN_MASKS if m == n) + ")" for n in SEEN_NAMES)
+SEEN_GROUPS = " || chr(2) || ".join(f"'\\{k + 1}'" for k in range(len(SEEN_NAMES)))
+SEEN_FILLED = "list_transform(string_split(regexp_replace(regexp_replace({line}, '^\\s+|\\s+$', '', 'g'), '" + SEEN_SCAN + "', chr(1) || " + SEEN_GROUPS + " || chr(3), 'g'), chr(1)), lambda x, i: CASE WHEN i = 1 THEN x ELSE list_aggregate(list_transform(string_split(split_part(x, chr(3), 1), chr(2)), lambda g, k: CASE WHEN g <> '' THEN " + str([f"<{n}>" for n in SEEN_NAMES]) + "[k] ELSE '' END), 'string_agg', '') || split_part(x, chr(3), 2) END)"
+
+
+@query(f"""
+WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents),
+t AS (SELECT trim(regexp_replace(array_to_string({SEEN_FILLED.replace("{line}", "line")}, ''), '\\s+', ' ', 'g')) AS template FROM l WHERE trim(line) <> '')
+SELECT template, count(*) AS n FROM t GROUP BY template
+""".replace("\\\\", "\\"))
 def mask_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full single-scan mask over distinct lines, most frequent templates first by count."""
     lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
@@ -70,6 +82,34 @@ def mask_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct.select(T.mask(F.col("line"))["template"].alias("template"), "n").groupBy("template").agg(F.sum("n").alias("n"))
 
 
+#: Lines with every mask: text, template, what the placeholders stand for.
+MASKED = (
+    ("  2026-01-05 10:00:0{d},344 took {x} MB at /tmp/x{y}/z.deb", "<TS> took <SIZE> at <PATH>", ("2026-01-05 10:00:0{d},344", "{x} MB", "/tmp/x{y}/z.deb")),
+    ("Setting up p{x}:amd64 (2.{y}-0u8) at 10:00:0{d}", "Setting up <PKG> (<VER>) at <TIME>", ("p{x}:amd64", "2.{y}-0u8", "10:00:0{d}")),
+    ("dpkg: error processing package {x}   (--configure):", "dpkg: error processing package <PKG> (--configure):", ("{x}",)),
+    ("installed p{x} package post-installation script {y}", "installed <PKG> package post-installation script <N>", ("p{x}", "{y}")),
+    ("unable to securely remove {x}.y", "unable to securely remove <PKG>", ("{x}.y",)), ("which is also in package p{x} 1:{y}", "which is also in package <PKG> <VER>", ("p{x}", "1:{y}")),
+    ("at 0xff{d} deadbeefdead{d} of g{x}:i386:any", "at <HEX> <HASH> of <PKG>", ("0xff{d}", "deadbeefdead{d}", "g{x}:i386:any")), ("nothing here", "nothing here", ()), ("x{x} {y}", "x{x} <N>", ("{y}",)),
+)
+MASKED_KIND = f"CAST((l_orderkey + l_linenumber) % {len(MASKED)} AS INTEGER)"
+
+
+def _masked(values: list[str], kind: str) -> str:
+    fill = lambda v: "(" + v.replace("{x}", f"' || CAST(l_partkey AS {kind}) || '").replace("{y}", f"' || CAST(l_suppkey AS {kind}) || '").replace("{d}", f"' || CAST(l_linenumber AS {kind}) || '") + ")"
+    return f"CASE {MASKED_KIND} " + " ".join(f"WHEN {k} THEN {fill(v)}" for k, v in enumerate(values)) + " END"
+
+
+@query(f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_masked([f"'{x[1]}'" for x in MASKED], "VARCHAR")} AS template, {_masked(["'" + "|".join(x[2]) + "'" for x in MASKED], "VARCHAR")} AS args, true AS whole FROM lineitem
+""")
+def mask_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with every mask, those that look around too: template, arguments, and whether both give the line back."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.expr(_masked([f"'{x[0]}'" for x in MASKED], "STRING")).alias("line"))
+    told = rows.withColumn("m", T.mask(F.col("line")))
+    back = T.unmask(F.col("m.template"), F.col("m.args")) == F.trim(F.regexp_replace("line", r"\s+", " "))
+    return told.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "m.template", F.array_join("m.args", "|").alias("args"), back.alias("whole"))
+
+
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -204,6 +244,57 @@ def lex_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trace(spark, sf_dir).select("run_key", "line_no", "l_partkey", "l_suppkey", "verb", "subject", "object", "dep", "constraint", "score_dst", "depth", F.get("states", F.lit(0))["cand_version"].alias("candidate"), "from_user", "shape")
 
 
+#: A line for every phrase of a trace: the line ({a} {b} {c} are packages, {x} {y} numbers), its verb, and what it says beside the first packages.
+EVERY = (
+    ("Log time: Mon {x}", "log_time", "", {"timestamp": "Mon {x}"}), ("Starting pkgProblemResolver with broken count: {x}", "starting", "", {"broken_count": "{x}"}), ("Starting {y} pkgProblemResolver with broken count: {x}", "starting", "", {"broken_count": "{x}", "pass_no": "{y}"}),
+    ("Entering ResolveByKeep", "entering_resolve_by_keep", "", {}), ("Done", "done", "", {}), ("Broken {a} Depends on {b} < none | 3.{x} @un umH > (>= 3.{y})", "broken", "ab", {"dep": "6", "constraint": ">= 3.{y}"}),
+    ("Investigating ({y}) {a} < 1.0 -> 2.0 @ii umU Ib >", "investigating", "a", {"pass_no": "{y}"}), ("Dependencies are not satisfied for {a} < 1.0 @ii >", "deps_not_satisfied", "a", {}), ("  Considering {a} {x} as a solution to {b} -{y}", "considering", "ab", {"score_src": "{x}", "score_dst": "-{y}"}),
+    ("  Holding Back {a} rather than change {b}", "holding_back", "ab", {}), ("Removing {a} rather than change {b}", "removing_rather", "ab", {}), ("Fixing {a} via remove of {b}", "fixing_via_remove", "ab", {}), ("Fixing {a} via keep of {b}", "fixing_via_keep", "ab", {}),
+    ("Added {a} to the remove list", "added_to_remove_list", "a", {}), ("Keeping Package {a} due to Breaks", "keeping_package", "a", {"dep": "4"}), ("Keeping package {a}", "keeping_package", "a", {}), ("Package {a} has PreDepends on {b} (<< 2.{x})", "package_dep", "ab", {"dep": "7", "constraint": "<< 2.{x}"}),
+    ("Delayed Removing: {a} as upgrade is not an option for {b} (= {y})", "delayed_removing", "ab", {"constraint": "= {y}"}), ("Removing: {a} as upgrade is not possible", "removing_not_possible", "a", {}), ("Removing: {a} as upgrade is not an option for {b}", "removing_not_possible", "ab", {}),
+    ("Setting {a} NOT as auto-installed (direct Recommends of {b} which is in main)", "setting_not_auto", "ab", {"dep": "1"}), ("Reinst Failed because of {a}", "reinst_failed", "a", {}), ("Try to Re-Instate ({y}) {a}", "try_reinstate", "a", {"pass_no": "{y}"}), ("Re-Instated {a} ({x} vs -{y})", "reinstated", "a", {}), ("ReInstated {a}", "reinstated", "a", {}),
+    ("Conflicts//Breaks against version 1.{x} for {a} but that is not InstVer, ignoring", "ignore_not_instver", "a", {"constraint": "1.{x}"}), ("Try Installing {a} before changing {b}", "try_installing_before", "ab", {}), ("Ignore MarkKeep of {a} as its mode (Install) is protected", "ignore_mark_keep_protected", "a", {}),
+    ("Or group keep for {a}", "or_group_keep", "a", {}), ("Or group remove for {a}", "or_group_remove", "a", {}), ("    MarkInstall {a} < 1.0 -> 2.0 @ii umU Ib > FU=1", "mark_install", "a", {"from_user": "true"}), ("MarkDelete {a} < 1.0 @ii mR > FU=0", "mark_delete", "a", {"from_user": "false"}), ("MarkKeep {a}", "mark_keep", "a", {}), ("MarkPurge {a} FU=1", "mark_purge", "a", {"from_user": "true"}),
+    ("Installing {a} as Suggests of {b}", "installing_as", "ab", {"dep": "2"}), ("Upgrading: {a} due to {b} Conflicts on {c} (<= {x})", "upgrading_due_to_dep", "abc", {"dep": "5", "constraint": "<= {x}"}), ("Upgrading {a} due to Replaces field in {b}", "upgrading_due_to_field", "ab", {"dep": "3"}), ("Upgrading: {a} due to {b}", "upgrading_due_to", "ab", {}),
+    ("ignore old unsatisfied important dependency on {a}", "ignore_old_unsatisfied", "a", {}), ("new important dependency: {a}", "new_important_dep", "a", {}), ("previously satisfied dependency on {a}", "previously_satisfied", "a", {}), ("Removing {a}", "removing", "a", {}), ("{a} Depends on {b} can''t be satisfied! (dep)", "cant_be_satisfied", "ab", {"dep": "6"}), ("Removing nothing at all {x}", "unknown", "", {}), ("   ", "unknown", "", {}),
+)
+EVERY_KIND = f"CAST((l_orderkey + l_linenumber) % {len(EVERY)} AS INTEGER)"
+
+
+def _every(text: str, kind: str = "VARCHAR") -> str:
+    """SQL of a text with its blanks filled from a row of lineitem, in the VARCHAR of one engine or the STRING of the other."""
+    filled = {"{a}": "p{x}:amd64", "{b}": "s{y}:i386", "{c}": "t{x}:all"}
+    for blank, by in filled.items():
+        text = text.replace(blank, by)
+    parts = "'" + text.replace("{x}", f"' || CAST(l_partkey AS {kind}) || '").replace("{y}", f"' || CAST(l_suppkey AS {kind}) || '") + "'"
+    return f"({parts})"
+
+
+def _every_case(values: list[str]) -> str:
+    return f"CASE {EVERY_KIND} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values) if v) + " END"
+
+
+def _every_field(name: str, kind: str = "") -> str:
+    case = _every_case([f"CAST({_every(x[3][name])} AS {kind})" if kind and name in x[3] else _every(x[3][name]) if name in x[3] else "" for x in EVERY])
+    return case
+
+
+def _every_package(k: int) -> str:
+    return f"coalesce({_every_case([_every('{' + x[2][k] + '}') if len(x[2]) > k else '' for x in EVERY])}, '')"
+
+
+@query(f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_every_case([f"'{x[1]}'" for x in EVERY])} AS verb, {_every_package(0)} AS subject, {_every_package(1)} AS object, {_every_package(2)} AS third, coalesce({_every_field("dep", "INTEGER")}, 0) AS dep,
+  coalesce({_every_field("constraint")}, '') AS "constraint", {_every_field("score_src", "INTEGER")} AS score_src, {_every_field("score_dst", "INTEGER")} AS score_dst, {_every_field("broken_count", "INTEGER")} AS broken_count, {_every_field("pass_no", "INTEGER")} AS pass_no,
+  {_every_field("from_user", "BOOLEAN")} AS from_user, coalesce({_every_field("timestamp")}, '') AS "timestamp", CASE {EVERY_KIND} WHEN {len(EVERY) - 2} THEN 'unmatched' WHEN {len(EVERY) - 1} THEN 'blank' ELSE 'matched' END AS shape FROM lineitem
+""")
+def lex_every_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for each row of lineitem, of every phrase in turn (and of none), with all fields."""
+    line = F.expr(_every_case([_every(x[0].replace("''", "\\'"), "STRING") for x in EVERY]))
+    told = resolver_lines.lex(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", line.alias("line")))
+    return told.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "verb", "subject", "object", "third", "dep", "constraint", "score_src", "score_dst", "broken_count", "pass_no", "from_user", "timestamp", "shape")
+
+
 @query("""
 SELECT CAST(l_orderkey AS VARCHAR) AS run_key, count(*) AS lines, CAST(count_if(l_linenumber < 7) AS BIGINT) AS matched, CAST(count_if(l_linenumber >= 7) AS BIGINT) AS unmatched, round(count_if(l_linenumber < 7) / count(*), 6) AS coverage FROM lineitem GROUP BY 1
 """)
