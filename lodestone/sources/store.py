@@ -1,7 +1,7 @@
-"""The store of runs: Parquet tables in one folder, kept by copy-on-write.
+"""The store of runs: keyed Parquet tables in one folder.
 
-A table's rows are replaced by run key (delete, then insert), so putting a run again
-changes nothing.  Each write is a new version; readers see the last whole one.
+A table's rows are replaced by key (delete, then insert), so putting a run again changes
+nothing; a write touches the partitions of its keys alone (see ``keyed``).
 """
 
 from __future__ import annotations
@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import state
-from ..streaming.incremental import VersionedTable
+from .keyed import KeyedTable
 
-VERSION = 1
+VERSION, PARTS = 1, 64
 TABLES = {
     "runs": "run_key string, bug_id long, attempt int, is_primary boolean, source_dir string, from_series string, to_series string, arch string, problem_type string, terminal_phase int, evidence_complete boolean, reached_dpkg boolean, top_cause string, cascade_size int, fragile boolean, third_party boolean, current_title string, ingested_at timestamp, lex_lines long, lex_unmatched long, tool_version string, rules_digest string, root_graph string, cause_tuple string",
     "run_templates": "run_key string, template string",
@@ -22,7 +22,7 @@ TABLES = {
     "attachments": "bug_id long, name string, etag string, path string, size long, fetched_at timestamp",
     "meta": "key string, value string",
 }
-KEYS = {"runs": "run_key", "run_templates": "run_key", "run_packages": "run_key", "bug_state": "bug_id", "meta": "key"}
+KEYS = {"runs": "run_key", "run_templates": "run_key", "run_packages": "run_key", "clusters": "run_key", "bug_state": "bug_id", "attachments": "bug_id", "meta": "key"}
 
 
 class Store:
@@ -34,27 +34,24 @@ class Store:
         if held is None:
             self.put_meta("schema_version", str(VERSION))
 
-    def _table(self, name: str) -> VersionedTable:
-        return VersionedTable(self.spark, f"{self.path}/{name}")
+    def _table(self, name: str) -> KeyedTable:
+        return KeyedTable(self.spark, f"{self.path}/{name}", KEYS[name], TABLES[name], 1 if name == "meta" else PARTS)
 
     def table(self, name: str) -> DataFrame:
         """A table's rows; columns that an older version lacks are null."""
-        held = self._table(name).read()
-        if held is None:
-            return self.spark.createDataFrame([], TABLES[name])
-        fields = [c.split() for c in TABLES[name].split(", ")]
-        return held.select(*[F.col(c) if c in held.columns else F.lit(None).cast(kind).alias(c) for c, kind in fields])
+        return self._table(name).read()
 
     def write(self, name: str, rows: DataFrame) -> None:
-        t = self._table(name)
-        t.write(rows, (t.versions() or [0])[-1] + 1)
+        """The whole table anew."""
+        self._table(name).replace(rows)
 
     def meta(self, key: str) -> str | None:
         row = self.table("meta").where(F.col("key") == key).first()
         return row["value"] if row else None
 
     def put_meta(self, key: str, value: str) -> None:
-        self.write("meta", state.replace_rows(self.table("meta"), self.spark.createDataFrame([(key, value)], TABLES["meta"]), "key"))
+        row = self.spark.createDataFrame([(key, value)], TABLES["meta"])
+        self._table("meta").update(row, lambda old: state.replace_rows(old, row, "key"))
 
     def advance(self, key: str, when: str) -> str:
         """Move a cursor forward (ISO text); it never goes back, and one that can't be read counts as none."""
@@ -65,24 +62,24 @@ class Store:
         return new
 
     def put_runs(self, runs: DataFrame, templates: DataFrame | None = None, packages: DataFrame | None = None) -> None:
-        self.write("runs", state.replace_rows(self.table("runs"), runs, "run_key", ("ingested_at",)))
+        self._table("runs").update(runs, lambda old: state.replace_rows(old, runs, "run_key", ("ingested_at",)))
         for name, rows in (("run_templates", templates), ("run_packages", packages)):
             if rows is not None:
-                kept = self.table(name).join(runs.select("run_key"), "run_key", "left_anti")
-                self.write(name, kept.unionByName(rows.select(*kept.columns).distinct()))
+                self._table(name).update(runs, lambda old, rows=rows: state.delete_rows(old, runs, "run_key").unionByName(rows.select(*old.columns).distinct()))
 
     def delete_runs(self, keys: DataFrame) -> None:
         for name in ("runs", "run_templates", "run_packages", "clusters"):
-            self.write(name, self.table(name).join(keys.select("run_key"), "run_key", "left_anti"))
+            self._table(name).update(keys, lambda old: state.delete_rows(old, keys, "run_key"))
 
     def replace_clusters(self, members: DataFrame) -> None:
         self.write("clusters", members.select(*[c.split()[0] for c in TABLES["clusters"].split(", ")]))
 
     def put_states(self, updates: DataFrame, order: list[str]) -> None:
-        self.write("bug_state", state.merge(self.table("bug_state"), state.fold_updates(updates, "bug_id", order), "bug_id"))
+        folded = state.fold_updates(updates, "bug_id", order)
+        self._table("bug_state").update(folded, lambda old: state.merge(old, folded, "bug_id"))
 
     def touch_states(self, ids: DataFrame, when) -> None:
-        self.write("bug_state", state.touch(self.table("bug_state"), ids, "bug_id", "checked_at", when))
+        self._table("bug_state").update(ids, lambda old: state.touch(old, ids, "bug_id", "checked_at", when))
 
     def known_bugs(self) -> DataFrame:
         return self.table("runs").where("bug_id is not null").select("bug_id").distinct()

@@ -2,7 +2,7 @@
 
 The cursor of a collection is a resume point, not an event-time watermark: nothing is ever
 dropped for being late.  A stream's checkpoint holds it; ``foreachBatch`` merges a batch
-into the next version of a state table and only then points the name at it, so a batch that
+into the partitions of its keys (see ``sources.keyed``), so a batch costs what it touches, and one that
 is run again gives the same table.
 """
 
@@ -15,54 +15,28 @@ from pyspark.sql import functions as F
 
 from ..operators import state
 from ..sources import scratch
+from ..sources.keyed import KeyedTable
 
 
-class VersionedTable:
-    """A Parquet table kept in numbered versions; a version is complete once its ``_SUCCESS`` is there."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def versions(self) -> list[int]:
-        if not self._fs.exists(self._path(self.path)):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and self._fs.exists(self._path(f"{self.path}/{n}/_SUCCESS")))
-
-    def read(self, before: int | None = None) -> DataFrame | None:
-        found = [v for v in self.versions() if before is None or v < before]
-        return self.spark.read.parquet(f"{self.path}/v{found[-1]}") if found else None
-
-    def write(self, df: DataFrame, version: int) -> None:
-        """Writing a version again replaces it; versions older than the one before it go."""
-        df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        for v in self.versions():
-            if v < version - 1:
-                self._fs.delete(self._path(f"{self.path}/v{v}"), True)
-
-
-def collect(spark: SparkSession, source: DataFrame, table: VersionedTable, checkpoint: str, key: str, order: list[str], text=state.TEXT_STICKS, null=state.NULL_STICKS, last=("checked_at",)) -> None:
+def collect(spark: SparkSession, source: DataFrame, table: KeyedTable, checkpoint: str, key: str, order: list[str], text=state.TEXT_STICKS, null=state.NULL_STICKS, last=("checked_at",)) -> None:
     """Run a stream of updates until it has taken up all there is, merging each batch into ``table``."""
 
     def take(batch: DataFrame, number: int) -> None:
         folded = state.fold_updates(batch, key, order, text, null, last)
-        current = table.read(before=number)
-        table.write(folded if current is None else state.merge(current, folded, key, text, null, last), number)
+        table.update(folded, lambda old: state.merge(old, folded, key, text, null, last))
 
     source.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def fold_files(spark: SparkSession, path: str, key: str, order: list[str], column: str) -> DataFrame:
-    """The state of a file's updates: per key the last value of ``column`` and how often it was updated last."""
+def fold_files(spark: SparkSession, path: str, key: str, order: list[str], column: str, batch_bytes: str = "16g") -> DataFrame:
+    """The state of a folder's updates: per key the last value of ``column`` and when it was updated last."""
     schema = spark.read.parquet(path).schema
     folder, name = path.rsplit("/", 1)
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}*")
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxBytesPerTrigger", batch_bytes).parquet(f"{folder}/{name}*")
     source = source.select(key, *order, column).withColumn("checked_at", F.col(order[0]))
     base = f"{scratch.root(spark)}/streams/{uuid.uuid4().hex}"
-    table = VersionedTable(spark, f"{base}/table")
+    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
+    table = KeyedTable(spark, f"{base}/table", key, f"{key} {kinds[key]}, {column} {kinds[column]}, checked_at {kinds['checked_at']}")
     collect(spark, source, table, f"{base}/checkpoint", key, order, (column,), (), ("checked_at",))
     return table.read()
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import corpus, state, worklist
 from lodestone.sources import bugs, logs
+from lodestone.sources.keyed import KeyedTable
 from lodestone.sources.store import Store
 from lodestone.streaming import incremental
 
@@ -59,7 +60,7 @@ def test_streaming_equals_batch(spark, tmp_path):
     for n in (1, 2, 3, 4):
         u.where(F.col("n") == n).write.parquet(str(tmp_path / "in"), mode="append")
     source = spark.readStream.schema(u.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    table = incremental.VersionedTable(spark, str(tmp_path / "state"))
+    table = KeyedTable(spark, str(tmp_path / "state"), "bug_id", UPDATES.replace(", n int", ""))
     for _ in range(2):  # the second run has nothing to take up
         incremental.collect(spark, source, table, str(tmp_path / "cp"), "bug_id", ["n"])
     got = table.read()
@@ -67,6 +68,25 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert {r["bug_id"]: r["status"] for r in got.collect()} == {r["bug_id"]: r["status"] for r in want.collect()}
 
 
+def test_a_batch_rewrites_the_partitions_of_its_keys(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "keyed"), "k", "k long, v string", 64)
+    put = lambda ids, v: table.update(ids, lambda old: state.replace_rows(old, ids.select(F.col("id").alias("k"), F.lit(v).alias("v")), "k"))
+    put(spark.range(1000).withColumn("k", F.col("id")), "a")
+    assert len(table.rewritten) == 64
+    written = {p: p.stat().st_mtime_ns for p in (tmp_path / "keyed").rglob("*.parquet")}
+    ten = spark.range(10).withColumn("k", F.col("id"))
+    for _ in range(2):  # a batch that is run again changes nothing
+        put(ten, "b")
+        assert len(table.rewritten) <= 10
+        got = table.read().groupBy("v").count().collect()
+        assert {r["v"]: r["count"] for r in got} == {"a": 990, "b": 10}
+    still = {p for p in (tmp_path / "keyed").rglob("*.parquet") if written.get(p) == p.stat().st_mtime_ns}
+    assert len(still) >= 54
+    everything = spark.range(1000).withColumn("k", F.col("id"))
+    table.update(everything, lambda old: state.delete_rows(old, everything, "k"))
+    assert table.read().count() == 0 and table.of(ten).count() == 0
+
+
 def test_snapshot_diff_and_refresh(spark):
     a = spark.createDataFrame([(1, "x"), (2, None), (3, "z")], "k int, v string")
     b = spark.createDataFrame([(1, "y"), (2, None), (4, "n")], "k int, v string")
