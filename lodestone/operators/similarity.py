@@ -107,18 +107,21 @@ def clusters(signatures: DataFrame, key: str = "run_key", precise: str = "root_g
     """
     from ..sources.scratch import materialize
 
-    by = order or key
-    # six branches read these narrow rows: the signatures are worked out once
-    rows = materialize(signatures.select(F.col(key).alias("k"), F.col(precise).alias("p"), F.col(coarse).alias("c"), F.col(by).alias("o")))
-    first = rows.where("p is not null").groupBy("p").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    owned = rows.join(first.select("p"), "p", "left_semi").select("k", F.concat(F.lit("0:"), F.col("p").cast("string")).alias("cluster"))
-    tagged = rows.join(owned, "k", "left")
-    buckets = tagged.where("c is not null").groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cluster").alias("touches"), F.max("cluster").alias("the")).where("n >= 2 and touches <= 1")
-    target = F.coalesce("the", F.concat(F.lit("1:"), F.col("c").cast("string")))
-    extended = tagged.where("cluster is null").join(buckets.select("c", target.alias("to")), "c").select("k", "o", F.col("to").alias("cluster"), F.lit(1).alias("joined_tier"))
-    members = tagged.where("cluster is not null").select("k", "o", "cluster", F.lit(0).alias("joined_tier")).unionByName(extended)
-    size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("member_count"), F.min_by("k", F.struct("o", "k")).alias("canonical")).where((F.col("member_count") >= 2) & (F.col("member_count") <= most))
-    return members.join(size, "cluster").select("cluster", F.col("k").alias(key), F.substring("cluster", 1, 1).cast("int").alias("tier"), "joined_tier", "member_count", "canonical")
+    # read again below: the signatures are worked out once
+    rows = materialize(signatures.select(F.col(key).alias("k"), F.col(precise).cast("string").alias("p"), F.col(coarse).cast("string").alias("c"), F.col(order or key).alias("o")))
+    first = rows.where("p is not null").groupBy("p").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("p", F.lit(True).alias("owned"))
+    tagged = rows.join(first, "p", "left").select("k", "c", "o", F.when(F.col("owned"), F.concat(F.lit("0:"), "p")).alias("cluster"))
+    return placed(materialize(tagged), key, most)
+
+
+def placed(tagged: DataFrame, key: str, most: int = 500) -> DataFrame:
+    """Classes of (k, c, o, cluster), where the precise class is known (null: none): coarse buckets extend, form, or are dropped."""
+    buckets = tagged.where("c is not null").groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("n >= 2 and (low is null or low = high)")
+    to = buckets.select("c", F.coalesce("low", F.concat(F.lit("1:"), "c")).alias("to"))
+    joined = tagged.join(to, "c", "left").select("k", "o", F.coalesce("cluster", "to").alias("cluster"), F.col("cluster").isNull().cast("int").alias("joined_tier"))
+    members = joined.where("cluster is not null")
+    size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("member_count"), F.min(F.struct("o", "k")).alias("least")).where((F.col("member_count") >= 2) & (F.col("member_count") <= most))
+    return members.join(size, "cluster").select("cluster", F.col("k").alias(key), F.substring("cluster", 1, 1).cast("int").alias("tier"), "joined_tier", "member_count", F.col("least.k").alias("canonical"))
 
 
 def summarise(members: DataFrame) -> DataFrame:

@@ -166,9 +166,22 @@ SELECT doc_id, m.cluster, CAST(left(m.cluster, 1) AS INTEGER) AS tier, joined_ti
 """.replace("\\\\", "\\"))
 def signature_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiered classes: equal sets of words, extended by equal first words of the sorted set."""
+    return similarity.clusters(_word_signatures(spark, sf_dir), "doc_id")
+
+
+def _word_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0))))
     both = T.bound(words, lambda s: F.struct(F.md5(F.array_join(s, " ")).alias("root_graph"), F.md5(F.array_join(F.slice(s, 1, 3), " ")).alias("cause_tuple")))
-    return similarity.clusters(table(spark, sf_dir, "documents").select("doc_id", both.alias("x")).select("doc_id", "x.*"), "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", both.alias("x")).select("doc_id", "x.*")
+
+
+@query(_SQL["signature_clusters"])
+def signature_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same classes kept up to date over three batches of documents, the last of which puts some of the first again."""
+    from ..streaming import membership
+
+    rows = _word_signatures(spark, sf_dir)
+    return membership.members_of_batches(spark, [rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), rows.where("doc_id % 10 = 0")], "long", "doc_id")
 
 
 @query(r"""

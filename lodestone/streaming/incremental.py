@@ -28,7 +28,7 @@ def collect(spark: SparkSession, source: DataFrame, table: KeyedTable, checkpoin
     source.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def fold_files(spark: SparkSession, path: str, key: str, order: list[str], column: str, batch_bytes: str = "16g") -> DataFrame:
+def fold_files(spark: SparkSession, path: str, key: str, order: list[str], column: str, batch_bytes: int = 16 << 30) -> DataFrame:
     """The state of a folder's updates: per key the last value of ``column`` and when it was updated last."""
     schema = spark.read.parquet(path).schema
     folder, name = path.rsplit("/", 1)
