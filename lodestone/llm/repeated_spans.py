@@ -209,11 +209,13 @@ def _segment_rows(docs: DataFrame, window: int, text_col: str) -> tuple[DataFram
     told = F.pandas_udf(anchors, "anchor array<long>, start array<int>").asNondeterministic()(F.col(text_col))
     rows = docs.select(text_key(F.col(text_col)).alias("key"), told.alias("x")).select("key", F.explode(F.arrays_zip("x.anchor", "x.start")).alias("x"))
     placed = materialize(rows.select("key", "x.anchor", "x.start"), "repeats-anchors")
-    often = placed.groupBy("anchor").count().where("count > 1").select("anchor")
+    # written, so that the join's sides are plain shuffles and a hot anchor's rows can be split
+    often = materialize(placed.groupBy("anchor").count().where("count > 1").select("anchor"), "repeats-often")
     wanted = placed.join(often, "anchor").groupBy("key").agg(F.collect_set("start").alias("starts"))
     distinct = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
     texts = materialize(distinct.join(wanted, "key"), "repeats-texts")
     discard(placed)
+    discard(often)
 
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for some, starts in batches:
@@ -245,7 +247,7 @@ def _spans(rows: DataFrame, window: int) -> DataFrame:
         words = F.split("words", " ")
         each = F.transform(F.sequence(F.lit(1), F.size("w") - window + 1), lambda k: F.unhex(F.md5(F.array_join(F.slice("w", k, window), " "))))
         listed = distinct.join(hot, "anchor", "left_semi").select("segment", "n", words.alias("w")).select("segment", "n", F.posexplode(each).alias("a", "window"))
-        again = listed.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
+        again = materialize(listed.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window"), "repeats-again")
         found = found.unionByName(listed.join(again, "window").select("segment", "a", (F.col("a") + window).alias("b")))
     return materialize(found, "repeats-spans")
 
