@@ -101,21 +101,19 @@ def _digests(ends: DataFrame) -> DataFrame:
     node = ["depth", *KEY]
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, ids, size = None, [], 0
-
-        def told() -> pd.DataFrame:
-            return pd.DataFrame([(*held, ids[0], ",".join(map(str, ids)))], columns=[*node, "first", "ids"])
-
+        held, ids, size, out = None, [], 0, []
         for pdf in batches:
             for *key, conv in zip(*(pdf[c].tolist() for c in (*node, "conv")), strict=True):
                 if ids and (key != held or size >= PIECE):
-                    yield told()
+                    out.append((*held, ids[0], ",".join(map(str, ids))))
                     ids, size = [], 0
                 held = key
                 ids.append(conv)
                 size += 20
+            yield pd.DataFrame(out, columns=[*node, "first", "ids"])
+            out = []
         if ids:
-            yield told()
+            yield pd.DataFrame([(*held, ids[0], ",".join(map(str, ids)))], columns=[*node, "first", "ids"])
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, state, out = None, None, []
