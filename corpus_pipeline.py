@@ -12,7 +12,7 @@ returns a DataFrame; it is written as Parquet and read again as the next one's d
 * ``mixing`` repeats or drops documents to meet the sources' token targets.
 * ``encode`` gives the token ids and their digests.
 
-Defined results, in every stage.  Columns beyond those of ``documents`` go through under any name (the last stage
+Defined results, in every stage.  Columns beyond those of ``documents`` go through under any name and of any type (the last stage
 returns its own).  Ids may be null or repeat: rows go by a key over all of their values, so two rows that
 share an id are two documents, and rows equal in every column are copies of one.  Null and empty texts: scored by the
 intercept; one class (the empty set of shingles), so one row stays; without secrets; of size 0, which stays once;
@@ -28,13 +28,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import edited_copies, mixing, piece_bpe, secrets_ledger, toxicity
-from lodestone.llm.common import discard, materialize, read, row_key
+from lodestone.llm.common import discard, materialize, quoted, read, row_key
 from lodestone.llm.queries import tokenizer_path
 
 
 def whole(docs: DataFrame) -> Column:
     """The row as one struct, so that no column of it can clash with a stage's own."""
-    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     length = F.when(F.col("found").isNull(), F.col("row.n_chars")).otherwise(F.length("text").cast("long"))
     told = rows.select("row", "found", clean.alias("text"))
     changed = {"text": F.col("text"), "n_chars": length}
-    return told.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return told.select(*[changed.get(c, F.col(f"row.{quoted(c)}")).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,9 +81,28 @@ def word_count(column: Column) -> Column:
     return F.coalesce(F.regexp_count(column, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
+def quoted(name: str) -> str:
+    """A column's name as ``F.col`` takes it, whatever it holds."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def hashable(docs: DataFrame) -> list[Column]:
+    """All of a row's values in a form that can be hashed: maps by their sorted entries, what holds them deeper as JSON."""
+    out = []
+    for f in docs.schema:
+        kind, column = f.dataType.simpleString(), F.col(quoted(f.name))
+        if "map<" not in kind and "variant" not in kind:
+            out.append(column)
+        elif kind.startswith("map<") and "map<" not in kind[4:] and "variant" not in kind:
+            out.append(F.array_sort(F.map_entries(column)))
+        else:
+            out.append(F.to_json(F.struct(column.alias("x"))))
+    return out
+
+
 def row_key(docs: DataFrame) -> Column:
     """16 bytes of all of a row's values, nulls told apart from nothing: equal rows alone share it."""
-    values = [F.col(f"`{c}`") for c in docs.columns] + [F.col(f"`{c}`").isNull() for c in docs.columns]
+    values = hashable(docs) + [F.col(quoted(c)).isNull() for c in docs.columns]
     return F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), *values)), 16, "0") for seed in (17, 23)]))
 
 

@@ -22,6 +22,9 @@ what they leave is found by prefixes:
   ``t``: every shingle flips one of so many bits, so two sets differ in at least as many shingles as
   their parities differ in bits, and at similarity 0.8 in at most a ninth of both sizes.  Rows carry
   ``NARROW`` bits, pairs that pass meet ``WIDE`` ones.
+* A shingle of more than ``CROWD`` sets is split: its neighbours are looked for within ``PLACES``, and the rest
+  is compared block by block, each pair of blocks of at most some ``CROWD`` sets in a task of its own, by vectors; only pairs that pass
+  leave the task.  No exact way is known that spares the comparing where many sets are just below the similarity.
 * Candidates are compared on their whole texts: each set with its nearest first, then the others that
   are still in different classes.
 
@@ -41,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import bound_batches, by_value, discard, materialize, row_key
+from .common import bound_batches, by_value, discard, hashable, materialize, row_key
 from .components import connected_components
 
 #: Hashes whose bits are counted at once.
@@ -52,6 +55,8 @@ WIDTH, PART, WHOLE, SEED = 5, 4, 5, 42
 FEW = 100_000
 #: Orders of a shingle's sets, and how many places on each is compared with in each; besides, all are with the first.
 ORDERS, REACH = (("n",), ("x0",), ("x1", "x2")), 10
+#: Sets of a shingle beyond which it is split, into places (neighbours) and pairs of blocks of so many sets (the rest).
+CROWD, PLACES, TILE = 4096, 64, 512
 #: Bits of a set's parities: in every row of a block, and for pairs.
 NARROW, WIDE = 512, 8192
 #: Documents sampled for the order, and the most frequent shingles that it puts last.
@@ -119,7 +124,7 @@ def shingle_column(text: Column, spark) -> Column:
 def frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, sorted; their documents) of the most frequent shingles of a sample."""
     every = max(1, -(-docs.count() // SAMPLE))
-    sample = docs.where(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(every)) == 0)
+    sample = docs.where(F.pmod(F.xxhash64(*hashable(docs)), F.lit(every)) == 0)
     counts = sample.select(F.explode(shingle_column(F.col(text_col), docs.sparkSession)).alias("h")).groupBy("h").count().where("count > 3")
     rows = counts.orderBy(F.desc("count"), "h").limit(FREQUENT).toPandas()
     rows = rows.assign(h=rows["h"].to_numpy(np.int64).view(np.uint64)).sort_values("h")
@@ -193,6 +198,43 @@ def _near(a: str, b: str) -> Column:
     return _room(apart, F.col(f"{a}.n"), F.col(f"{b}.n"))
 
 
+def _tiles(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of sets of one shingle's two blocks (or one block's own) that may reach the similarity and are of different classes."""
+    pdf = pdf.sort_values("n", kind="stable")
+    bits = pdf[[f"x{k}" for k in range(NARROW // 64)]].to_numpy(np.int64).view(np.uint64)
+    ids, n, group, block = (pdf[c].to_numpy(np.int64) for c in ("id", "n", "class", "block"))
+    alone, out = (block == block[0]).all(), []
+    for a in range(0, len(ids), TILE):
+        # sorted by size: beyond this no set is small enough
+        most = int(np.searchsorted(n, n[min(a + TILE, len(ids)) - 1] * WHOLE // PART, side="right"))
+        for b in range(a, most, TILE):
+            x, y = slice(a, a + TILE), slice(b, b + TILE)
+            apart = np.zeros((len(ids[x]), len(ids[y])), np.int32)
+            for k in range(bits.shape[1]):
+                apart += np.bitwise_count(bits[x, None, k] ^ bits[None, y, k])
+            total = n[x, None] + n[None, y]
+            good = (apart * (PART + WHOLE) <= total * (WHOLE - PART)) & (np.minimum(n[x, None], n[None, y]) * WHOLE >= np.maximum(n[x, None], n[None, y]) * PART)
+            good &= group[x, None] != group[None, y]
+            if not alone:
+                good &= block[x, None] != block[None, y]
+            i, j = np.nonzero(good)
+            if a == b:
+                i, j = i[i < j], j[i < j]
+            out.append(np.stack([ids[x][i], ids[y][j]], axis=1))
+    found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    return pd.DataFrame({"src": found.min(axis=1), "dst": found.max(axis=1)} if len(found) else {"src": [], "dst": []}).astype("int64")
+
+
+def _crowded_pairs(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(src, dst) of the shingles in ``sizes`` (tok, sets), by pairs of blocks."""
+    bits = [f"x{k}" for k in range(NARROW // 64)]
+    blocks = F.ceil(F.col("sets") / CROWD).cast("int")
+    own = rows.join(sizes, "tok").select("tok", "id", "n", "class", *bits, blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    dealt = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("tok", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "n", "class", "block", *bits)
+    return dealt.groupBy("tok", "low", "high").applyInPandas(_tiles, "src long, dst long").distinct()
+
+
 def _texts(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """(id, n, text, wide) of the sets in ``pairs``, a row each."""
     needed = pairs.select(F.col("src").alias("id")).unionAll(pairs.select(F.col("dst").alias("id"))).distinct()
@@ -276,25 +318,34 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     # neighbours first: what they link needs no comparing of all with all
     links = materialize(_simhash_links(sets), "copies-simhash")  # every set with the least of its class
     me = F.struct("id", "n", "class", *bits)
-    by = lambda *order: Window.partitionBy("tok").orderBy(*order, "id")
+    crowds = materialize(blocks.groupBy("tok").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > CROWD), "copies-crowds")
+    crowded = bool(crowds.head(1))
+    near = tagged(links.select(F.col("dst").alias("node"), F.col("src").alias("component"))).withColumn("place", F.lit(0))
+    if crowded:
+        place = F.when(F.col("sets").isNotNull(), F.pmod(F.xxhash64(F.col("x3").bitwiseAND(F.lit(0x3F3F))), F.lit(PLACES)).cast("int")).otherwise(0)
+        near = near.drop("place").join(crowds, "tok", "left").withColumn("place", place).drop("sets").repartition(n, "tok", "place")
+    by = lambda *order: Window.partitionBy("tok", "place").orderBy(*order, "id")
     met = [F.lead(me, k).over(by(*order)) for order in ORDERS for k in range(1, REACH + 1)] + [F.first(me).over(by())]
-    neighbours = tagged(links.select(F.col("dst").alias("node"), F.col("src").alias("component"))).select(me.alias("a"), F.array(*met).alias("met")).select("a", F.explode("met").alias("b"))
+    neighbours = near.select(me.alias("a"), F.array(*met).alias("met")).select("a", F.explode("met").alias("b"))
     first = materialize(pairs(neighbours.where(F.expr("b is not null and a.class <> b.class") & _near("a", "b"))), "copies-first")
     good = _proved(first, links, sets, docs, text_col)
 
     # then all pairs of a shingle's sets that are still in different classes
     known = materialize(connected_components(links.unionAll(good)), "copies-known")
     rows = tagged(known)
-    mixed = rows.groupBy("tok").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("tok")
-    open_ = rows.join(mixed, "tok", "left_semi")
+    mixed = rows.groupBy("tok").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count(F.lit(1)).alias("sets")).where("x <> y").select("tok", "sets")
+    mixed = materialize(mixed, "copies-mixed")
+    open_ = rows.join(mixed.where(F.col("sets") <= CROWD).select("tok"), "tok", "left_semi")
     second = pairs(open_.alias("a").join(open_.alias("b"), F.expr("a.tok = b.tok and a.id < b.id and a.class <> b.class")).where(_near("a", "b")))
+    if crowded:
+        second = second.unionByName(_crowded_pairs(rows, mixed.where(F.col("sets") > CROWD))).distinct()
     second = materialize(second.join(first, ["src", "dst"], "left_anti"), "copies-second")
     found = known
     if second.head(1):
         more = _proved(second, links.unionAll(good), sets, docs, text_col)
         found = materialize(connected_components(links.unionAll(good).unionAll(more)), "copies-found")
         discard(more)
-    for done in (blocks, links, first, good, second):
+    for done in (blocks, links, first, good, second, crowds, mixed):
         discard(done)
     return sets.join(found, sets["id"] == found["node"], "left").select(sets["id"], F.coalesce("component", sets["id"]).alias("class"), "least")
 

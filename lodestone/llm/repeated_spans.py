@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, by_value, discard, materialize, word_count
+from .common import bound_batches, by_value, discard, materialize, quoted, word_count
 
 #: Words of a window and of an anchor; words of a shard; distinct segments of an anchor beyond which its windows are counted.
 WINDOW, GRAM, SHARD, HOT = 35, 8, 60_000, 2_000
@@ -281,7 +281,7 @@ def removals(docs: DataFrame, *, text_col: str = "text", window: int = WINDOW) -
 def remove_repeats(docs: DataFrame, *, text_col: str = "text", window: int = WINDOW, into: str = "unrepeated") -> DataFrame:
     """``docs`` and a struct of n_words, n_removed and the kept text."""
     gone = removals(docs, text_col=text_col, window=window).select(F.col("key").alias("_key"), F.struct("n_removed", "kept").alias("_gone"))
-    joined = docs.select(F.struct(*[docs[f"`{c.replace('`', '``')}`"] for c in docs.columns]).alias("row"), text_key(F.col(text_col)).alias("_key")).join(gone, "_key", "left")
+    joined = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), text_key(F.col(text_col)).alias("_key")).join(gone, "_key", "left")
     text = F.col("row").getField(text_col)
     told = F.struct(word_count(text).alias("n_words"), F.coalesce("_gone.n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("_gone.kept", plain(text)).alias("kept"))
     return joined.select("row", told.alias("told")).select("row.*", F.col("told").alias(into))

@@ -18,7 +18,9 @@ Which record is the response: of records with equal payloads of at least
 Smaller payloads are always responses.
 
 Defined results.  A null payload is empty.  Repeated rows with the largest id are all
-responses.  A null id is smaller than any id.  An empty table gives an empty archive.
+responses.  A null id is smaller than any id, and told apart from an empty one.  Ids may be numbers or any texts (they are
+percent-encoded in the header).  Payloads are stored whole, however long.  Columns besides id, url and payload are not
+read, so their names may clash.  An empty table gives an empty archive.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ CRLF = "\r\n"
 def _header(kind: Column, page: Column, url: Column, digest: Column, length: Column, refers: Column, date: Column) -> Column:
     """Header lines of a record, up to and with the blank line."""
     line = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit(CRLF))
-    urn = lambda x: F.concat(F.lit("<urn:page:"), F.coalesce(x.cast("string"), F.lit("")), F.lit(">"))
+    urn = lambda x: F.coalesce(F.concat(F.lit("<urn:page:"), F.url_encode(x.cast("string")), F.lit(">")), F.lit("<urn:none:>"))
     clean = F.regexp_replace(F.coalesce(url, F.lit("")), r"[\r\n]", "")
     return F.concat(
         F.lit("WARC/1.1" + CRLF),
@@ -70,10 +72,10 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     text = F.decode("header", "UTF-8")
     headers = spark.read.parquet(f"{path}/headers")
     rebuilt = headers.join(payloads.select("sha256", sound.alias("payload")), "sha256")
-    said = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
     kind = dict(headers.dtypes)["page_id"]
-    page, refers = (said(rf"\r\n{name}: <urn:page:([^>]*)>\r\n").cast(kind) for name in ("WARC-Record-ID", "WARC-Refers-To"))
-    return rebuilt.select(page.alias("page_id"), said(r"\r\nWARC-Type: (\w+)\r\n").alias("record_type"), refers.alias("refers_to"), "header", "payload")
+    lines = {name: rf"\r\n{name}: <urn:page:([^>]*)>\r\n" for name in ("WARC-Record-ID", "WARC-Refers-To")}
+    page, refers = (F.when(text.rlike(p), F.url_decode(F.regexp_extract(text, p, 1))).cast(kind) for p in lines.values())
+    return rebuilt.select(page.alias("page_id"), F.regexp_extract(text, r"\r\nWARC-Type: (\w+)\r\n", 1).alias("record_type"), refers.alias("refers_to"), "header", "payload")
 
 
 def record_bytes(archive: DataFrame) -> DataFrame:
