@@ -53,25 +53,13 @@ BYTE_LEVEL = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 class Aligner:
-    """Both tokenizers.  ``a``: the text of a tokenizers file, ``b``: the bytes of a model file; pickled as these alone."""
+    """Both tokenizers.  ``a``: the text of a tokenizers file, ``b``: the bytes of a model file."""
 
     def __init__(self, a: str, b: bytes):
-        self.files, self.ready = (a, b), False
-
-    def __getstate__(self):
-        return self.files
-
-    def __setstate__(self, files):
-        self.files, self.ready = files, False
-
-    def open(self) -> Aligner:
-        if self.ready:
-            return self
         import json
 
         import sentencepiece
 
-        a, b = self.files
         self.encode_a = self._byte_level(json.loads(a)) or self._library(a)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
@@ -79,8 +67,6 @@ class Aligner:
             raise ValueError("a piece of B has a space inside: parts can't be encoded one at a time")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.a_len, self.b_len = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
-        self.ready = True
-        return self
 
     def _byte_level(self, told: dict):
         """A's encoder by ``tiktoken``, where ids are in the order of the merges (then both libraries give the same ids)."""
@@ -135,6 +121,13 @@ class Aligner:
         return Links(a, b, self.a_len, self.b_len)
 
 
+def opened(held: dict) -> Aligner:
+    """The tokenizers of a broadcast {a, b}; a worker keeps them in it from task to task."""
+    if "open" not in held:
+        held["open"] = Aligner(held["a"], held["b"])
+    return held["open"]
+
+
 class Links:
     """Groups and links of parts, end to end; a part without tokens is one that failed."""
 
@@ -190,8 +183,12 @@ class PairHash:
 
     ROOM = 1.5
 
-    def __init__(self, keys: np.ndarray):
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self, keys: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]] | None = None):
+        """Of the keys, in any order; or of the keys in their places and the levels of an earlier hash."""
+        if levels is not None:
+            self.keys, self.levels = keys, levels
+            return
+        self.levels = []
         left, taken = np.unique(np.asarray(keys, np.uint64)), 0
         self.keys = np.zeros(len(left), np.uint64)
         while len(left):
@@ -228,10 +225,10 @@ class PairHash:
 def link_counts(texts: Column, docs: DataFrame, a: str, b: bytes) -> DataFrame:
     """(pair, n): the links of each id pair (A's id in the upper half), summed within tasks, not yet beyond."""
     bound_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(Aligner(a, b))
+    shared = docs.sparkSession.sparkContext.broadcast({"a": a, "b": b})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        aligner, sums = shared.value.open(), Counter()
+        aligner, sums = opened(shared.value), Counter()
         for held, parts in windows(pdf["text"] for pdf in batches):
             bad, each = set(), list(parts)
             aligned = list(aligner.align(each))
@@ -260,10 +257,10 @@ def link_counts(texts: Column, docs: DataFrame, a: str, b: bytes) -> DataFrame:
 def tree_sum(rows: DataFrame, index: PairHash) -> np.ndarray:
     """Dense counts, by place, of (pair, n) rows."""
     spark, size = rows.sparkSession, len(index.keys)
-    shared = spark.sparkContext.broadcast(index)
+    shared = spark.sparkContext.broadcast((index.keys, index.levels))
 
     def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, total = shared.value, np.zeros(size, np.int64)
+        held, total = PairHash(*shared.value), np.zeros(size, np.int64)
         for pdf in batches:
             at = held.place(pdf["pair"].to_numpy(np.int64).view(np.uint64))
             np.add.at(total, at[at >= 0], pdf["n"].to_numpy(np.int64)[at >= 0])
@@ -297,6 +294,12 @@ class PairCounts:
         np.maximum.at(most, b, counts)
         self.index, self.counts, self.best = index, counts, (counts == most[b]) & (counts > 0)
 
+    @classmethod
+    def of(cls, keys: np.ndarray, levels: list, counts: np.ndarray, best: np.ndarray) -> PairCounts:
+        out = cls.__new__(cls)
+        out.index, out.counts, out.best = PairHash(keys, levels), counts, best
+        return out
+
     def look_up(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count, whether best) of each pair; zero and False where it was never counted."""
         at = self.index.place(pairs)
@@ -307,7 +310,7 @@ def pair_counts(docs: DataFrame, a: str, b: bytes, *, text_col: str = "text") ->
     """Count the links of a whole corpus."""
     rows = materialize(link_counts(F.col(text_col), docs, a, b), "pairs-counted")
     pairs = rows.select("pair").distinct().toPandas()["pair"].to_numpy(np.int64)
-    if len(pairs) > (most := Aligner(a, b).open().most_pairs()):
+    if len(pairs) > (most := Aligner(a, b).most_pairs()):
         raise RuntimeError(f"{len(pairs)} pairs where {most} are possible")
     index = PairHash(pairs.view(np.uint64))
     counts = PairCounts(index, tree_sum(rows, index))
@@ -318,11 +321,10 @@ def pair_counts(docs: DataFrame, a: str, b: bytes, *, text_col: str = "text") ->
 def aligned_column(counts: PairCounts, text: Column, a: str, b: bytes, spark: SparkSession) -> Column:
     """A struct of a text's groups and figures (``ALIGNED``)."""
     bound_batches(spark)
-    shared = spark.sparkContext.broadcast((Aligner(a, b), counts))
+    shared = spark.sparkContext.broadcast({"a": a, "b": b, "counts": (counts.index.keys, counts.index.levels, counts.counts, counts.best)})
 
     def aligned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        held, known = shared.value
-        aligner = held.open()
+        aligner, known = opened(shared.value), PairCounts.of(*shared.value["counts"])
         for texts, parts in windows(batches):
             place = {p: k for k, p in enumerate(parts)}
             groups, figures, bad = [], [], set()

@@ -42,7 +42,7 @@ def library(text):
     if not hasattr(library, "a"):
         library.a, library.b = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
         library.a.encode_special_tokens = True
-        library.names = pair_counts.Aligner(*files()).open()
+        library.names = pair_counts.Aligner(*files())
     if not text:
         return None
     names, data = library.names, (" " + text).encode()
@@ -81,7 +81,7 @@ def test_alignment(spark, documents):
 
 def test_alignment_by_the_library_and_in_small_windows(spark, monkeypatch):
     """A byte-level file whose ids don't follow its merges goes through its own library; windows and encoded lots may be of any size."""
-    a = pair_counts.Aligner(*files()).open()
+    a = pair_counts.Aligner(*files())
     parts = [p for t in ODD_TEXTS for p in pair_counts.cut(t)]
     whole = list(a.align(parts))
     monkeypatch.setattr(pair_counts, "ENCODED", 3)
