@@ -55,20 +55,37 @@ def fold_records(lines: DataFrame, key: list[str] = ["run_key"], order: str = "l
     numbered = group_number(lines, F.col(text).rlike(RECORD), key, [order], "_rec").where("_rec > 0")
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("n"), F.col(text).alias("x"))))
     folded = numbered.groupBy(*key, "_rec").agg(rows.alias("_rows"))
-    head = F.col("_rows")[0]["x"]
+    rows = folded.select(*key, F.col("_rec").cast("int").alias("seq"), F.col("_rows")[0]["n"].alias("line_no"), F.col("_rows")[0]["x"].alias("head"), F.transform(F.slice("_rows", 2, 1 << 30), lambda r: r["x"]).alias("continuation"))
+    out = _stamped(rows)
+    first = F.first(_millis("ts", calendar), ignorenulls=True).over(Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return _since(out, first, calendar).drop("head")
+
+
+def _stamped(rows: DataFrame) -> DataFrame:
+    """``rows`` with level, message and ts of the line that opens a record (``head``)."""
+    get = lambda i: F.regexp_extract("head", RECORD, i)
+    told = rows.withColumns({"level": F.when(get(4) == "CRITICAL", "ERROR").otherwise(get(4)), "message": get(5)})
+    return told.withColumn("ts", _stamp(F.col("head")))
+
+
+def _stamp(head: Column) -> Column:
     get = lambda i: F.regexp_extract(head, RECORD, i)
-    out = folded.select(
-        *key,
-        F.col("_rec").cast("int").alias("seq"),
-        F.col("_rows")[0]["n"].alias("line_no"),
-        F.concat(get(1), F.lit(" "), get(2), F.lit("."), get(3)).alias("_at"),
-        F.when(get(4) == "CRITICAL", "ERROR").otherwise(get(4)).alias("level"),
-        get(5).alias("message"),
-        F.transform(F.slice("_rows", 2, 1 << 30), lambda r: r["x"]).alias("continuation"),
-    ).withColumn("ts", F.expr("try_cast(_at AS timestamp_ntz)"))
-    ms = F.expr("unix_millis(CAST(ts AS timestamp))") if calendar else F.expr("((day(ts) * 24 + hour(ts)) * 60 + minute(ts)) * 60000L + CAST(extract(SECOND FROM ts) * 1000 AS BIGINT)")
-    first = F.first(ms, ignorenulls=True).over(Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return out.withColumn("t_ms", F.greatest(F.lit(0).cast("long"), F.coalesce(ms - first, F.lit(0).cast("long")))).drop("_at")
+    return F.concat(get(1), F.lit(" "), get(2), F.lit("."), get(3)).try_cast("timestamp_ntz")
+
+
+def _millis(ts: str, calendar: bool) -> Column:
+    return F.expr(f"unix_millis(CAST({ts} AS timestamp))") if calendar else F.expr(f"((day({ts}) * 24 + hour({ts})) * 60 + minute({ts})) * 60000L + CAST(extract(SECOND FROM {ts}) * 1000 AS BIGINT)")
+
+
+def _since(rows: DataFrame, first: Column, calendar: bool) -> DataFrame:
+    zero = F.lit(0).cast("long")
+    return rows.withColumn("t_ms", F.greatest(zero, F.coalesce(_millis("ts", calendar) - first, zero)))
+
+
+def record_fields(rows: DataFrame, first_head: Column, calendar: bool = True) -> DataFrame:
+    """Records given as (head, continuation, ...) and the opening line of their run's first record with a time: level, message, ts, t_ms."""
+    out = _stamped(rows).withColumn("_first", _stamp(first_head))
+    return _since(out, _millis("_first", calendar), calendar).drop("_first", "head", "first_head")
 
 
 def phase_of(message: Column) -> Column:

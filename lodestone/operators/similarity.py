@@ -53,23 +53,37 @@ def weighted_pairs(items: DataFrame, doc: str, item: str, weight: str, blocks: D
 def similar_pairs(items: DataFrame, doc: str, item: str, weight: str, least: float) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): every pair of classes whose weighted Jaccard is ``least`` or more, and who is in which class.
 
-    ``items`` (doc, item, weight) are distinct.  Documents with equal items are one class, named after its
-    least document; ``members``: (doc, class).  ``pairs``: (left, right, score).  No pair is lost: the items
-    of both, heaviest first, share one before what is left weighs less than ``least`` of the whole.
+    ``items`` (doc, item, weight) are distinct, an item's weight is the same everywhere.  Documents with equal items are one class,
+    named after its least document; ``members``: (doc, class).  ``pairs``: (left, right, score, shared: how many items).
+
+    No pair is lost: of two similar sets' items, heaviest first, the first common one comes before what is left weighs less than
+    ``least`` of either whole, so only those leading items are joined.  They carry what is left from them on: all that two sets share
+    comes at or after their first common item, so most candidates fall in the join itself, by that bound and by the
+    totals.  What remains is compared whole, set by set.
     """
     from ..sources.scratch import materialize
 
-    sets = items.groupBy(doc).agg(F.sha2(F.to_json(F.sort_array(F.collect_list(item))), 256).alias("_set"))
-    sets = materialize(sets)
-    members = materialize(sets.join(sets.groupBy("_set").agg(F.min(doc).alias("class")), "_set").select(doc, "class"))
-    heads = items.join(members.where(F.col(doc) == F.col("class")).select(doc), doc, "left_semi")
-    own = Window.partitionBy(doc)
-    before = F.coalesce(F.sum(weight).over(own.orderBy(F.desc(weight), item).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    total = F.sum(weight).over(own)
-    # a little more than needed, so that rounding loses nothing
-    kept = heads.select(doc, item, weight, (total - before >= total * least - 1e-9).alias("_lead"))
-    kept = materialize(kept)
-    scored = weighted_pairs(kept.select(doc, item, weight), doc, item, weight, kept.where("_lead").select(doc, item), item)
+    entry = F.struct((-F.col(weight)).alias("w"), F.col(item).alias("item"))
+    sets = items.groupBy(doc).agg(F.sort_array(F.collect_list(entry)).alias("items"), F.sum(weight).alias("total"))
+    sets = materialize(sets.select(doc, F.sha2(F.to_json(F.transform("items", lambda x: x["item"])), 256).alias("_set"), "items", "total"))
+    classes = materialize(sets.groupBy("_set").agg(F.min(doc).alias("class")))
+    members = sets.select(doc, "_set").join(classes, "_set").select(doc, "class")
+    heads = materialize(sets.join(classes.select("_set", F.col("class").alias(doc)), ["_set", doc], "left_semi").select(doc, "items", "total"))
+    each = heads.select(doc, "total", F.posexplode("items").alias("at", "x"))
+    before = F.coalesce(F.sum(-F.col("x.w")).over(Window.partitionBy(doc).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    slack = 1e-9  # a little more than needed, so that rounding loses nothing
+    led = each.select(doc, "total", F.col("x.item").alias("item"), (F.col("total") - before).alias("rest")).where(F.col("rest") >= F.col("total") * least - slack)
+    led = materialize(led)
+    a, b = led.alias("a"), led.alias("b")
+    need = (F.col("a.total") + F.col("b.total")) * (least / (1 + least)) - slack
+    may = (F.least("a.rest", "b.rest") >= need) & (F.least("a.total", "b.total") >= F.greatest("a.total", "b.total") * least - slack)
+    pairs = a.join(b, (F.col("a.item") == F.col("b.item")) & (F.col(f"a.{doc}") < F.col(f"b.{doc}")) & may).select(F.col(f"a.{doc}").alias("left"), F.col(f"b.{doc}").alias("right")).distinct()
+    side = lambda name: heads.select(F.col(doc).alias(name), F.struct("items", "total").alias(f"_{name}"))
+    common = F.array_intersect("_left.items", "_right.items")
+    told = pairs.join(side("left"), "left").join(side("right"), "right").select("left", "right", (F.col("_left.total") + F.col("_right.total")).alias("both"), common.alias("common"))
+    weight_of = F.aggregate("common", F.lit(0.0), lambda n, x: n - x["w"])
+    scored = told.select("left", "right", "both", F.size("common").alias("shared"), weight_of.alias("w"))
+    scored = scored.select("left", "right", (F.col("w") / (F.col("both") - F.col("w"))).alias("score"), "shared")
     return scored.where(F.col("score") >= least), members
 
 

@@ -153,6 +153,32 @@ def weighted_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.unionByName(members.where("doc <> class").select(F.col("class").alias("left"), F.col("doc").alias("right"), F.lit(1.0).alias("score"), F.lit("same").alias("verdict")))
 
 
+@query("""
+WITH i AS (SELECT DISTINCT l_orderkey AS doc, l_partkey AS item FROM lineitem),
+n AS (SELECT count(DISTINCT doc) AS n FROM i), w AS (SELECT item, ln(1 + any_value(n.n) / count(*)) AS w FROM i, n GROUP BY item),
+g AS (SELECT doc, list_sort(list(item)) AS items FROM i GROUP BY doc), c AS (SELECT doc, min(doc) OVER (PARTITION BY items) AS class FROM g),
+h AS (SELECT i.doc, i.item, w.w FROM i JOIN c USING (doc) JOIN w USING (item) WHERE c.doc = c.class), t AS (SELECT doc, sum(w) AS total FROM h GROUP BY doc),
+b AS (SELECT a.doc AS l, b.doc AS r, sum(a.w) AS both_, count(*) AS shared FROM h a JOIN h b ON a.item = b.item AND a.doc < b.doc GROUP BY 1, 2),
+p AS (SELECT l, r, shared, round(both_ / (x.total + y.total - both_), 9) AS score FROM b JOIN t x ON x.doc = b.l JOIN t y ON y.doc = b.r),
+v AS (SELECT p.*, x.o_custkey % 50 = y.o_custkey % 50 AND x.o_orderpriority = y.o_orderpriority AS graph, x.o_orderpriority = y.o_orderpriority AND x.o_orderstatus = y.o_orderstatus AS cause, x.o_custkey % 9 <> 0 AND y.o_custkey % 9 <> 0 AS evidence FROM p JOIN orders x ON x.o_orderkey = p.l JOIN orders y ON y.o_orderkey = p.r WHERE score >= 0.4)
+SELECT l AS "left", r AS "right", CAST(shared AS INTEGER) AS shared, graph OR cause OR (shared >= 2 AND evidence AND score >= 0.8) AS duplicate, CAST(CASE WHEN graph THEN 0 WHEN cause THEN 1 WHEN shared < 2 OR NOT evidence THEN 3 ELSE 2 END AS INTEGER) AS tier,
+  CASE WHEN graph OR cause THEN NULL WHEN shared < 2 OR NOT evidence THEN 0.0 ELSE round(score, 6) END AS score, NOT graph AND NOT cause AND shared >= 2 AND evidence AND score >= 0.55 AND score < 0.8 AS ambiguous FROM v
+""")
+def pair_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every pair of baskets that score 0.4 or more, at every tier: same graph, same cause, evidence, nothing shared."""
+    items = _order_parts(spark, sf_dir)
+    n = items.select("doc").distinct().count()
+    weights = similarity.idf(similarity.document_frequency(items, "doc", "item"), n)
+    pairs, _ = similarity.similar_pairs(items.join(weights.select("item", "weight"), "item"), "doc", "item", "weight", 0.4 - 1e-9)
+    orders = table(spark, sf_dir, "orders")
+    side = lambda name: orders.select(F.col("o_orderkey").alias(name), F.struct("o_custkey", "o_orderpriority", "o_orderstatus").alias(f"_{name}"))
+    rows = pairs.withColumn("score", F.round("score", 9)).where("score >= 0.4").join(side("left"), "left").join(side("right"), "right")
+    a, b = F.col("_left"), F.col("_right")
+    same = a["o_orderpriority"] == b["o_orderpriority"]
+    v = similarity.verdict((a["o_custkey"] % 50 == b["o_custkey"] % 50) & same, same & (a["o_orderstatus"] == b["o_orderstatus"]), F.col("shared"), (a["o_custkey"] % 9 != 0) & (b["o_custkey"] % 9 != 0), F.col("score"), least_shared=2)
+    return rows.select("left", "right", "shared", v.alias("v")).select("left", "right", "shared", "v.duplicate", "v.tier", F.round("v.score", 6).alias("score"), "v.ambiguous")
+
+
 @query("""
 WITH a AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+'))) AS s FROM documents),
 d AS (SELECT doc_id, md5(array_to_string(s, ' ')) AS p, md5(array_to_string(s[1:3], ' ')) AS c FROM a),
@@ -528,6 +554,17 @@ def record_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("conv_id", "seq", "line_no", "level", F.md5("message").alias("message"), F.size("continuation").cast("long").alias("more"), F.md5(F.array_join("continuation", "\n")).alias("folded"), "t_ms")
 
 
+@query(_SQL["record_fold"])
+def record_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records of logs that arrive in three parts, cut wherever: a stream keeps each run's open record."""
+    from ..streaming import folding
+
+    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(LOGGED.format(s="STRING", g="")).alias("line"))
+    part = F.when(F.col("turn") < F.col("conv_id") % 3, 0).when(F.col("turn") < 3 + F.col("conv_id") % 4, 1).otherwise(2)
+    r = folding.fold_in_batches(spark, [lines.where(part == k) for k in range(3)], "conv_id", "turn", "line")
+    return r.select(F.col("run_key").alias("conv_id"), "seq", "line_no", "level", F.md5("message").alias("message"), F.size("continuation").cast("long").alias("more"), F.md5(F.array_join("continuation", "\n")).alias("folded"), "t_ms")
+
+
 @query("""
 WITH g AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sec FROM events),
 s AS (SELECT user_id, sec, CAST(coalesce(max(CASE WHEN event_type = 'view' THEN CAST(floor(value) AS BIGINT) END), 0) AS BIGINT) AS broken, count_if(event_type = 'error') AS conflicts, count_if(event_type = 'click') AS decisions,

@@ -2,15 +2,17 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import corpus, state, worklist
+from lodestone.operators import corpus, ordered, similarity, state, worklist
 from lodestone.sources import bugs, logs
 from lodestone.sources.keyed import KeyedTable
 from lodestone.sources.store import Store
-from lodestone.streaming import incremental
+from lodestone.streaming import folding, incremental
+from lodestone.streaming.membership import Membership
 
 UPDATES = "bug_id long, status string, importance string, title string, duplicate_of long, is_duplicate boolean, assignee string, checked_at timestamp, n int"
 
@@ -87,6 +89,50 @@ def test_a_batch_rewrites_the_partitions_of_its_keys(spark, tmp_path):
     assert table.read().count() == 0 and table.of(ten).count() == 0
 
 
+def test_classes_kept_up_to_date(spark, tmp_path):
+    """Batches that bring fellows, change signatures and repeat: the same classes as from all at once."""
+    random.seed(2)
+    state_of, held = {}, Membership(spark, str(tmp_path / "members"), "long", parts=8)
+    for _ in range(4):
+        batch = {random.randint(0, 40): (random.choice(["g1", "g2", "g3", "g4", None]), random.choice(["c1", "c2", "c3", "c4", "c5", None])) for _ in range(15)}
+        state_of |= batch
+        rows = spark.createDataFrame([(k, *v) for k, v in batch.items()], "run_key long, root_graph string, cause_tuple string")
+        held.put(rows)
+        if len(batch) % 2:
+            held.put(rows)  # put again: nothing changes
+        whole = spark.createDataFrame([(k, *v) for k, v in state_of.items()], "run_key long, root_graph string, cause_tuple string")
+        want = similarity.clusters(whole)
+        assert sorted(map(tuple, held.members().select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_any_cut_of_logs_into_batches(spark, tmp_path):
+    """Records, sections and phases of a stream, lines given twice included, equal those of the whole logs."""
+    random.seed(6)
+    said = ["Using config files 'x'", "cache.commit() returned False", "openCache()", "nothing"]
+    rows = []
+    for run in ("a", "b", "c"):
+        for n in range(1, 25):
+            stamp = f"2026-0{random.choice([2, 9])}-{random.choice([10, 31]):02d} 10:00:{n:02d},{n:03d} INFO {random.choice(said)}"
+            rows.append((run, n, stamp if random.random() < 0.5 else random.choice(["  more", "", "Log time: x"])))
+    lines = spark.createDataFrame(rows, "run_key string, line_no long, line string")
+    cuts = {run: sorted(random.sample(range(1, 25), 2)) for run in "abc"}
+    kinds = "run_key string, line_no long, line string"
+    table = KeyedTable(spark, str(tmp_path / "records"), "run_key", folding.ROWS.format(kind="string"), 4)
+    for k in range(3):
+        low, high = {r: (0, *c, 25)[k] for r, c in cuts.items()}, {r: (0, *c, 25)[k + 1] for r, c in cuts.items()}
+        part = [r for r in rows if low[r[0]] - 2 < r[1] <= high[r[0]]]  # some lines once more
+        random.shuffle(part)
+        spark.createDataFrame(part, kinds).write.mode("append").parquet(str(tmp_path / "lines"))
+        folding.fold_into(spark.readStream.schema(kinds).parquet(str(tmp_path / "lines")), table, str(tmp_path / "cp"), starts=F.col("line").startswith("Log time"))
+    got = folding.records(table.read()).drop("section", "phase")
+    want = ordered.fold_records(lines)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    numbered = ordered.running_phase(want, ordered.phase_of(F.col("message")), ["run_key"], ["seq"])
+    assert {(r["run_key"], r["seq"]): r["phase"] for r in table.read().collect()} == {(r["run_key"], r["seq"]): r["phase"] for r in numbered.collect()}
+    last = {r["run_key"]: r["section"] for r in table.read().groupBy("run_key").agg(F.max_by("section", "seq").alias("section")).collect()}
+    assert last == {run: sum(r[2].startswith("Log time") for r in rows if r[0] == run) for run in "abc"}
+
+
 def test_snapshot_diff_and_refresh(spark):
     a = spark.createDataFrame([(1, "x"), (2, None), (3, "z")], "k int, v string")
     b = spark.createDataFrame([(1, "y"), (2, None), (4, "n")], "k int, v string")
