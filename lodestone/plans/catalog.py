@@ -227,6 +227,29 @@ def redact_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.redact(F.col("text")).alias("clean"))
 
 
+#: Lines with every kind of personal data, and what they become.
+PERSONAL = (
+    ("fetch https://u{x}:p{y}@h/x", "fetch https://h/x"), ("uname information: ''Linux box{x} 6.8''", "uname information: ''Linux redacted-host 6.8''"), ("Requested-By: bob{x} (1000)", "Requested-By: redacted-user (1000)"),
+    ("Jan  5 10:00:00 box{x} sshd: y{y}", "Jan  5 10:00:00 redacted-host sshd: y{y}"), ("Adding user `ann{x}'' done", "Adding user `redacted-user'' done"), ("bob@box{x}:~/d{y}$ ls", "redacted-user@redacted-host:~/d{y}$ ls"),
+    ("cd /home/bob{x}/f{y}", "cd /home/redacted-user/f{y}"), ("mail bob{x}@ex.org now", "mail redacted@example.invalid now"), ("hw 00:1a:2b:3c:4d:5{d} up", "hw 00:00:00:00:00:00 up"), ("get http://10.0.{d}.7/x{y}", "get http://0.0.0.0/x{y}"),
+    ("connected to 10.1.2.{d} ok", "connected to 0.0.0.0 ok"), ("seen 10.1.2.{d}:80 twice", "seen 0.0.0.0:80 twice"), ("version 1.2.3.{d} of p{x} stays", "version 1.2.3.{d} of p{x} stays"),
+)
+
+
+def _personal(k: int, kind: str) -> str:
+    quote = "''" if kind == "VARCHAR" else "\\'"
+    fill = lambda v: "('" + v.replace("''", quote).replace("{x}", f"' || CAST(l_partkey AS {kind}) || '").replace("{y}", f"' || CAST(l_suppkey AS {kind}) || '").replace("{d}", f"' || CAST(l_linenumber AS {kind}) || '") + "')"
+    return f"CASE CAST((l_orderkey + l_linenumber) % {len(PERSONAL)} AS INTEGER) " + " ".join(f"WHEN {i} THEN {fill(x[k])}" for i, x in enumerate(PERSONAL)) + " END"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_personal(1, 'VARCHAR')} AS clean, true AS stays FROM lineitem")
+def redact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every redaction, one a line, and whether redacting again changes nothing."""
+    once = T.redact(F.expr(_personal(0, "STRING")))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", once.alias("clean"))
+    return rows.withColumn("stays", T.redact(F.col("clean")) == F.col("clean"))
+
+
 #: Openings of logs of each kind, by doc_id modulo 7 (the last is none), before the documents' own texts.
 OPENINGS = ("Log time: Mon Jan 5 10:00:00 2026", "  Investigating (0) a:amd64 ", "Start-Date: 2026-01-05  10:00:00", "2026-01-05 10:00:00,000 INFO started", "Setting up a (1.0) ...", "dpkg: error processing package a", "nothing known")
 LOG_TEXT = "CASE doc_id % 7 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(OPENINGS)) + " END || chr(10) || coalesce(text, '')"
@@ -868,6 +891,55 @@ def terminal_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terminal.failures(lines).select("run_key", "line_no", "package", "action", "reason", "kind", "conflicting_package", "conflicting_path", "blamed_package", "exit_status")
 
 
+#: Two transactions of an order's history: the second repeats the first's changes where the key is even.
+HISTORY = ("", "Start-Date: 2026-01-05  10:00:00", "Commandline: apt full-upgrade", "Requested-By: u{c} (1000)", "Install: p{k}:amd64 (1.{c}, automatic), q{c} (2)", "Upgrade: r{k} (1, 2.{c})", "End-Date: 2026-01-05  10:{m}:30", "", "Start-Date: 2026-01-05  10:00:00", "Upgrade: r{k} (1, 2.{c})", "Install: p{k}:amd64 (1.{c}, automatic), q{c} (2)", "Error: Sub-process {k}", "End-Date: 2026-01-05  10:{n}:10", "", "Start-Date: 2026-01-05  11:00:00", "Purge: z{c} (0.{k})")
+OTHER_INSTALL = "Install: p{k}:amd64 (1.{c}), q{c} (2)"
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS run_key, CAST(o_custkey AS VARCHAR) AS c, o_orderkey % 50 AS m, o_custkey % 50 AS n FROM orders),
+t AS (
+  SELECT run_key, k, 2 AS line_no, '2026-01-05 10:00:00' AS start, '2026-01-05 10:' || lpad(CAST(m AS VARCHAR), 2, '0') || ':30' AS "end", m * 60 + 30 AS long_, 'u' || c || ' (1000)' AS requested_by, 'apt full-upgrade' AS commandline, '' AS error, 'p' || k || ':amd64 1.' || c || ' auto,q' || c || ' 2' AS installed, 'r' || k || ' 1>2.' || c AS upgraded, '' AS purged FROM o
+  UNION ALL SELECT run_key, k, 9, '2026-01-05 10:00:00', '2026-01-05 10:' || lpad(CAST(n AS VARCHAR), 2, '0') || ':10', n * 60 + 10, '', '', 'Sub-process ' || k, 'p' || k || ':amd64 1.' || c || CASE WHEN k % 2 = 0 THEN ' auto' ELSE '' END || ',q' || c || ' 2', 'r' || k || ' 1>2.' || c, '' FROM o
+  UNION ALL SELECT run_key, k, 15, '2026-01-05 11:00:00', NULL, NULL, '', '', '', '', '', 'z' || c || ' 0.' || k FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY run_key, installed, upgraded, purged ORDER BY long_ DESC) AS i FROM t)
+SELECT run_key, CAST(line_no AS INTEGER) AS line_no, start, "end", requested_by, commandline, error, installed, upgraded, purged FROM r WHERE i = 1
+""")
+def history_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions of each order's history, of those with the same changes the longest."""
+    fill = {"{k}": F.col("o_orderkey").cast("string"), "{c}": F.col("o_custkey").cast("string"), "{m}": F.lpad((F.col("o_orderkey") % 50).cast("string"), 2, "0"), "{n}": F.lpad((F.col("o_custkey") % 50).cast("string"), 2, "0")}
+
+    def line(text: str):
+        out = F.lit(text)
+        for blank, value in fill.items():
+            out = F.replace(out, F.lit(blank), value)
+        return out
+
+    odd = F.col("o_orderkey") % 2 == 1
+    told = F.array(*[F.when(odd, line(OTHER_INSTALL)).otherwise(line(x)) if k == 10 else line(x) for k, x in enumerate(HISTORY)])
+    lines = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("run_key"), F.posexplode(told).alias("n", "line")).select("run_key", (F.col("n") + 1).alias("line_no"), "line")
+    h = terminal.collapsed(terminal.history(lines))
+    shown = lambda name, f: F.coalesce(F.array_join(F.transform(F.col("changes")[name], f), ","), F.lit(""))
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    plain = lambda x: F.concat(x["name"], F.lit(" "), x["version"], F.when(x["automatic"], " auto").otherwise(""))
+    return h.select("run_key", "line_no", at("start"), at("end"), "requested_by", "commandline", "error", shown("Install", plain).alias("installed"), shown("Upgrade", lambda x: F.concat(x["name"], F.lit(" "), x["previous"], F.lit(">"), x["version"])).alias("upgraded"), shown("Purge", plain).alias("purged"))
+
+
+@query("""
+WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS run_key, o_orderkey % 3 AS a, o_custkey % 3 AS b, o_orderkey % 4 = 0 AS failed, o_orderkey % 5 = 0 AS cut FROM orders)
+SELECT run_key, '2026-01-05 10:00:00' AS start, CASE WHEN NOT cut THEN '2026-01-05 10:05:00' END AS "end", CAST(1 + a + b + 3 + CASE WHEN failed THEN 1 ELSE 0 END AS BIGINT) AS line_count, CAST(1 + a AS BIGINT) AS configured, CAST(b AS BIGINT) AS unpacked,
+  CAST(1 AS BIGINT) AS removed, CASE WHEN failed THEN 1 END AS subprocess_code, cut AS truncated FROM o
+""")
+def terminal_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each order's terminal log counts: packages set up, unpacked, removed, and whether its block was closed."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    some = lambda text, n: F.array_repeat(F.lit(text), n.cast("int"))
+    parts = [some("Log started: 2026-01-05  10:00:00", F.lit(1)), some("Setting up a (1) ...", 1 + k % 3), some("Unpacking b (1) ...", c % 3), some("Removing c (1) ...", F.lit(1)), some("Removing diversion of /x", F.lit(1)), some("", F.lit(2)), some("plain", F.lit(1)), some("E: Sub-process /usr/bin/dpkg returned an error code (1)", (k % 4 == 0).cast("int")), some("Log ended: 2026-01-05  10:05:00", (k % 5 != 0).cast("int"))]
+    lines = table(spark, sf_dir, "orders").select(k.cast("string").alias("run_key"), F.posexplode(F.concat(*parts)).alias("n", "line")).select("run_key", (F.col("n") + 1).alias("line_no"), "line")
+    at = lambda name: F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
+    return terminal.counters(lines).select("run_key", at("start"), at("end"), "line_count", "configured", "unpacked", "removed", "subprocess_code", "truncated")
+
+
 # -- state, worklist, increments ------------------------------------------------------------------
 
 

@@ -88,6 +88,7 @@ def is_irrelevant(title: Column) -> Column:
 def sniff(text: Column, limit: int = 64_000) -> Column:
     """What a log is by its opening."""
     head = F.substring(text, 1, limit)
+    # fixed values: the openings of each kind of log
     return (
         F.when(head.rlike(r"(?m)^Log time: (\w{3} \w{3}|\d{4}-)"), "apt")
         .when(head.rlike(r"(?m)^(?:  )*(?:Investigating|Broken|Considering) \S+ "), "apt")
