@@ -32,7 +32,8 @@ Links are transitive: documents of linked sets form classes.
 
 Defined results.  Words are those of ``simhash.fingerprint``; a text of fewer than five is one shingle.
 Null and blank texts have the empty set and are one class.  Equal rows share a key, so they are one
-item.  A null id counts as the largest.  Other columns are only read for the row's key.
+item.  A null id counts as the largest.  Texts are read whole, in pieces that bound memory.  An empty table has no class.
+Other columns, of any name and type, are only read for the row's key.
 """
 
 from __future__ import annotations

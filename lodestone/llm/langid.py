@@ -13,7 +13,9 @@ n-grams, summed by document.  Log probabilities are held as whole multiples of 2
 sum is the same in any order and however the batch is cut.
 
 Defined results.  ``und`` with score 0 where the text is null or has no letter, or nothing
-was learned.  Equal posteriors go to the language first by code point.
+was learned.  Equal posteriors go to the language first by code point.  Repeated rows are learned and predicted
+each.  Texts are read whole, in pieces that bound memory.  An empty table gives an empty table, and one to learn from
+a model that says ``und``.  Other columns are not read, so their names may clash.
 """
 
 from __future__ import annotations

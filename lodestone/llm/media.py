@@ -14,7 +14,8 @@ Feature: the image, as given back, averaged to 32 x 32, its two-dimensional cosi
 transform, and one bit for each of 64 low frequencies, set where above their median.
 
 Defined results.  Null text is empty; an empty payload is one row of padding.  Equal
-payloads give equal images and features.
+payloads give equal images and features; repeated rows keep their rows.  A very long text is one image of so many
+rows.  An empty table gives an empty table.  Other columns are not read, so their names may clash.
 """
 
 from __future__ import annotations

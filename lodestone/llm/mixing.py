@@ -25,7 +25,7 @@ turn and share all words; a target stops at ``most`` times its source's words an
 the excess is shared again by weight until none is above.
 
 Defined results.  Null text has size 0.  Documents of size 0 keep one copy and take
-no words.  Repeated rows count each.  A null id is an id like any other.  An empty
+no words.  Repeated rows count each; texts are counted whole.  A null id is an id like any other.  An empty
 table gives an empty result.
 """
 

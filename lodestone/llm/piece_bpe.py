@@ -20,7 +20,9 @@ The model file is read with ``sentencepiece`` (pieces, scores, kinds); its encod
 only used by the tests.  The model reaches the workers as bytes in a broadcast
 (half a megabyte, fixed).
 
-Defined results.  Null counts as empty; an empty text has no ids.
+Defined results.  Null counts as empty; an empty text has no ids.  Repeated rows keep their rows.  Texts are
+encoded whole, however long a word is (only the words that a worker keeps have a bound).  An empty table gives an empty
+table.  Other columns are not read, so their names may clash.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ code points.  The sums are a window over rows, so a text of very many secrets co
 A text is only taken apart where a cheaper test finds that the rule may hit.
 
 Defined results.  Null text is the empty blob.  Empty texts have no spans.  Repeated
-rows keep their rows.  An empty table gives an empty result.
+rows keep their rows.  An empty table gives an empty result.  Texts are scanned whole, however long.  Other columns
+are not read, so their names may clash.
 """
 
 from __future__ import annotations

@@ -25,7 +25,8 @@ ranges are what keeps the visits near linear.
 
 Defined results.  Null and blank texts have fingerprint zero, linked like any other.
 Repeated rows keep their rows; a null id is kept, and is no component's smallest id
-unless all ids of the component are null.
+unless all ids of the component are null.  Texts count whole, in pieces that bound memory.  An empty table gives
+an empty table.  Other columns are not read, so their names may clash.
 """
 
 from __future__ import annotations

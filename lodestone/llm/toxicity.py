@@ -21,7 +21,9 @@ every whole text, narrow, without a shuffle; the broadcast is one array of
 
 Defined results.  Null text counts as empty; an empty text gets the intercept's
 score.  Rows with a null id are scored, never learned from.  Repeated label rows
-count once.  Without one confirmed example every score is 0.
+count once; repeated documents are scored each.  Without one confirmed example every score is 0.  Texts are read
+whole, in pieces that bound memory.  An empty table gives an empty table.  Columns besides id and text are
+not read, so their names may clash.
 """
 
 from __future__ import annotations

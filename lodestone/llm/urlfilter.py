@@ -18,7 +18,8 @@ rule, has no node and is allowed.  Repeated rows keep their rows.  Null html has
 edges.  Relative targets are resolved against the page's url as RFC 3986 has it (relative paths, queries alone, dot
 segments; a base element is not looked at) once character references for ``&`` are decoded; one of
 another scheme than http and https without ``//`` (mailto:, javascript:) is no edge.  ``rel`` may hold further
-words beside canonical.  Of two rules with one host and path, allow wins.
+words beside canonical.  Of two rules with one host and path, allow wins.  Pages of any length are searched whole.
+An empty table gives an empty table.  Other columns are not read, so their names may clash.
 """
 
 from __future__ import annotations

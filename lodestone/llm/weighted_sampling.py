@@ -22,7 +22,8 @@ needs the first row of the range below, which is sent to both (one extra row a r
 Defined results.  Null text is empty; an empty text has a fingerprint of its own (all
 samples of "no term").  Repeated ids follow one another by text.  Null ids come last, by a hash of the
 text, then the text; however many they are, they are cut into ranges too.
-One document alone is its own next.
+One document alone is its own next.  Texts count whole, however long.  An empty table gives an empty table.
+Other columns are not read, so their names may clash.
 """
 
 from __future__ import annotations
