@@ -56,7 +56,7 @@ def decode(body: Column) -> Column:
         _version(left).alias("cur_version"),
         _version(right).alias("cand_version"),
         F.when(arrow, SELECTED).when(bar, DECLINED).otherwise(NONE).alias("selection"),
-        F.coalesce(_lookup(MODES)[F.substring(F.element_at(groups, -1), -1, 1)], F.lit(0)).alias("mode"),
+        F.coalesce(_lookup(MODES)[F.substring(F.try_element_at(groups, F.lit(-1)), -1, 1)], F.lit(0)).alias("mode"),
         F.coalesce(status, F.lit("unknown")).alias("status"),
         bits.bitwiseOR(auto).alias("bits"),
         F.filter(rest, lambda t: ~is_mode(t) & ~t.isin(*BROKEN)).alias("unknown_tokens"),

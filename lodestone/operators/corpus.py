@@ -37,20 +37,17 @@ def unclassified_templates(run_templates: DataFrame, runs: DataFrame, limit: int
     return top_counts(run_templates.join(open_, "run_key", "left_semi"), ["template"], limit)
 
 
-def sharing(rows: DataFrame, key: str, item: str, least: int = 1, queries: DataFrame | None = None) -> DataFrame:
-    """(key, other, shared): who has at least ``least`` items in common with each of ``queries`` (a column of keys).
-
-    Without ``queries`` every key is one, and an item that n keys hold makes n * n pairs: name them.
-    """
+def sharing(rows: DataFrame, key: str, item: str, least: int, queries: DataFrame) -> DataFrame:
+    """(key, other, shared): who has at least ``least`` items in common with each of ``queries`` (a column of keys)."""
     have = rows.select(key, item).distinct()
-    asked = have if queries is None else have.join(queries.select(F.col(queries.columns[0]).alias(key)).distinct(), key, "left_semi")
+    asked = have.join(queries.select(F.col(queries.columns[0]).alias(key)).distinct(), key, "left_semi")
     both = asked.join(have.withColumnRenamed(key, "other"), item).where(F.col(key) != F.col("other"))
     return both.groupBy(key, "other").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
 
 
-def related(signatures: DataFrame, shared_roots: DataFrame, key: str = "run_key", queries: DataFrame | None = None) -> DataFrame:
-    """(key, other, how) of each of ``queries`` (a column of keys; by default all): equal graphs; else equal causes; else shared roots."""
-    asked = signatures if queries is None else signatures.join(queries.select(F.col(queries.columns[0]).alias(key)).distinct(), key, "left_semi")
+def related(signatures: DataFrame, shared_roots: DataFrame, queries: DataFrame, key: str = "run_key") -> DataFrame:
+    """(key, other, how) of each of ``queries`` (a column of keys): equal graphs; else equal causes; else shared roots."""
+    asked = signatures.join(queries.select(F.col(queries.columns[0]).alias(key)).distinct(), key, "left_semi")
     pair = lambda c: asked.where(F.col(c).isNotNull()).select(key, c).join(signatures.select(F.col(key).alias("other"), c), c).where(F.col(key) != F.col("other")).select(key, "other")
     exact = pair("root_graph")
     cause = pair("cause_tuple").join(exact, [key, "other"], "left_anti")

@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import states as S
@@ -180,8 +180,9 @@ def unknown_shapes_by_run(tokens: DataFrame, text: str = "line", limit: int = 20
     lines = tokens.where("shape = 'unmatched'").select("run_key", text)
     masked = lines.select(text).distinct().select(text, T.mask(F.col(text))["template"].alias("template"))
     counts = lines.join(masked, text).groupBy("run_key", "template").count()
-    ranked = counts.groupBy("run_key").agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("n"), "template"))).alias("x"))
-    return ranked.select("run_key", F.transform(F.slice("x", 1, limit), lambda s: F.struct(s["template"].alias("template"), (-s["n"]).alias("count"))).alias("unknown_shapes"))
+    first = counts.withColumn("_n", F.row_number().over(Window.partitionBy("run_key").orderBy(F.desc("count"), "template"))).where(F.col("_n") <= limit)
+    ranked = first.groupBy("run_key").agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("n"), "template"))).alias("x"))
+    return ranked.select("run_key", F.transform("x", lambda s: F.struct(s["template"].alias("template"), (-s["n"]).alias("count"))).alias("unknown_shapes"))
 
 
 def trace_sections(tokens: DataFrame) -> DataFrame:

@@ -172,7 +172,7 @@ def _message_finding(k: int) -> Column:
 def shared_findings() -> list[Column]:
     """The findings (null: none) of a run with its facts and first hits."""
     none = F.create_map().cast("map<string,string>")
-    trace = F.element_at(F.filter(F.transform(F.split(F.coalesce("traceback", F.lit("")), "\n"), lambda p: F.trim(p)), lambda x: x != ""), -1)
+    trace = F.try_element_at(F.filter(F.transform(F.split(F.coalesce("traceback", F.lit("")), "\n"), lambda p: F.trim(p)), lambda x: x != ""), F.lit(-1))
     # the last complete failure counts if the update it belongs to showed its errors (unknown: it did)
     before = F.array_max(F.filter(F.coalesce("shows", F.array().cast("array<struct<seq:bigint,shown:boolean>>")), lambda x: x["seq"] < F.col("failed_at")))
     fatal = F.col("failed_at").isNotNull() & F.coalesce(before["shown"], F.lit(True))

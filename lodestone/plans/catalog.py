@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import states as S
 from ..functions import text as T
 from ..operators import conflicts, corpus, ordered, resolver_lines, rules, similarity, state, terminal, worklist
 from ..sources import logs
@@ -282,11 +283,11 @@ def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: One line of a resolver trace for each row of lineitem, of a kind by its number; DuckDB and Spark read it alike.
-P, S = "'p' || l_partkey || ':amd64'", "'s' || l_suppkey || ':i386'"
-TRACE = f"""CASE l_linenumber WHEN 1 THEN 'Broken ' || {P} || ' Depends on ' || {S} || ' < none | 3.' || l_partkey || ' @un umH > (>= 3.' || l_suppkey || ')'
-  WHEN 2 THEN '  Considering ' || {P} || ' 4 as a solution to ' || {S} || ' -7' WHEN 3 THEN 'Holding Back ' || {P} || ' rather than change ' || {S}
-  WHEN 4 THEN 'Upgrading: ' || {P} || ' due to ' || {S} WHEN 5 THEN '    MarkInstall ' || {P} || ' < 1.0 -> 2.0 @ii umU Ib > FU=1'
-  WHEN 6 THEN {P} || ' Conflicts on ' || {S} || ' can' || chr(39) || 't be satisfied! (dep)' ELSE 'no known phrase ' || l_partkey END"""
+P, Q = "'p' || l_partkey || ':amd64'", "'s' || l_suppkey || ':i386'"
+TRACE = f"""CASE l_linenumber WHEN 1 THEN 'Broken ' || {P} || ' Depends on ' || {Q} || ' < none | 3.' || l_partkey || ' @un umH > (>= 3.' || l_suppkey || ')'
+  WHEN 2 THEN '  Considering ' || {P} || ' 4 as a solution to ' || {Q} || ' -7' WHEN 3 THEN 'Holding Back ' || {P} || ' rather than change ' || {Q}
+  WHEN 4 THEN 'Upgrading: ' || {P} || ' due to ' || {Q} WHEN 5 THEN '    MarkInstall ' || {P} || ' < 1.0 -> 2.0 @ii umU Ib > FU=1'
+  WHEN 6 THEN {P} || ' Conflicts on ' || {Q} || ' can' || chr(39) || 't be satisfied! (dep)' ELSE 'no known phrase ' || l_partkey END"""
 
 
 def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,7 +298,7 @@ def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 SELECT CAST(l_orderkey AS VARCHAR) AS run_key, l_linenumber AS line_no, l_partkey, l_suppkey,
   CASE l_linenumber WHEN 1 THEN 'broken' WHEN 2 THEN 'considering' WHEN 3 THEN 'holding_back' WHEN 4 THEN 'upgrading_due_to' WHEN 5 THEN 'mark_install' WHEN 6 THEN 'cant_be_satisfied' ELSE 'unknown' END AS verb,
-  CASE WHEN l_linenumber < 7 THEN {P} ELSE '' END AS subject, CASE WHEN l_linenumber IN (1, 2, 3, 4, 6) THEN {S} ELSE '' END AS object, CASE l_linenumber WHEN 1 THEN 6 WHEN 6 THEN 5 ELSE 0 END AS dep,
+  CASE WHEN l_linenumber < 7 THEN {P} ELSE '' END AS subject, CASE WHEN l_linenumber IN (1, 2, 3, 4, 6) THEN {Q} ELSE '' END AS object, CASE l_linenumber WHEN 1 THEN 6 WHEN 6 THEN 5 ELSE 0 END AS dep,
   CASE WHEN l_linenumber = 1 THEN '>= 3.' || l_suppkey ELSE '' END AS "constraint", CASE WHEN l_linenumber = 2 THEN -7 END AS score_dst, CASE l_linenumber WHEN 2 THEN 2 WHEN 5 THEN 4 ELSE 0 END AS depth,
   CASE l_linenumber WHEN 1 THEN '3.' || l_partkey WHEN 5 THEN '2.0' END AS candidate, CASE WHEN l_linenumber = 5 THEN true END AS from_user, CASE WHEN l_linenumber < 7 THEN 'matched' ELSE 'unmatched' END AS shape FROM lineitem
 """)
@@ -365,7 +366,7 @@ def lex_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT CAST(l_orderkey AS VARCHAR) AS run_key, {S} AS src, {P} AS dst, CASE l_linenumber WHEN 1 THEN 1 WHEN 3 THEN 3 WHEN 4 THEN 5 ELSE 6 END AS kind, CASE l_linenumber WHEN 1 THEN 6 WHEN 6 THEN 5 ELSE 0 END AS dep,
+SELECT CAST(l_orderkey AS VARCHAR) AS run_key, {Q} AS src, {P} AS dst, CASE l_linenumber WHEN 1 THEN 1 WHEN 3 THEN 3 WHEN 4 THEN 5 ELSE 6 END AS kind, CASE l_linenumber WHEN 1 THEN 6 WHEN 6 THEN 5 ELSE 0 END AS dep,
   CASE WHEN l_linenumber = 1 THEN '>= 3.' || l_suppkey ELSE '' END AS "constraint", CASE WHEN l_linenumber = 3 THEN 1 ELSE 0 END AS decision FROM lineitem WHERE l_linenumber IN (1, 3, 4, 6) GROUP BY ALL
 """)
 def trace_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,6 +385,35 @@ def constraint_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", *[T.normal_constraint(c, g).alias(g) for g in ("exact", "upstream", "major", "operator")])
 
 
+#: Lines with a package state in each form, by l_linenumber modulo 4: body, its flag tokens, and those that nothing decodes.
+FORMS = ("< 1.0 -> 2.0 @ii umU Ib >", "< none | 3 @un umH >", "< 1.0 @iU zz >", "< none @un uH >")
+
+
+def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.lit("MarkKeep p"), F.col("l_partkey").cast("string"), F.lit(":amd64 "), F.element_at(F.array(*[F.lit(x) for x in FORMS]), (F.col("l_linenumber") % 4 + 1).cast("int")))
+    return resolver_lines.lex(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", line.alias("line")))
+
+
+@query("""
+WITH k AS (SELECT *, l_linenumber % 4 AS f FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, f = 0 AS broken, f = 1 AS unselected, f = 1 AS blocks, f = 3 AS "virtual", CASE WHEN f IN (0, 2) THEN '1.0' END AS cur_version, CASE f WHEN 0 THEN '2.0' WHEN 1 THEN '3' END AS cand_version, CASE f WHEN 0 THEN 'installed' WHEN 2 THEN 'unknown' ELSE 'not_installed' END AS status FROM k
+""")
+def state_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is asked of package states: broken, not selected, blocking as a new dependency, virtual."""
+    one = _forms(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", F.get("states", F.lit(0)).alias("s"))
+    s = F.col("s")
+    return one.select("l_orderkey", "l_linenumber", "l_partkey", S.any_broken(s).alias("broken"), S.has_unselected_candidate(s).alias("unselected"), S.blocks_as_new_dependency(s).alias("blocks"), S.is_unsatisfiable_virtual(s).alias("virtual"), "s.cur_version", "s.cand_version", "s.status")
+
+
+@query("""
+WITH t(f, token, known) AS (VALUES (0, 'ii', true), (0, 'umU', true), (0, 'Ib', true), (1, 'un', true), (1, 'umH', true), (2, 'iU', false), (2, 'zz', false), (3, 'un', true), (3, 'uH', true))
+SELECT token, known, count(*) AS n FROM lineitem JOIN t ON l_linenumber % 4 = t.f GROUP BY token, known
+""")
+def state_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flag tokens of all states, decoded or not."""
+    return S.vocabulary(_forms(spark, sf_dir)).select("token", "known", "n")
+
+
 # -- corpus queries ----------------------------------------------------------------------
 
 
