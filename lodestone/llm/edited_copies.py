@@ -22,6 +22,11 @@ what they leave is found by prefixes:
   ``t``: every shingle flips one of so many bits, so two sets differ in at least as many shingles as
   their parities differ in bits, and at similarity 0.8 in at most a ninth of both sizes.  Rows carry
   ``NARROW`` bits, pairs that pass meet ``WIDE`` ones.
+* ``NARROW`` bits say nothing of thousands of shingles, so a set of more than ``SPLIT`` is split by hash into parts of
+  at most about as many, each with its own prefix and parities.  What two sets differ in is the sum over the parts, so sets of
+  similarity ``t`` have a part of similarity ``t`` or more.  A set whose larger partners are split finer is dealt out that way too, as a guest.
+* All that two sets share lies at or behind their first common shingle.  Rows carry its place, so a pair is only
+  made where enough is left behind it on both sides.
 * A shingle of more than ``CROWD`` sets is split: its neighbours are looked for within ``PLACES``, and the rest
   is compared block by block, each pair of blocks of at most some ``CROWD`` sets in a task of its own, by vectors; only pairs that pass
   leave the task.  No exact way is known that spares the comparing where many sets are just below the similarity.
@@ -60,6 +65,8 @@ ORDERS, REACH = (("n",), ("x0",), ("x1", "x2")), 10
 CROWD, PLACES, TILE = 4096, 64, 512
 #: Bits of a set's parities: in every row of a block, and for pairs.
 NARROW, WIDE = 512, 8192
+#: Shingles beyond which a set is split, into twice as many parts each time.
+SPLIT = 512
 #: Documents sampled for the order, and the most frequent shingles that it puts last.
 SAMPLE, FREQUENT = 10_000, 50_000
 
@@ -84,7 +91,7 @@ def fingerprint(found: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(found), bitorder="little").view(np.int64)[0])
 
 
-def parities(found: np.ndarray, bits: int = NARROW) -> np.ndarray:
+def parities(found: np.ndarray, bits: int = WIDE) -> np.ndarray:
     """Whether an odd number of the set's hashes fall on each of so many bits, as signed numbers."""
     odd = np.bincount((found % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
@@ -94,7 +101,7 @@ def wide_column(text: Column, spark) -> Column:
     bound_batches(spark)
 
     def wide(texts: pd.Series) -> pd.Series:
-        return pd.Series([parities(shingles(t), WIDE) for t in texts], dtype=object)
+        return pd.Series([parities(shingles(t)) for t in texts], dtype=object)
 
     return F.pandas_udf(wide, "array<long>")(text)
 
@@ -132,34 +139,59 @@ def frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     return rows["h"].to_numpy(np.uint64), rows["count"].to_numpy(np.int64)
 
 
-def prefix(found: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The set's first shingles: by frequency, then by hash."""
-    n = len(found)
-    if not n:
-        return found
-    rank = np.zeros(n, np.int64)
-    if len(often):
+def _level(n: int) -> int:
+    """How often a set of ``n`` shingles is halved."""
+    return (max(0, n - 1) // SPLIT).bit_length()
+
+
+def dealt_parts(found: np.ndarray, often: np.ndarray, counts: np.ndarray) -> tuple:
+    """A set's number of parts, and of these and then the finer ones that it is a guest in: sizes, parities, and the prefixes' shingles, parts and places.
+
+    A prefix has a part's first shingles, by frequency, then by hash.
+    """
+    n, own = len(found), _level(len(found))
+    order = found
+    if len(often) and n:
         at = np.minimum(np.searchsorted(often, found), len(often) - 1)
-        rank = np.where(often[at] == found, counts[at], 0)
-    return found[np.argsort(rank, kind="stable")[: n + (-PART * n // WHOLE) + 1]]
+        order = found[np.argsort(np.where(often[at] == found, counts[at], 0), kind="stable")]
+    before, out = 0, []
+    for level in range(own, _level(n * WHOLE // PART) + 1):  # no similar set is larger
+        many = 1 << level
+        part = (order >> np.uint64(20)).astype(np.int64) & (many - 1)
+        sizes = np.bincount(part, minlength=many)
+        odd = np.bincount(part * NARROW + (order % np.uint64(NARROW)).astype(np.int64), minlength=many * NARROW) & 1
+        by = np.argsort(part, kind="stable")
+        part = part[by]
+        place = np.arange(n) - (np.cumsum(sizes) - sizes)[part]
+        first = place < (sizes + (-PART * sizes // WHOLE) + 1)[part]
+        tok = order[by][first] ^ np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64))  # shingles of one level don't meet another's
+        out.append((sizes, np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64), tok.view(np.int64), before + part[first], place[first]))
+        before += many
+    return 1 << own, *(np.concatenate(x) if len(out) > 1 else x[0] for x in zip(*out, strict=True))
 
 
 def _signed(text: Column, often: np.ndarray, counts: np.ndarray, spark) -> Column:
-    """struct<set: 16 bytes, n, fp, prefix>"""
+    """struct<set: 16 bytes, n, fp, and what ``dealt_parts`` gives>"""
     bound_batches(spark)
     shared = spark.sparkContext.broadcast((often, counts))  # at most FREQUENT entries
 
     def signed(texts: pd.Series) -> pd.DataFrame:
         found = [shingles(t) for t in texts]
+        own, sizes, odd, tok, part, at = zip(*(dealt_parts(s, *shared.value) for s in found), strict=True)
         return pd.DataFrame({
             "set": [xxhash.xxh3_128_digest(s.tobytes()) for s in found],
             "n": np.array([len(s) for s in found], np.int32),
             "fp": np.array([fingerprint(s) for s in found], np.int64),
-            "prefix": [prefix(s, *shared.value).view(np.int64) for s in found],
-            "odd": [parities(s) for s in found],
+            "own": np.array(own, np.int32),
+            "sizes": [x.astype(np.int32) for x in sizes],
+            "odd": list(odd),
+            "tok": list(tok),
+            "part": [x.astype(np.int32) for x in part],
+            "at": [x.astype(np.int32) for x in at],
         })
 
-    return F.pandas_udf(signed, "set binary, n int, fp long, prefix array<long>, odd array<long>").asNondeterministic()(text)
+    kind = "set binary, n int, fp long, own int, sizes array<int>, odd array<long>, tok array<long>, part array<int>, at array<int>"
+    return F.pandas_udf(signed, kind).asNondeterministic()(text)
 
 
 def _shared(batches):
@@ -195,15 +227,19 @@ def _room(apart: Column, n: Column, m: Column) -> Column:
 
 
 def _near(a: str, b: str) -> Column:
+    """Whether two sets may reach the similarity, by what rows of one shingle say of the part that it is in."""
     apart = sum((F.bit_count(F.col(f"{a}.x{k}").bitwiseXOR(F.col(f"{b}.x{k}"))) for k in range(NARROW // 64)), F.lit(0))
-    return _room(apart, F.col(f"{a}.n"), F.col(f"{b}.n"))
+    both = F.col(f"{a}.size") + F.col(f"{b}.size")
+    behind = F.least(F.col(f"{a}.left"), F.col(f"{b}.left")) * (PART + WHOLE) >= both * PART  # holds at the first common shingle
+    sizes = F.least(f"{a}.n", f"{b}.n") * WHOLE >= F.greatest(f"{a}.n", f"{b}.n") * PART
+    return ~(F.col(f"{a}.guest") & F.col(f"{b}.guest")) & behind & sizes & _room(apart, F.col(f"{a}.size"), F.col(f"{b}.size"))
 
 
 def _tiles(pdf: pd.DataFrame) -> pd.DataFrame:
     """Pairs of sets of one shingle's two blocks (or one block's own) that may reach the similarity and are of different classes."""
     pdf = pdf.sort_values("n", kind="stable")
     bits = pdf[[f"x{k}" for k in range(NARROW // 64)]].to_numpy(np.int64).view(np.uint64)
-    ids, n, group, block = (pdf[c].to_numpy(np.int64) for c in ("id", "n", "class", "block"))
+    ids, n, group, block, size, left, guest = (pdf[c].to_numpy(np.int64) for c in ("id", "n", "class", "block", "size", "left", "guest"))
     alone, out = (block == block[0]).all(), []
     for a in range(0, len(ids), TILE):
         # sorted by size: beyond this no set is small enough
@@ -213,9 +249,11 @@ def _tiles(pdf: pd.DataFrame) -> pd.DataFrame:
             apart = np.zeros((len(ids[x]), len(ids[y])), np.int32)
             for k in range(bits.shape[1]):
                 apart += np.bitwise_count(bits[x, None, k] ^ bits[None, y, k])
-            total = n[x, None] + n[None, y]
-            good = (apart * (PART + WHOLE) <= total * (WHOLE - PART)) & (np.minimum(n[x, None], n[None, y]) * WHOLE >= np.maximum(n[x, None], n[None, y]) * PART)
-            good &= group[x, None] != group[None, y]
+            total = size[x, None] + size[None, y]
+            good = (apart * (PART + WHOLE) <= total * (WHOLE - PART)) & (np.minimum(left[x, None], left[None, y]) * (PART + WHOLE) >= total * PART)
+            for own in (size, n):
+                good &= np.minimum(own[x, None], own[None, y]) * WHOLE >= np.maximum(own[x, None], own[None, y]) * PART
+            good &= (group[x, None] != group[None, y]) & (guest[x, None] + guest[None, y] < 2)
             if not alone:
                 good &= block[x, None] != block[None, y]
             i, j = np.nonzero(good)
@@ -228,7 +266,7 @@ def _tiles(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _crowded_pairs(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """(src, dst) of the shingles in ``sizes`` (tok, sets), by pairs of blocks."""
-    bits = [f"x{k}" for k in range(NARROW // 64)]
+    bits = ["size", "left", "guest", *[f"x{k}" for k in range(NARROW // 64)]]
     blocks = F.ceil(F.col("sets") / CROWD).cast("int")
     own = rows.join(sizes, "tok").select("tok", "id", "n", "class", *bits, blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
     dealt = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -299,19 +337,25 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     often, counts = frequent(docs, text_col)
     least = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), row_key(docs).alias("key"))
     rows = docs.select(least.alias("least"), _signed(F.col(text_col), often, counts, spark).alias("s")).select("least", "s.*")
-    distinct = rows.groupBy("set").agg(F.min("least").alias("least"), *[F.first(c).alias(c) for c in ("n", "fp", "prefix", "odd")])
+    distinct = rows.groupBy("set").agg(F.min("least").alias("least"), *[F.first(c).alias(c) for c in ("n", "fp", "own", "sizes", "odd", "tok", "part", "at")])
     told = materialize(distinct.drop("set").withColumn("id", F.monotonically_increasing_id()), "copies-told")
-    sets = materialize(told.select("id", "least", "n", "fp", *[F.get("odd", F.lit(k)).alias(f"x{k}") for k in range(NARROW // 64)]), "copies-sets")
+    sets = materialize(told.select("id", "least", "n", "fp"), "copies-sets")
+    words = NARROW // 64
+    each = F.transform("sizes", lambda size, k: F.struct(size.alias("size"), F.slice("odd", k * words + 1, words).alias("odd")))  # exploded without the others' parities
+    each = told.select("id", "n", "own", F.posexplode(each).alias("part", "x"))
+    bits = [F.get("x.odd", F.lit(k)).alias(f"x{k}") for k in range(words)]
+    parts = materialize(each.select("id", "n", "part", "x.size", (F.col("part") >= F.col("own")).alias("guest"), *bits), "copies-parts")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = told.select("id", F.explode("prefix").alias("tok")).repartition(n, "tok").sortWithinPartitions("tok")
-    blocks = materialize(dealt.select("tok", "id").mapInPandas(_blocks, "tok long, id long"), "copies-blocks")
+    dealt = told.select("id", F.explode(F.arrays_zip("tok", "part", "at")).alias("x")).select("x.tok", "id", "x.part", "x.at").repartition(n, "tok").sortWithinPartitions("tok")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20_000)  # rows of four numbers
+    blocks = materialize(dealt.mapInPandas(_blocks, "tok long, id long, part int, at int"), "copies-blocks")
     discard(told)
-    bits = [f"x{k}" for k in range(NARROW // 64)]
+    bits = ["size", "left", "guest", *[f"x{k}" for k in range(words)]]
 
     def tagged(known: DataFrame) -> DataFrame:
         """Blocks with the sets' classes; ``known``: (node, component)."""
-        named = sets.select("id", "n", *bits).join(known, F.col("id") == F.col("node"), "left")
-        return blocks.join(named.select("id", "n", *bits, F.coalesce("component", "id").alias("class")), "id")
+        named = parts.join(known, F.col("id") == F.col("node"), "left").withColumn("class", F.coalesce("component", "id")).drop("node", "component")
+        return blocks.join(named, ["id", "part"]).withColumn("left", F.col("size") - F.col("at")).select("tok", "id", "n", "class", *bits)
 
     def pairs(found: DataFrame) -> DataFrame:
         return found.select(F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst")).distinct()
@@ -346,7 +390,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
         more = _proved(second, links.unionAll(good), sets, docs, text_col)
         found = materialize(connected_components(links.unionAll(good).unionAll(more)), "copies-found")
         discard(more)
-    for done in (blocks, links, first, good, second, crowds, mixed):
+    for done in (blocks, parts, links, first, good, second, crowds, mixed):
         discard(done)
     return sets.join(found, sets["id"] == found["node"], "left").select(sets["id"], F.coalesce("component", sets["id"]).alias("class"), "least")
 

@@ -276,6 +276,42 @@ def test_crowded_shingles_by_brute_force(spark, sf_dir, monkeypatch):
     assert got == [rows[k][0] for k in sorted(set(brute_classes(rows)))]
 
 
+@pytest.mark.parametrize("crowd", [3, 4096])
+def test_split_sets_by_brute_force(spark, sf_dir, monkeypatch, crowd):
+    """Texts around the similarity and around the sizes at which sets are split, a larger one finer."""
+    monkeypatch.setattr(edited_copies, "SPLIT", 16)
+    monkeypatch.setattr(edited_copies, "CROWD", crowd)
+    random.seed(6)
+    rows = []
+    for group in range(12):
+        words = [f"g{group}w{k}" for k in range(random.choice([19, 22, 35, 40, 68, 75, 140, 280]))]
+        for _ in range(7):
+            cut = random.randint(0, len(words) // 4)
+            rows.append((len(rows), " ".join(random.choice([words[cut:], words[: len(words) - cut], words + [f"n{len(rows)}x{k}" for k in range(cut)]]))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect())
+    assert got == [rows[k][0] for k in sorted(set(brute_classes(rows)))]
+
+
+def test_long_texts_below_the_similarity_make_no_pairs(spark, sf_dir, monkeypatch):
+    """At thousands of shingles too, a group of texts that share much but not enough does not become all its pairs."""
+    made, write = Counter(), edited_copies.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        if label in ("copies-first", "copies-second"):
+            made[label] += out.count()
+        return out
+
+    monkeypatch.setattr(edited_copies, "materialize", counted)
+    template = [f"t{k}" for k in range(2400)]
+    rows = [(k, " ".join(template + [f"o{k}x{j}" for j in range(560)])) for k in range(30)]
+    rows += [(100 + k, " ".join(template[: 2400 - 200 * k] + [f"q{j}" for j in range(900)])) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect())
+    assert got == [*range(30), 100] and 1 <= sum(made.values()) <= 10, made
+
+
 # -- executors without this package ---------------------------------------------------------------------
 
 ELSEWHERE = """
