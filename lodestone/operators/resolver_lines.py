@@ -140,11 +140,11 @@ def dependency_code(name: Column, aliases: dict[str, int] | None = None) -> Colu
 
 def lex(lines: DataFrame, text: str = "line", aliases: dict[str, int] | None = None) -> DataFrame:
     """``lines`` with the fields of each resolver line; blank and oversized lines are ``unknown`` and told by ``shape``."""
-    line = F.regexp_replace(text, r"\s+$", "")
+    line = F.col("_line")
     blank, large = F.trim(line) == "", F.length(line) > MOST_LINE
     bare = F.when(blank | large, "").otherwise(S.skeleton(line))
     streams = F.create_map(*[F.lit(x) for v, s, _ in PHRASES for x in (v, s)])
-    out = lines.withColumn("_p", parsed(bare))
+    out = lines.withColumn("_line", F.regexp_replace(text, r"\s+$", "")).withColumn("_p", parsed(bare))
     return out.select(
         *lines.columns,
         T.indent_depth(F.col(text)).alias("depth"),
