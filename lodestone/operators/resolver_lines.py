@@ -119,7 +119,8 @@ def parsed(skeleton: Column) -> Column:
 
     def fields(x: Column) -> Column:
         text = lambda g: F.coalesce(F.get(x, F.lit(GROUPS.index(g) + 2)), F.lit(""))
-        number = lambda g: text(g).try_cast("int")
+        # a failed cast costs an exception, so what is empty isn't cast
+        number = lambda g: F.when(text(g) != "", text(g).try_cast("int"))
         known = F.size(x) > 1
         return F.struct(
             F.when(known, F.get(x, F.lit(1))).otherwise("unknown").alias("verb"), text("subject").alias("subject"), text("object").alias("object"), text("third").alias("third"), text("dep").alias("dep"), F.trim(text("constraint")).alias("constraint"),

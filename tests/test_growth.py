@@ -30,3 +30,14 @@ def test_states_are_worked_out_once(spark):
     assert {(r["token"], r["known"]): r["n"] for r in rows} == {("ii", True): 2, ("umU", True): 2, ("gK", True): 2, ("Ib", True): 2, ("zz", False): 2, ("un", True): 1, ("uH", True): 1}
     got = lexed(spark, [(1, f"< {body} >")]).select(F.get("states", F.lit(0)).alias("s")).select("s.*").first()
     assert got["mode"] == states.MODES["K"] and got["bits"] == 1 | 1 << states.AUTO_INSTALLED and got["unknown_tokens"] == ["zz"]
+
+
+def test_an_empty_number_is_not_cast(spark):
+    # a failed try_cast costs an exception, and a value taken out of an array the type of all that was made of it
+    plan = optimized(catalog.queries()["lex_lines"](spark, "/root/testdata/sf0.001"))
+    casts = re.findall(r"(.{30})try_cast\((?!l_)|(.{30})cast\(coalesce", plan)
+    assert "= ) THEN" in plan and all("THEN" in a + b for a, b in casts)
+    got = {r["line_no"]: (r["score_src"], r["score_dst"], r["broken_count"], r["pass_no"]) for r in lexed(spark, [*LINES, (9, "Starting 2 pkgProblemResolver with broken count: 99999999999"), (10, "\tDone")]).collect()}
+    assert got[1] == (4, -7, None, None) and got[8] == (None,) * 4 and got[9] == (None, None, None, 2)
+    depth = [r["depth"] for r in lexed(spark, [(1, " \t x"), (2, "  x\ty"), (3, "x"), (4, "   ")]).orderBy("line_no").collect()]
+    assert depth == [9, 2, 0, 3]
