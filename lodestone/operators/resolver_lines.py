@@ -89,6 +89,11 @@ def _openings(phrase: str) -> list[str] | None:
     return [word] if "?" not in word else [re.sub(r".\?", "", word), word.replace("?", "")]
 
 
+def _longest(phrase: str) -> str:
+    """The longest run of letters in a phrase: no line fits the phrase without it."""
+    return max(re.findall(r"[A-Za-z']+", re.sub(r"\{\w+\}|\(\?.*", " ", phrase)), key=len)
+
+
 def _replacement(verb: str, phrase: str) -> tuple[str, str]:
     """(anchored pattern, what a line that fits is replaced by)."""
     for blank, pattern in BLANKS.items():
@@ -111,11 +116,13 @@ def parsed(skeleton: Column) -> Column:
         shared.setdefault(tuple(own), []).append(opening)
     apply = lambda line, own: reduce(lambda x, vp: F.regexp_replace(x, *_replacement(*vp)), own, line)
 
-    def dispatched(line: Column) -> Column:
-        first, out = F.substring_index(line, " ", 1), line
+    def dispatched(x: Column) -> Column:
+        first, line = x["first"], x["line"]
         cases = [(first.isin(*openings), apply(line, own)) for own, openings in shared.items()]
-        out = reduce(lambda w, c: w.when(*c), cases[1:], F.when(*cases[0])).otherwise(line)
-        return out
+        return reduce(lambda w, c: w.when(*c), cases[1:], F.when(*cases[0])).otherwise(line)
+
+    def replaced(verb: str, phrase: str):
+        return lambda x: F.when(x.contains(_longest(phrase)), F.regexp_replace(x, *_replacement(verb, phrase))).otherwise(x)
 
     def fields(x: Column) -> Column:
         text = lambda g: F.coalesce(F.get(x, F.lit(GROUPS.index(g) + 2)), F.lit(""))
@@ -127,10 +134,10 @@ def parsed(skeleton: Column) -> Column:
             number("score_src").alias("score_src"), number("score_dst").alias("score_dst"), number("broken").alias("broken_count"), number("pass_no").alias("pass_no"), F.when(text("fu") != "", text("fu") == "1").alias("from_user"), F.trim(text("timestamp")).alias("timestamp"),
         )
 
-    line = T.bound(F.coalesce(skeleton, F.lit("")), dispatched)
+    opened = T.bound(F.coalesce(skeleton, F.lit("")), lambda line: T.bound(F.struct(line.alias("line"), F.substring_index(line, " ", 1).alias("first")), dispatched))
     for verb, phrase in rest:
-        line = F.regexp_replace(line, *_replacement(verb, phrase))
-    return T.bound(F.split(line, MARK), fields)
+        opened = T.bound(opened, replaced(verb, phrase))
+    return T.bound(F.split(opened, MARK), fields)
 
 
 def dependency_code(name: Column, aliases: dict[str, int] | None = None) -> Column:

@@ -41,3 +41,9 @@ def test_an_empty_number_is_not_cast(spark):
     assert got[1] == (4, -7, None, None) and got[8] == (None,) * 4 and got[9] == (None, None, None, 2)
     depth = [r["depth"] for r in lexed(spark, [(1, " \t x"), (2, "  x\ty"), (3, "x"), (4, "   ")]).orderBy("line_no").collect()]
     assert depth == [9, 2, 0, 3]
+
+
+def test_a_line_is_dispatched_by_one_look_at_its_opening(spark):
+    plan = optimized(catalog.queries()["lex_every_phrase"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("substring_index(") <= 1
+    assert {r["line_no"]: r["verb"] for r in lexed(spark, [(1, "x Depends on y can't be satisfied! (dep)"), (2, "x Depends on y can't be"), (3, "Removing x"), (4, "Removing  x  <none @ii>  "), (5, "Removing x y")]).collect()} == {1: "cant_be_satisfied", 2: "unknown", 3: "removing", 4: "removing", 5: "unknown"}
