@@ -149,14 +149,21 @@ def oscillations(tokens: DataFrame, key: list[str], subject: str, order: str, ke
     return found.select(*key, subject, "keeps", "upgrades", F.least("keeps", "upgrades").alias("reversals"), "blocked_by", "forced_by", "last_at", (F.col("last_at") / F.col("_end") >= terminal).alias("is_terminal"))
 
 
-def attach_scores(tokens: DataFrame, key: list[str], order: list[str], considering: Column, decision: Column, a: str, b: str, score_a: str, score_b: str) -> DataFrame:
-    """Scores from a weighing line go to the next decision if it names the same two; either way they are used up."""
+def attach_scores(tokens: DataFrame, key: list[str], order: list[str], considering: Column, decision: Column, a: str, b: str, score_a: str, score_b: str, others: Column | None = None) -> DataFrame:
+    """Scores from a weighing line go to the next decision if it names the same two; either way they are used up.
+
+    Rows of ``others`` stay among the decisions, without scores and without using any up.
+    """
     w = Window.partitionBy(*key).orderBy(*order)
-    sub = tokens.where(considering | decision)
-    lagged = sub.withColumn("_p", F.lag(F.struct(considering.alias("is"), F.col(a).alias("a"), F.col(b).alias("b"), F.col(score_a).alias("sa"), F.col(score_b).alias("sb"))).over(w))
+    weighs = considering | decision
+    said = F.struct(considering.alias("is"), F.col(a).alias("a"), F.col(b).alias("b"), F.col(score_a).alias("sa"), F.col(score_b).alias("sb"))
+    if others is None:
+        lagged = tokens.where(weighs).withColumn("_p", F.lag(said).over(w))
+    else:
+        lagged = tokens.where(weighs | others).withColumn("_p", F.last(F.when(weighs, said), True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     same = F.col("_p.is") & (F.array_sort(F.array("_p.a", "_p.b")) == F.array_sort(F.array(a, b)))
     swap = F.col("_p.a") != F.col(a)
-    done = lagged.where(decision).withColumn("has_scores", F.coalesce(same, F.lit(False)))
+    done = lagged.where(decision if others is None else decision | others).withColumn("has_scores", F.coalesce(decision & same, F.lit(False)))
     return done.withColumn("score_first", F.when(F.col("has_scores"), F.when(swap, F.col("_p.sb")).otherwise(F.col("_p.sa")))).withColumn("score_second", F.when(F.col("has_scores"), F.when(swap, F.col("_p.sa")).otherwise(F.col("_p.sb")))).drop("_p")
 
 

@@ -47,3 +47,15 @@ def test_a_line_is_dispatched_by_one_look_at_its_opening(spark):
     plan = optimized(catalog.queries()["lex_every_phrase"](spark, "/root/testdata/sf0.001"))
     assert plan.count("substring_index(") <= 1
     assert {r["line_no"]: r["verb"] for r in lexed(spark, [(1, "x Depends on y can't be satisfied! (dep)"), (2, "x Depends on y can't be"), (3, "Removing x"), (4, "Removing  x  <none @ii>  "), (5, "Removing x y")]).collect()} == {1: "cant_be_satisfied", 2: "unknown", 3: "removing", 4: "removing", 5: "unknown"}
+
+
+def test_edges_read_a_parse_once_and_shuffle_once(spark):
+    df = conflicts.edges(lexed(spark, LINES))
+    assert optimized(df).count("solution") == 1
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {(r["src"], r["dst"], r["kind"]): (r["has_scores"], r["score_src"], r["score_dst"], r["line_no"]) for r in df.collect()}
+    # the edge between them doesn't use the scores up, the next decision does
+    assert got == {
+        ("c:amd64", "a:amd64", conflicts.BREAKS): (False, None, None, 2), ("b:i386", "a:amd64", conflicts.DECISION): (True, -7, 4, 3),
+        ("d:amd64", "b:i386", conflicts.DECISION): (False, None, None, 6), ("a:amd64", "e:amd64", conflicts.DECISION): (False, None, None, 7),
+    }
