@@ -1,11 +1,12 @@
 """What makes queries grow with their input by no more than they must, told by their plans."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
 from lodestone.functions import states
-from lodestone.operators import conflicts, resolver_lines
+from lodestone.operators import conflicts, resolver_lines, similarity
 from lodestone.plans import catalog
 
 LINES = [
@@ -59,3 +60,26 @@ def test_edges_read_a_parse_once_and_shuffle_once(spark):
         ("c:amd64", "a:amd64", conflicts.BREAKS): (False, None, None, 2), ("b:i386", "a:amd64", conflicts.DECISION): (True, -7, 4, 3),
         ("d:amd64", "b:i386", conflicts.DECISION): (False, None, None, 6), ("a:amd64", "e:amd64", conflicts.DECISION): (False, None, None, 7),
     }
+
+
+def brute(docs, weight, least):
+    heads = {d: min(e for e in docs if docs[e] == docs[d]) for d in docs}
+    score = lambda a, b: sum(weight[i] for i in a & b) / sum(weight[i] for i in a | b)
+    names = sorted(set(heads.values()))
+    return heads, {(a, b): (round(score(docs[a], docs[b]), 9), len(docs[a] & docs[b])) for a in names for b in names if a < b and score(docs[a], docs[b]) >= least}
+
+
+def test_pairs_are_told_within_the_join(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = {d: set(rng.sample(range(14), rng.randint(1, 8))) for d in range(90)}
+    weight = {k: 0.3 + (k * 5 % 14) / 5 for k in range(14)}
+    items = spark.createDataFrame([(d, i, weight[i]) for d, s in docs.items() for i in sorted(s)], "doc long, item long, w double")
+    told = lambda: similarity.similar_pairs(items, "doc", "item", "w", 0.4 - 1e-9)
+    pairs, members = told()
+    assert optimized(pairs).count("Join Inner") == 1  # no pair that is too far apart leaves it, so none is joined back to its sets
+    heads, want = brute(docs, weight, 0.4 - 1e-9)
+    rows = lambda x: {(r["left"], r["right"]): (round(r["score"], 9), r["shared"]) for r in x.collect()}
+    assert rows(pairs) == want and {r["doc"]: r["class"] for r in members.collect()} == heads
+    monkeypatch.setattr(similarity, "CARRIED", 4)  # sets of more than four items aren't carried
+    pairs, members = told()
+    assert pairs.count() == len(want) and rows(pairs) == want and {r["doc"]: r["class"] for r in members.collect()} == heads
