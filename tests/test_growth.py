@@ -94,6 +94,11 @@ def test_roots_are_classified_where_their_runs_lie(spark, sf_dir):
     assert keys and all(re.fullmatch(r"run_key#\w+, ", k) for k in keys)
 
 
+def test_roots_are_ranked_where_their_runs_lie(spark, sf_dir):
+    keys = dealt_by(catalog.queries()["root_ranks"](spark, sf_dir))
+    assert keys and all(re.fullmatch(r"run_key#\w+, ", k) for k in keys)
+
+
 def test_an_i386_root_has_its_amd64_twin_among_packages_that_are_no_roots(spark):
     root = spark.createDataFrame([("r", "a:i386", ["x"], False, 1), ("r", "b:i386", [], False, 2), ("s", "a:i386", [], True, 3)], "run_key string, pkg string, cascade array<string>, cycle_broken boolean, more int")
     nodes = spark.createDataFrame([("r", "a:amd64", None, None, 0, 0), ("s", "b:amd64", None, None, 0, 0), ("r", "b:i386", "1", "2", conflicts.S.MODES["H"], 0)], "run_key string, pkg string, cur_version string, cand_version string, mode int, bits int")
