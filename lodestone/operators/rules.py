@@ -126,20 +126,27 @@ def said(c: Corpus) -> DataFrame:
     return own.unionByName(c.apt_errors.select(F.col("run_key").cast("string").alias("run_key"), F.lit(True).alias("apt"), F.lit(None).cast("long").alias("seq"), F.lit(True).alias("error"), F.col("text").alias("message")))
 
 
+def _has(message: Column, text: str) -> Column:
+    """Whether a message has the text ``text``, whose blanks may be anything: its longest literal part is looked for first."""
+    literal = max(text.split("%s"), key=len)
+    return message.contains(literal) if "%s" not in text else message.contains(literal) & message.rlike(message_pattern(text))
+
+
 def _first_text(texts) -> Column:
     """The first of a rule's message texts that a message has: struct<n, seq, values of its blanks>; else null."""
     tests = []
     for n, (text, *names) in enumerate(texts):
         pattern = message_pattern(text)
         values = F.array(*[F.trim(F.regexp_extract("message", pattern, i + 1)) for i in range(len(names))]).cast("array<string>")
-        tests.append(F.when(F.col("message").rlike(pattern), F.struct(F.lit(n).alias("n"), "seq", values.alias("values"))))
+        tests.append(F.when(_has(F.col("message"), text), F.struct(F.lit(n).alias("n"), "seq", values.alias("values"))))
     return F.coalesce(*tests)
 
 
 def first_hits(lines: DataFrame) -> DataFrame:
     """One row a run: what each predicate met first (or last), all from one aggregation."""
     error, apt, message = F.col("error") & ~F.col("apt"), F.col("apt"), F.col("message")
-    # what is lower-cased or matched more than once is worked out once a line
+    # only the package manager's words are lower-cased: what is named more than once is worked out for every line
+    words_of_apt = F.lower(F.when(apt, message))
     hits = [F.min(F.when(error, _first_text(texts))).alias(f"m{k}") for k, (*_, texts) in enumerate(MESSAGE_RULES)]
     unmarked = message_pattern(UNMARKED)
     return lines.groupBy("run_key").agg(
@@ -150,7 +157,7 @@ def first_hits(lines: DataFrame) -> DataFrame:
         F.min(F.when(error & message.rlike(OPENING), F.struct("seq", F.regexp_extract(message, OPENING, 1).alias("why")))).alias("unopened"),
         F.min(F.when(error & message.rlike(unmarked), F.struct("seq", F.trim(F.regexp_extract(message, unmarked, 1)).alias("package"), F.trim(F.regexp_extract(message, unmarked, 2)).alias("error")))).alias("unmarked"),
         F.bool_or(apt | (error & is_terminal_error(message))).alias("ended"),
-        *[F.bool_or(apt & F.lower(message).contains(words)).alias(f"c{k}") for k, (words, _) in enumerate(CORROBORATION)],
+        *[F.bool_or(F.coalesce(words_of_apt.contains(words), F.lit(False))).alias(f"c{k}") for k, (words, _) in enumerate(CORROBORATION)],
     )
 
 

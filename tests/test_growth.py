@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from lodestone.functions import states
-from lodestone.operators import conflicts, resolver_lines, similarity
+from lodestone.operators import conflicts, resolver_lines, rules, similarity
 from lodestone.plans import catalog
 
 LINES = [
@@ -105,3 +105,14 @@ def test_an_i386_root_has_its_amd64_twin_among_packages_that_are_no_roots(spark)
     none = spark.createDataFrame([], "run_key string, src string, dst string, kind int, dep int, constraint string, decision int, score_src int, score_dst int, has_scores boolean, depth int, line_no int")
     got = {(r["run_key"], r["pkg"]): (r["cause"], r["confidence"], r["rank"]) for r in conflicts.classify(root, none, nodes, none, evidence_complete=F.col("more") > 1).collect()}
     assert got == {("r", "a:i386"): ("unknown", 0, 1), ("r", "b:i386"): ("held_package_blocks_upgrade", 2, 2), ("s", "a:i386"): ("i386_orphan", 2, 1)}
+
+
+def test_messages_meet_patterns_only_where_their_words_are(spark):
+    texts = [("r", 1, "ERROR", "no 'x' not writable but /boot not writable"), ("r", 2, "ERROR", "failed to mark 'a' for install (E:x)"), ("r", 3, "ERROR", "An upgrade from 'a' to b"), ("q", 1, "ERROR", "Held Broken Packages, An upgrade from 'a' to 'b' is not supported")]
+    records = spark.createDataFrame(texts, "run_key string, seq long, level string, message string")
+    corpus = rules.Corpus(spark.createDataFrame([], "run_key string"), records, spark.createDataFrame([("r", "You have HELD broken Packages")], "run_key string, text string"))
+    hits = rules.first_hits(rules.said(corpus))
+    assert "CASE WHEN apt" in optimized(hits.select("c0")) and "Contains(message" in optimized(hits.select("m6"))
+    got = {r["run_key"]: r for r in hits.collect()}
+    assert got["r"]["m2"]["values"] == ["no 'x'"] and got["r"]["m6"] is None and got["q"]["m6"]["values"] == ["a", "b"]
+    assert got["r"]["c0"] and not got["q"]["c0"] and not got["r"]["c1"] and got["r"]["unmarked"]["package"] == "a"
